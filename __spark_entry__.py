@@ -352,6 +352,147 @@ def q_a01(spark, sf):
     return feat.infer_hmax(events_panel(spark, sf), EVENTS_CFG)
 
 
+# ----------------------------------------------------------------------------- event study
+
+from cohortflow.config import EventConfig  # noqa: E402
+from cohortflow.functions.scalar import treatment_flag  # noqa: E402
+from cohortflow.operators import events as evo  # noqa: E402
+
+EV_COLS = KEYS + [("is_treated", "i"), ("treatment_type", "i")] + _d("U_t") + [("A_star", "i")] + _d("Y_star") + [
+    ("centre_day", "i"), ("episode_start", "i"), ("episode_end", "i"), ("episode_len", "i")]
+
+
+def _ev_panel(spark, sf):
+    p = events_panel(spark, sf)
+    return p.select("id", "day", treatment_flag("treatment").alias("is_treated"), "treatment_type", "U_t")
+
+
+_EVP = "ev_panel AS (SELECT id, day, CASE WHEN treatment = 1 THEN 1 ELSE 0 END AS is_treated, treatment_type, U_t FROM panel)"
+
+
+def _treated_sql(L, H, older=False):
+    code = "is_treated = 1" if older else "is_treated = 1 AND treatment_type IN (1, 2)"
+    base = "(c_ysum / (e - s + 1))" if older else "pre_last"
+    retreat = "" if older else "AND post_coded = 0"
+    return Q.with_panel(f"""{_EVP},
+coded AS (SELECT id, day FROM ev_panel WHERE {code}),
+isl AS (SELECT id, day, day - row_number() OVER (PARTITION BY id ORDER BY day) AS g FROM coded),
+eps AS (SELECT id, min(day) AS s, max(day) AS e FROM isl GROUP BY id, g),
+span AS (SELECT id, min(day) AS dmin, max(day) AS dmax FROM ev_panel GROUP BY id),
+agg AS (
+  SELECT e.id, e.s, e.e,
+    count(*) FILTER (WHERE p.day BETWEEN e.s - {L} AND e.s - 1) AS pre_n,
+    count(DISTINCT p.day) FILTER (WHERE p.day BETWEEN e.s - {L} AND e.s - 1) AS pre_days,
+    coalesce(sum(p.is_treated) FILTER (WHERE p.day BETWEEN e.s - {L} AND e.s - 1), 0) AS pre_t,
+    count(p.U_t) FILTER (WHERE p.day BETWEEN e.s - {L} AND e.s - 1) AS pre_ok,
+    arg_max(p.U_t, p.day) FILTER (WHERE p.day BETWEEN e.s - {L} AND e.s - 1) AS pre_last,
+    count(*) FILTER (WHERE p.day BETWEEN e.s AND e.e) AS c_n,
+    count(*) FILTER (WHERE p.day BETWEEN e.s AND e.e AND (NOT ({code.replace('is_treated', 'p.is_treated').replace('treatment_type', 'coalesce(p.treatment_type, -1)')}) OR p.U_t IS NULL)) AS c_bad,
+    sum(p.U_t) FILTER (WHERE p.day BETWEEN e.s AND e.e) AS c_ysum,
+    count(*) FILTER (WHERE p.day BETWEEN e.e + 1 AND e.e + {H}) AS post_n,
+    count(DISTINCT p.day) FILTER (WHERE p.day BETWEEN e.e + 1 AND e.e + {H}) AS post_days,
+    count(*) FILTER (WHERE p.day BETWEEN e.e + 1 AND e.e + {H} AND p.is_treated = 1 AND p.treatment_type IN (1, 2)) AS post_coded,
+    count(p.U_t) FILTER (WHERE p.day BETWEEN e.e + 1 AND e.e + {H}) AS post_ok,
+    avg(p.U_t) FILTER (WHERE p.day BETWEEN e.e + 1 AND e.e + {H}) AS post_mean
+  FROM eps e JOIN ev_panel p ON p.id = e.id AND p.day BETWEEN e.s - {L} AND e.e + {H}
+  GROUP BY e.id, e.s, e.e
+)
+SELECT c.id, c.day, c.is_treated, c.treatment_type, c.U_t, 1 AS A_star, a.post_mean - {base} AS Y_star,
+       a.s AS centre_day, a.s AS episode_start, a.e AS episode_end, a.e - a.s + 1 AS episode_len
+FROM agg a JOIN span sp ON sp.id = a.id JOIN ev_panel c ON c.id = a.id AND c.day = a.s
+WHERE a.s - {L} >= sp.dmin AND a.e + {H} <= sp.dmax AND a.pre_n = {L} AND a.pre_days = {L}
+  AND a.c_n = a.e - a.s + 1 AND a.c_bad = 0 AND a.post_n = {H} AND a.post_days = {H}
+  AND a.pre_t = 0 AND a.pre_ok = {L} AND a.post_ok = {H} {retreat}""")
+
+
+def _control_sql(L, H, centre=False, max_per_id=None):
+    n = L + H + 1
+    base = "c.U_t" if centre else "arg_max(p.U_t, p.day) FILTER (WHERE p.day < c.day)"
+    body = f"""{_EVP},
+ctl AS (
+  SELECT c.id, c.day, c.is_treated, c.treatment_type, c.U_t, 0 AS A_star,
+         avg(p.U_t) FILTER (WHERE p.day > c.day) - {base} AS Y_star,
+         c.day AS centre_day, c.day AS episode_start, c.day AS episode_end, 1 AS episode_len
+  FROM ev_panel c JOIN ev_panel p ON p.id = c.id AND p.day BETWEEN c.day - {L} AND c.day + {H}
+  WHERE c.is_treated = 0
+  GROUP BY c.id, c.day, c.is_treated, c.treatment_type, c.U_t
+  HAVING count(*) = {n} AND count(DISTINCT p.day) = {n} AND sum(p.is_treated) = 0 AND count(p.U_t) = {n}
+)"""
+    if max_per_id is None:
+        return Q.with_panel(body + "\nSELECT * FROM ctl")
+    return Q.with_panel(body + f"\nSELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day) AS k FROM ctl) WHERE k <= {max_per_id}")
+
+
+@register("w16_treatment_episodes", [("id", "i"), ("episode_start", "i"), ("episode_end", "i")], Q.with_panel(f"""{_EVP},
+coded AS (SELECT id, day FROM ev_panel WHERE is_treated = 1 AND treatment_type IN (1, 2)),
+isl AS (SELECT id, day, day - row_number() OVER (PARTITION BY id ORDER BY day) AS g FROM coded)
+SELECT id, min(day) AS episode_start, max(day) AS episode_end FROM isl GROUP BY id, g"""))
+def q_w16(spark, sf):
+    return evo.treatment_episodes(_ev_panel(spark, sf))
+
+
+@register("w17_treated_events_l3", EV_COLS, _treated_sql(3, 3))
+def q_w17(spark, sf):
+    return evo.treated_events(_ev_panel(spark, sf), EventConfig(L=3, H=3))
+
+
+@register("w17_treated_events_l1", EV_COLS, _treated_sql(1, 1))
+def q_w17b(spark, sf):
+    return evo.treated_events(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+
+
+@register("w18_control_events_l3", EV_COLS, _control_sql(3, 3))
+def q_w18(spark, sf):
+    return evo.control_events(_ev_panel(spark, sf), EventConfig(L=3, H=3))
+
+
+@register("w18_control_events_l1", EV_COLS, _control_sql(1, 1))
+def q_w18b(spark, sf):
+    return evo.control_events(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+
+
+_OLD = EventConfig(L=2, H=2, baseline="course_mean", require_codes=False, block_retreatment=False)
+
+
+@register("w19_older_treated_events", EV_COLS, _treated_sql(2, 2, older=True))
+def q_w19(spark, sf):
+    return evo.treated_events(_ev_panel(spark, sf), _OLD)
+
+
+@register("w19_older_control_events", EV_COLS, _control_sql(2, 2, centre=True))
+def q_w19b(spark, sf):
+    return evo.control_events(_ev_panel(spark, sf), EventConfig(L=2, H=2, baseline="centre"))
+
+
+@register("w20_first_controls_per_id", EV_COLS, _control_sql(1, 1, max_per_id=2))
+def q_w20(spark, sf):
+    return evo.control_events(_ev_panel(spark, sf), EventConfig(L=1, H=1, max_controls_per_id=2))
+
+
+def _union_sql(L, H):
+    t = _treated_sql(L, H)
+    c = _control_sql(L, H)
+    return f"SELECT * FROM ({t}) UNION ALL SELECT * FROM ({c})"
+
+
+@register("u01_event_union", EV_COLS, _union_sql(1, 1))
+def q_u01(spark, sf):
+    return evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+
+
+@register("w21_event_weight", [("id", "i"), ("centre_day", "i"), ("A_star", "i")] + _d("w_event"),
+          f"SELECT id, centre_day, A_star, 1.0 / count(*) OVER (PARTITION BY id) AS w_event FROM ({_union_sql(1, 1)})")
+def q_w21(spark, sf):
+    return evo.with_event_weight(evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)))
+
+
+@register("a11_cluster_support", [("G", "i")] + _d("G_eff"),
+          f"""SELECT CAST(count(*) AS BIGINT) AS G, coalesce(sum(c) * sum(c) / sum(c * c), 0.0) AS G_eff
+              FROM (SELECT id, CAST(count(*) AS DOUBLE) AS c FROM ({_union_sql(1, 1)}) WHERE A_star = 1 GROUP BY id)""")
+def q_a11(spark, sf):
+    return evo.cluster_support(evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)))
+
+
 # ----------------------------------------------------------------------------- driver API
 
 
