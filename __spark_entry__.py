@@ -493,6 +493,295 @@ def q_a11(spark, sf):
     return evo.cluster_support(evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)))
 
 
+# ----------------------------------------------------------------------------- splits, folds, draws, evaluation
+
+from cohortflow.functions.scalar import clamp, normal_quantile  # noqa: E402
+from cohortflow.operators import metrics as mt  # noqa: E402
+from cohortflow.operators import resample as rs  # noqa: E402
+from cohortflow.operators.quantiles import exact_quantiles  # noqa: E402
+
+Z95 = normal_quantile(0.95)
+H = Q.sql_hash
+
+
+def _pred(spark, sf):
+    """Reference predictor: next-day U from a shrinkage of today's value to its 7-row mean."""
+    f = events_features(spark, sf, horizons=1)
+    yp = F.lit(0.5) * F.col("U_t") + F.lit(0.5) * F.coalesce(F.col("U_t_roll7_mean"), F.col("U_t"))
+    sd = F.coalesce(F.col("U_t_roll7_std"), F.lit(0.0))
+    out = f.select("id", "day", F.col("U_next_h1").alias("y_true_abs"), clamp(yp).alias("y_pred_abs"),
+                   clamp(yp - F.lit(Z95) * sd).alias("y_pred_abs_ci_low"), clamp(yp + F.lit(Z95) * sd).alias("y_pred_abs_ci_high"),
+                   clamp(F.col("U_t")).alias("y_naive_abs"), F.col("U_t").alias("base_t"))
+    return out.dropna(subset=["y_true_abs", "base_t"])
+
+
+_PRED = f"""pred AS (
+  SELECT id, day, y_true_abs, {Q.clamp('yp')} AS y_pred_abs, {Q.clamp(f'yp - {Z95!r} * sd')} AS y_pred_abs_ci_low,
+         {Q.clamp(f'yp + {Z95!r} * sd')} AS y_pred_abs_ci_high, {Q.clamp('U_t')} AS y_naive_abs, U_t AS base_t
+  FROM (SELECT id, day, U_t, lead(U_t, 1) {_W}) AS y_true_abs,
+               0.5 * U_t + 0.5 * coalesce({_gated('avg', 'U_t', -7, -1, 1)}, U_t) AS yp,
+               coalesce({_gated('stddev_samp', 'U_t', -7, -1, 2)}, 0.0) AS sd FROM panel)
+  WHERE y_true_abs IS NOT NULL AND U_t IS NOT NULL
+)"""
+
+
+def _ids_sql(src, salt="", seed=42):
+    pre = f"'{salt}:{seed}:'" if salt else f"'{seed}:'"
+    return (f"SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS rk, count(*) OVER () AS n FROM "
+            f"(SELECT id, {H(pre + ' || CAST(id AS VARCHAR)')} AS h FROM (SELECT DISTINCT id FROM {src} WHERE id IS NOT NULL))")
+
+
+PRED_COLS = KEYS + _d("y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high", "y_naive_abs", "base_t")
+
+
+@register("p17_delta_to_absolute", PRED_COLS, Q.with_panel(_PRED + "\nSELECT * FROM pred"))
+def q_p17(spark, sf):
+    return _pred(spark, sf)
+
+
+@register("f01_id_split", [("id", "i"), ("split", "s")], Q.with_panel(f"""
+r AS ({_ids_sql('panel')}),
+k AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r),
+k2 AS (SELECT *, greatest(1, round_even(0.15 * (n - nt), 0)) AS nv FROM k)
+SELECT id, CASE WHEN rk < nt THEN 'test' WHEN rk < nt + nv THEN 'val' ELSE 'train' END AS split FROM k2"""))
+def q_f01(spark, sf):
+    return rs.split_ids(events_panel(spark, sf), "id", 0.15, 0.15)
+
+
+@register("f02_event_split", [("id", "i"), ("split", "s")], f"""WITH ev AS ({_union_sql(1, 1)}),
+r AS ({_ids_sql('ev')}),
+k AS (SELECT *, greatest(1, round_even(0.2 * n, 0)) AS nt FROM r)
+SELECT id, CASE WHEN rk < nt THEN 'test' ELSE 'train' END AS split FROM k""")
+def q_f02(spark, sf):
+    return rs.split_ids(evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)), "id", 0.2, None)
+
+
+@register("a29_split_counts", [("split", "s"), ("n_rows", "i"), ("n_ids", "i")], Q.with_panel(f"""
+r AS ({_ids_sql('panel')}),
+k AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r),
+k2 AS (SELECT *, greatest(1, round_even(0.15 * (n - nt), 0)) AS nv FROM k),
+sp AS (SELECT id, CASE WHEN rk < nt THEN 'test' WHEN rk < nt + nv THEN 'val' ELSE 'train' END AS split FROM k2)
+SELECT split, count(*) AS n_rows, count(DISTINCT p.id) AS n_ids FROM panel p JOIN sp USING (id) GROUP BY split"""))
+def q_a29(spark, sf):
+    p = events_panel(spark, sf)
+    sp = rs.split_ids(p, "id", 0.15, 0.15)
+    return rs.with_split(p, sp).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+
+
+@register("j01_semi_anti_membership", [("part", "s"), ("n_rows", "i")], Q.with_panel(f"""
+r AS ({_ids_sql('panel')}),
+t AS (SELECT id FROM r WHERE rk < greatest(1, round_even(0.15 * n, 0)))
+SELECT 'in_test' AS part, count(*) AS n_rows FROM panel WHERE id IN (SELECT id FROM t)
+UNION ALL SELECT 'not_in_test', count(*) FROM panel WHERE id NOT IN (SELECT id FROM t)"""))
+def q_j01(spark, sf):
+    p = events_panel(spark, sf)
+    test = rs.split_ids(p, "id", 0.15, 0.15).filter(F.col("split") == "test")
+    a = rs.rows_in(p, test).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("in_test").alias("part"), "n_rows")
+    b = rs.rows_not_in(p, test).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("not_in_test").alias("part"), "n_rows")
+    return a.unionByName(b)
+
+
+@register("f03_grouped_folds", [("id", "i"), ("fold", "i")],
+          Q.with_panel(f"SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})"))
+def q_f03(spark, sf):
+    return rs.grouped_folds(events_panel(spark, sf), 5)
+
+
+@register("f04_row_folds", KEYS + [("fold", "i")],
+          Q.with_panel(f"SELECT id, day, {H(chr(39) + 'row:42:' + chr(39) + ' || CAST(id AS VARCHAR) || chr(58) || CAST(day AS VARCHAR)')} % 5 AS fold FROM panel"))
+def q_f04(spark, sf):
+    return rs.row_folds(events_panel(spark, sf).select("id", "day"), 5)
+
+
+def _draws_sql(src, B, mode="weighted"):
+    w = "least(count(*), 1)" if mode == "membership" else "count(*)"
+    return f"""ids AS ({_ids_sql(src)}),
+draws AS (SELECT b.range AS b, j.rk AS j, j.n AS n FROM range({B}) b CROSS JOIN ids j),
+picks AS (SELECT b, {H("'draw:42:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)")} % n AS rk FROM draws),
+wts AS (SELECT b, ids.id, {w} AS weight FROM picks JOIN ids USING (rk) GROUP BY b, ids.id)"""
+
+
+@register("f07_bootstrap_draws", [("b", "i"), ("id", "i"), ("weight", "i")],
+          Q.with_panel(_draws_sql("panel", 200) + "\nSELECT * FROM wts"))
+def q_f07(spark, sf):
+    return rs.bootstrap_weights(events_panel(spark, sf), 200)
+
+
+@register("a02_regression_metrics", [("model", "s")] + _d("MAE", "RMSE", "R2") + [("n", "i")], Q.with_panel(_PRED + """
+SELECT 'shrink' AS model, avg(abs(y_true_abs - y_pred_abs)) AS MAE, sqrt(avg((y_true_abs - y_pred_abs) ^ 2)) AS RMSE,
+       CASE WHEN count(*) >= 2 AND var_pop(y_true_abs) > 0 THEN 1 - sum((y_true_abs - y_pred_abs) ^ 2) / (var_pop(y_true_abs) * count(*)) END AS R2,
+       count(*) AS n FROM pred
+UNION ALL
+SELECT 'naive', avg(abs(y_true_abs - y_naive_abs)), sqrt(avg((y_true_abs - y_naive_abs) ^ 2)),
+       CASE WHEN count(*) >= 2 AND var_pop(y_true_abs) > 0 THEN 1 - sum((y_true_abs - y_naive_abs) ^ 2) / (var_pop(y_true_abs) * count(*)) END,
+       count(*) FROM pred"""))
+def q_a02(spark, sf):
+    pr = _pred(spark, sf)
+    a = pr.agg(*mt.metric_aggs("y_true_abs", "y_pred_abs")).select(F.lit("shrink").alias("model"), "*")
+    b = pr.agg(*mt.metric_aggs("y_true_abs", "y_naive_abs")).select(F.lit("naive").alias("model"), "*")
+    return a.unionByName(b)
+
+
+@register("a03_grouped_summary", [("by", "s"), ("key", "i"), ("n", "i")] + _d(
+    "y_true_mean", "y_pred_mean", "mae", "r2", "y_pred_ci_low_mean", "y_pred_ci_high_mean"), Q.with_panel(_PRED + """,
+g AS (
+  SELECT CASE WHEN GROUPING(id) = 0 THEN 'patient' ELSE 'day' END AS by, coalesce(id, day) AS key, count(*) AS n,
+         avg(y_true_abs) AS y_true_mean, avg(y_pred_abs) AS y_pred_mean, avg(abs(y_true_abs - y_pred_abs)) AS mae,
+         CASE WHEN count(*) >= 2 AND var_pop(y_true_abs) > 0 THEN 1 - sum((y_true_abs - y_pred_abs) ^ 2) / (var_pop(y_true_abs) * count(*)) END AS r2,
+         avg(y_pred_abs_ci_low) AS y_pred_ci_low_mean, avg(y_pred_abs_ci_high) AS y_pred_ci_high_mean
+  FROM pred GROUP BY GROUPING SETS ((id), (day))
+)
+SELECT * FROM g"""))
+def q_a03(spark, sf):
+    return mt.grouped_summary(_pred(spark, sf))
+
+
+@register("a05_calibration_bins", [("bin", "i"), ("count", "i")] + _d(
+    "y_pred_mean", "y_true_mean", "y_pred_std", "y_true_std", "y_pred_min", "y_pred_max"), Q.with_panel(_PRED + """,
+e AS (SELECT list_sort(list_distinct(quantile_cont(y_pred_abs, [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]))) AS edges FROM pred),
+b AS (SELECT p.*, len(list_filter(e.edges[2:len(e.edges) - 1], lambda x: p.y_pred_abs >= x)) AS bin FROM pred p, e)
+SELECT bin, count(*) AS count, avg(y_pred_abs) AS y_pred_mean, avg(y_true_abs) AS y_true_mean,
+       stddev_samp(y_pred_abs) AS y_pred_std, stddev_samp(y_true_abs) AS y_true_std, min(y_pred_abs) AS y_pred_min,
+       max(y_pred_abs) AS y_pred_max FROM b GROUP BY bin"""))
+def q_a05(spark, sf):
+    return mt.calibration_bins(_pred(spark, sf), "y_pred_abs", "y_true_abs")
+
+
+@register("a06_calibration_line", [("n", "i")] + _d("intercept", "slope", "MAE", "RMSE", "corr"), Q.with_panel(_PRED + """
+SELECT count(*) AS n, regr_intercept(y_true_abs, y_pred_abs) AS intercept, regr_slope(y_true_abs, y_pred_abs) AS slope,
+       avg(abs(y_true_abs - y_pred_abs)) AS MAE, sqrt(avg((y_true_abs - y_pred_abs) ^ 2)) AS RMSE,
+       corr(y_pred_abs, y_true_abs) AS corr FROM pred"""))
+def q_a06(spark, sf):
+    return mt.calibration_line(_pred(spark, sf), "y_pred_abs", "y_true_abs")
+
+
+_FOLDS_SQL = f"folds AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')}))"
+
+
+@register("a07_normal_interval", _d("mean", "sd") + [("n", "i")] + _d("ci_low", "ci_high", "ci_half_width"),
+          Q.with_panel(_PRED + f""",
+{_FOLDS_SQL},
+fm AS (SELECT fold, avg(abs(y_true_abs - y_pred_abs)) AS mae FROM pred JOIN folds USING (id) GROUP BY fold)
+SELECT avg(mae) AS mean, stddev_pop(mae) AS sd, count(*) AS n,
+       avg(mae) - {Z95!r} * stddev_pop(mae) / sqrt(count(*)) AS ci_low, avg(mae) + {Z95!r} * stddev_pop(mae) / sqrt(count(*)) AS ci_high,
+       {Z95!r} * stddev_pop(mae) / sqrt(count(*)) AS ci_half_width FROM fm"""))
+def q_a07(spark, sf):
+    pr = _pred(spark, sf)
+    fm = pr.join(rs.grouped_folds(pr, 5), "id").groupBy("fold").agg(F.avg(F.abs(F.col("y_true_abs") - F.col("y_pred_abs"))).alias("mae"))
+    st = fm.agg(F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return st.select("mean", "sd", "n", *mt.normal_interval(F.col("mean"), F.col("sd"), F.col("n")))
+
+
+@register("a08_bootstrap_metric_ci", _d("Y_R2_ci_low", "Y_R2_ci_high", "Y_MAE_ci_low", "Y_MAE_ci_high") + [("n_boot", "i")],
+          Q.with_panel(_PRED + ",\n" + _draws_sql("pred", 200, mode="membership") + """,
+st AS (SELECT id, count(*) AS n, sum(y_true_abs) AS sy, sum(y_true_abs * y_true_abs) AS syy,
+              sum((y_true_abs - y_pred_abs) ^ 2) AS see, sum(abs(y_true_abs - y_pred_abs)) AS sae FROM pred GROUP BY id),
+pb AS (SELECT b, sum(weight * n) AS n, sum(weight * sy) AS sy, sum(weight * syy) AS syy, sum(weight * see) AS see,
+              sum(weight * sae) AS sae FROM wts JOIN st USING (id) GROUP BY b),
+m AS (SELECT b, CASE WHEN n >= 2 AND syy - sy * sy / n > 0 THEN 1 - see / (syy - sy * sy / n) END AS r2,
+             CASE WHEN n > 0 THEN sae / n END AS mae FROM pb)
+SELECT quantile_cont(r2, 0.025) AS Y_R2_ci_low, quantile_cont(r2, 0.975) AS Y_R2_ci_high,
+       quantile_cont(mae, 0.025) AS Y_MAE_ci_low, quantile_cont(mae, 0.975) AS Y_MAE_ci_high, 200 AS n_boot FROM m"""))
+def q_a08(spark, sf):
+    return mt.bootstrap_metric_ci(_pred(spark, sf), "id", "y_true_abs", "y_pred_abs", 200)
+
+
+def _a09_sql():
+    return f"""WITH ev AS ({_union_sql(1, 1)}),
+{_draws_sql('ev', 300)},
+st AS (SELECT id, count(*) AS n, sum(Y_star) AS s FROM ev GROUP BY id)
+SELECT b, sum(weight * s) / sum(weight * n) AS Y_star_bs FROM wts JOIN st USING (id) GROUP BY b"""
+
+
+@register("a09_cluster_bootstrap_mean", [("b", "i")] + _d("Y_star_bs"), _a09_sql())
+def q_a09(spark, sf):
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+    return mt.cluster_bootstrap_mean(ev, ("Y_star",), "id", 300)
+
+
+@register("a12_interval_width", _d("ci_low", "ci_high", "width"),
+          f"SELECT quantile_cont(Y_star_bs, 0.025) AS ci_low, quantile_cont(Y_star_bs, 0.975) AS ci_high, "
+          f"quantile_cont(Y_star_bs, 0.975) - quantile_cont(Y_star_bs, 0.025) AS width FROM ({_a09_sql()})")
+def q_a12(spark, sf):
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+    return mt.sample_interval(mt.cluster_bootstrap_mean(ev, ("Y_star",), "id", 300), "Y_star_bs")
+
+
+@register("a10_average_effect", _d("ATE", "ATE_weighted"),
+          f"""SELECT avg(Y_star) AS ATE, sum(Y_star * w) / sum(w) AS ATE_weighted FROM
+              (SELECT Y_star, 1.0 / count(*) OVER (PARTITION BY id) AS w FROM ({_union_sql(1, 1)}))""")
+def q_a10(spark, sf):
+    return mt.average_effect(evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)), "Y_star")
+
+
+def _proxy_cols():
+    """Deterministic stand-ins for propensity and arm outcomes, for the column operators."""
+    e = clamp(F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(0.1) * F.col("U_t") - F.lit(0.5)))), 0.001, 0.999)
+    return e
+
+
+_PROXY_SQL = "greatest(0.001, least(0.999, 1.0 / (1.0 + exp(-(0.1 * U_t - 0.5)))))"
+
+
+@register("a16_log_loss", _d("log_loss"),
+          f"""SELECT -avg(A_star * ln(e) + (1 - A_star) * ln(1.0 - e)) AS log_loss FROM
+              (SELECT A_star, {_PROXY_SQL} AS e FROM ({_union_sql(1, 1)}))""")
+def q_a16(spark, sf):
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+    return mt.log_loss(ev.select("A_star", _proxy_cols().alias("e_hat")), "A_star", "e_hat")
+
+
+@register("m16_m18_dr_pseudo_outcome", [("id", "i"), ("centre_day", "i"), ("A_star", "i")] + _d("e_hat", "mu1", "mu0", "psi", "y_obs_hat"),
+          f"""WITH ev AS ({_union_sql(1, 1)}),
+m AS (SELECT avg(Y_star) FILTER (WHERE A_star = 1) AS mu1, avg(Y_star) FILTER (WHERE A_star = 0) AS mu0 FROM ev)
+SELECT id, centre_day, A_star, e_hat, mu1, mu0,
+       A_star / e_hat * (Y_star - mu1) - (1 - A_star) / (1 - e_hat) * (Y_star - mu0) + mu1 - mu0 AS psi,
+       A_star * mu1 + (1 - A_star) * mu0 AS y_obs_hat
+FROM (SELECT *, {_PROXY_SQL} AS e_hat FROM ev), m""")
+def q_m16(spark, sf):
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
+    ev = ev.cache()
+    arms = ev.agg(F.avg(F.when(F.col("A_star") == 1, F.col("Y_star"))).alias("mu1"),
+                  F.avg(F.when(F.col("A_star") == 0, F.col("Y_star"))).alias("mu0")).first()   # two scalars
+    mu1, mu0 = F.lit(arms["mu1"]).cast("double"), F.lit(arms["mu0"]).cast("double")
+    a, y = F.col("A_star"), F.col("Y_star")
+    e = _proxy_cols()
+    return ev.select("id", "centre_day", "A_star", e.alias("e_hat"), mu1.alias("mu1"), mu0.alias("mu0"),
+                     mt.dr_pseudo_outcome(a, y, e, mu1, mu0).alias("psi"),
+                     mt.observed_arm(a, mu1, mu0).alias("y_obs_hat"))
+
+
+LAMBDAS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@register("a28_cv_summary", [("lam", "d")] + _d("mean_test_mae", "std_test_mae", "mean_test_r2", "std_test_r2")
+          + [("n_folds", "i"), ("rank_test_mae", "i"), ("rank_test_r2", "i")], Q.with_panel(_PRED + f""",
+{_FOLDS_SQL},
+grid AS (SELECT unnest([{', '.join(repr(x) for x in LAMBDAS)}]) AS lam),
+sc AS (SELECT g.lam, f.fold, p.y_true_abs AS y, {Q.clamp('g.lam * p.base_t + (1 - g.lam) * p.y_pred_abs')} AS yh
+       FROM pred p JOIN folds f USING (id) CROSS JOIN grid g),
+cv AS (SELECT lam, fold, avg(abs(y - yh)) AS mae,
+              CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - sum((y - yh) ^ 2) / (var_pop(y) * count(*)) END AS r2
+       FROM sc GROUP BY lam, fold),
+s AS (SELECT lam, avg(mae) AS mean_test_mae, stddev_pop(mae) AS std_test_mae, avg(r2) AS mean_test_r2,
+             stddev_pop(r2) AS std_test_r2, count(*) AS n_folds FROM cv GROUP BY lam)
+SELECT *, rank() OVER (ORDER BY mean_test_mae) AS rank_test_mae, rank() OVER (ORDER BY mean_test_r2 DESC) AS rank_test_r2 FROM s"""))
+def q_a28(spark, sf):
+    from cohortflow.operators.learners import shrinkage_cv
+    pr = _pred(spark, sf)
+    cv = shrinkage_cv(pr, rs.grouped_folds(pr, 5), LAMBDAS)
+    return mt.cv_summary(cv, ("lam",))
+
+
+@register("x05_exact_quantiles", [("q", "d"), ("value", "d")], Q.with_panel(
+    "SELECT unnest([0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]) AS q, "
+    "unnest(quantile_cont(U_t, [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0])) AS value FROM panel"))
+def q_x05(spark, sf):
+    probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+    vals = exact_quantiles(events_panel(spark, sf), "U_t", probs)
+    return spark.createDataFrame(list(zip(probs, vals)), "q double, value double")
+
+
 # ----------------------------------------------------------------------------- driver API
 
 

@@ -101,3 +101,8 @@ def finalize(inner: str, cols: list[tuple[str, str]]) -> str:
         else:
             raise ValueError(kind)
     return f"SELECT {', '.join(sel)} FROM ({inner}) q"
+
+
+def sql_hash(expr: str) -> str:
+    """60-bit md5 integer, the same as ``cohortflow.functions.hashing.hash_bigint``."""
+    return f"('0x' || substr(md5({expr}), 1, 15))::BIGINT"
