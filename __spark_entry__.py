@@ -27,7 +27,9 @@ from cohortflow.session import ensure_session_conf  # noqa: E402
 _REG: dict[str, tuple[Callable, str | None, list]] = {}
 
 
-def _final(df: DataFrame, cols: list[tuple[str, str]]) -> DataFrame:
+def _final(df: DataFrame, cols: list[tuple[str, str]] | None) -> DataFrame:
+    if cols is None:   # dynamic column set (pivot): every column as BIGINT
+        return df.select(*[F.col(f"`{c}`").cast("bigint").alias(c) for c in df.columns])
     sel = []
     for name, kind in cols:
         c = F.col(f"`{name}`")
@@ -51,7 +53,7 @@ def register(name: str, cols: list[tuple[str, str]], sql: str | None):
             ensure_session_conf(spark)
             return _final(fn(spark, sf_dir), cols)
         run.__name__ = name
-        _REG[name] = (run, Q.finalize(sql, cols) if sql else None, cols)
+        _REG[name] = (run, (Q.finalize(sql, cols) if cols is not None else sql) if sql else None, cols)
         return fn
     return deco
 
@@ -782,6 +784,179 @@ def q_x05(spark, sf):
     return spark.createDataFrame(list(zip(probs, vals)), "q double, value double")
 
 
+# ----------------------------------------------------------------------------- descriptive tables, gates, sources, sinks
+
+from cohortflow.operators import describe as ds  # noqa: E402
+
+_DSS = f"dss AS (SELECT *, day - min(day) OVER (PARTITION BY id) AS days_since_start FROM panel)"
+
+
+@register("a17_mean_of_id_means_by_day", [("days_since_start", "i")] + _d("S_t", "W_t", "U_t"), Q.with_panel(f"""{_DSS}
+SELECT days_since_start, avg(S_t) AS S_t, avg(W_t) AS W_t, avg(U_t) AS U_t FROM
+  (SELECT days_since_start, id, avg(S_t) AS S_t, avg(W_t) AS W_t, avg(U_t) AS U_t FROM dss GROUP BY 1, 2) GROUP BY 1"""))
+def q_a17(spark, sf):
+    return ds.mean_of_id_means_by_day(events_features(spark, sf, horizons=1))
+
+
+@register("a18_within_person_sd", [("id", "i")] + _d("sd"),
+          Q.with_panel("SELECT id, stddev_samp(U_t) AS sd FROM panel GROUP BY id HAVING stddev_samp(U_t) IS NOT NULL"))
+def q_a18(spark, sf):
+    return ds.within_person_sd(events_panel(spark, sf))
+
+
+@register("a19_histogram_25", [("bin", "i")] + _d("bin_lo", "bin_hi") + [("count", "i")], Q.with_panel("""
+sd AS (SELECT id, stddev_samp(U_t) AS x FROM panel GROUP BY id HAVING stddev_samp(U_t) IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi FROM sd),
+b AS (SELECT least(24, CAST(floor((x - lo) * (CAST(25 AS DOUBLE) / (hi - lo))) AS INTEGER)) AS bin, lo, hi FROM sd, st)
+SELECT bin, lo + bin * ((hi - lo) / CAST(25 AS DOUBLE)) AS bin_lo, lo + (bin + 1) * ((hi - lo) / CAST(25 AS DOUBLE)) AS bin_hi,
+       count(*) AS count FROM b GROUP BY bin, lo, hi"""))
+def q_a19(spark, sf):
+    return ds.histogram(ds.within_person_sd(events_panel(spark, sf)), "sd", 25)
+
+
+@register("a20_distinct_days_per_id", [("id", "i"), ("n_days", "i")],
+          Q.with_panel("SELECT id, count(DISTINCT day) AS n_days FROM panel GROUP BY id"))
+def q_a20(spark, sf):
+    return ds.distinct_days_per_id(events_panel(spark, sf))
+
+
+# the events table spans 30 calendar days at every scale factor
+PIVOT_DAYS = list(range(1, 31))
+
+
+@register("a21_presence_pivot", None, Q.with_panel(
+    "pv AS (SELECT id, " + ", ".join(f'max(CASE WHEN day = {d} THEN 1 END) AS "{d}"' for d in PIVOT_DAYS)
+    + " FROM panel GROUP BY id)\n"
+    "SELECT CAST(id AS BIGINT) AS id, " + ", ".join(f'CAST(coalesce("{d}", 0) AS BIGINT) AS "{d}"' for d in PIVOT_DAYS) + " FROM pv"))
+def q_a21(spark, sf):
+    return ds.presence_pivot(events_panel(spark, sf))
+
+
+CORR_COLS = ["W_t", "S_t", "U_t", "overall_wellbeing", *Q.ITEMS]
+
+
+def _corr_sql():
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for b in CORR_COLS[i + 1:]:
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, coalesce(abs(corr({a}, {b})), 0.0) AS abs_corr FROM panel")
+    return Q.with_panel("c AS (" + " UNION ALL ".join(parts) + ")\nSELECT col_a, col_b, abs_corr, "
+                        "CAST(abs_corr > 0.95 AND abs_corr < 1.0 AS INTEGER) AS near_duplicate FROM c")
+
+
+@register("a22_abs_correlation", [("col_a", "s"), ("col_b", "s")] + _d("abs_corr") + [("near_duplicate", "i")], _corr_sql())
+def q_a22(spark, sf):
+    return ds.abs_correlation(events_panel(spark, sf), CORR_COLS)
+
+
+@register("a23_kde_grid", [("g", "i")] + _d("x", "density"), Q.with_panel("""
+v AS (SELECT U_t AS v, count(*) AS m FROM panel WHERE U_t IS NOT NULL GROUP BY U_t),
+st AS (SELECT count(*) AS n, stddev_samp(U_t) AS sd, min(U_t) AS lo, max(U_t) AS hi FROM panel WHERE U_t IS NOT NULL),
+k AS (SELECT n, lo, hi, sd * pow(n, -0.2) AS h, (hi - lo) / CAST(199 AS DOUBLE) AS step FROM st),
+g AS (SELECT range AS g FROM range(200)),
+gx AS (SELECT g, CASE WHEN g = 199 THEN hi ELSE lo + g * step END AS x, h, n FROM g, k)
+SELECT gx.g, gx.x, sum(v.m * exp(-0.5 * ((gx.x - v.v) / gx.h) * ((gx.x - v.v) / gx.h))) / (gx.n * gx.h * sqrt(2 * pi())) AS density
+FROM gx, v GROUP BY gx.g, gx.x, gx.n, gx.h"""))
+def q_a23(spark, sf):
+    return ds.kde_grid(events_panel(spark, sf), "U_t")
+
+
+@register("a24_box_stats_by_dow", [("dow", "i")] + _d("q1", "median", "q3", "min", "max") + [("n", "i")], Q.with_panel("""
+d AS (SELECT CAST(isodow(start_date) - 1 AS INTEGER) AS dow, U_t FROM panel)
+SELECT dow, quantile_cont(U_t, 0.25) AS q1, quantile_cont(U_t, 0.5) AS median, quantile_cont(U_t, 0.75) AS q3,
+       min(U_t) AS min, max(U_t) AS max, count(U_t) AS n FROM d GROUP BY dow"""))
+def q_a24(spark, sf):
+    return ds.box_stats(events_features(spark, sf, horizons=1), "dow", "U_t")
+
+
+@register("a25_regression_line", _d("slope", "intercept") + [("n", "i")],
+          Q.with_panel("SELECT regr_slope(W_t, S_t) AS slope, regr_intercept(W_t, S_t) AS intercept, regr_count(W_t, S_t) AS n FROM panel"))
+def q_a25(spark, sf):
+    return ds.regression_line(events_panel(spark, sf))
+
+
+BOARD_H = 7
+
+
+def _board_spark(spark, sf):
+    f = events_features(spark, sf, horizons=BOARD_H)
+    models = F.array(F.struct(F.lit("naive").alias("model"), F.col("U_t").alias("yh")),
+                     F.struct(F.lit("mean7").alias("model"), F.col("U_t_roll7_mean").alias("yh")),
+                     F.struct(F.lit("ewm03").alias("model"), F.col("U_t_ewm_a03").alias("yh")))
+    labels = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"U_next_h{h}").alias("y")) for h in range(1, BOARD_H + 1)])
+    long = f.select(F.explode(models).alias("m"), labels.alias("ls")).select("m.*", F.explode("ls").alias("l")).select("model", "yh", "l.*")
+    per = long.where(F.col("y").isNotNull() & F.col("yh").isNotNull()).groupBy("model", "h").agg(F.avg(F.abs(F.col("y") - F.col("yh"))).alias("MAE"))
+    return per
+
+
+@register("a26_model_leaderboard", [("model", "s")] + _d("mean_MAE") + [("n_h", "i"), ("rank", "i")], Q.with_panel(f"""
+f AS (SELECT U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in range(1, BOARD_H + 1))} FROM panel),
+e AS (SELECT *, NULL AS pad FROM f),
+long AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, {h} AS h, y{h} AS y, {yh} AS yh FROM e" for m, yh in (("naive", "U_t"), ("mean7", "mean7")) for h in range(1, BOARD_H + 1))}),
+per AS (SELECT model, h, avg(abs(y - yh)) AS MAE FROM long WHERE y IS NOT NULL AND yh IS NOT NULL GROUP BY model, h),
+g AS (SELECT model, avg(MAE) AS mean_MAE, count(*) AS n_h FROM per GROUP BY model)
+SELECT *, rank() OVER (ORDER BY mean_MAE) AS rank FROM g"""))
+def q_a26(spark, sf):
+    per = _board_spark(spark, sf).where(F.col("model") != "ewm03")
+    return ds.leaderboard(per, "MAE")
+
+
+@register("p15_min_rows_gate", [("h", "i"), ("n_rows", "i")], Q.with_panel(
+    "l AS (SELECT " + ", ".join(f"lead(U_t, {h}) {_W}) - U_t AS d{h}" for h in range(1, 15)) + " FROM panel)\n"
+    + " UNION ALL ".join(f"SELECT {h} AS h, count(d{h}) AS n_rows FROM l HAVING count(d{h}) >= 200" for h in range(1, 15))))
+def q_p15(spark, sf):
+    return ds.usable_rows_per_h(events_features(spark, sf, horizons=14), "dU_next_h", 14, 200)
+
+
+@register("p18_minmax_scaling", KEYS + _d("U_t_scaled"), Q.with_panel(
+    "st AS (SELECT min(U_t) AS lo, max(U_t) AS hi FROM panel)\n"
+    "SELECT id, day, (U_t - lo) / (hi - lo + 1e-8) AS U_t_scaled FROM panel, st"))
+def q_p18(spark, sf):
+    return ds.minmax_scale(events_panel(spark, sf), "U_t").select("id", "day", "U_t_scaled")
+
+
+@register("p11_column_presence", [("column_name", "s"), ("n_nonnull", "i")], Q.with_panel(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_nonnull FROM diary HAVING count({c}) > 0"
+                       for c in ["id", "day", "start_date", *Q.ITEMS, "overall_wellbeing", "treatment", "treatment_type",
+                                 "symptom_count", "total_symptom_score", "max_symptom_score", "symptom_variability"])))
+def q_p11(spark, sf):
+    from cohortflow.sources.tables import diary_from_events, read_table
+    return evo.column_presence(diary_from_events(read_table(spark, sf, "events")))
+
+
+def _scratch(spark, name):
+    import uuid
+    from cohortflow.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("s1_csv_scan_roundtrip", KEYS + [("start_date", "dt")] + _d(*Q.ITEMS, "overall_wellbeing") + [("treatment", "i")],
+          Q.with_panel("SELECT id, day, start_date, " + ", ".join(Q.ITEMS) + ", overall_wellbeing, treatment FROM diary"))
+def q_s1(spark, sf):
+    from cohortflow.sources.resolve import canonical_diary, read_diary_csv
+    from cohortflow.sources.sinks import write_table
+    from cohortflow.sources.tables import diary_from_events, read_table
+    d = diary_from_events(read_table(spark, sf, "events"))
+    shown = d.select(F.col("id").alias("ID"), F.col("day").alias("Day"),
+                     F.date_format("start_date", "d/M/yyyy").alias("StartDate"), *Q.ITEMS,
+                     F.col("overall_wellbeing").alias("OverallWellbeing"), F.col("treatment").alias("Treatment"))
+    path = _scratch(spark, "diary-csv")
+    write_table(shown, path, fmt="csv")
+    back = canonical_diary(read_diary_csv(spark, path), items={c: [c] for c in Q.ITEMS})
+    return back
+
+
+@register("s6_prediction_sink_pruned", PRED_COLS, Q.with_panel(_PRED + "\nSELECT * FROM pred"))
+def q_s6(spark, sf):
+    from cohortflow.sources.sinks import write_predictions
+    pr = _pred(spark, sf)
+    path = _scratch(spark, "predictions")
+    tagged = pr.select("*", F.lit("U").alias("target"), F.lit("shrink").alias("model"), F.lit(1).alias("h"))
+    write_predictions(tagged, path, mode="overwrite")
+    back = spark.read.parquet(path).where((F.col("target") == "U") & (F.col("model") == "shrink") & (F.col("h") == 1))
+    return back
+
+
 # ----------------------------------------------------------------------------- driver API
 
 
