@@ -19,7 +19,7 @@ def symptom_mean(items: list[str]):
     """Mean of the non-zero, non-null items (P3 + P4)."""
     if not items:
         raise ValueError("no symptom items present and the precomputed score is not used")
-    return row_mean([zero_as_null(F.col(c)) for c in items])
+    return row_mean([zero_as_null(to_num(F.col(f"`{c}`"))) for c in items])   # NaN -> NULL first
 
 
 def score(df: DataFrame, items: list[str] | None = None, alpha: float = 1.0, beta: float = 1.0,
