@@ -957,6 +957,119 @@ def q_s6(spark, sf):
     return back
 
 
+# ----------------------------------------------------------------------------- models
+
+from cohortflow.operators import linear as lin  # noqa: E402
+from cohortflow.plans.features import feature_columns  # noqa: E402
+
+MODEL_COLS = ["W_t", "S_t", "U_t", "overall_wellbeing", *Q.ITEMS, "symptom_variability"]
+
+
+def _median_sql(cols, src="panel"):
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(quantile_cont(CAST({c} AS DOUBLE), 0.5), 0.0) AS median FROM {src}"
+                              for c in cols)
+
+
+@register("a13_feature_medians", [("feature", "s")] + _d("median"), Q.with_panel(_median_sql(MODEL_COLS)))
+def q_a13(spark, sf):
+    med = lin.medians(events_panel(spark, sf), MODEL_COLS)
+    return spark.createDataFrame(sorted(med.items()), "feature string, median double")
+
+
+@register("a14_standardise_moments", [("feature", "s")] + _d("mean", "sd"), Q.with_panel(
+    "m AS (" + _median_sql(MODEL_COLS) + ")\n" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg(coalesce({c}, (SELECT median FROM m WHERE feature = '{c}'))) AS mean, "
+        f"stddev_pop(coalesce({c}, (SELECT median FROM m WHERE feature = '{c}'))) AS sd FROM panel" for c in MODEL_COLS)))
+def q_a14(spark, sf):
+    p = events_panel(spark, sf)
+    med = lin.medians(p, MODEL_COLS)
+    imp = p.select(*lin.imputed(MODEL_COLS, med))
+    agg = imp.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(MODEL_COLS)],
+                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(MODEL_COLS)])
+    stack = ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(MODEL_COLS))
+    return agg.selectExpr(f"stack({len(MODEL_COLS)}, {stack}) as (feature, mean, sd)")
+
+
+@register("a15_constant_feature_drop", [("feature", "s"), ("n_nonnull", "i")] + _d("sd") + [("keep", "i")], Q.with_panel(
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n_nonnull, stddev_samp({c}) AS sd, "
+                       f"CAST(count({c}) > 0 AND coalesce(stddev_samp({c}), 0) > 0 AS INTEGER) AS keep FROM panel"
+                       for c in MODEL_COLS + ["treatment"])))
+def q_a15(spark, sf):
+    p = events_panel(spark, sf)
+    cols = MODEL_COLS + ["treatment"]
+    agg = p.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    stack = ", ".join(f"'{c}', n{i}, s{i}" for i, c in enumerate(cols))
+    long = agg.selectExpr(f"stack({len(cols)}, {stack}) as (feature, n_nonnull, sd)")
+    return long.select("*", ((F.col("n_nonnull") > 0) & (F.coalesce(F.col("sd"), F.lit(0.0)) > 0)).cast("int").alias("keep"))
+
+
+def _model_data(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    feats = feature_columns(f, "dU_next_h1")
+    d = f.join(rs.grouped_folds(f, 5), "id").where(F.col("dU_next_h1").isNotNull())
+    return d, feats
+
+
+def _cv_query(kind):
+    def fn(spark, sf):
+        d, feats = _model_data(spark, sf)
+        cv, _ = lin.cv_linear(d, feats, "dU_next_h1", "fold", kind)
+        return mt.cv_summary(cv, ("param_id",))
+    return fn
+
+
+CV_COLS = [("param_id", "i")] + _d("mean_test_mae", "std_test_mae", "mean_test_r2", "std_test_r2") + [
+    ("n_folds", "i"), ("rank_test_mae", "i"), ("rank_test_r2", "i")]
+
+register("m02_ridge_grid_cv", CV_COLS, None)(_cv_query("ridge"))
+register("m03_lasso_grid_cv", CV_COLS, None)(_cv_query("lasso"))
+register("m04_elasticnet_grid_cv", CV_COLS, None)(_cv_query("elasticnet"))
+
+
+@register("m10_cv_results_table", [("param_id", "i"), ("fold", "i")] + _d("mae", "r2"), None)
+def q_m10(spark, sf):
+    d, feats = _model_data(spark, sf)
+    cv, _ = lin.cv_linear(d, feats, "dU_next_h1", "fold", "ridge")
+    return cv.select("param_id", "fold", "mae", "r2")
+
+
+def _best_ridge(spark, sf):
+    d, feats = _model_data(spark, sf)
+    cv, st = lin.cv_linear(d, feats, "dU_next_h1", "fold", "ridge")
+    best = lin.best_setting(mt.cv_summary(cv, ("param_id",)), st["grid"])
+    return d, lin.fit_linear(st["total"], feats, st["medians"], "ridge", **best)
+
+
+@register("m23_signed_coefficients", [("feature", "s")] + _d("coef"), None)
+def q_m23(spark, sf):
+    _, fit = _best_ridge(spark, sf)
+    return lin.coefficient_table(spark, fit)
+
+
+@register("m20_linear_attribution_top20", [("feature", "s")] + _d("mean_abs_attr"), None)
+def q_m20(spark, sf):
+    d, fit = _best_ridge(spark, sf)
+    return lin.linear_attribution(d, fit, 20)
+
+
+@register("m11_horizon_sweep_ridge", [("target", "s"), ("model", "s"), ("h", "i")] + _d("MAE", "RMSE", "R2") + [("n", "i")]
+          + _d("Naive_MAE", "Naive_RMSE", "Naive_R2") + [("Naive_n", "i"), ("params", "s")], None)
+def q_m11(spark, sf):
+    from cohortflow.plans.forecast import SweepConfig, horizon_sweep
+    summary, _, _ = horizon_sweep(events_features(spark, sf, horizons=7), SweepConfig(model="ridge", horizons=7))
+    return summary
+
+
+@register("m14_m17_t_learner_dr_summary", [("model", "s")] + _d("ATE", "ATE_weighted", "ATE_ci_low", "ATE_ci_high", "ATE_DR",
+                                                               "ATE_DR_weighted", "ATE_DR_ci_low", "ATE_DR_ci_high",
+                                                               "fit_overall_R2"), None)
+def q_m14(spark, sf):
+    from cohortflow.plans.effect import EffectConfig, t_learner
+    ev = evo.event_table(events_effect_features(spark, sf, horizons=14), EventConfig(L=1, H=1))
+    _, summary, _, _ = t_learner(ev, EffectConfig(model="lasso"))
+    return summary
+
+
 # ----------------------------------------------------------------------------- driver API
 
 
