@@ -269,11 +269,16 @@ def cv_linear(df: DataFrame, features: list[str], label: str, fold_col: str, kin
     to score every (setting, fold) on its held-out rows.  Returns the CV table
     (param_id, params, fold, mae, r2) and the fitted statistics for reuse.
     """
+    from pyspark import StorageLevel
     spark = df.sparkSession
     grid = grid if grid is not None else linear_grid(kind)
-    med = med if med is not None else medians(df, features)
-    imp = df.select(F.col(fold_col).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"), *imputed(features, med))
-    imp = imp.where(F.col("_y").isNotNull())
+    # the narrow projection is read by three passes (medians, statistics, scoring):
+    # persist it once (memory, spilling to disk) and release it before returning
+    base = (df.select(F.col(fold_col).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"),
+                      *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+            .where(F.col("_y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
+    med = med if med is not None else medians(base, features)
+    imp = base.select("_fold", "_y", *imputed(features, med))
     stats = gram_stats(imp, features, "_y", "_fold")
     total = None
     for v in stats.values():
@@ -302,6 +307,9 @@ def cv_linear(df: DataFrame, features: list[str], label: str, fold_col: str, kin
         F.first("params").alias("params"), F.avg(F.abs(e)).alias("mae"),
         F.when((n >= 2) & (sst > 0), F.lit(1.0) - F.sum(e * e) / sst).alias("r2"))
         .withColumnRenamed("_fold", "fold"))
+    # settings x folds rows: materialise, then drop the cached input
+    cv = spark.createDataFrame(cv.collect(), cv.schema)
+    base.unpersist()
     return cv, {"stats": stats, "total": total, "medians": med, "grid": grid}
 
 

@@ -85,14 +85,19 @@ def calibration_bins(pred: DataFrame, p: str = "y_pred", y: str = "y_true", n_bi
 
     bin = number of inner edges <= prediction (``numpy.digitize``, right=False).
     """
-    edges = calibration_edges(pred, p, y, n_bins) if edges is None else edges
+    from pyspark import StorageLevel
+    d = pred.select(F.col(p).cast("double").alias(p), F.col(y).cast("double").alias(y)).where(_valid(y, p))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)      # read by the edge pass and the bin pass
+    edges = calibration_edges(d, p, y, n_bins) if edges is None else edges
     inner = edges[1:-1]
-    d = pred.where(_valid(y, p))
     b = sum(((F.col(p) >= F.lit(float(e))).cast("int") for e in inner), F.lit(0)) if inner else F.lit(0)
-    return (d.groupBy(b.alias("bin")).agg(
+    out = (d.groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.avg(p).alias("y_pred_mean"), F.avg(y).alias("y_true_mean"),
         F.stddev_samp(p).alias("y_pred_std"), F.stddev_samp(y).alias("y_true_std"),
         F.min(p).alias("y_pred_min"), F.max(p).alias("y_pred_max")).orderBy("bin"))
+    out = d.sparkSession.createDataFrame(out.collect(), out.schema)    # at most n_bins rows
+    d.unpersist()
+    return out
 
 
 def calibration_line(pred: DataFrame, p: str = "y_pred", y: str = "y_true") -> DataFrame:
@@ -128,8 +133,9 @@ def bootstrap_metric_ci(pred: DataFrame, id_col: str = "id", y: str = "y_true",
     Cost is B x ids (per-id statistics times draw weights), not B x rows.  The
     default ``membership`` mode counts each drawn id once, as the reference does.
     """
-    st = per_id_stats(pred, id_col, y, p)
-    w = bootstrap_weights(pred, n_boot, id_col, seed, mode=mode)
+    from pyspark import StorageLevel
+    st = per_id_stats(pred, id_col, y, p).persist(StorageLevel.MEMORY_AND_DISK)   # one row per id
+    w = bootstrap_weights(st, n_boot, id_col, seed, mode=mode)
     j = w.join(st, id_col)
     agg = j.groupBy("b").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "see", "sae")])
     n = F.col("n").cast("double")
@@ -139,6 +145,8 @@ def bootstrap_metric_ci(pred: DataFrame, id_col: str = "id", y: str = "y_true",
     a = alpha / 2.0
     qs = F.array(F.lit(a), F.lit(1.0 - a))
     out = per_b.agg(F.percentile("r2", qs).alias("r2q"), F.percentile("mae", qs).alias("maeq"))
+    out = out.sparkSession.createDataFrame(out.collect(), out.schema)   # one row
+    st.unpersist()
     return out.select(F.col("r2q")[0].alias("Y_R2_ci_low"), F.col("r2q")[1].alias("Y_R2_ci_high"),
                       F.col("maeq")[0].alias("Y_MAE_ci_low"), F.col("maeq")[1].alias("Y_MAE_ci_high"),
                       F.lit(int(n_boot)).alias("n_boot"))
@@ -150,8 +158,8 @@ def cluster_bootstrap_mean(df: DataFrame, cols=("tau_hat", "tau_hat_dr"), id_col
 
     Returns the sample table (b, <col>_bs ...); per id only (n, sums) meet the draws.
     """
-    sums = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols])
-    w = bootstrap_weights(df, n_boot, id_col, seed, mode="weighted")
+    sums = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols]).cache()
+    w = bootstrap_weights(sums, n_boot, id_col, seed, mode="weighted")
     j = w.join(sums, id_col).groupBy("b").agg(
         F.sum(F.col("weight") * F.col("n")).alias("n"),
         *[F.sum(F.col("weight") * F.col(f"s_{c}")).alias(f"s_{c}") for c in cols])
