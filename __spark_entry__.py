@@ -1070,6 +1070,189 @@ def q_m14(spark, sf):
     return summary
 
 
+# ----------------------------------------------------------------------------- lookups, set operations, sorts
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@register("j02_calendar_range_lookup", KEYS + [("n_win", "i")] + _d("mean_win"), Q.with_panel(
+    "SELECT id, day, count(*) OVER (PARTITION BY id ORDER BY day RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n_win, "
+    "avg(U_t) OVER (PARTITION BY id ORDER BY day RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mean_win FROM panel"))
+def q_j02(spark, sf):
+    w = Window.partitionBy("id").orderBy("day").rangeBetween(-3, 3)
+    p = events_panel(spark, sf)
+    return p.select("id", "day", F.count(F.lit(1)).over(w).alias("n_win"), F.avg("U_t").over(w).alias("mean_win"))
+
+
+@register("j04_horizon_label_fallback", KEYS + _d("Y_next_h3", "dY_next_h3"), Q.with_panel(
+    f"SELECT * FROM (SELECT id, day, lead(U_t, 3) {_W}) AS Y_next_h3, lead(U_t, 3) {_W}) - U_t AS dY_next_h3 FROM panel) "
+    "WHERE dY_next_h3 IS NOT NULL"))
+def q_j04(spark, sf):
+    p = events_panel(spark, sf)
+    lab = p.select("id", "day", *feat.label_columns(EVENTS_CFG, 3, targets=(("Y", "U_t"),), with_star=False))
+    return lab.select("id", "day", "Y_next_h3", "dY_next_h3").dropna(subset=["dY_next_h3"])
+
+
+@register("u02_train_val_rows", KEYS + [("split", "s")], Q.with_panel(f"""
+r AS ({_ids_sql('panel')}),
+k AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r),
+k2 AS (SELECT *, greatest(1, round_even(0.15 * (n - nt), 0)) AS nv FROM k),
+sp AS (SELECT id, CASE WHEN rk < nt THEN 'test' WHEN rk < nt + nv THEN 'val' ELSE 'train' END AS split FROM k2)
+SELECT p.id, p.day, sp.split FROM panel p JOIN sp USING (id) WHERE sp.split IN ('train', 'val')"""))
+def q_u02(spark, sf):
+    p = events_panel(spark, sf)
+    return rs.with_split(p.select("id", "day"), rs.split_ids(p)).where(F.col("split").isin("train", "val"))
+
+
+@register("u03_distinct_ids", [("id", "i")], Q.with_panel("SELECT DISTINCT id FROM panel WHERE id IS NOT NULL"))
+def q_u03(spark, sf):
+    return events_panel(spark, sf).select("id").dropna().distinct()
+
+
+@register("u04_calibration_edges", [("k", "i")] + _d("edge"), Q.with_panel(_PRED + """,
+e AS (SELECT list_sort(list_distinct(quantile_cont(y_pred_abs, [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]))) AS edges FROM pred)
+SELECT generate_subscripts(edges, 1) - 1 AS k, unnest(edges) AS edge FROM e"""))
+def q_u04(spark, sf):
+    edges = mt.calibration_edges(_pred(spark, sf), "y_pred_abs", "y_true_abs")
+    return spark.createDataFrame(list(enumerate(float(e) for e in edges)), "k int, edge double")
+
+
+@register("o02_top15_within_person_sd", [("id", "i")] + _d("sd"), Q.with_panel(
+    "SELECT id, stddev_samp(U_t) AS sd FROM panel GROUP BY id HAVING stddev_samp(U_t) IS NOT NULL ORDER BY sd DESC, id LIMIT 15"))
+def q_o02(spark, sf):
+    return ds.within_person_sd(events_panel(spark, sf)).orderBy(F.desc("sd"), "id").limit(15)
+
+
+@register("o04_seeded_sample_50", KEYS + _d("U_t"), Q.with_panel(
+    f"SELECT id, day, U_t FROM panel ORDER BY {H(chr(39) + 'sample:42:' + chr(39) + ' || CAST(id AS VARCHAR) || chr(58) || CAST(day AS VARCHAR)')}, id, day LIMIT 50"))
+def q_o04(spark, sf):
+    return rs.sample_rows(events_panel(spark, sf).select("id", "day", "U_t"), 50, ["id", "day"])
+
+
+@register("x06_argmin_day_per_id", [("id", "i"), ("day_min_U", "i")] + _d("min_U"), Q.with_panel(
+    "SELECT id, min(day) AS day_min_U, min_U FROM (SELECT id, day, U_t, min(U_t) OVER (PARTITION BY id) AS min_U FROM panel "
+    "WHERE U_t IS NOT NULL) WHERE U_t = min_U GROUP BY id, min_U"))
+def q_x06(spark, sf):
+    p = events_panel(spark, sf).where(F.col("U_t").isNotNull())
+    # ties broken by the earliest day: order by (value, day)
+    return p.groupBy("id").agg(F.min_by("day", F.struct("U_t", "day")).alias("day_min_U"), F.min("U_t").alias("min_U"))
+
+
+@register("a04_per_id_effect_summary", [("id", "i"), ("n", "i")] + _d("MAE", "RMSE", "R2", "tau_mean", "tau_dr_mean"), f"""WITH ev AS ({_union_sql(1, 1)}),
+m AS (SELECT avg(Y_star) FILTER (WHERE A_star = 1) AS mu1, avg(Y_star) FILTER (WHERE A_star = 0) AS mu0 FROM ev),
+x AS (SELECT id, Y_star, A_star * mu1 + (1 - A_star) * mu0 AS yhat, mu1 - mu0 AS tau,
+             A_star / e * (Y_star - mu1) - (1 - A_star) / (1 - e) * (Y_star - mu0) + mu1 - mu0 AS psi
+      FROM (SELECT *, {_PROXY_SQL} AS e FROM ev), m)
+SELECT id, count(*) AS n, avg(abs(Y_star - yhat)) AS MAE, sqrt(avg((Y_star - yhat) ^ 2)) AS RMSE,
+       CASE WHEN count(*) >= 2 AND var_pop(Y_star) > 0 THEN 1 - sum((Y_star - yhat) ^ 2) / (var_pop(Y_star) * count(*)) END AS R2,
+       avg(tau) AS tau_mean, avg(psi) AS tau_dr_mean FROM x GROUP BY id""")
+def q_a04(spark, sf):
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)).cache()
+    arms = ev.agg(F.avg(F.when(F.col("A_star") == 1, F.col("Y_star"))).alias("mu1"),
+                  F.avg(F.when(F.col("A_star") == 0, F.col("Y_star"))).alias("mu0")).first()
+    mu1, mu0 = F.lit(arms["mu1"]).cast("double"), F.lit(arms["mu0"]).cast("double")
+    a, y = F.col("A_star"), F.col("Y_star")
+    x = ev.select("id", "Y_star", mt.observed_arm(a, mu1, mu0).alias("yhat"), (mu1 - mu0).alias("tau"),
+                  mt.dr_pseudo_outcome(a, y, _proxy_cols(), mu1, mu0).alias("psi"))
+    return mt.effect_summary_by_id(x, "id", "Y_star", "yhat", "tau", "psi")
+
+
+CONF_H = (1, 2, 3)
+
+
+def _conf_sql():
+    parts_s, parts_w = [], []
+    for h in CONF_H:
+        u = f"SELECT * FROM ({_treated_sql(3, h)}) UNION ALL SELECT * FROM ({_control_sql(3, h)})"
+        parts_s.append(f"SELECT {h} AS h, CAST(count(*) AS BIGINT) AS G, coalesce(sum(c) * sum(c) / sum(c * c), 0.0) AS G_eff "
+                       f"FROM (SELECT id, CAST(count(*) AS DOUBLE) AS c FROM ({u}) WHERE A_star = 1 GROUP BY id)")
+        parts_w.append(f"""SELECT {h} AS h, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS width FROM (
+  WITH ev AS ({u}), {_draws_sql('ev', 300)}, st AS (SELECT id, count(*) AS n, sum(Y_star) AS s FROM ev GROUP BY id)
+  SELECT b, sum(weight * s) / sum(weight * n) AS m FROM wts JOIN st USING (id) GROUP BY b)""")
+    return f"""WITH sup AS ({' UNION ALL '.join(parts_s)}), wid AS ({' UNION ALL '.join(parts_w)}),
+j AS (SELECT sup.*, wid.width, first_value(wid.width) OVER (ORDER BY sup.h) AS width_ref FROM sup LEFT JOIN wid USING (h))
+SELECT h, G, G_eff, width, width_ref,
+       CAST(G < 10 OR G_eff < 8.0 OR (width IS NOT NULL AND width_ref IS NOT NULL AND width > 2.0 * width_ref) AS INTEGER) AS low_confidence
+FROM j"""
+
+
+@register("m19_horizon_confidence", [("h", "i"), ("G", "i")] + _d("G_eff", "width", "width_ref") + [("low_confidence", "i")], _conf_sql())
+def q_m19(spark, sf):
+    evp = _ev_panel(spark, sf).cache()
+    sup, wid = None, None
+    for h in CONF_H:
+        ev = evo.event_table(evp, EventConfig(L=3, H=h)).cache()
+        s_h = evo.cluster_support(ev).select(F.lit(h).alias("h"), "*")
+        w_h = mt.sample_interval(mt.cluster_bootstrap_mean(ev, ("Y_star",), "id", 300), "Y_star_bs").select(F.lit(h).alias("h"), "width")
+        sup = s_h if sup is None else sup.unionByName(s_h)
+        wid = w_h if wid is None else wid.unionByName(w_h)
+    return mt.horizon_confidence(sup, wid).select("h", "G", "G_eff", "width", "width_ref", F.col("low_confidence").cast("int").alias("low_confidence"))
+
+
+# ----------------------------------------------------------------------------- tree ensembles
+
+from cohortflow.operators import trees as tr  # noqa: E402
+
+
+def _tree_data(spark, sf):
+    """Delta label at h=1 on the events features; train = train+val ids, test ids held out."""
+    f = events_features(spark, sf, horizons=1)
+    feats = feature_columns(f, "dU_next_h1")
+    sp = rs.split_ids(f, "id", 0.15, 0.15)
+    d = f.join(sp, "id").where(F.col("dU_next_h1").isNotNull())
+    med = lin.medians(d.where(F.col("split") != "test"), feats)
+    keep = ["id", "day", "split", F.col("dU_next_h1").alias("y"), F.col("U_t").alias("base_t"), F.col("U_next_h1").alias("y_abs")]
+    a = tr.assemble(d, feats, med, keep).cache()
+    return a, feats
+
+
+@register("m05_m21_forest_importance", [("feature", "s")] + _d("importance"), None)
+def q_m05(spark, sf):
+    a, feats = _tree_data(spark, sf)
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
+    return tr.importance_table(spark, model, feats, 20)
+
+
+@register("m06_forest_interval", KEYS + _d("y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high"), None)
+def q_m06(spark, sf):
+    a, feats = _tree_data(spark, sf)
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 100, 10, 4, "sqrt")
+    iv = tr.forest_interval(model, a.where(F.col("split") == "test"), bounds=(-10.0, 10.0))
+    return iv.select("id", "day", F.col("y_abs").alias("y_true_abs"),
+                     clamp(F.col("base_t") + F.col("y_pred_median")).alias("y_pred_abs"),
+                     clamp(F.col("base_t") + F.col("y_pred_lo")).alias("y_pred_abs_ci_low"),
+                     clamp(F.col("base_t") + F.col("y_pred_hi")).alias("y_pred_abs_ci_high"))
+
+
+@register("m07_boosting_test_metrics", [("model", "s")] + _d("MAE", "RMSE", "R2") + [("n", "i"), ("iterations", "i")], None)
+def q_m07(spark, sf):
+    a, feats = _tree_data(spark, sf)
+    train = a.where(F.col("split") != "test").select("*", (F.col("split") == "val").alias("is_val"))
+    model = tr.fit_boosting(train, "y", 100, 3, 0.1, 1.0, validation_col="is_val")
+    pred = model.transform(a.where(F.col("split") == "test"))
+    y_abs = clamp(F.col("base_t") + F.col("prediction"))
+    out = pred.select(F.col("y_abs"), y_abs.alias("p")).agg(*mt.metric_aggs("y_abs", "p"))
+    return out.select(F.lit("gbt").alias("model"), "*", F.lit(int(model.getNumTrees)).alias("iterations"))
+
+
+@register("m12_bootstrap_refit_intervals", PRED_COLS[:2] + _d("y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high"), None)
+def q_m12(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    feats = feature_columns(f, "dU_next_h1")
+    sp = rs.split_ids(f, "id", 0.15, 0.15)
+    d = f.join(sp, "id").where(F.col("dU_next_h1").isNotNull())
+    train = d.where(F.col("split") != "test")
+    med = lin.medians(train, feats)
+    full = lin.fit_linear(lin.gram_stats(train.select(F.col("dU_next_h1").alias("y"), *lin.imputed(feats, med)), feats, "y")["all"],
+                          feats, med, "ridge", alpha=1.0)
+    grams = lin.bootstrap_gram(train, feats, "dU_next_h1", med, "id", n_boot=200, seed=42)
+    fits = [lin.fit_linear(g, feats, med, "ridge", alpha=1.0) for g in grams]
+    test = d.where(F.col("split") == "test").select("id", "day", F.col("U_next_h1").alias("y_true_abs"),
+                                                    clamp(F.col("U_t") + full.predict_col()).alias("y_pred_abs"), "U_t", *feats)
+    iv = lin.bootstrap_intervals(test, fits, base_col="U_t")
+    return iv.select("id", "day", "y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high")
+
+
 # ----------------------------------------------------------------------------- driver API
 
 

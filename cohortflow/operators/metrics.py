@@ -166,6 +166,17 @@ def cluster_bootstrap_mean(df: DataFrame, cols=("tau_hat", "tau_hat_dr"), id_col
     return j.select("b", *[(F.col(f"s_{c}") / F.col("n").cast("double")).alias(f"{c}_bs") for c in cols])
 
 
+def effect_summary_by_id(df: DataFrame, id_col: str = "id", y: str = "Y_star", yhat: str = "Yhat_obs",
+                         tau: str = "tau_hat", tau_dr: str = "tau_hat_dr") -> DataFrame:
+    """Per id: n, MAE, RMSE, R2 of the observed-arm fit, mean tau and mean DR tau (A4)."""
+    e = F.col(y) - F.col(yhat)
+    n = F.count(F.lit(1))
+    sst = F.var_pop(y) * n
+    return df.groupBy(id_col).agg(n.alias("n"), F.avg(F.abs(e)).alias("MAE"), F.sqrt(F.avg(e * e)).alias("RMSE"),
+                                  F.when((n >= 2) & (sst > 0), F.lit(1.0) - F.sum(e * e) / sst).alias("R2"),
+                                  F.avg(tau).alias("tau_mean"), F.avg(tau_dr).alias("tau_dr_mean"))
+
+
 def sample_interval(samples: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
     """ci_low, ci_high, width = q(1-a/2) - q(a/2) of a bootstrap sample column."""
     a = alpha / 2.0

@@ -49,6 +49,8 @@ def get_session(master: str | None = None, app: str = "cohortflow", shuffle_part
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "8g"      # local mode: the driver JVM is the only executor
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -112,3 +112,31 @@ def test_exact_quantiles_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     probs = [0.0, 0.025, 0.1, 0.5, 0.9, 0.975, 1.0]
     np.testing.assert_allclose(exact_quantiles(df, "x", probs), np.quantile(x, probs), rtol=1e-12)
+
+
+def test_bootstrap_refits_equal_explicit_refits(spark):
+    """Weighted Gram statistics per replicate equal refits on explicitly resampled rows."""
+    from cohortflow.operators.resample import bootstrap_weights
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        for d in range(rng.integers(3, 9)):
+            x = rng.normal(size=3)
+            rows.append((i, float(x[0]), float(x[1]), float(x[2]), float(x[0] - 2 * x[1] + rng.normal())))
+    pdf = pd.DataFrame(rows, columns=["id", "f0", "f1", "f2", "y"])
+    df = spark.createDataFrame(pdf)
+    feats = ["f0", "f1", "f2"]
+    med = {f: 0.0 for f in feats}
+    grams = lin.bootstrap_gram(df, feats, "y", med, "id", n_boot=5, seed=3)
+    w = bootstrap_weights(df.select("id").distinct(), 5, "id", 3).toPandas()
+    for b in range(5):
+        wb = w[w.b == b]
+        rep = pd.concat([pdf[pdf.id == i] for i, k in zip(wb.id, wb.weight) for _ in range(int(k))])
+        X, y = rep[feats].to_numpy(), rep["y"].to_numpy()
+        Xs = (X - X.mean(0)) / X.std(0)
+        coef = np.linalg.solve(Xs.T @ Xs + 1.0 * np.eye(3), Xs.T @ (y - y.mean()))
+        fit = lin.fit_linear(grams[b], feats, med, "ridge", alpha=1.0)
+        np.testing.assert_allclose(fit.coef, coef, rtol=1e-8)
+    fits = [lin.fit_linear(g, feats, med, "ridge", alpha=1.0) for g in grams]
+    iv = lin.bootstrap_intervals(df.limit(20), fits, bounds=(-100.0, 100.0)).toPandas()
+    assert (iv.y_pred_abs_ci_low <= iv.y_pred_abs_ci_high).all()
