@@ -1253,6 +1253,56 @@ def q_m12(spark, sf):
     return iv.select("id", "day", "y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high")
 
 
+REPORT_H = (1, 2, 3)
+
+
+def _report_long_spark(spark, sf):
+    f = events_features(spark, sf, horizons=max(REPORT_H))
+    models = F.array(F.struct(F.lit("naive").alias("model"), F.col("U_t").alias("yh")),
+                     F.struct(F.lit("mean7").alias("model"), F.col("U_t_roll7_mean").alias("yh")))
+    labels = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"U_next_h{h}").alias("y")) for h in REPORT_H])
+    return (f.select("id", F.explode(models).alias("m"), labels.alias("ls")).select("id", "m.*", F.explode("ls").alias("l"))
+            .select("id", "model", "l.h", "l.y", "yh").where(F.col("y").isNotNull() & F.col("yh").isNotNull()))
+
+
+def _report_sql():
+    legs = " UNION ALL ".join(f"SELECT id, '{m}' AS model, {h} AS h, y{h} AS y, {yh} AS yh FROM f"
+                              for m, yh in (("naive", "U_t"), ("mean7", "mean7")) for h in REPORT_H)
+    return Q.with_panel(f"""
+f AS (SELECT id, U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in REPORT_H)} FROM panel),
+long AS (SELECT * FROM ({legs}) WHERE y IS NOT NULL AND yh IS NOT NULL),
+{_draws_sql('long', 200, mode='membership')},
+st AS (SELECT model, h, id, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - yh) ^ 2) AS see, sum(abs(y - yh)) AS sae
+       FROM long GROUP BY model, h, id),
+pb AS (SELECT model, h, b, sum(weight * n) AS n, sum(weight * sy) AS sy, sum(weight * syy) AS syy, sum(weight * see) AS see,
+              sum(weight * sae) AS sae FROM st JOIN wts USING (id) GROUP BY model, h, b),
+m AS (SELECT model, h, b, CASE WHEN n >= 2 AND syy - sy * sy / n > 0 THEN 1 - see / (syy - sy * sy / n) END AS r2,
+             CASE WHEN n > 0 THEN sae / n END AS mae FROM pb)
+SELECT model, h, quantile_cont(r2, 0.025) AS R2_ci_low, quantile_cont(r2, 0.975) AS R2_ci_high,
+       quantile_cont(mae, 0.025) AS MAE_ci_low, quantile_cont(mae, 0.975) AS MAE_ci_high, 200 AS n_boot FROM m GROUP BY model, h""")
+
+
+@register("m24_cross_model_bootstrap_report", [("model", "s"), ("h", "i")] + _d("R2_ci_low", "R2_ci_high", "MAE_ci_low", "MAE_ci_high")
+          + [("n_boot", "i")], _report_sql())
+def q_m24(spark, sf):
+    return mt.bootstrap_metric_ci_grouped(_report_long_spark(spark, sf), ["model", "h"], "id", "y", "yh", 200)
+
+
+@register("m08_kernel_rff_test_metrics", [("model", "s")] + _d("MAE", "RMSE", "R2") + [("n", "i")], None)
+def q_m08(spark, sf):
+    from cohortflow.operators.kernel import fit_rff_ridge
+    f = events_features(spark, sf, horizons=1)
+    feats = feature_columns(f, "dU_next_h1")
+    sp = rs.split_ids(f, "id", 0.15, 0.15)
+    d = f.join(sp, "id").where(F.col("dU_next_h1").isNotNull()).cache()
+    train = d.where(F.col("split") != "test")
+    med = lin.medians(train, feats)
+    predict, _ = fit_rff_ridge(train, feats, "dU_next_h1", med, 200, None, 1.0)
+    test = d.where(F.col("split") == "test")
+    pred = test.select(F.col("U_next_h1").alias("y"), clamp(F.col("U_t") + predict(test)).alias("p"))
+    return pred.agg(*mt.metric_aggs("y", "p")).select(F.lit("rbf_rff_ridge").alias("model"), "*")
+
+
 # ----------------------------------------------------------------------------- driver API
 
 

@@ -152,6 +152,40 @@ def bootstrap_metric_ci(pred: DataFrame, id_col: str = "id", y: str = "y_true",
                       F.lit(int(n_boot)).alias("n_boot"))
 
 
+def bootstrap_metric_ci_grouped(pred: DataFrame, group_cols, id_col: str = "id", y: str = "y_true", p: str = "y_pred",
+                                n_boot: int = 200, seed: int = 42, alpha: float = 0.05, mode: str = "membership") -> DataFrame:
+    """A8 for many prediction sets at once, e.g. per (target, model, h).
+
+    One draw table over the ids of the whole table is shared by every group; per
+    (group, id) statistics meet it by an equi-join on id, so the cost is
+    B x groups x ids, independent of rows.
+    """
+    from pyspark import StorageLevel
+    ok = _valid(y, p)
+    e = F.when(ok, F.col(y) - F.col(p))
+    yy = F.when(ok, F.col(y))
+    st = pred.groupBy(*group_cols, id_col).agg(
+        F.count(e).alias("n"), F.coalesce(F.sum(yy), F.lit(0.0)).alias("sy"),
+        F.coalesce(F.sum(yy * yy), F.lit(0.0)).alias("syy"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("see"),
+        F.coalesce(F.sum(F.abs(e)), F.lit(0.0)).alias("sae")).persist(StorageLevel.MEMORY_AND_DISK)
+    w = bootstrap_weights(st.select(id_col).distinct(), n_boot, id_col, seed, mode=mode)
+    agg = st.join(w, id_col).groupBy(*group_cols, "b").agg(
+        *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "see", "sae")])
+    n = F.col("n").cast("double")
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / n
+    per_b = agg.select(*group_cols, "b", F.when((n >= 2) & (sst > 0), F.lit(1.0) - F.col("see") / sst).alias("r2"),
+                       F.when(n > 0, F.col("sae") / n).alias("mae"))
+    a = alpha / 2.0
+    qs = F.array(F.lit(a), F.lit(1.0 - a))
+    out = per_b.groupBy(*group_cols).agg(F.percentile("r2", qs).alias("r2q"), F.percentile("mae", qs).alias("maeq"))
+    out = out.select(*group_cols, F.col("r2q")[0].alias("R2_ci_low"), F.col("r2q")[1].alias("R2_ci_high"),
+                     F.col("maeq")[0].alias("MAE_ci_low"), F.col("maeq")[1].alias("MAE_ci_high"),
+                     F.lit(int(n_boot)).alias("n_boot"))
+    out = out.sparkSession.createDataFrame(out.collect(), out.schema)     # one row per group
+    st.unpersist()
+    return out
+
+
 def cluster_bootstrap_mean(df: DataFrame, cols=("tau_hat", "tau_hat_dr"), id_col: str = "id", n_boot: int = 300,
                            seed: int = 42) -> DataFrame:
     """Replicate means of effect columns over id resamples with multiplicity.

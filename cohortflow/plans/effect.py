@@ -89,7 +89,10 @@ def propensity(train: DataFrame, test: DataFrame, feats: list[str], med: dict, n
 def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     """Returns (per-event predictions of the test ids, one-row summary, bootstrap samples)."""
     spark = events.sparkSession
-    ev = events.select("*", F.monotonically_increasing_id().alias("_row")).cache()
+    # deterministic event key: a treated centre is a treated day and a control centre an
+    # untreated one, so (id, centre_day) is unique in the event table; a recomputed
+    # partition (executor loss) produces the same keys
+    ev = events.select("*", F.struct("id", "centre_day").alias("_row")).cache()
     feats = effect_feature_columns(ev, compat=cfg.compat)
     splits = rs.split_ids(ev, "id", cfg.test_size, None, cfg.seed)
     ev = ev.join(splits, "id")
