@@ -1303,6 +1303,23 @@ def q_m08(spark, sf):
     return pred.agg(*mt.metric_aggs("y", "p")).select(F.lit("rbf_rff_ridge").alias("model"), "*")
 
 
+@register("m22_permutation_shapley_forest", [("feature", "s")] + _d("mean_abs_shap"), None)
+def q_m22(spark, sf):
+    from cohortflow.operators.explain import permutation_shapley
+    a, feats = _tree_data(spark, sf)
+    train = a.where(F.col("split") != "test")
+    model = tr.fit_forest(train, "y", 100, 10, 4, "sqrt")
+    f = events_features(spark, sf, horizons=1)
+    sp = rs.split_ids(f, "id", 0.15, 0.15)
+    d = f.join(sp, "id").where(F.col("dU_next_h1").isNotNull())
+    med = lin.medians(d.where(F.col("split") != "test"), feats)
+    imp = d.select("id", "day", "split", *lin.imputed(feats, med))
+    means = imp.where(F.col("split") != "test").agg(*[F.avg(f"`{c}`").alias(c) for c in feats]).first()
+    rows = rs.sample_rows(imp.where(F.col("split") == "test"), 50, ["id", "day"])
+    rows = rows.select(F.struct("id", "day").alias("_rid"), *[F.col(f"`{c}`") for c in feats])
+    return permutation_shapley(model.transform, rows, feats, [float(means[c] or 0.0) for c in feats], n_perm=10)
+
+
 # ----------------------------------------------------------------------------- driver API
 
 

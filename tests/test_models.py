@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortflow.operators import linear as lin
 from cohortflow.operators import logistic as lg
@@ -140,3 +141,25 @@ def test_bootstrap_refits_equal_explicit_refits(spark):
     fits = [lin.fit_linear(g, feats, med, "ridge", alpha=1.0) for g in grams]
     iv = lin.bootstrap_intervals(df.limit(20), fits, bounds=(-100.0, 100.0)).toPandas()
     assert (iv.y_pred_abs_ci_low <= iv.y_pred_abs_ci_high).all()
+
+
+def test_permutation_shapley_linear_is_exact(spark):
+    """For a linear model and one background point every permutation gives coef*(x - bg)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from cohortflow.operators.explain import permutation_shapley
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(200, 3))
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"])
+    pdf["y"] = 1.5 * X[:, 0] - 2 * X[:, 1] + 0.3 * X[:, 2]
+    df = spark.createDataFrame(pdf)
+    va = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
+    model = LinearRegression(regParam=0.0, labelCol="y").fit(va.transform(df))
+    rows = df.limit(5).select(F.monotonically_increasing_id().alias("_rid"), "a", "b", "c").cache()
+    bg = [0.1, -0.2, 0.3]
+    got = permutation_shapley(model.transform, rows, ["a", "b", "c"], bg, n_perm=4, per_row=True).toPandas()
+    rp = rows.toPandas().set_index("_rid")
+    coef = model.coefficients.toArray()
+    for _, r in got.iterrows():
+        j = ["a", "b", "c"].index(r.feature)
+        assert r.phi == pytest.approx(coef[j] * (rp.loc[r._rid, r.feature] - bg[j]), abs=1e-9)
