@@ -1316,7 +1316,7 @@ def q_m22(spark, sf):
     imp = d.select("id", "day", "split", *lin.imputed(feats, med))
     means = imp.where(F.col("split") != "test").agg(*[F.avg(f"`{c}`").alias(c) for c in feats]).first()
     rows = rs.sample_rows(imp.where(F.col("split") == "test"), 50, ["id", "day"])
-    rows = rows.select(F.struct("id", "day").alias("_rid"), *[F.col(f"`{c}`") for c in feats])
+    rows = rows.select(F.concat_ws(":", "id", "day").alias("_rid"), *[F.col(f"`{c}`") for c in feats])
     return permutation_shapley(model.transform, rows, feats, [float(means[c] or 0.0) for c in feats], n_perm=10)
 
 

@@ -3,19 +3,26 @@
 Permutation-sampled Shapley values against one background point (the feature
 means): for each explained row and each of P permutations, the k+1 hybrid
 vectors (first t features of the permutation from the row, the rest from the
-background) are exploded on the executors, scored by one ``transform`` of the
-model, and consecutive differences along the permutation are the marginal
-contributions.  Work is rows x P x (k+1) model evaluations; the explained rows
-are a seeded sample, as in the reference (the sample size is the feature).
+background) are built with numpy inside the tasks (``mapInPandas``), scored by
+one ``transform`` of the Spark ML model, and consecutive differences along the
+permutation are the marginal contributions.  Work is rows x P x (k+1) model
+evaluations; the explained rows are a seeded sample, as in the reference (the
+sample size is the feature).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.hashing import hash_bigint
+
+def permutations(k: int, n_perm: int, seed: int) -> np.ndarray:
+    """P deterministic permutations of the k features (shared by all rows)."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(k) for _ in range(n_perm)])
 
 
 def permutation_shapley(score, rows: DataFrame, features: list[str], background: list[float], n_perm: int = 10,
@@ -23,28 +30,39 @@ def permutation_shapley(score, rows: DataFrame, features: list[str], background:
     """``score``: DataFrame with vector column ``features`` -> same rows plus ``prediction``.
 
     ``rows`` holds the explained rows with one column per (imputed) feature and a
-    unique ``_rid``.  Returns (feature, mean_abs_shap) for the top n features.
+    unique string or integer key ``_rid``.  Returns (feature, mean_abs_shap) for the
+    top n features, or per-row values with ``per_row``.
     """
     k = len(features)
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
-    bg = F.array(*[F.lit(float(v)) for v in background])
-    base = rows.select("_rid", x.alias("_x"))
-    perms = base.select("_rid", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_p"))
-    # permutation p orders the features by a hash of (seed, p, j)
-    order = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(hash_bigint("perm", seed, F.col("_p"), j).alias("h"), j.alias("j")))
-    perms = perms.select("*", F.transform(F.array_sort(order), lambda s: s["j"]).alias("_perm"))
-    # rank of every feature inside the permutation: feature j comes from the row when rank(j) < t
-    rank = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.array_position(F.col("_perm"), j) - 1)
-    steps = perms.select("*", rank.alias("_rank"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_t"))
-    hybrid = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                         lambda j: F.when(F.element_at(F.col("_rank"), j + 1) < F.col("_t"), F.element_at(F.col("_x"), j + 1))
-                         .otherwise(F.element_at(bg, j + 1)))
-    hy = steps.select("_rid", "_p", "_t", "_perm", array_to_vector(hybrid).alias("features"))
-    scored = score(hy).select("_rid", "_p", "_t", "_perm", F.col("prediction").cast("double").alias("_f"))
+    perm = permutations(k, n_perm, seed)
+    bg = np.asarray(background, dtype=float)
+    rid_type = rows.schema["_rid"].dataType.simpleString()
+    base = rows.select("_rid", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x"))
+
+    def hybrids(batches):
+        rank = np.argsort(perm, axis=1)                       # rank[p, j] = position of feature j
+        steps = np.arange(k + 1)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["_x"].to_numpy())                # rows x k
+            out_rid, out_p, out_t, out_j, out_v = [], [], [], [], []
+            for p in range(n_perm):
+                take = rank[p][None, :] < steps[:, None]      # (k+1) x k: feature from the row?
+                H = np.where(take[None, :, :], X[:, None, :], bg[None, None, :])   # rows x (k+1) x k
+                out_v.append(H.reshape(-1, k))
+                out_rid.append(np.repeat(pdf["_rid"].to_numpy(), k + 1))
+                out_p.append(np.full(len(pdf) * (k + 1), p, dtype=np.int32))
+                out_t.append(np.tile(steps.astype(np.int32), len(pdf)))
+                out_j.append(np.tile(np.r_[-1, perm[p]].astype(np.int32), len(pdf)))
+            yield pd.DataFrame({"_rid": np.concatenate(out_rid), "_p": np.concatenate(out_p), "_t": np.concatenate(out_t),
+                                "_j": np.concatenate(out_j), "_h": list(np.concatenate(out_v))})
+
+    hy = base.mapInPandas(hybrids, f"_rid {rid_type}, _p int, _t int, _j int, _h array<double>")
+    scored = score(hy.select("_rid", "_p", "_t", "_j", array_to_vector("_h").alias("features")))
+    scored = scored.select("_rid", "_p", "_t", "_j", F.col("prediction").cast("double").alias("_f"))
     w = Window.partitionBy("_rid", "_p").orderBy("_t")
-    contrib = scored.select("_rid", "_p", "_t", (F.col("_f") - F.lag("_f", 1).over(w)).alias("_d"),
-                            F.when(F.col("_t") > 0, F.element_at(F.col("_perm"), F.greatest(F.col("_t"), F.lit(1)))).alias("_j")
-                            ).where(F.col("_t") > 0)
+    contrib = scored.select("_rid", "_j", "_t", (F.col("_f") - F.lag("_f", 1).over(w)).alias("_d")).where(F.col("_t") > 0)
     phi = contrib.groupBy("_rid", "_j").agg(F.avg("_d").alias("phi"))
     names = F.array(*[F.lit(f) for f in features])
     if per_row:
