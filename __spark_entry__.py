@@ -1320,6 +1320,70 @@ def q_m22(spark, sf):
     return permutation_shapley(model.transform, rows, feats, [float(means[c] or 0.0) for c in feats], n_perm=10)
 
 
+# ----------------------------------------------------------------------------- precomputed score, sinks, persistence
+
+
+@register("p07_precomputed_score_switch", KEYS + _d("W_t", "S_t", "U_t"), Q.with_panel(
+    "pre AS (SELECT id, day, overall_wellbeing, total_symptom_score / nullif(symptom_count, 0) AS mean_symptom_score_active FROM diary)\n"
+    f"SELECT id, day, {Q.clamp('overall_wellbeing')} AS W_t, {Q.clamp('mean_symptom_score_active')} AS S_t, "
+    f"10.0 * ({Q.clamp('overall_wellbeing')} / 10.0) * (1.0 - {Q.clamp('mean_symptom_score_active')} / 10.0) AS U_t FROM pre"))
+def q_p07(spark, sf):
+    from cohortflow.operators.score import score
+    from cohortflow.sources.tables import diary_from_events, read_table
+    d = diary_from_events(read_table(spark, sf, "events"))
+    d = d.select("*", F.try_divide(F.col("total_symptom_score"), F.nullif(F.col("symptom_count"), F.lit(0.0))).alias("mean_symptom_score_active"))
+    return score(d, Q.ITEMS, use_precomputed_s=True)
+
+
+@register("s4_composite_panel_sink", KEYS + _d("W_t", "S_t", "U_t", "Ustar_next_day", "dU_next") + [("is_treated", "i")]
+          + _d("days_since_last_treat", "U_next_h2", "dU_next_h2"), Q.with_panel(f"""
+tx AS (SELECT *, CASE WHEN treatment = 1 THEN 1 ELSE 0 END AS is_treated, row_number() {_W}) AS rn FROM panel),
+tx2 AS (SELECT *, max(CASE WHEN is_treated = 1 THEN rn END) {_frame(None, 0)} AS last_rn FROM tx)
+SELECT id, day, W_t, S_t, U_t, lead(U_t, 1) {_W}) AS Ustar_next_day, lead(U_t, 1) {_W}) - U_t AS dU_next, is_treated,
+       coalesce(CAST(rn - last_rn AS DOUBLE), 1e9) AS days_since_last_treat,
+       lead(U_t, 2) {_W}) AS U_next_h2, lead(U_t, 2) {_W}) - U_t AS dU_next_h2 FROM tx2"""))
+def q_s4(spark, sf):
+    from cohortflow.sources.sinks import write_composite_panel
+    path = _scratch(spark, "composite")
+    write_composite_panel(events_features(spark, sf, horizons=2), path, horizons=2)
+    return spark.read.parquet(path)
+
+
+@register("s5_model_ready_sink", KEYS + _d("U_t_lag1", "U_t_roll7_mean", "dU_next_h1"), Q.with_panel(
+    f"SELECT id, day, lag(U_t, 1) {_W}) AS U_t_lag1, {_gated('avg', 'U_t', -7, -1, 1)} AS U_t_roll7_mean, "
+    f"lead(U_t, 1) {_W}) - U_t AS dU_next_h1 FROM panel"))
+def q_s5(spark, sf):
+    from cohortflow.sources.sinks import write_model_ready
+    path = _scratch(spark, "model-ready")
+    write_model_ready(events_features(spark, sf, horizons=1), path, ["U_t_lag1", "U_t_roll7_mean"], ["dU_next_h1"])
+    return spark.read.parquet(path)
+
+
+@register("s8_cv_results_sink", [("param_id", "i"), ("fold", "i")] + _d("mae", "r2"), None)
+def q_s8(spark, sf):
+    from cohortflow.sources.sinks import write_table
+    d, feats = _model_data(spark, sf)
+    cv, _ = lin.cv_linear(d, feats, "dU_next_h1", "fold", "lasso")
+    path = _scratch(spark, "cv-results")
+    write_table(cv.select("*", F.lit("lasso").alias("model")), path, partition_by=["model"])
+    return spark.read.parquet(path).where(F.col("model") == "lasso").select("param_id", "fold", "mae", "r2")
+
+
+@register("s9_model_persistence", KEYS + _d("p_saved", "p_loaded"), None)
+def q_s9(spark, sf):
+    from pyspark.ml.regression import RandomForestRegressionModel
+    from cohortflow.sources.sinks import save_model
+    a, feats = _tree_data(spark, sf)
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 20, 5, 4, "sqrt")
+    path = _scratch(spark, "forest-model")
+    save_model(model, path)
+    loaded = RandomForestRegressionModel.load(path)
+    test = a.where(F.col("split") == "test")
+    p1 = model.transform(test).select("id", "day", F.col("prediction").alias("p_saved"))
+    p2 = loaded.transform(test).select("id", "day", F.col("prediction").alias("p_loaded"))
+    return p1.join(p2, ["id", "day"])
+
+
 # ----------------------------------------------------------------------------- driver API
 
 

@@ -96,3 +96,21 @@ def test_row_count_preserved_on_test_table(spark):
     from cohortflow.plans.prepare import events_features, events_panel
     from tests.conftest import SF_SMALL
     assert events_features(spark, SF_SMALL, 3).count() == events_panel(spark, SF_SMALL).count()
+
+
+def test_feature_selection_leak_rules(spark):
+    from cohortflow.plans.features import effect_feature_columns, feature_columns
+    from cohortflow.plans.prepare import events_features
+    from tests.conftest import SF_SMALL
+    f = events_features(spark, SF_SMALL, 3)
+    feats = feature_columns(f, "dU_next_h1")
+    assert "id" not in feats and "day" not in feats and "dU_next_h1" not in feats
+    assert not any(c.startswith(("U_next_h", "dU_next_h", "W_next_h", "S_next_h")) for c in feats)
+    assert not any(c in ("Ustar_next_day", "dU_next") for c in feats)
+    assert "U_t_lag1" in feats and "is_treated" in feats and "start_date" not in feats
+    ev = f.select("*", __import__("pyspark.sql.functions", fromlist=["x"]).lit(1).alias("A_star"),
+                  __import__("pyspark.sql.functions", fromlist=["x"]).lit(0.0).alias("Y_star"),
+                  __import__("pyspark.sql.functions", fromlist=["x"]).col("day").alias("centre_day"))
+    ef = effect_feature_columns(ev)
+    assert "is_treated" not in ef and "A_star" not in ef and "Y_star" not in ef and "U_t_minus_person_mean" in ef
+    assert "is_treated" in effect_feature_columns(ev, compat=True)
