@@ -50,7 +50,9 @@ def horizon_sweep(features: DataFrame, cfg: SweepConfig = SweepConfig()):
     data = features.join(splits, "id").join(folds, "id", "left")
     long = data.select("id", "day", "split", "fold", F.col(base).alias("_base"), *[F.col(f"`{c}`") for c in feats],
                        _long_labels(features, cfg)).select("*", "_lab.*").drop("_lab")
-    long = long.where(F.col("y").isNotNull() & F.col("_base").isNotNull()).cache()
+    from cohortflow.session import cut_lineage
+    # read by every pass of the sweep: reliable checkpoint in the shared folder
+    long = cut_lineage(long.where(F.col("y").isNotNull() & F.col("_base").isNotNull()))
     usable = long.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.min_rows)   # P15
     hs = sorted(r["h"] for r in usable.collect())
     trainval = long.where(F.col("split") != "test")
