@@ -41,3 +41,24 @@ def test_bootstrap_weights(spark):
     assert 0.5 < frac < 0.75                                   # about 1 - 1/e of ids drawn
     again = rs.bootstrap_weights(_ids(spark, 40), 25).toPandas()
     assert w.sort_values(["b", "id"]).reset_index(drop=True).equals(again.sort_values(["b", "id"]).reset_index(drop=True))
+
+
+def test_bootstrap_metric_ci_equals_brute_force(spark):
+    """A8 from per-id statistics equals recomputing R2/MAE on the drawn rows."""
+    import pandas as pd
+    from cohortflow.operators.metrics import bootstrap_metric_ci
+    rng = np.random.default_rng(6)
+    rows = [(int(i), float(y), float(y + rng.normal(0, 0.5))) for i in range(25)
+            for y in rng.normal(i % 5, 1, size=int(rng.integers(2, 6)))]
+    pdf = pd.DataFrame(rows, columns=["id", "y", "p"])
+    df = spark.createDataFrame(pdf)
+    got = bootstrap_metric_ci(df, "id", "y", "p", n_boot=30, seed=1).first()
+    w = rs.bootstrap_weights(df.select("id").distinct(), 30, "id", 1, mode="membership").toPandas()
+    r2s, maes = [], []
+    for b in range(30):
+        sel = pdf[pdf.id.isin(w[w.b == b].id)]
+        e = sel.y - sel.p
+        r2s.append(1 - (e ** 2).sum() / ((sel.y - sel.y.mean()) ** 2).sum())
+        maes.append(e.abs().mean())
+    np.testing.assert_allclose([got.Y_R2_ci_low, got.Y_R2_ci_high], np.quantile(r2s, [0.025, 0.975]), rtol=1e-9)
+    np.testing.assert_allclose([got.Y_MAE_ci_low, got.Y_MAE_ci_high], np.quantile(maes, [0.025, 0.975]), rtol=1e-9)
