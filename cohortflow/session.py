@@ -2,14 +2,13 @@
 
 The library never owns the cluster configuration: it only sets the few SQL
 options its column names and null rules depend on, and reads the checkpoint
-folder from ``spark.checkpoint.dir`` (set by the cluster).  A folder of our own
-is chosen only when that setting is absent, which happens in local tests.
+folder from ``spark.checkpoint.dir`` (set by the cluster).  A folder below
+the warehouse is chosen only when that setting is absent, which happens in local tests.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -61,14 +60,15 @@ def get_session(master: str | None = None, app: str = "cohortflow", shuffle_part
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder for checkpoints and intermediate tables.
 
-    On a cluster this setting points at shared storage and is used as is.  Only
-    when it is unset (unit tests) a fresh local folder is created.
+    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is.  Only when
+    it is unset (unit tests) a folder below ``spark.sql.warehouse.dir``, which driver and
+    executors share by definition, takes its place.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
