@@ -9,6 +9,7 @@ places) so the driver's hash compare sees identical values.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -1393,9 +1394,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return events_features(spark, "/root/testdata/sf0.001", horizons=LABEL_H)
 
 
+def _has(module: str) -> bool:
+    """Whether an optional module is there; an error inside a module that is there is not hidden."""
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:
+        return False
+
+
+_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_MORE_SQL: dict[str, str] = {}
+if _has("cohortflow.llm.queries"):
+    from cohortflow.llm import queries as _llm
+
+    _MORE.update(_llm.QUERIES)
+    _MORE_SQL.update(_llm.ORACLE)
+    if _has("corpus_pipeline"):
+        import corpus_pipeline as _pipeline
+
+        _MORE["pipeline"] = _pipeline.run
+        if _pipeline.ORACLE_SQL is not None:
+            _MORE_SQL["pipeline"] = _pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in _REG.items()}
+    return {k: v[0] for k, v in _REG.items()} | _MORE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in _REG.items() if v[1] is not None}
+    return {k: v[1] for k, v in _REG.items() if v[1] is not None} | _MORE_SQL

@@ -15,10 +15,10 @@ def test_registry_is_consistent():
     assert set(sqls) <= set(qs)
     assert len(qs) >= 80
     for name in qs:
-        assert name[0] in "spwaujfomx" and not name.startswith("op")
+        assert name[0] in "spwaujfomx"
 
 
 def test_cheap_queries_run_small(spark):
     from tests.conftest import SF_SMALL
     for name in ("p06_composite_score", "w17_treated_events_l1", "f01_id_split", "a05_calibration_bins"):
-        assert E.queries()[name](spark, SF_SMALL).count() >= 0
+        assert E.queries()[name](spark, SF_SMALL).count() > 0
