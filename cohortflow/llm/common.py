@@ -31,9 +31,9 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def id_crc(col) -> "F.Column":
-    """crc32 of an id written as text (the split rule of the held-out parts)."""
-    return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))
+def id_crc(col: str):
+    """crc32 of an id written as text, null as the empty text (the rule of the held-out parts)."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
 def slices(texts, limit: int = SLICE_CHARS):
@@ -49,9 +49,9 @@ def slices(texts, limit: int = SLICE_CHARS):
         yield start, len(texts)
 
 
-def texts_of(series) -> list[str]:
-    """A pandas column of texts as str, null as the empty text."""
-    return [t if isinstance(t, str) else "" for t in series.tolist()]
+def texts_of(column) -> list[str]:
+    """An Arrow column of texts as str, null as the empty text."""
+    return [t if t is not None else "" for t in column.to_pylist()]
 
 
 # ------------------------------------------------------------------ array hashing
