@@ -203,7 +203,8 @@ def with_follower(docs: DataFrame) -> DataFrame:
     ring = heads.select("cell", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
     # the first row of a cell has the greatest (doc_id, tie); its text comes back by these two
     wanted = ring.select(F.col("cell").alias("to_cell"), F.col("head.doc_id").alias("h_id"), F.col("head.tie").alias("h_tie"))
-    extra = (rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")))
+    # at most ``most_cells`` narrow rows: broadcast, so that the texts are not shuffled to find a few
+    extra = (rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")))
              .dropDuplicates(["to_cell"]).select("doc_id", "text", F.col("to_cell").alias("cell"), "tie", F.lit(True).alias("extra")))
     dealt = rows.withColumn("extra", F.lit(False)).unionByName(extra)
     return dealt.repartition("cell").sortWithinPartitions(F.col("cell"), F.col("extra"), F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
