@@ -97,24 +97,42 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[str]):
-    """64-bit hashes of the lower-cased (A-Z) words of several texts in one numpy pass.
+class Words:
+    """The lower-cased (A-Z) words of several texts, found in one numpy pass over their UTF-8 bytes.
 
-    Words are runs of anything but ASCII white space.  Returns (hashes, counts): the hashes
-    of all words, text by text, and the number of words of each text.
+    Words are runs of anything but ASCII white space.  ``hash`` (64 bits), ``start`` and ``end``
+    (places in ``buf``) have one value per word, text after text; ``count`` words belong to each
+    text, whose bytes are ``buf[base:base + size]``.
     """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    buf = _LOWER[buf]
-    word = ~_SPACE[buf]
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0))
-    if len(edge) % 2:                     # cannot happen: the buffer ends with a space
-        edge = np.append(edge, len(buf))
-    start, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(np.where(word, _BYTE[buf], np.uint64(0)) * powers(len(buf)), out=total[1:])
-    h = (total[end] - total[start]) * powers(len(buf), inverse=True)[start]
-    h = mix64(h + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    upto = np.searchsorted(start, ends)
-    return h, np.diff(upto, prepend=0)
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.size = np.array([len(r) for r in raw], dtype=np.int64)
+        self.base = np.cumsum(self.size + 1) - self.size - 1
+        self.buf = buf = _LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+        word = ~_SPACE[buf]
+        edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0))
+        self.start, self.end = edge[0::2], edge[1::2]
+        total = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(np.where(word, _BYTE[buf], np.uint64(0)) * powers(len(buf)), out=total[1:])
+        h = (total[self.end] - total[self.start]) * powers(len(buf), inverse=True)[self.start]
+        self.hash = mix64(h + (self.end - self.start).astype(np.uint64))
+        upto = np.searchsorted(self.start, self.base + self.size + 1)
+        self.count = np.diff(upto, prepend=0)
+
+    def chars(self, at: np.ndarray) -> np.ndarray:
+        """Code points before each place of ``buf`` (all texts and separators counted)."""
+        before = np.zeros(len(self.buf) + 1, dtype=np.int64)
+        np.cumsum((self.buf & 0xC0) != 0x80, out=before[1:])
+        return before[at]
+
+
+_ORDER = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
+
+def combine(parts: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One 64-bit hash for each run of ``parts`` that starts at ``at``; the order within a run counts."""
+    size = np.diff(at, append=len(parts))
+    place = np.arange(len(parts)) - np.repeat(at, size)
+    total = np.add.reduceat(parts * _ORDER[place % len(_ORDER)] ^ (parts >> np.uint64(7)) * np.uint64(2 * salt + 1), at)
+    return mix64(total + size.astype(np.uint64))

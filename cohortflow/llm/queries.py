@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fingerprints, langid, mixing, url_rules
+from cohortflow.llm import fingerprints, langid, mixing, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,19 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.pmod(id_crc("doc_id"), F.lit(3)) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_crc("doc_id"), F.lit(3)) != 1).select("doc_id", "toxic")
+    lexicon = toxicity.learn(toxicity.labelled(docs, labels))
+    return toxicity.score(docs, lexicon, keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "confidence")
@@ -73,3 +86,35 @@ SELECT doc_id, size, source_size, target,
                                   THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM x
 """
+
+
+@query
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed", "removed_words")
+
+
+ORACLE["op8_substring"] = r"""
+WITH d AS (SELECT doc_id, text, md5(text) AS t FROM documents),
+s AS (
+  SELECT doc_id, t, text, string_split(regexp_replace(text, '([.!?][\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*)', '\1' || chr(57344), 'g'), chr(57344)) AS parts
+  FROM d WHERE text IS NOT NULL),
+u AS (SELECT doc_id, t, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM s),
+w AS (
+  SELECT *, len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS words,
+         md5(array_to_string(regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) AS digest
+  FROM u),
+f AS (
+  SELECT *, words > 0 AND row_number() OVER (PARTITION BY digest ORDER BY doc_id, t, i) > 1 AS again FROM w),
+g AS (
+  SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t ORDER BY i) AS run FROM f),
+r AS (
+  SELECT *, again AND sum(CASE WHEN again THEN words ELSE 0 END) OVER (PARTITION BY doc_id, t, run) >= 20 AS gone FROM g),
+o AS (
+  SELECT doc_id, t, coalesce(string_agg(part, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+         count(*) FILTER (WHERE words > 0) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(sum(words) FILTER (WHERE gone), 0) AS removed_words
+  FROM r GROUP BY doc_id, t)
+SELECT d.doc_id, o.text, coalesce(o.n_units, 0)::BIGINT AS n_units, coalesce(o.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(o.removed_words, 0)::BIGINT AS removed_words
+FROM d LEFT JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.t IS NOT DISTINCT FROM o.t
+"""
