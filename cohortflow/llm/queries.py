@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fingerprints, langid, mixing, packing, substring, toxicity, url_rules
+from cohortflow.llm import fingerprints, jaccard, langid, mixing, neardup, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
@@ -118,3 +123,8 @@ SELECT d.doc_id, o.text, coalesce(o.n_units, 0)::BIGINT AS n_units, coalesce(o.n
        coalesce(o.removed_words, 0)::BIGINT AS removed_words
 FROM d LEFT JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.t IS NOT DISTINCT FROM o.t
 """
+
+
+@query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
