@@ -30,6 +30,7 @@ from cohortflow.llm.common import slices, texts_of
 WINDOW, WINDOWS_PER_DOC = 64, 4
 BLOCK = 4096                       # windows in one pass of the recurrent layers
 UNDETERMINED = "und"
+MIN_SCORE = 0.3                    # least mean probability of a text whose language counts as known
 
 
 @dataclass
@@ -181,11 +182,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, lang_pred, score, letters) of every row; ``letters`` tells whether the text has a letter."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    name_of_text = text_col if text_col in keep else "__text"
+    d = docs.select(F.col(id_col).alias("doc_id"), *keep, *[F.col(text_col).alias("__text")] * (text_col not in keep))
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column("__text"))
+            texts = texts_of(batch.column(name_of_text))
             letters = [has_letter(t) for t in texts]
             if model.langs:
                 prob = probabilities(model, [t if ok else "" for t, ok in zip(texts, letters)])

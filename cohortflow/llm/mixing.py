@@ -29,13 +29,21 @@ LEVELS = (3, 3, 3, 6)
 MOST_COPIES = 3
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size in words, hash digits) of every row."""
+#: sources whose thresholds are sent to every task; more of them are joined by a shuffle
+MOST_BROADCAST = 100_000
+
+
+def _hash(id_col: str, text_col: str):
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
                    F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return F.substring(F.md5(key.cast("binary")), 1, sum(LEVELS))
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size in words, hash digits) of every row."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-                       F.substring(F.md5(key.cast("binary")), 1, sum(LEVELS)).alias("hash"))
+                       _hash(id_col, text_col).alias("hash"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -103,12 +111,29 @@ def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
                         F.when(F.col("prefix").isNull(), None).when(nearer, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("bound"))
 
 
+def _bounds(sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    bound = thresholds(sized, targets(sized, weights)).withColumnRenamed("source", "s_source")
+    return F.broadcast(bound) if bound.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else bound
+
+
+def _copies():
+    return F.col("copies") + F.when(F.col("hash") < F.col("bound"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, source, hash, size, source_size, target, copies, taken (words)."""
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken (words)."""
     sized = staged(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    bound = thresholds(sized, targets(sized, weights)).withColumnRenamed("source", "s_source")
-    copies = F.col("copies") + F.when(F.col("hash") < F.col("bound"), 1).otherwise(0)
-    return (sized.join(bound, _same_source("source", "s_source"), "left")
-            .select("doc_id", "source", "hash", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
-                    (copies * F.col("size")).cast("bigint").alias("taken")))
+    return (sized.join(_bounds(sized, weights), _same_source("source", "s_source"), "left")
+            .select("doc_id", "source", "size", "source_size", "target", _copies().cast("bigint").alias("copies"),
+                    (_copies() * F.col("size")).cast("bigint").alias("taken")))
+
+
+def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text",
+           source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns kept; the texts are not shuffled."""
+    sized = staged(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    bound = _bounds(sized, weights).select("s_source", F.col("copies").alias("__whole"), F.col("bound").alias("__bound"))
+    copies = F.col("__whole") + F.when(_hash(id_col, text_col) < F.col("__bound"), 1).otherwise(0)
+    met = docs.join(bound, _same_source(source_col, "s_source"), "left").withColumn("__copies", copies).where(F.col("__copies") > 0)
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fingerprints, jaccard, langid, mixing, neardup, packing, substring, toxicity, url_rules
+from cohortflow.llm import fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,11 @@ FROM d LEFT JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.t IS NOT DIST
 """
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), F.pmod(id_crc("doc_id"), F.lit(7)) == 2)
+
+
 @query
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
