@@ -185,7 +185,7 @@ def _chance(k: int, n: int, share: float) -> float:
     return total
 
 
-def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 8.0, chance: float = 1e-5, extra: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 40.0, chance: float = 1e-5, extra: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon, exceptions and curve from (text, toxic) rows."""
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
