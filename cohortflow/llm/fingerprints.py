@@ -70,7 +70,7 @@ def _phrases(label: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Phrase starts: the first symbol of a text and every local maximum of the labels."""
     up = np.empty(len(label), dtype=bool)
     up[1:] = label[1:] > label[:-1]
-    up[0] = True
+    up[first] = False                    # no neighbour across texts
     cut = up.copy()
     cut[:-1] &= ~up[1:]
     cut[first] = True
@@ -111,9 +111,6 @@ def signature_names(raw: list[bytes]):
         symbol[longer] = mix64(symbol[longer] + size[longer].astype(np.uint64) * _RUN)
         for _ in range(3):
             label = _toss_small(label, first)
-        if len(symbol) == len(raw):          # only runs were left: they are the roots
-            levels.append((symbol, first))
-            return levels
 
 
 def sketches(texts: list[str]) -> np.ndarray:
@@ -132,6 +129,8 @@ def sketches(texts: list[str]) -> np.ndarray:
         least = np.full(len(rows) * BINS, np.uint32(0xFFFFFFFF))
         for k, (name, first) in enumerate(levels):
             use = start <= k
+            if k > 1:
+                use &= counts[k - 1] > 1         # a text ends with its root, whatever its neighbours need
             if not use.any():
                 continue
             row = np.repeat(np.arange(len(rows)), counts[k])
