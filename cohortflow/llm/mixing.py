@@ -133,7 +133,7 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str =
            source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept; the texts are not shuffled."""
     sized = staged(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    bound = _bounds(sized, weights).select("s_source", F.col("copies").alias("__whole"), F.col("bound").alias("__bound"))
-    copies = F.col("__whole") + F.when(_hash(id_col, text_col) < F.col("__bound"), 1).otherwise(0)
-    met = docs.join(bound, _same_source(source_col, "s_source"), "left").withColumn("__copies", copies).where(F.col("__copies") > 0)
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    bound = _bounds(sized, weights).select(F.col("s_source").alias("__mix_source"), F.col("copies").alias("__mix_whole"), F.col("bound").alias("__mix_bound"))
+    copies = F.col("__mix_whole") + F.when(_hash(id_col, text_col) < F.col("__mix_bound"), 1).otherwise(0)
+    met = docs.join(bound, _same_source(source_col, "__mix_source"), "left").withColumn("__mix_copies", copies).where(F.col("__mix_copies") > 0)
+    return met.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__mix_copies")))).select(*docs.columns)
