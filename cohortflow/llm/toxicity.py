@@ -6,7 +6,8 @@ and word beginnings, learned from labels: the weight is the log odds of the shar
 of clean documents that hold the entry, and only entries that chance would hardly give stay.
 Phrases in which an entry stands in clean documents become exceptions: matches inside them do
 not count.  The weights found in a text, at most one per word, are summed, normalised by the
-text's length, and turned into a probability by a logistic curve fitted on the same labels.
+text's length, and turned into a probability by a logistic curve, fitted across halves of the
+labelled rows.
 
 The labelled rows are sampled down to ``most_toxic`` and ``most_clean`` rows (documented bound of
 the fit), so the label table joined to the texts is small by construction and texts are never
@@ -46,7 +47,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: harmless phrases that a caller may extend
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "circus clown", "pathetic fallacy")
 
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7, 8, 9)
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"(?<=\w)!(?=\w)")
 
@@ -94,7 +95,7 @@ def entries(text: str) -> set[str]:
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def automaton(self):
         """Entries and exception phrases in one Aho-Corasick automaton; None if there is no entry."""
@@ -131,18 +132,16 @@ def matches(auto, text: str) -> dict[int, tuple[int, float]]:
     return {a: v for a, v in hits.items() if not any(s <= a <= e for s, e in excused)} if excused else hits
 
 
-def features(auto, text: str) -> tuple[float, float, dict]:
-    """(log of the summed weight, log of the weight for 1000 characters, matches) of a folded text."""
-    if auto is None or not text:
-        return 0.0, 0.0, {}
-    hits = matches(auto, text)
+def features(auto, text: str) -> tuple[tuple[float, float, float], dict]:
+    """(log of the summed weight, log of the weight for 1000 characters, greatest weight) of a folded text, and its matches."""
+    hits = matches(auto, text) if auto is not None and text else {}
     total = sum(w for _, w in hits.values())
-    return math.log1p(total), math.log1p(1000.0 * total / (len(text) + 300)), hits
+    return (math.log1p(total), math.log1p(1000.0 * total / (len(text) + 300)), max((w for _, w in hits.values()), default=0.0)), hits
 
 
-def _score(curve, a: float, b: float) -> float:
-    x = max(-40.0, min(40.0, curve[0] + curve[1] * a + curve[2] * b))
-    return 1.0 / (1.0 + math.exp(-x))
+def _score(curve, x: tuple[float, ...]) -> float:
+    y = curve[0] + sum(c * v for c, v in zip(curve[1:], x))
+    return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, y))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = 20_000, most_clean: int = 40_000, id_col: str = "doc_id", text_col: str = "text",
@@ -185,13 +184,38 @@ def _chance(k: int, n: int, share: float) -> float:
     return total
 
 
-def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 40.0, chance: float = 1e-5, extra: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon, exceptions and curve from (text, toxic) rows."""
+def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 8.0, chance: float = 1e-6, extra: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Lexicon, exceptions and curve from (text, toxic) rows.
+
+    The curve is fitted on texts that the lexicon has not seen: two lexicons, each from one half
+    of the rows, score the other half.  The lexicon itself is learned from all rows.
+    """
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Lexicon(curve=(40.0 if n.get(1) else -40.0, 0.0, 0.0, 0.0))
+    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))
+    grid: Counter = Counter()
+    for k in (0, 1):
+        auto = lexicon_of(rows.where(half != k), support, least_odds, chance, extra).automaton()
+
+        def binned(counts, text, toxic):
+            x, _ = features(auto, text)
+            counts[(*[round(v * 8) for v in x], toxic)] += 1
+
+        cells = _counted(rows.where(half == k), binned, "a bigint, b bigint, c bigint, toxic bigint, n bigint").groupBy("a", "b", "c", "toxic").agg(F.sum("n").alias("n"))
+        for r in cells.collect():                                                  # a grid in steps of 1/8
+            grid[(r["a"] / 8, r["b"] / 8, r["c"] / 8, r["toxic"])] += r["n"]
+    lexicon = lexicon_of(rows, support, least_odds, chance, extra)
+    lexicon.curve = _fit_curve(np.array([(*k, v) for k, v in sorted(grid.items())], dtype=float))
+    return lexicon
+
+
+def lexicon_of(rows: DataFrame, support: float, least_odds: float, chance: float, extra: tuple[str, ...]) -> Lexicon:
+    """Weighted entries and exception phrases of (text, toxic) rows."""
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
-        base = n_toxic / max(1, n_toxic + n_clean)
-        return Lexicon(curve=(40.0 if base else -40.0, 0.0, 0.0))
+        return Lexicon(exceptions=tuple(extra))
     least = max(3, math.ceil(support * n_toxic))
 
     def of_toxic(counts, text, toxic):
@@ -213,13 +237,15 @@ def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 40.0, chan
     # a beginning says all that a longer entry says: keep the shortest that is as sure
     for e in sorted(weights, key=len, reverse=True):
         stem = e.rstrip("*")
-        if any(k + "*" in weights and weights[k + "*"] >= weights[e] for k in (stem[:m] for m in _PREFIXES if m < len(stem))):
+        if any(weights.get(k + "*", 0) >= weights[e] for k in (stem[:m] for m in _PREFIXES if m < len(stem))):
             del weights[e]
     lexicon = Lexicon(weights, tuple(extra))
     auto = lexicon.automaton()
+    if auto is None:
+        return lexicon
 
     def contexts(counts, text, toxic):
-        _, _, hits = features(auto, text)
+        hits = matches(auto, text)
         seen = set()
         for at, (end, _) in hits.items():
             stop = end + 1
@@ -230,34 +256,22 @@ def learn(rows: DataFrame, support: float = 0.01, least_odds: float = 40.0, chan
             seen.update(([f"{before[-1]} {word}"] if before else []) + ([f"{word} {after[0]}"] if after else []))
         counts.update((p, toxic) for p in seen)
 
-    by = _counted(rows, contexts, "phrase string, toxic bigint, n bigint") if auto else None
-    if by is not None:
-        clean = by.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("clean"), F.sum("n").alias("n"))
-        keep = clean.where((F.col("clean") >= 3) & (F.col("clean") >= 0.8 * F.col("n")))
-        lexicon.exceptions += tuple(sorted(r["phrase"] for r in keep.collect()))      # at most clean matches / 3
-        auto = lexicon.automaton()
-
-    def binned(counts, text, toxic):
-        a, b, _ = features(auto, text)
-        counts[(round(a * 8), round(b * 8), toxic)] += 1
-
-    grid = _counted(rows, binned, "a bigint, b bigint, toxic bigint, n bigint").groupBy("a", "b", "toxic").agg(F.sum("n").alias("n")).collect()
-    lexicon.curve = _fit_curve(np.array([(r["a"] / 8, r["b"] / 8, r["toxic"], r["n"]) for r in sorted(grid)], dtype=float))
+    by = _counted(rows, contexts, "phrase string, toxic bigint, n bigint").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("clean"), F.sum("n").alias("n"))
+    keep = by.where((F.col("clean") >= 3) & (F.col("clean") >= 0.8 * F.col("n")))
+    lexicon.exceptions += tuple(sorted(r["phrase"] for r in keep.collect()))          # at most the matches in clean texts / 3
     return lexicon
 
 
-def _fit_curve(cells: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Weighted logistic regression by Newton steps; both classes weigh the same in total."""
-    x = np.column_stack([np.ones(len(cells)), cells[:, 0], cells[:, 1]])
-    y, w = cells[:, 2], cells[:, 3].copy()
-    for k in (0, 1):
-        w[y == k] *= 100.0 / w[y == k].sum()
-    theta = np.zeros(3)
-    penalty = np.diag([0.0, ridge, ridge])
+def _fit_curve(cells: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Weighted logistic regression by damped Newton steps on rows (features.., label, number)."""
+    x = np.column_stack([np.ones(len(cells)), cells[:, :-2]])
+    y, w = cells[:, -2], cells[:, -1]
+    theta = np.zeros(x.shape[1])
+    penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         g = x.T @ (w * (y - p)) - penalty @ theta
-        h = (x.T * (w * p * (1 - p))) @ x + penalty + 1e-9 * np.eye(3)
+        h = (x.T * (w * p * (1 - p))) @ x + penalty + 1e-9 * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
         theta = theta + step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
@@ -274,8 +288,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
         for batch in batches:
             values, starts, ends = [], [], []
             for text in texts_of(batch.column("__text")):
-                a, b, hits = features(auto, fold(text))
-                values.append(_score(lexicon.curve, a, b))
+                x, hits = features(auto, fold(text))
+                values.append(_score(lexicon.curve, x))
                 places = sorted(hits)
                 starts.append(places)
                 ends.append([hits[p][0] + 1 for p in places])
