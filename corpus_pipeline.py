@@ -35,9 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     d = docs.select(*COLUMNS).withColumn("tie", F.xxhash64(*COLUMNS))
     groups = jaccard.join(d, k=5, percent=80)
     heads = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = staged(d.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("tie").alias("tie")).join(heads, "doc_id"), "pipeline-heads")
-    kept = d.join(rows, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
-    return kept.unionByName(d.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    rows = d.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("tie").alias("tie"), F.count("*").alias("rows"))
+    rows = staged(rows.join(heads, "doc_id"), "pipeline-heads")
+    few = rows.limit(jaccard.MOST_BROADCAST + 1).count() <= jaccard.MOST_BROADCAST        # 24 bytes a row
+    kept = d.join(F.broadcast(rows) if few else rows, ["doc_id", "tie"])
+    alone = kept.where(F.col("rows") == 1).unionByName(kept.where(F.col("rows") > 1).dropDuplicates(["doc_id", "tie"]))
+    return alone.select(*COLUMNS).unionByName(d.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
