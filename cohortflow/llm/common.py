@@ -12,7 +12,19 @@ from cohortflow.session import checkpoint_dir
 
 #: Characters of text handled by one numpy pass inside a task.  Bounds the arrays a task
 #: builds whatever the Arrow batch holds; one longer text makes a pass of its own.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
+
+
+#: bytes of one Arrow batch sent to a task's Python worker; rows alone would not bound long texts
+BATCH_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` with the Arrow batches of its session bounded in bytes as well as in rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) != str(BATCH_BYTES):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +37,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage with files every executor can read, so a lost executor costs a
     re-read and never a recomputation of what lies before.
     """
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,10 +26,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import mix64, slices, texts_of
+from cohortflow.llm.common import bounded, mix64, slices, texts_of
 
 BINS = 64
-SLICE = 1_000_000
+SLICE = 500_000
 #: phrases wanted at the first level of the signature set, and the first level of long texts
 LEAST_PHRASES, FIRST_LEVEL = 8, 3
 EMPTY = np.uint16(0xFFFF)
@@ -168,7 +168,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(to_hex(sketches(texts)), pa.string())],
                 ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
@@ -217,7 +217,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         held = []                                      # the last row so far: its follower is still to come

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import slices, texts_of
+from cohortflow.llm.common import bounded, slices, texts_of
 
 WINDOW, WINDOWS_PER_DOC = 64, 4
 BLOCK = 4096                       # windows in one pass of the recurrent layers
@@ -183,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, lang_pred, score, letters) of every row; ``letters`` tells whether the text has a letter."""
     name_of_text = text_col if text_col in keep else "__text"
-    d = docs.select(F.col(id_col).alias("doc_id"), *keep, *[F.col(text_col).alias("__text")] * (text_col not in keep))
+    d = bounded(docs).select(F.col(id_col).alias("doc_id"), *keep, *[F.col(text_col).alias("__text")] * (text_col not in keep))
 
     def run(batches):
         for batch in batches:

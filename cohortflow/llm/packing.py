@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import staged, texts_of
+from cohortflow.llm.common import bounded, staged, texts_of
 
 SIZE = 2048
 END_ID = 0
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             arrays = [pa.array(cols[0], id_type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []), names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 

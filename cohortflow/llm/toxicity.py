@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import staged, texts_of
+from cohortflow.llm.common import bounded, staged, texts_of
 
 # Letters of other scripts that look like a Latin letter, and signs written for letters.
 HOMOGLYPHS = {
@@ -281,7 +281,7 @@ def _fit_curve(cells: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.7) -> DataFrame:
     """(doc_id, *keep, score, predicted, n_matches, starts, ends) of every row; places are in the folded text."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    d = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
 
     def run(batches):
         auto = lexicon.automaton()
