@@ -266,6 +266,41 @@ def q_w06(spark, sf):
     return events_features(spark, sf, horizons=1)
 
 
+def _ewm_gap_sql():
+    """Hourly series of 30 days per id (hours without a purchase are missing), EWM of the hours before."""
+    legs = []
+    for tag, a in (("a03", 0.3), ("a10", 0.1)):
+        legs.append(f"""e_{tag} AS (
+  SELECT id, slot, x AS m, CAST(CASE WHEN x IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS w FROM series WHERE slot = 0
+  UNION ALL
+  SELECT s.id, s.slot,
+         CASE WHEN s.x IS NULL THEN e.m WHEN e.m IS NULL THEN s.x WHEN e.m = s.x THEN e.m
+              ELSE (e.w * CAST({1 - a} AS DOUBLE) * e.m + CAST({a} AS DOUBLE) * s.x) / (e.w * CAST({1 - a} AS DOUBLE) + CAST({a} AS DOUBLE)) END,
+         CAST(CASE WHEN s.x IS NULL THEN (CASE WHEN e.m IS NULL THEN e.w ELSE e.w * CAST({1 - a} AS DOUBLE) END) ELSE 1 END AS DOUBLE)
+  FROM e_{tag} e JOIN series s ON s.id = e.id AND s.slot = e.slot + 1)""")
+    return f"""WITH RECURSIVE hours AS (
+  SELECT CAST(user_id AS BIGINT) AS id, CAST(floor(epoch(ts) / 3600) - epoch(TIMESTAMP '2024-01-01') / 3600 AS BIGINT) AS slot, avg(value) AS x
+  FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+series AS (SELECT i.id, g.slot, h.x FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM events) i
+           CROSS JOIN (SELECT range AS slot FROM range({GAP_SLOTS})) g LEFT JOIN hours h ON h.id = i.id AND h.slot = g.slot),
+{", ".join(legs)}
+SELECT s.id, s.slot, a.m AS x_ewm_a03, b.m AS x_ewm_a10 FROM series s
+LEFT JOIN e_a03 a ON a.id = s.id AND a.slot = s.slot - 1 LEFT JOIN e_a10 b ON b.id = s.id AND b.slot = s.slot - 1"""
+
+
+GAP_SLOTS = 720                    # hours of the 30 days of the events table
+
+
+@register("w06_ewm_long_gaps", [("id", "i"), ("slot", "i")] + _d("x_ewm_a03", "x_ewm_a10"), _ewm_gap_sql())
+def q_w06_gaps(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    slot = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)) / 3600).cast("bigint")
+    hours = ev.where(F.col("event_type") == "purchase").groupBy(F.col("user_id").cast("bigint").alias("id"), slot.alias("slot")).agg(F.avg("value").alias("x"))
+    ids = ev.select(F.col("user_id").cast("bigint").alias("id")).distinct()
+    series = ids.select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GAP_SLOTS - 1).cast("bigint"))).alias("slot")).join(hours, ["id", "slot"], "left")
+    return feat.ewm_past(series, PanelConfig(id_col="id", day_col="slot", date_col="slot"), ["x"])
+
+
 RUN_COLS = [f"{c}_{s}" for c in ("U_t", "W_t", "S_t") for s in ("runmean_14", "runstd_14")]
 
 
@@ -890,16 +925,17 @@ def _board_spark(spark, sf):
     return per
 
 
-@register("a26_model_leaderboard", [("model", "s")] + _d("mean_MAE") + [("n_h", "i"), ("rank", "i")], Q.with_panel(f"""
-f AS (SELECT U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in range(1, BOARD_H + 1))} FROM panel),
-e AS (SELECT *, NULL AS pad FROM f),
-long AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, {h} AS h, y{h} AS y, {yh} AS yh FROM e" for m, yh in (("naive", "U_t"), ("mean7", "mean7")) for h in range(1, BOARD_H + 1))}),
+@register("a26_model_leaderboard", [("model", "s")] + _d("mean_MAE") + [("n_h", "i"), ("rank", "i")], f"""
+WITH f0 AS (SELECT id, day, U_t, mean7, {", ".join(f"y{h}" for h in range(1, BOARD_H + 1))} FROM ({Q.with_panel(f"""
+  f AS (SELECT id, day, U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in range(1, BOARD_H + 1))} FROM panel)
+  SELECT * FROM f""")})),
+e AS (SELECT f0.*, w.U_t_ewm_a03 AS ewm03 FROM f0 LEFT JOIN ({_ewm_sql()}) w USING (id, day)),
+long AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, {h} AS h, y{h} AS y, {yh} AS yh FROM e" for m, yh in (("naive", "U_t"), ("mean7", "mean7"), ("ewm03", "ewm03")) for h in range(1, BOARD_H + 1))}),
 per AS (SELECT model, h, avg(abs(y - yh)) AS MAE FROM long WHERE y IS NOT NULL AND yh IS NOT NULL GROUP BY model, h),
 g AS (SELECT model, avg(MAE) AS mean_MAE, count(*) AS n_h FROM per GROUP BY model)
-SELECT *, rank() OVER (ORDER BY mean_MAE) AS rank FROM g"""))
+SELECT *, rank() OVER (ORDER BY mean_MAE) AS rank FROM g""")
 def q_a26(spark, sf):
-    per = _board_spark(spark, sf).where(F.col("model") != "ewm03")
-    return ds.leaderboard(per, "MAE")
+    return ds.leaderboard(_board_spark(spark, sf), "MAE")
 
 
 @register("p15_min_rows_gate", [("h", "i"), ("n_rows", "i")], Q.with_panel(
@@ -1057,7 +1093,7 @@ def q_m20(spark, sf):
           + _d("Naive_MAE", "Naive_RMSE", "Naive_R2") + [("Naive_n", "i"), ("params", "s")], None)
 def q_m11(spark, sf):
     from cohortflow.plans.forecast import SweepConfig, horizon_sweep
-    summary, _, _ = horizon_sweep(events_features(spark, sf, horizons=7), SweepConfig(model="ridge", horizons=7))
+    summary, _, _ = horizon_sweep(events_features(spark, sf, horizons=14), SweepConfig(model="ridge", horizons=14))
     return summary
 
 
@@ -1158,7 +1194,7 @@ def q_a04(spark, sf):
     return mt.effect_summary_by_id(x, "id", "Y_star", "yhat", "tau", "psi")
 
 
-CONF_H = (1, 2, 3)
+CONF_H = tuple(range(1, 15))
 
 
 def _conf_sql():
@@ -1168,8 +1204,10 @@ def _conf_sql():
         parts_s.append(f"SELECT {h} AS h, CAST(count(*) AS BIGINT) AS G, coalesce(sum(c) * sum(c) / sum(c * c), 0.0) AS G_eff "
                        f"FROM (SELECT id, CAST(count(*) AS DOUBLE) AS c FROM ({u}) WHERE A_star = 1 GROUP BY id)")
         parts_w.append(f"""SELECT {h} AS h, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS width FROM (
-  WITH ev AS ({u}), {_draws_sql('ev', 300)}, st AS (SELECT id, count(*) AS n, sum(Y_star) AS s FROM ev GROUP BY id)
-  SELECT b, sum(weight * s) / sum(weight * n) AS m FROM wts JOIN st USING (id) GROUP BY b)""")
+  WITH ev AS ({u}), {_draws_sql('ev', 300)},
+  st AS (SELECT id, count(*) FILTER (WHERE A_star = 1) AS n1, coalesce(sum(Y_star) FILTER (WHERE A_star = 1), 0.0) AS s1,
+                count(*) FILTER (WHERE A_star = 0) AS n0, coalesce(sum(Y_star) FILTER (WHERE A_star = 0), 0.0) AS s0 FROM ev GROUP BY id)
+  SELECT b, sum(weight * s1) / nullif(sum(weight * n1), 0) - sum(weight * s0) / nullif(sum(weight * n0), 0) AS m FROM wts JOIN st USING (id) GROUP BY b)""")
     return f"""WITH sup AS ({' UNION ALL '.join(parts_s)}), wid AS ({' UNION ALL '.join(parts_w)}),
 j AS (SELECT sup.*, wid.width, first_value(wid.width) OVER (ORDER BY sup.h) AS width_ref FROM sup LEFT JOIN wid USING (h))
 SELECT h, G, G_eff, width, width_ref,
@@ -1179,19 +1217,24 @@ FROM j"""
 
 @register("m19_horizon_confidence", [("h", "i"), ("G", "i")] + _d("G_eff", "width", "width_ref") + [("low_confidence", "i")], _conf_sql())
 def q_m19(spark, sf):
-    evp = _ev_panel(spark, sf).cache()
-    sup, wid = None, None
-    for h in CONF_H:
-        ev = evo.event_table(evp, EventConfig(L=3, H=h)).cache()
-        s_h = evo.cluster_support(ev).select(F.lit(h).alias("h"), "*")
-        w_h = mt.sample_interval(mt.cluster_bootstrap_mean(ev, ("Y_star",), "id", 300), "Y_star_bs").select(F.lit(h).alias("h"), "width")
-        sup = s_h if sup is None else sup.unionByName(s_h)
-        wid = w_h if wid is None else wid.unionByName(w_h)
-    return mt.horizon_confidence(sup, wid).select("h", "G", "G_eff", "width", "width_ref", F.col("low_confidence").cast("int").alias("low_confidence"))
+    evp = _ev_panel(spark, sf)
+    legs = [evo.event_table(evp, EventConfig(L=3, H=h)).select(F.lit(h).alias("h"), "id", "A_star", "Y_star") for h in CONF_H]
+    events = legs[0]
+    for leg in legs[1:]:
+        events = events.unionByName(leg)
+    events = events.persist()                          # read by the support and by the bootstrap
+    support = evo.cluster_support_by(events, "h").join(spark.createDataFrame([(h,) for h in CONF_H], "h int"), "h", "right")
+    support = support.select("h", F.coalesce("G", F.lit(0)).alias("G"), F.coalesce("G_eff", F.lit(0.0)).alias("G_eff"))
+    support = spark.createDataFrame(support.collect(), support.schema)             # one row per horizon
+    widths = mt.cluster_bootstrap_effect_width(events, "h")
+    events.unpersist()
+    return mt.horizon_confidence(support, widths).select("h", "G", "G_eff", "width", "width_ref", F.col("low_confidence").cast("int").alias("low_confidence"))
 
 
 # ----------------------------------------------------------------------------- tree ensembles
 
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from cohortflow.operators import trees as tr  # noqa: E402
 
 
@@ -1210,14 +1253,14 @@ def _tree_data(spark, sf):
 @register("m05_m21_forest_importance", [("feature", "s")] + _d("importance"), None)
 def q_m05(spark, sf):
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 100, 10, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
     return tr.importance_table(spark, model, feats, 20)
 
 
 @register("m06_forest_interval", KEYS + _d("y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high"), None)
 def q_m06(spark, sf):
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 100, 10, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
     iv = tr.forest_interval(model, a.where(F.col("split") == "test"), bounds=(-10.0, 10.0))
     return iv.select("id", "day", F.col("y_abs").alias("y_true_abs"),
                      clamp(F.col("base_t") + F.col("y_pred_median")).alias("y_pred_abs"),
@@ -1229,7 +1272,7 @@ def q_m06(spark, sf):
 def q_m07(spark, sf):
     a, feats = _tree_data(spark, sf)
     train = a.where(F.col("split") != "test").select("*", (F.col("split") == "val").alias("is_val"))
-    model = tr.fit_boosting(train, "y", 100, 3, 0.1, 1.0, validation_col="is_val")
+    model = tr.fit_boosting(train, "y", 300, 3, 0.03, validation_col="is_val")
     pred = model.transform(a.where(F.col("split") == "test"))
     y_abs = clamp(F.col("base_t") + F.col("prediction"))
     out = pred.select(F.col("y_abs"), y_abs.alias("p")).agg(*mt.metric_aggs("y_abs", "p"))
@@ -1254,7 +1297,8 @@ def q_m12(spark, sf):
     return iv.select("id", "day", "y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high")
 
 
-REPORT_H = (1, 2, 3)
+REPORT_H = tuple(range(1, 15))
+REPORT_BOOT = 2000
 
 
 def _report_long_spark(spark, sf):
@@ -1272,7 +1316,7 @@ def _report_sql():
     return Q.with_panel(f"""
 f AS (SELECT id, U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in REPORT_H)} FROM panel),
 long AS (SELECT * FROM ({legs}) WHERE y IS NOT NULL AND yh IS NOT NULL),
-{_draws_sql('long', 200, mode='membership')},
+{_draws_sql('long', REPORT_BOOT, mode='membership')},
 st AS (SELECT model, h, id, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - yh) ^ 2) AS see, sum(abs(y - yh)) AS sae
        FROM long GROUP BY model, h, id),
 pb AS (SELECT model, h, b, sum(weight * n) AS n, sum(weight * sy) AS sy, sum(weight * syy) AS syy, sum(weight * see) AS see,
@@ -1280,13 +1324,13 @@ pb AS (SELECT model, h, b, sum(weight * n) AS n, sum(weight * sy) AS sy, sum(wei
 m AS (SELECT model, h, b, CASE WHEN n >= 2 AND syy - sy * sy / n > 0 THEN 1 - see / (syy - sy * sy / n) END AS r2,
              CASE WHEN n > 0 THEN sae / n END AS mae FROM pb)
 SELECT model, h, quantile_cont(r2, 0.025) AS R2_ci_low, quantile_cont(r2, 0.975) AS R2_ci_high,
-       quantile_cont(mae, 0.025) AS MAE_ci_low, quantile_cont(mae, 0.975) AS MAE_ci_high, 200 AS n_boot FROM m GROUP BY model, h""")
+       quantile_cont(mae, 0.025) AS MAE_ci_low, quantile_cont(mae, 0.975) AS MAE_ci_high, {REPORT_BOOT} AS n_boot FROM m GROUP BY model, h""")
 
 
 @register("m24_cross_model_bootstrap_report", [("model", "s"), ("h", "i")] + _d("R2_ci_low", "R2_ci_high", "MAE_ci_low", "MAE_ci_high")
           + [("n_boot", "i")], _report_sql())
 def q_m24(spark, sf):
-    return mt.bootstrap_metric_ci_grouped(_report_long_spark(spark, sf), ["model", "h"], "id", "y", "yh", 200)
+    return mt.bootstrap_metric_ci_grouped(_report_long_spark(spark, sf), ["model", "h"], "id", "y", "yh", REPORT_BOOT)
 
 
 @register("m08_kernel_rff_test_metrics", [("model", "s")] + _d("MAE", "RMSE", "R2") + [("n", "i")], None)
@@ -1309,16 +1353,11 @@ def q_m22(spark, sf):
     from cohortflow.operators.explain import permutation_shapley
     a, feats = _tree_data(spark, sf)
     train = a.where(F.col("split") != "test")
-    model = tr.fit_forest(train, "y", 100, 10, 4, "sqrt")
-    f = events_features(spark, sf, horizons=1)
-    sp = rs.split_ids(f, "id", 0.15, 0.15)
-    d = f.join(sp, "id").where(F.col("dU_next_h1").isNotNull())
-    med = lin.medians(d.where(F.col("split") != "test"), feats)
-    imp = d.select("id", "day", "split", *lin.imputed(feats, med))
-    means = imp.where(F.col("split") != "test").agg(*[F.avg(f"`{c}`").alias(c) for c in feats]).first()
-    rows = rs.sample_rows(imp.where(F.col("split") == "test"), 50, ["id", "day"])
-    rows = rows.select(F.concat_ws(":", "id", "day").alias("_rid"), *[F.col(f"`{c}`") for c in feats])
-    return permutation_shapley(model.transform, rows, feats, [float(means[c] or 0.0) for c in feats], n_perm=10)
+    trees = tr.flat_trees(tr.fit_forest(train, "y", 300, 10, 4, "sqrt"), spark)
+    rows = train.select(F.concat_ws(":", "id", "day").alias("_rid"), vector_to_array("features").alias("_x"))
+    rows = rows.select("_rid", *[F.col("_x")[i].alias(c) for i, c in enumerate(feats)])
+    means = rows.agg(*[F.avg(f"`{c}`").alias(c) for c in feats]).first()
+    return permutation_shapley(trees.mean, rows, feats, [float(means[c] or 0.0) for c in feats], n_perm=10, top_n=30)
 
 
 # ----------------------------------------------------------------------------- precomputed score, sinks, persistence
@@ -1375,7 +1414,7 @@ def q_s9(spark, sf):
     from pyspark.ml.regression import RandomForestRegressionModel
     from cohortflow.sources.sinks import save_model
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 20, 5, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
     path = _scratch(spark, "forest-model")
     save_model(model, path)
     loaded = RandomForestRegressionModel.load(path)

@@ -193,6 +193,12 @@ def cluster_support(events: DataFrame, id_col: str = "id", treat_col: str = "A_s
     )
 
 
+def cluster_support_by(events: DataFrame, by: str, id_col: str = "id", treat_col: str = "A_star") -> DataFrame:
+    """A11 for every value of ``by`` that has treated events: (by, G, G_eff)."""
+    per_id = events.filter(F.col(treat_col) == 1).groupBy(by, id_col).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    return per_id.groupBy(by).agg(F.count(F.lit(1)).alias("G"), (F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("G_eff"))
+
+
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop columns that are NULL on every row (P11): one aggregate, then a select."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first().asDict()

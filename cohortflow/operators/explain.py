@@ -3,21 +3,23 @@
 Permutation-sampled Shapley values against one background point (the feature
 means): for each explained row and each of P permutations, the k+1 hybrid
 vectors (first t features of the permutation from the row, the rest from the
-background) are built with numpy inside the tasks (``mapInPandas``), scored by
-one ``transform`` of the Spark ML model, and consecutive differences along the
-permutation are the marginal contributions.  Work is rows x P x (k+1) model
-evaluations; the explained rows are a seeded sample, as in the reference (the
-sample size is the feature).
+background) are built and scored with numpy inside the tasks, and consecutive
+differences along the permutation are the marginal contributions.  Work is
+rows x P x (k+1) model evaluations; what a task holds is bounded by
+``HYBRIDS`` hybrid vectors, whatever the Arrow batch, P or k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HYBRIDS = 4096               # hybrid vectors scored at once
+
 
 def permutations(k: int, n_perm: int, seed: int) -> np.ndarray:
     """P deterministic permutations of the k features (shared by all rows)."""
@@ -25,48 +27,50 @@ def permutations(k: int, n_perm: int, seed: int) -> np.ndarray:
     return np.stack([rng.permutation(k) for _ in range(n_perm)])
 
 
-def permutation_shapley(score, rows: DataFrame, features: list[str], background: list[float], n_perm: int = 10,
-                        seed: int = 42, top_n: int = 20, per_row: bool = False) -> DataFrame:
-    """``score``: DataFrame with vector column ``features`` -> same rows plus ``prediction``.
+def shapley_rows(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray, background: np.ndarray, perm: np.ndarray) -> np.ndarray:
+    """Mean marginal contributions (rows, k) over the permutations, one permutation and a few rows at a time."""
+    n, k = x.shape
+    phi = np.zeros((n, k))
+    step = max(1, HYBRIDS // (k + 1))
+    for order in perm:
+        rank = np.argsort(order)                                              # position of each feature
+        take = rank[None, :] < np.arange(k + 1)[:, None]                      # (k+1) x k: feature from the row?
+        for i in range(0, n, step):
+            part = x[i:i + step]
+            hybrid = np.where(take[None], part[:, None, :], background[None, None, :]).reshape(-1, k)
+            f = predict(hybrid).reshape(len(part), k + 1)
+            phi[i:i + step, order] += np.diff(f, axis=1)
+    return phi / len(perm)
+
+
+def permutation_shapley(predict: Callable[[np.ndarray], np.ndarray], rows: DataFrame, features: list[str], background: list[float], n_perm: int = 10,
+                        seed: int = 42, top_n: int = 30, per_row: bool = False) -> DataFrame:
+    """``predict``: matrix (rows, k) -> predictions, sent to the tasks.
 
     ``rows`` holds the explained rows with one column per (imputed) feature and a
     unique string or integer key ``_rid``.  Returns (feature, mean_abs_shap) for the
     top n features, or per-row values with ``per_row``.
     """
-    k = len(features)
-    perm = permutations(k, n_perm, seed)
+    perm = permutations(len(features), n_perm, seed)
     bg = np.asarray(background, dtype=float)
     rid_type = rows.schema["_rid"].dataType.simpleString()
     base = rows.select("_rid", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x"))
 
-    def hybrids(batches):
-        rank = np.argsort(perm, axis=1)                       # rank[p, j] = position of feature j
-        steps = np.arange(k + 1)
+    def run(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.stack(pdf["_x"].to_numpy())                # rows x k
-            out_rid, out_p, out_t, out_j, out_v = [], [], [], [], []
-            for p in range(n_perm):
-                take = rank[p][None, :] < steps[:, None]      # (k+1) x k: feature from the row?
-                H = np.where(take[None, :, :], X[:, None, :], bg[None, None, :])   # rows x (k+1) x k
-                out_v.append(H.reshape(-1, k))
-                out_rid.append(np.repeat(pdf["_rid"].to_numpy(), k + 1))
-                out_p.append(np.full(len(pdf) * (k + 1), p, dtype=np.int32))
-                out_t.append(np.tile(steps.astype(np.int32), len(pdf)))
-                out_j.append(np.tile(np.r_[-1, perm[p]].astype(np.int32), len(pdf)))
-            yield pd.DataFrame({"_rid": np.concatenate(out_rid), "_p": np.concatenate(out_p), "_t": np.concatenate(out_t),
-                                "_j": np.concatenate(out_j), "_h": list(np.concatenate(out_v))})
+            phi = shapley_rows(predict, np.stack(pdf["_x"].to_numpy()), bg, perm)
+            if per_row:
+                n, k = phi.shape
+                yield pd.DataFrame({"_rid": np.repeat(pdf["_rid"].to_numpy(), k), "_j": np.tile(np.arange(k, dtype=np.int32), n), "v": phi.ravel(), "n": 1})
+            else:                                                             # one row per feature and batch
+                yield pd.DataFrame({"_rid": pdf["_rid"].iloc[0], "_j": np.arange(phi.shape[1], dtype=np.int32), "v": np.abs(phi).sum(axis=0), "n": len(phi)})
 
-    hy = base.mapInPandas(hybrids, f"_rid {rid_type}, _p int, _t int, _j int, _h array<double>")
-    scored = score(hy.select("_rid", "_p", "_t", "_j", array_to_vector("_h").alias("features")))
-    scored = scored.select("_rid", "_p", "_t", "_j", F.col("prediction").cast("double").alias("_f"))
-    w = Window.partitionBy("_rid", "_p").orderBy("_t")
-    contrib = scored.select("_rid", "_j", "_t", (F.col("_f") - F.lag("_f", 1).over(w)).alias("_d")).where(F.col("_t") > 0)
-    phi = contrib.groupBy("_rid", "_j").agg(F.avg("_d").alias("phi"))
+    out = base.mapInPandas(run, f"_rid {rid_type}, _j int, v double, n bigint")
     names = F.array(*[F.lit(f) for f in features])
     if per_row:
-        return phi.select("_rid", F.element_at(names, F.col("_j") + 1).alias("feature"), "phi")
-    out = phi.groupBy("_j").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
+        return out.select("_rid", F.element_at(names, F.col("_j") + 1).alias("feature"), F.col("v").alias("phi"))
+    out = out.groupBy("_j").agg((F.sum("v") / F.sum("n")).alias("mean_abs_shap"))
     return (out.select(F.element_at(names, F.col("_j") + 1).alias("feature"), "mean_abs_shap")
             .orderBy(F.desc("mean_abs_shap"), "feature").limit(int(top_n)))

@@ -1,8 +1,8 @@
 """Per-entity ordered features: treatment history, lags, rolling, EWM, labels.
 
-Everything is one ``select`` of window expressions over a single window spec
-``partitionBy(id).orderBy(day, date)``; Catalyst puts all frames of that spec in
-one Window operator, so the whole block costs one shuffle on ``id`` and one sort.
+Everything is window expressions partitioned by ``id`` and ordered by (day, date).  The plan
+holds several Window operators (one for each spec and step), but they share one exchange on
+``id``.
 
 Scale note: a window partition holds the rows of one entity.  Panels built by
 ``diary_from_events`` have one row per (id, day), so a partition is bounded by
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from cohortflow.config import PanelConfig
 from cohortflow.functions.scalar import day_of_week, dow_cos, dow_sin, safe_div, treatment_flag
 
+SCORES = ("W_t", "S_t", "U_t")
 BIG_GAP = 1e9  # rows-since-last-treatment before the first treatment (reference sentinel)
 
 
@@ -39,35 +40,48 @@ def gated(agg: Column, x: Column, frame, min_periods: int) -> Column:
 
 
 def ewm_lookback(alpha: float, tol_bits: int = 56) -> int:
-    """Rows after which older values weigh less than 2^-tol_bits (below double precision)."""
+    """Values after which older ones weigh less than 2^-tol_bits (below double precision)."""
     return int(math.ceil(tol_bits * math.log(2.0) / -math.log(1.0 - alpha)))
 
 
-def ewm_past(x: Column, alpha: float, cfg: PanelConfig, include_current: bool = False) -> Column:
-    """Recursive EWM (``adjust=False``) of the previous rows; missing rows still decay.
+#: smoothing factors of the feature block and their column tags
+EWM = (("a03", 0.30), ("a10", 0.10))
 
-    Fold over a bounded frame of K rows, K chosen so the truncated weight is below
-    double precision: exact up to rounding, O(K) state per row, spill-safe.
-    State (m, w): first value m=x, w=1; each later row w*=1-a; on a value
-    m=(w*m+a*x)/(w+a), w=1.
+
+def ewm_at(c: str, alpha: float, cfg: PanelConfig, row: str) -> Column:
+    """Recursive EWM (``adjust=False``) at the rows where ``c`` has a value, NULL elsewhere.
+
+    Fold over the last K values, missing rows left out and counted by the row number: a value
+    g rows after the one before gives m = (w*m + a*x) / (w+a) with w = (1-a)^g.  Every value
+    shrinks the weight of older ones by at least 1-a, so K values are exact up to rounding
+    however many rows lie between them; state per row is O(K).
     """
-    k = ewm_lookback(alpha)
-    hi = 0 if include_current else -1
-    frame = _rows(cfg, -k, hi)
-    a = F.lit(float(alpha))
-    one_minus = F.lit(1.0 - float(alpha))
-    vals = F.collect_list(F.struct(x.cast("double").alias("v"))).over(frame)
-    init = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("w"))
+    values = Window.partitionBy(cfg.id_col, F.col(c).isNull()).orderBy(row).rowsBetween(-ewm_lookback(alpha), 0)
+    a, keep = F.lit(float(alpha)), F.lit(1.0 - float(alpha))
+    items = F.collect_list(F.struct(F.col(c).cast("double").alias("v"), F.col(row).alias("r"))).over(values)
+    first = F.element_at(items, 1)
 
     def step(acc, e):
-        decayed = acc["w"] * one_minus
-        upd = F.when(acc["m"] == e["v"], acc["m"]).otherwise((decayed * acc["m"] + a * e["v"]) / (decayed + a))
-        return (F.when(e["v"].isNull(),
-                       F.when(acc["m"].isNull(), acc).otherwise(F.struct(acc["m"].alias("m"), decayed.alias("w"))))
-                .when(acc["m"].isNull(), F.struct(e["v"].alias("m"), F.lit(1.0).alias("w")))
-                .otherwise(F.struct(upd.alias("m"), F.lit(1.0).alias("w"))))
+        w = F.pow(keep, (e["r"] - acc["r"]).cast("double"))
+        m = F.when(acc["m"] == e["v"], acc["m"]).otherwise((w * acc["m"] + a * e["v"]) / (w + a))
+        return F.struct(m.alias("m"), e["r"].alias("r"))
+
+    fold = F.aggregate(items, F.struct(first["v"].alias("m"), first["r"].alias("r")), step, lambda acc: acc["m"])
+    return F.when(F.col(c).isNotNull(), fold)
 
-    return F.aggregate(vals, init, step, lambda acc: acc["m"])
+
+def ewm_past(df: DataFrame, cfg: PanelConfig, cols, factors=EWM) -> DataFrame:
+    """Adds ``{c}_ewm_{tag}``: the EWM of the rows before.
+
+    A missing row leaves the mean as it was, so the EWM of the past is the EWM at the last
+    row with a value, however many rows ago.  All steps share the partitioning on the id.
+    """
+    pairs = [(c, tag, a) for c in cols for tag, a in factors]
+    rows = df.select("*", F.row_number().over(order_spec(cfg)).alias("_ewm_row"))
+    at = rows.select("*", *[ewm_at(c, a, cfg, "_ewm_row").alias(f"_ewm_{c}_{tag}") for c, tag, a in pairs])
+    past = Window.partitionBy(cfg.id_col).orderBy("_ewm_row").rowsBetween(Window.unboundedPreceding, -1)
+    out = at.select("*", *[F.last(f"_ewm_{c}_{tag}", ignorenulls=True).over(past).alias(f"{c}_ewm_{tag}") for c, tag, _ in pairs])
+    return out.drop("_ewm_row", *[f"_ewm_{c}_{tag}" for c, tag, _ in pairs])
 
 
 def treatment_columns(df: DataFrame, cfg: PanelConfig) -> DataFrame:
@@ -94,8 +108,8 @@ def treatment_columns(df: DataFrame, cfg: PanelConfig) -> DataFrame:
     )
 
 
-def lag_roll_columns(cfg: PanelConfig, cols=("W_t", "S_t", "U_t"), include_current: bool | None = None) -> list[Column]:
-    """Lags 1/2/7, trailing mean/sd (3, 7, 14 rows), EWM 0.3/0.1, first differences."""
+def lag_roll_columns(cfg: PanelConfig, cols=SCORES, include_current: bool | None = None) -> list[Column]:
+    """Lags 1/2/7, trailing mean/sd (3, 7, 14 rows), first differences."""
     inc = cfg.include_current if include_current is None else include_current
     w = order_spec(cfg)
     out = []
@@ -107,8 +121,6 @@ def lag_roll_columns(cfg: PanelConfig, cols=("W_t", "S_t", "U_t"), include_curre
             frame = _rows(cfg, -(k - 1), 0) if inc else _rows(cfg, -k, -1)
             agg = F.avg(x) if stat == "mean" else F.stddev_samp(x)
             out.append(gated(agg, x, frame, m).alias(f"{c}_roll{k}_{stat}"))
-        out.append(ewm_past(x, 0.30, cfg).alias(f"{c}_ewm_a03"))
-        out.append(ewm_past(x, 0.10, cfg).alias(f"{c}_ewm_a10"))
     for c in cols:
         out.append((F.col(c) - F.lag(F.col(c), 1).over(w)).alias(f"d{c}"))
     return out
@@ -175,7 +187,7 @@ def infer_hmax(df: DataFrame, cfg: PanelConfig, cap: int | None = None) -> DataF
 def forecasting_features(df: DataFrame, cfg: PanelConfig, horizons: int | None = None) -> DataFrame:
     """Whole forecasting block on a scored panel: one shuffle on id, one sort."""
     H = cfg.horizons if horizons is None else horizons
-    tx = treatment_columns(df, cfg)
+    tx = ewm_past(treatment_columns(df, cfg), cfg, SCORES)
     cols = (lag_roll_columns(cfg) + calendar_columns(cfg)
             + running_columns(cfg, "U_t") + running_columns(cfg, "W_t") + running_columns(cfg, "S_t")
             + label_columns(cfg, H))
@@ -185,7 +197,7 @@ def forecasting_features(df: DataFrame, cfg: PanelConfig, horizons: int | None =
 def effect_features(df: DataFrame, cfg: PanelConfig, horizons: int = 14) -> DataFrame:
     """Effect-study block: rolling windows include the current row, labels ``Y_``/``dY_``
     on U_t, and the deviation from the whole-record mean (W5, W10)."""
-    tx = treatment_columns(df, cfg)
+    tx = ewm_past(treatment_columns(df, cfg), cfg, SCORES)
     run = running_columns(cfg, "U_t", name_prefix="U", whole_record_mean=True)
     cols = (lag_roll_columns(cfg, include_current=True) + calendar_columns(cfg) + run
             + label_columns(cfg, horizons, targets=(("Y", "U_t"),), with_star=False))

@@ -28,13 +28,14 @@ def _prox_step(H: np.ndarray, b: np.ndarray, lam: np.ndarray, w0: np.ndarray) ->
 
 
 def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, models: list[tuple],
-             scales: dict, max_iter: int = 25, tol: float = 1e-9):
+             scales: dict, max_iter: int = 25, tol: float = 1e-8):
     """Fit logistic models that share one data set.
 
     ``models``: (name, held_out_fold or None, penalty in {None, 'l1', 'l2'}).
     ``scales``: name -> per-feature population sd of that model's training rows.
     Returns name -> coefficient vector [w_1..w_k, intercept] on raw features, and
-    name -> held-out (sum log loss, n) evaluated at the final coefficients.
+    name -> held-out (sum log loss, n) evaluated at the final coefficients, and
+    name -> whether the fit converged (without a penalty, separable arms do not).
     """
     k = len(features)
     m = k + 1
@@ -66,7 +67,8 @@ def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, mode
                     out = (f[:, None] == held[None, :])
                     wts = p * (1 - p) * train
                     r = (a[:, None] - p) * train
-                    H += np.einsum("rm,ri,rj->mij", wts, Z, Z)
+                    for i in range(M):                # a matrix product per model
+                        H[i] += (Z * wts[:, i:i + 1]).T @ Z
                     g += r.T @ Z
                     pc = np.clip(p, 1e-15, 1 - 1e-15)
                     ll += (-(a[:, None] * np.log(pc) + (1 - a[:, None]) * np.log(1 - pc)) * out).sum(axis=0)
@@ -79,7 +81,7 @@ def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, mode
                     .groupBy("mi", "pos").agg(F.sum("v").alias("v")).toPandas())
             acc = np.zeros((M, m * m + m + 2))
             acc[rows["mi"].to_numpy(), rows["pos"].to_numpy()] = rows["v"].to_numpy()
-            delta = 0.0
+            delta = np.zeros(M)
             for i, (name, _, pen) in enumerate(models):
                 Hm = acc[i, :m * m].reshape(m, m)
                 gm = acc[i, m * m:m * m + m]
@@ -90,13 +92,14 @@ def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, mode
                 else:
                     R = np.diag(sd ** 2) if pen == "l2" else RIDGE_FLOOR * np.diag(np.append(np.ones(k), 0.0))
                     new = beta[i] + np.linalg.solve(Hm + R + 1e-12 * np.eye(m), gm - R @ beta[i])
-                delta = max(delta, float(np.max(np.abs(new - beta[i])) / (1.0 + np.max(np.abs(new)))))
+                delta[i] = np.max(np.abs(new - beta[i])) / (1.0 + np.max(np.abs(new)))
                 beta[i] = new
-            if delta < tol:
+            if (delta < tol).all():
                 break
     finally:
         data.unpersist()
-    return {name: beta[i] for i, (name, _, _) in enumerate(models)}, loss
+    names = [name for name, _, _ in models]
+    return {n: beta[i] for i, n in enumerate(names)}, loss, {n: bool(delta[i] < tol) for i, n in enumerate(names)}
 
 
 def prob_col(beta: np.ndarray, features: list[str]):

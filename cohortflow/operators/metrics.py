@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import clamp, normal_quantile
 from cohortflow.operators.quantiles import exact_quantiles
-from cohortflow.operators.resample import bootstrap_weights
+from cohortflow.operators.resample import bootstrap_weights, bootstrap_weights_by
 
 
 def _valid(y: str, p: str) -> Column:
@@ -200,6 +200,26 @@ def cluster_bootstrap_mean(df: DataFrame, cols=("tau_hat", "tau_hat_dr"), id_col
     return j.select("b", *[(F.col(f"s_{c}") / F.col("n").cast("double")).alias(f"{c}_bs") for c in cols])
 
 
+def cluster_bootstrap_effect_width(events: DataFrame, by: str, y: str = "Y_star", arm: str = "A_star", id_col: str = "id",
+                                   n_boot: int = 300, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(by, width): width of the bootstrap interval of the difference of arm means, for every group.
+
+    Ids are drawn within each group; per id only counts and sums of either arm meet the draws.
+    """
+    t = F.col(arm) == 1
+    st = events.groupBy(by, id_col).agg(F.count(F.when(t, 1)).alias("n1"), F.coalesce(F.sum(F.when(t, F.col(y))), F.lit(0.0)).alias("s1"),
+                                        F.count(F.when(~t, 1)).alias("n0"), F.coalesce(F.sum(F.when(~t, F.col(y))), F.lit(0.0)).alias("s0"))
+    st = st.persist()                                   # one row per (group, id)
+    sums = bootstrap_weights_by(st, by, n_boot, id_col, seed).join(st, [by, id_col]).groupBy(by, "b").agg(
+        *[F.sum(F.col("weight") * F.col(c)).cast("double").alias(c) for c in ("n1", "s1", "n0", "s0")])
+    effect = F.col("s1") / F.nullif(F.col("n1"), F.lit(0.0)) - F.col("s0") / F.nullif(F.col("n0"), F.lit(0.0))
+    q = sums.groupBy(by).agg(F.percentile(effect, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    out = q.select(by, (F.col("q")[1] - F.col("q")[0]).alias("width"))
+    out = out.sparkSession.createDataFrame(out.collect(), out.schema)                  # one row per group
+    st.unpersist()
+    return out
+
+
 def effect_summary_by_id(df: DataFrame, id_col: str = "id", y: str = "Y_star", yhat: str = "Yhat_obs",
                          tau: str = "tau_hat", tau_dr: str = "tau_hat_dr") -> DataFrame:
     """Per id: n, MAE, RMSE, R2 of the observed-arm fit, mean tau and mean DR tau (A4)."""
@@ -261,7 +281,8 @@ def horizon_confidence(support: DataFrame, widths: DataFrame, min_g: int = 10, m
     ``support`` (h, G, G_eff) and ``widths`` (h, width) have one row per horizon.
     """
     j = support.join(widths, "h", "left")
-    ref = F.first("width", ignorenulls=False).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = j.agg(F.min_by(F.struct("width"), "h").alias("first")).first()["first"]        # one scalar: the width at the first horizon
+    ref = F.lit(first["width"] if first is not None else None).cast("double")
     low = ((F.col("G") < min_g) | (F.col("G_eff") < min_g_eff)
            | (F.col("width").isNotNull() & ref.isNotNull() & (F.col("width") > F.lit(width_factor) * ref)))
     return j.select("*", ref.alias("width_ref"), low.alias("low_confidence")).orderBy("h")

@@ -109,6 +109,32 @@ def bootstrap_weights(df: DataFrame, n_boot: int = 200, id_col: str = "id", seed
     return out
 
 
+def bootstrap_weights_by(df: DataFrame, by: str, n_boot: int = 300, id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """(by, b, id, weight): the draws of ``bootstrap_weights`` within every group of ``by`` in one plan.
+
+    ``by`` has few values (horizons, models): their id counts are collected and give each group
+    its range of the draw table.
+    """
+    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("h", hash_bigint(seed, F.col(id_col)))
+    ids = ids.withColumn("_bk", F.shiftright("h", HASH_HEX_DIGITS * 4 - BUCKET_BITS))
+    before = Window.partitionBy(by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)       # at most 65,536 rows a group
+    sizes = ids.groupBy(by, "_bk").agg(F.count(F.lit(1)).alias("_sz")).withColumn("_off", F.coalesce(F.sum("_sz").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(by, "_bk").orderBy("h", id_col)) - 1
+    ranked = ids.withColumn("_rk", within).join(sizes.drop("_sz"), [by, "_bk"]).select(by, id_col, (F.col("_off") + F.col("_rk")).cast("bigint").alias("rank"))
+    counts = sorted((r[0], r[1]) for r in ids.groupBy(by).agg(F.count(F.lit(1))).collect())
+    draws = None
+    for value, n in counts:
+        at = F.col("id")
+        b = (at / F.lit(n)).cast("bigint")
+        leg = df.sparkSession.range(0, int(n_boot) * n).select(
+            F.lit(value).alias(by), b.cast("int").alias("b"), F.pmod(hash_bigint("draw", seed, b, at - b * F.lit(n)), F.lit(n)).alias("rank"))
+        draws = leg if draws is None else draws.unionByName(leg)
+    if draws is None:
+        kind = df.schema[by].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{by}` {kind}, b int, {id_col} long, weight long")
+    return draws.groupBy(by, "b", "rank").agg(F.count(F.lit(1)).alias("weight")).join(ranked, [by, "rank"]).select(by, "b", id_col, "weight")
+
+
 def parameter_grid(spark, grid: dict[str, list]) -> DataFrame:
     """Cross product of settings as a table (param_id, params map) (F5); grids are small configs."""
     import itertools

@@ -25,17 +25,6 @@ PENALTIES = (("unpenalized", None), ("l1", "l1"), ("l2", "l2"))
 EPS = 1e-3
 
 
-def _lap(msg, _t=[0.0]):
-    """Step timings on stderr when COHORTFLOW_TIMING is set (diagnostics only)."""
-    import os
-    import sys
-    import time
-    if os.environ.get("COHORTFLOW_TIMING"):
-        now = time.time()
-        print(f"[effect] {msg} {now - _t[0]:.1f}s" if _t[0] else f"[effect] {msg}", file=sys.stderr, flush=True)
-        _t[0] = now
-
-
 @dataclass(frozen=True)
 class EffectConfig:
     model: str = "lasso"
@@ -68,12 +57,14 @@ def propensity(train: DataFrame, test: DataFrame, feats: list[str], med: dict, n
             key = f"{name}:{k}"
             models.append((key, k, pen))
             scales[key] = sd_of(total - st[str(k)]) if k is not None and str(k) in st else sd_of(total)
-    betas, loss = lg.fit_many(tr, feats, "_a", "fold", models, scales)
+    betas, loss, converged = lg.fit_many(tr, feats, "_a", "fold", models, scales)
     rows = []
     for name, _ in PENALTIES:
         fl = [loss[f"{name}:{k}"] for k in range(n_folds) if loss.get(f"{name}:{k}", (0, 0))[1] > 0]
-        rows.append((name, float(np.mean([a / n for a, n in fl])) if fl else float("inf")))
-    best = min(rows, key=lambda t: t[1])[0]
+        ok = all(converged[f"{name}:{k}"] for k in [*range(n_folds), None])
+        rows.append((name, float(np.mean([a / n for a, n in fl])) if fl else float("inf"), ok))
+    # an unconverged penalty is chosen only if none converged; the table says so
+    best = min(rows, key=lambda t: (not t[2], t[1]))[0]
     oof_p = None
     for k in range(n_folds):
         oof_p = F.when(F.col("fold") == k, lg.prob_col(betas[f"{best}:{k}"], feats)) if oof_p is None else \
@@ -82,7 +73,7 @@ def propensity(train: DataFrame, test: DataFrame, feats: list[str], med: dict, n
     te = test.select("_row", *imp)
     te_p = te.select("_row", clamp(lg.prob_col(betas[f"{best}:None"], feats), EPS, 1 - EPS).alias("e_hat"))
     spark = train.sparkSession
-    loss_table = spark.createDataFrame(rows, "name string, mean_log_loss double")
+    loss_table = spark.createDataFrame(rows, "name string, mean_log_loss double, converged boolean")
     return oof, te_p, loss_table
 
 
@@ -103,9 +94,7 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     test = ev.where(F.col("split") == "test")
     folds = rs.grouped_folds(train, cfg.n_folds, "id", cfg.seed)
     train = train.join(folds, "id").cache()
-    _lap('start')
     med = lin.medians(train, feats)
-    _lap('medians')
     imp = lin.imputed(feats, med)
     grid = lin.linear_grid(cfg.model)
     # arm models tuned by grouped CV on each arm
@@ -115,13 +104,11 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
         cv, st = lin.cv_linear(part, feats, "Y_star", "fold", cfg.model, grid, med)
         best = lin.best_setting(mt.cv_summary(cv, ("param_id",)), grid, "r2")
         fits[arm] = (best, lin.fit_linear(st["total"], feats, med, cfg.model, **best))
-        _lap(f'arm {arm} tuned')
     mu1, mu0 = fits[1][1].predict_col(), fits[0][1].predict_col()
     # cross-fitted outcomes: statistics per (fold, arm) in one pass
     keyed = train.select(F.concat_ws(":", F.col("fold").cast("string"), F.col("A_star").cast("string")).alias("_g"),
                          F.col("Y_star").cast("double").alias("y"), *imp)
     stats = lin.gram_stats(keyed, feats, "y", "_g")
-    _lap('cross-fit stats')
     rows = []
     for k in range(cfg.n_folds):
         for arm in (1, 0):
@@ -142,7 +129,6 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
              .groupBy("_row").agg(F.max(F.when(F.col("arm") == 1, F.col("mu"))).alias("mu1_cf"),
                                   F.max(F.when(F.col("arm") == 0, F.col("mu"))).alias("mu0_cf")))
     e_oof, e_test, losses = propensity(train, test, feats, med, cfg.n_folds)
-    _lap('propensity')
     dr = (tr_imp.join(cross, "_row").join(e_oof, "_row")
           .where(F.col("mu1_cf").isNotNull() & F.col("mu0_cf").isNotNull()))      # Q16: rows without both arms dropped
     a, y = F.col("A_star").cast("double"), F.col("Y_star")
@@ -150,7 +136,6 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     # effect regression: OLS of the pseudo-outcome on the features
     st_dr = lin.gram_stats(dr.select(F.col("psi").alias("y"), *[F.col(f"`{c}`") for c in feats]), feats, "y")
     te_fit = lin.fit_linear(st_dr["all"], feats, med, "ols")
-    _lap('dr regression')
     out = (test.join(e_test, "_row")
            .select(*[F.col(f"`{c}`") for c in test.columns if c not in ("_row", "split")], "e_hat",
                    mu1.alias("Yhat_treated"), mu0.alias("Yhat_control"), te_fit.predict_col().alias("tau_hat_dr")))
@@ -159,7 +144,6 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     ate = mt.average_effect(out, "tau_hat").first()
     ate_dr = mt.average_effect(out, "tau_hat_dr").first()
     fit_q = mt.regression_metrics(out, "Y_star", "Yhat_obs").first()
-    _lap('test scored')
     samples = mt.cluster_bootstrap_mean(out, ("tau_hat", "tau_hat_dr"), "id", cfg.n_boot, cfg.seed).cache()
     ci = samples.agg(F.percentile("tau_hat_bs", F.array(F.lit(0.025), F.lit(0.975))).alias("a"),
                      F.percentile("tau_hat_dr_bs", F.array(F.lit(0.025), F.lit(0.975))).alias("d")).first()

@@ -69,6 +69,22 @@ def test_ewm_with_missing_rows_matches_pandas(spark):
     assert ewm_lookback(0.3) == 109 and ewm_lookback(0.1) == 369
 
 
+def test_ewm_after_long_and_many_gaps_matches_pandas(spark):
+    from cohortflow.operators.features import ewm_past
+    rng = np.random.default_rng(8)
+    series = {1: [5.0] + [None] * 400 + [2.0] + [None] * 110 + [9.0, None],                       # gaps beyond either look-back
+              2: [float(rng.uniform()) if rng.random() < 0.08 else None for _ in range(900)],     # sparse all the way
+              3: [None] * 30, 4: [float(rng.uniform()) for _ in range(500)]}
+    rows = [(i, d, v) for i, vs in series.items() for d, v in enumerate(vs)]
+    cfg = CFG.__class__(id_col="id", day_col="day", date_col=None)
+    got = ewm_past(spark.createDataFrame(rows, "id long, day int, x double"), cfg, ["x"]).toPandas()
+    for i, vs in series.items():
+        own = got[got.id == i].sort_values("day")
+        for tag, a in (("a03", 0.3), ("a10", 0.1)):
+            exp = pd.Series(vs, dtype=float).ewm(alpha=a, adjust=False).mean().shift(1)
+            np.testing.assert_allclose(own[f"x_ewm_{tag}"].to_numpy(float), exp.to_numpy(float), equal_nan=True, rtol=1e-11)
+
+
 def test_treatment_history_and_no_treatment_column(spark):
     rows = [(7, d, 5.0, 1.0, 1.0, t, 1) for d, t in zip(range(1, 9), [1, 0, 0, 1, 0, 0, 0, 0])]
     p = _panel(spark, rows)

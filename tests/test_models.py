@@ -96,8 +96,9 @@ def test_logistic_irls_matches_newton(spark):
     pdf["a"], pdf["fold"] = a, 0
     df = spark.createDataFrame(pdf)
     sd = X.std(0)
-    betas, _ = lg.fit_many(df, ["x0", "x1", "x2"], "a", "fold", [("l2", None, "l2"), ("none", None, None)],
+    betas, _, converged = lg.fit_many(df, ["x0", "x1", "x2"], "a", "fold", [("l2", None, "l2"), ("none", None, None)],
                            {"l2": sd, "none": sd})
+    assert converged == {"l2": True, "none": True}
     Z = np.c_[X, np.ones(n)]
     for name, R in (("l2", np.diag(np.append(sd ** 2, 0.0))), ("none", np.zeros((4, 4)))):
         b = np.zeros(4)
@@ -145,21 +146,37 @@ def test_bootstrap_refits_equal_explicit_refits(spark):
 
 def test_permutation_shapley_linear_is_exact(spark):
     """For a linear model and one background point every permutation gives coef*(x - bg)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from cohortflow.operators.explain import permutation_shapley
+    from cohortflow.operators.explain import HYBRIDS, permutation_shapley, shapley_rows
     rng = np.random.default_rng(9)
     X = rng.normal(size=(200, 3))
-    pdf = pd.DataFrame(X, columns=["a", "b", "c"])
-    pdf["y"] = 1.5 * X[:, 0] - 2 * X[:, 1] + 0.3 * X[:, 2]
-    df = spark.createDataFrame(pdf)
-    va = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
-    model = LinearRegression(regParam=0.0, labelCol="y").fit(va.transform(df))
-    rows = df.limit(5).select(F.monotonically_increasing_id().alias("_rid"), "a", "b", "c").cache()
-    bg = [0.1, -0.2, 0.3]
-    got = permutation_shapley(model.transform, rows, ["a", "b", "c"], bg, n_perm=4, per_row=True).toPandas()
-    rp = rows.toPandas().set_index("_rid")
-    coef = model.coefficients.toArray()
-    for _, r in got.iterrows():
-        j = ["a", "b", "c"].index(r.feature)
-        assert r.phi == pytest.approx(coef[j] * (rp.loc[r._rid, r.feature] - bg[j]), abs=1e-9)
+    coef, bg = np.array([1.5, -2.0, 0.3]), np.array([0.1, -0.2, 0.3])
+    rows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "_rid long, a double, b double, c double")
+    got = permutation_shapley(lambda m: m @ coef, rows, ["a", "b", "c"], list(bg), n_perm=4, per_row=True).toPandas()
+    wide = got.pivot(index="_rid", columns="feature", values="phi").sort_index()[["a", "b", "c"]].to_numpy()
+    np.testing.assert_allclose(wide, (X - bg) * coef, atol=1e-9)
+    top = permutation_shapley(lambda m: m @ coef, rows, ["a", "b", "c"], list(bg), n_perm=4).collect()
+    assert [r["feature"] for r in top][-1] == "c"
+    assert top[0]["mean_abs_shap"] == pytest.approx(np.abs((X - bg) * coef).mean(axis=0).max())
+    # a full Arrow batch never holds more than HYBRIDS vectors at once
+    sizes = []
+    shapley_rows(lambda m: (sizes.append(len(m)), m.sum(axis=1))[1], rng.normal(size=(3000, 74)), np.zeros(74), np.array([rng.permutation(74)]))
+    assert max(sizes) <= HYBRIDS and sum(sizes) == 3000 * 75
+
+
+def test_flat_trees_equal_the_model(spark):
+    from cohortflow.operators import trees as tr
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(400, 4))
+    df = spark.createDataFrame([(int(i), *map(float, x), float(x[0] * 2 + (x[1] > 0) + rng.normal() * 0.1)) for i, x in enumerate(X)], "id long, a double, b double, c double, d double, y double")
+    a = tr.assemble(df, ["a", "b", "c", "d"], {}, ["id", "y"])
+    model = tr.fit_forest(a, "y", 12, 5, 2)
+    flat = tr.flat_trees(model, spark)
+    want = np.array([r["prediction"] for r in model.transform(a).orderBy("id").collect()])
+    np.testing.assert_allclose(flat.mean(X), want, rtol=1e-12)
+    one = np.stack([[t.predict(v) for t in model.trees] for v in (r["features"] for r in a.orderBy("id").limit(5).collect())])
+    np.testing.assert_allclose(flat.predict(X[:5]), one, rtol=1e-12)
+    iv = tr.forest_interval(model, a, bounds=(-10, 10)).orderBy("id").toPandas()
+    np.testing.assert_allclose(iv.y_pred_lo.to_numpy()[:5], np.quantile(one, 0.1, axis=1), rtol=1e-12)
+    assert (iv.y_pred_lo <= iv.y_pred_median).all() and (iv.y_pred_median <= iv.y_pred_hi).all()
+    with pytest.raises(ValueError):
+        tr.fit_forest(a, "y", 2, 31)
