@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.operators.quantiles import _POS_BITS
+from cohortflow.operators.quantiles import RowSet, column_quantiles
 
 
 def mean_of_id_means_by_day(df: DataFrame, day_col: str = "days_since_start", id_col: str = "id",
@@ -76,9 +76,8 @@ def abs_correlation(df: DataFrame, cols: list[str], flag_lo: float = 0.95) -> Da
 
 def kde_grid(df: DataFrame, col: str, n_grid: int = 200, min_count: int = 10) -> DataFrame:
     """Gaussian kernel density on ``linspace(min, max, n_grid)`` with Scott's bandwidth
-    ``h = sd * n^(-1/5)`` (A23).  Values are first reduced to (value, multiplicity),
-    each distinct value emits its contribution to every grid point, and the grid
-    aggregate is combined map-side.  Exact; no join."""
+    ``h = sd * n^(-1/5)`` (A23).  Every value emits its contribution to every grid point and
+    the sums are combined map-side: what is shuffled is ``n_grid`` rows a task.  Exact; no join."""
     x = F.col(col).cast("double")
     st = df.where(x.isNotNull() & ~F.isnan(x)).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"),
                                                     F.min(x).alias("lo"), F.max(x).alias("hi")).first()
@@ -88,7 +87,7 @@ def kde_grid(df: DataFrame, col: str, n_grid: int = 200, min_count: int = 10) ->
     n, lo, hi = int(st["n"]), float(st["lo"]), float(st["hi"])
     h = float(st["sd"]) * n ** (-0.2)
     step = (hi - lo) / (n_grid - 1)
-    vals = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    vals = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("v"), F.lit(1).alias("m"))       # no shuffle: the grid sum combines map-side
     g = F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("g")
     e = vals.select("v", "m", g)
     gx = F.when(F.col("g") == n_grid - 1, F.lit(hi)).otherwise(F.lit(lo) + F.col("g") * F.lit(step))
@@ -99,47 +98,17 @@ def kde_grid(df: DataFrame, col: str, n_grid: int = 200, min_count: int = 10) ->
                        (F.col("s") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density")).orderBy("g")
 
 
-def grouped_exact_quantiles(df: DataFrame, group_col: str, col: str, probs, partitions: int | None = None) -> DataFrame:
+def grouped_exact_quantiles(df: DataFrame, group_col: str, col: str, probs) -> DataFrame:
     """Exact per-group quantiles (numpy linear) for a small number of large groups.
 
-    Same range-partitioned rank as ``quantiles.exact_quantiles``; group offsets
-    come from the per-group counts (one row per group).  Returns (group, q, value).
+    Returns (group, q, value); the groups with a value are read first, then all of them share
+    the counting passes of ``quantiles.column_quantiles``.
     """
-    x = df.select(F.col(group_col).alias("_g"), F.col(col).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x") & F.col("_g").isNotNull())
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    ranked = (x.select("_g", "_x", F.monotonically_increasing_id().alias("_t"))
-              .repartitionByRange(parts, "_g", "_x", "_t").sortWithinPartitions("_g", "_x", "_t")
-              .select("_g", "_x", F.monotonically_increasing_id().alias("_m")))
-    ranked = ranked.select("_g", "_x", F.shiftright("_m", _POS_BITS).alias("_p"),
-                           (F.col("_m") - F.shiftleft(F.shiftright("_m", _POS_BITS), _POS_BITS)).alias("_i")).persist()
-    try:
-        psz = sorted((r["_p"], r["count"]) for r in ranked.groupBy("_p").count().collect())
-        gsz = sorted((r["_g"], r["count"]) for r in ranked.groupBy("_g").count().collect())
-        poff, acc = {}, 0
-        for p, c in psz:
-            poff[p] = acc
-            acc += c
-        goff, acc = {}, 0
-        need, plan = set(), []
-        for g, c in gsz:
-            goff[g] = acc
-            for q in probs:
-                pos = q * (c - 1)
-                lo = int(math.floor(pos))
-                hi = min(lo + 1, c - 1)
-                plan.append((g, q, acc + lo, acc + hi, pos - lo))
-                need.update((acc + lo, acc + hi))
-            acc += c
-        off_col = F.create_map(*[v for p, o in poff.items() for v in (F.lit(p), F.lit(o))])
-        picked = ranked.select("_x", (off_col[F.col("_p")] + F.col("_i")).alias("_r")).where(F.col("_r").isin(sorted(need))).collect()
-    finally:
-        ranked.unpersist()
-    at = {r["_r"]: r["_x"] for r in picked}
-    rows = [(g, float(q), at[lo] + (at[hi] - at[lo]) * fr) for g, q, lo, hi, fr in plan]
+    groups = [r[0] for r in df.where(F.col(group_col).isNotNull() & F.col(col).isNotNull()).select(group_col).distinct().orderBy(group_col).collect()]
+    got = column_quantiles(df, [col], list(probs), group_col, tuple(RowSet(g) for g in groups)) if groups else {}
+    rows = [(g, float(q), v) for g in groups for q, v in zip(probs, got[(RowSet(g), col)]) if v is not None]
     gtype = df.schema[group_col].dataType.simpleString()
-    return spark.createDataFrame(rows, f"{group_col} {gtype}, q double, value double")
+    return df.sparkSession.createDataFrame(rows, f"{group_col} {gtype}, q double, value double")
 
 
 def box_stats(df: DataFrame, group_col: str = "dow", col: str = "U_t") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.functions.scalar import scrub_nonfinite
+from cohortflow.operators.quantiles import RowSet, column_quantiles
 
 
 # ----------------------------------------------------------------------------- statistics
@@ -35,17 +36,19 @@ from cohortflow.functions.scalar import scrub_nonfinite
 def medians(df: DataFrame, features: list[str]) -> dict[str, float]:
     """Exact median per feature on the rows given, 0 when a feature has no value.
 
-    The features are stacked into (feature, value) and ranked in one range-partitioned
-    pass (``describe.grouped_exact_quantiles``), not one ``percentile`` buffer per column.
+    Found by counting passes that all features share (``quantiles.column_quantiles``).
     """
-    from cohortflow.operators.describe import grouped_exact_quantiles
     if not features:
         return {}
-    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
-    long = df.selectExpr(f"stack({len(features)}, {stack}) as (feature, value)")
-    q = grouped_exact_quantiles(long, "feature", "value", [0.5]).collect()
-    got = {r["feature"]: r["value"] for r in q}
-    return {f: float(got.get(f, 0.0) if got.get(f) is not None else 0.0) for f in features}
+    got = column_quantiles(df, features, [0.5])
+    return {f: float(got[(RowSet(), f)][0] or 0.0) for f in features}
+
+
+def fold_medians(df: DataFrame, features: list[str], fold_col: str, folds: list) -> dict:
+    """{None: medians of all rows, k: medians of the rows outside fold k} in the same passes."""
+    sets = (RowSet(), *[RowSet(k, True) for k in folds])
+    got = column_quantiles(df, features, [0.5], fold_col, sets)
+    return {k: {f: float(got[(s, f)][0] or 0.0) for f in features} for k, s in zip([None, *folds], sets)}
 
 
 def imputed(features: list[str], med: dict[str, float]) -> list[Column]:
@@ -269,56 +272,101 @@ def linear_grid(kind: str) -> list[dict]:
     raise ValueError(kind)
 
 
+def fold_grams(df: DataFrame, features: list[str], meds: dict) -> dict:
+    """Gram statistics of every training set: {None: all rows, k: rows outside fold k}, each
+    imputed with its own medians, in one pass over (``_fold``, ``_y``, features with NULLs)."""
+    keys = list(meds)
+    fill = np.array([[meds[k][f] for f in features] for k in keys])
+    m = len(features) + 1
+
+    def fold(batches):
+        acc = np.zeros((len(keys), m * m + m + 1))
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=float)
+            x[~np.isfinite(x)] = np.nan
+            y, f = pdf["_y"].to_numpy(dtype=float), pdf["_fold"].to_numpy()
+            for i, k in enumerate(keys):
+                use = slice(None) if k is None else f != k
+                z = np.ones((len(y[use]), m))
+                z[:, :-1] = np.where(np.isnan(x[use]), fill[i], x[use])
+                acc[i] += np.concatenate([(z.T @ z).ravel(), z.T @ y[use], [y[use] @ y[use]]])
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(keys), dtype=np.int32), acc.shape[1]),
+                            "pos": np.tile(np.arange(acc.shape[1], dtype=np.int32), len(keys)), "v": acc.ravel()})
+
+    parts = df.mapInPandas(fold, "i int, pos int, v double").groupBy("i", "pos").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for i, part in parts.groupby("i"):
+        vec = np.zeros(m * m + m + 1)
+        vec[part["pos"].to_numpy()] = part["v"].to_numpy()
+        out[keys[int(i)]] = Gram(vec[:m * m].reshape(m, m), vec[m * m:m * m + m], float(vec[-1]))
+    return out
+
+
 def cv_linear(df: DataFrame, features: list[str], label: str, fold_col: str, kind: str,
-              grid: list[dict] | None = None, med: dict | None = None) -> tuple[DataFrame, dict]:
+              grid: list[dict] | None = None) -> tuple[DataFrame, dict]:
     """Grid search with grouped folds and two metrics.
 
-    One pass for per-fold statistics, a driver solve per (setting, fold), one pass
-    to score every (setting, fold) on its held-out rows.  Returns the CV table
-    (param_id, params, fold, mae, r2) and the fitted statistics for reuse.
+    Medians and statistics come from the training part of each fold, as in a pipeline that is
+    refitted per fold.  The narrow input is read by a few counting passes (medians), one pass for
+    the statistics of all training sets, and one that scores every setting on its held-out rows:
+    a matrix product per Arrow batch and (setting, fold) sums, so no row is multiplied by the
+    grid.  Returns the CV table (param_id, params, fold, mae, r2) and what a refit needs.
     """
     from pyspark import StorageLevel
     spark = df.sparkSession
     grid = grid if grid is not None else linear_grid(kind)
-    # the narrow projection is read by three passes (medians, statistics, scoring):
-    # persist it once (memory, spilling to disk) and release it before returning
     base = (df.select(F.col(fold_col).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"),
-                      *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+                      *[scrub_nonfinite(F.col(f"`{f}`").cast("double")).alias(f) for f in features])
             .where(F.col("_y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
-    med = med if med is not None else medians(base, features)
-    imp = base.select("_fold", "_y", *imputed(features, med))
-    stats = gram_stats(imp, features, "_y", "_fold")
-    total = None
-    for v in stats.values():
-        total = v if total is None else total + v
+    try:
+        folds = sorted(r[0] for r in base.select("_fold").distinct().collect())
+        meds = fold_medians(base, features, "_fold", folds)
+        stats = fold_grams(base, features, meds)
+        order = sorted(range(len(grid)), key=lambda i: (grid[i].get("l1_ratio", 0.0), -grid[i].get("alpha", 0.0)))
+        coef = {}
+        for k in folds:
+            warm: dict = {}                                         # strongest penalty first, per l1 ratio
+            w = np.zeros((len(features) + 1, len(grid)))
+            for pid in order:
+                params = grid[pid]
+                fit = fit_linear(stats[k], features, meds[k], kind, w0=warm.get(params.get("l1_ratio")), **params)
+                warm[params.get("l1_ratio")] = fit.coef
+                w[:-1, pid], w[-1, pid] = fit.raw_coef, fit.raw_intercept
+            coef[k] = w
+        fill = {k: np.array([meds[k][f] for f in features]) for k in folds}
+        size = len(grid)
+
+        def held(batches):
+            acc = {k: np.zeros((size + 1, 4)) for k in folds}
+            for pdf in batches:
+                x, y, f = pdf[features].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), pdf["_fold"].to_numpy()
+                for k in folds:
+                    use = f == k
+                    if use.any():
+                        z = np.where(np.isnan(x[use]), fill[k], x[use])
+                        e = y[use][:, None] - (z @ coef[k][:-1] + coef[k][-1])
+                        a = acc[k]
+                        a[:size, 0] += np.abs(e).sum(axis=0)
+                        a[:size, 1] += (e * e).sum(axis=0)
+                        shift = y[use] - stats[k].zy[-1] / stats[k].n           # about the training mean: no cancellation
+                        a[size] += [use.sum(), shift.sum(), (shift * shift).sum(), 0]
+            for k, a in acc.items():
+                yield pd.DataFrame({"fold": np.int32(k), "param_id": np.arange(size + 1, dtype=np.int32), "s0": a[:, 0], "s1": a[:, 1], "s2": a[:, 2]})
+
+        sums = base.mapInPandas(held, "fold int, param_id int, s0 double, s1 double, s2 double").groupBy("fold", "param_id").agg(
+            *[F.sum(c).alias(c) for c in ("s0", "s1", "s2")]).toPandas().set_index(["fold", "param_id"])       # folds x settings rows
+    finally:
+        base.unpersist()
     rows = []
-    # warm start along the path: strongest penalty first, per fold and l1 ratio
-    order = sorted(range(len(grid)), key=lambda i: (grid[i].get("l1_ratio", 0.0), -grid[i].get("alpha", 0.0)))
-    for fk, fs in stats.items():
-        train = total - fs
-        warm = {}
-        for pid in order:
-            params = grid[pid]
-            key = params.get("l1_ratio")
-            fit = fit_linear(train, features, med, kind, w0=warm.get(key), **params)
-            warm[key] = fit.coef
-            rows.append((pid, {k: str(v) for k, v in params.items()}, int(fk), float(fit.raw_intercept),
-                         [float(x) for x in fit.raw_coef]))
-    coefs = spark.createDataFrame(rows, "param_id int, params map<string,string>, _fold int, b double, w array<double>")
-    x = F.array(*[F.col(f"`{f}`") for f in features]) if features else F.array().cast("array<double>")
-    scored = imp.select("_fold", "_y", x.alias("_x")).join(F.broadcast(coefs), "_fold")
-    yhat = F.col("b") + F.aggregate(F.zip_with("w", "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    e = F.col("_y") - yhat
-    n = F.count(F.lit(1))
-    sst = F.var_pop("_y") * n
-    cv = (scored.groupBy("param_id", "_fold").agg(
-        F.first("params").alias("params"), F.avg(F.abs(e)).alias("mae"),
-        F.when((n >= 2) & (sst > 0), F.lit(1.0) - F.sum(e * e) / sst).alias("r2"))
-        .withColumnRenamed("_fold", "fold"))
-    # settings x folds rows: materialise, then drop the cached input
-    cv = spark.createDataFrame(cv.collect(), cv.schema)
-    base.unpersist()
-    return cv, {"stats": stats, "total": total, "medians": med, "grid": grid}
+    for k in folds:
+        n, s, ss = sums.loc[(k, size)]
+        sst = ss - s * s / n if n else 0.0
+        for pid, params in enumerate(grid):
+            sae, sse, _ = sums.loc[(k, pid)]
+            r2 = float(1 - sse / sst) if n >= 2 and sst > 1e-12 * max(1.0, ss) else None
+            rows.append((pid, {a: str(b) for a, b in params.items()}, int(k), float(sae / n), r2))
+    cv = spark.createDataFrame(rows, "param_id int, params map<string,string>, fold int, mae double, r2 double")
+    return cv, {"stats": stats, "total": stats[None], "medians": meds[None], "grid": grid}
 
 
 def best_setting(cv_summary: DataFrame, grid: list[dict], refit: str = "r2") -> dict:

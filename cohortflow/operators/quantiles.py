@@ -1,62 +1,154 @@
-"""Exact quantiles (numpy's linear interpolation) without collecting a column.
-
-``percentile`` is exact but buffers every value of a group in one aggregation
-buffer, so it is only used on small, bounded inputs (bootstrap replicates,
-calibration bins).  For whole columns the values are range-partitioned on
-(value, tie-breaker) -- a hot value spreads over many partitions -- sorted
-inside each partition, and a global rank is partition offset + position in the
-partition.  Only the rows at the needed ranks (two per probability) reach the
-driver.
+"""Exact quantiles (numpy's linear interpolation) by counting, without moving rows.
+
+A float64 is mapped to an unsigned integer of the same order, and the integer is read 16 bits at
+a time.  A pass counts, for every wanted rank, the values by their next 16 bits among those that
+share the bits found so far; tasks count in numpy and Spark sums the counts, so what is shuffled
+is a histogram and never a row.  A window over the histogram finds the bits that hold the rank.
+Four passes give the order statistic exactly; as soon as few values are left in all, they are
+fetched instead.  Any number of columns, row sets (folds, groups) and ranks share the passes.
+
+``percentile``, which buffers a group's values, is used only on small, bounded inputs (bootstrap
+replicates, calibration bins).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_BITS = 33  # layout of monotonically_increasing_id: partition id << 33 | row index
+DIGIT = 16
+#: values still in question, over all ranks, that are fetched instead of counted once more
+FEW = 50_000
+_SIGN = np.uint64(1 << 63)
+
+
+@dataclass(frozen=True)
+class RowSet:
+    """All rows (``value`` None), the rows whose ``set_col`` is ``value``, or all others."""
+    value: object = None
+    without: bool = False
+
+
+def _order_bits(x: np.ndarray) -> np.ndarray:
+    bits = (x + 0.0).view(np.uint64)                       # + 0.0 makes -0.0 and 0.0 one value
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def _values(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits & _SIGN, bits & ~_SIGN, ~bits).view(np.float64)
 
 
-def _targets(n: int, probs):
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], set_col: str | None = None,
+                     sets: tuple[RowSet, ...] = (RowSet(),)) -> dict[tuple[RowSet, str], list[float | None]]:
+    """Quantiles of every column over every row set, equal to ``numpy.quantile``; NULL and NaN are ignored."""
+    names = [f"x{i}" for i in range(len(cols))]
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols, names)],
+                     *([F.col(set_col).alias("s")] if set_col else []))
+    spark = df.sparkSession
+    targets = {(k, j): [np.uint64(0)] for k in range(len(sets)) for j in range(len(cols))}      # prefixes in question
+
+    def picked(batch, k):
+        s = sets[k]
+        if s.value is None:
+            return np.ones(batch.num_rows, dtype=bool)
+        same = np.array([v == s.value for v in batch.column("s").to_pylist()])
+        known = np.array([v is not None for v in batch.column("s").to_pylist()])
+        return (~same & known) if s.without else same
+
+    def pass_over(step: int, wanted: dict, fetch: bool):
+        """Counts (t, digit, n) of every prefix, or its values (t, bits)."""
+        high = 64 - DIGIT * step                                    # bits below the prefix
+        flat = [(k, j, p) for (k, j), ps in sorted(wanted.items()) for p in ps]
+
+        def run(batches):
+            counts: dict = {}
+            for batch in batches:
+                rows = {k: picked(batch, k) for k in {k for k, _, _ in flat}}
+                bits, ok = {}, {}
+                for t, (k, j, p) in enumerate(flat):
+                    if j not in bits:
+                        x = np.asarray(batch.column(names[j]).to_numpy(zero_copy_only=False), dtype=np.float64)
+                        bits[j], ok[j] = _order_bits(x), ~np.isnan(x)
+                    use = rows[k] & ok[j]
+                    if step:
+                        use &= (bits[j] >> np.uint64(high)) == p
+                    own = bits[j][use]
+                    if fetch:
+                        if len(own):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.ones(len(own), dtype=np.int64))], ["t", "digit", "n"])
+                    elif len(own):
+                        digit, many = np.unique((own >> np.uint64(high - DIGIT)) & np.uint64((1 << DIGIT) - 1), return_counts=True)
+                        mine = counts.setdefault(t, {})
+                        for d, m in zip(digit.tolist(), many.tolist()):
+                            mine[d] = mine.get(d, 0) + m
+            for t, mine in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), t, dtype=np.int32)), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["t", "digit", "n"])
+
+        return flat, data.mapInArrow(run, "t int, digit bigint, n bigint")
+
+    # counts of the sets fix the ranks wanted
+    need: dict = {}
+    rank: dict = {}
+    for step in range(64 // DIGIT):
+        flat, hist = pass_over(step, targets, False)
+        hist = hist.groupBy("t", "digit").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("t").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)    # at most 65,536 rows
+        cum = hist.withColumn("upto", F.sum("n").over(upto))
+        if step == 0:
+            cum = cum.persist()                                     # the histogram of the first digits: read for the sizes, too
+            sizes = {r["t"]: r["n"] for r in cum.groupBy("t").agg(F.max("upto").alias("n")).collect()}
+            for t, (k, j, _) in enumerate(flat):
+                n = sizes.get(t, 0)
+                spots = []
+                for q in probs:
+                    pos = q * (n - 1)
+                    lo = int(math.floor(pos))
+                    spots.append((lo, min(lo + 1, n - 1), pos - lo))
+                need[(k, j)] = (n, spots)
+                for r in sorted({r for lo, hi, _ in spots for r in (lo, hi)}) if n else []:
+                    rank[(k, j, r)] = (np.uint64(0), r)             # prefix so far, rank among its values
+        at = {(k, j, int(p)): t for t, (k, j, p) in enumerate(flat)}
+        rows = [(at[(k, j, int(p))], k, j, r, left) for (k, j, r), (p, left) in rank.items()]
+        if not rows:
+            break
+        asked = spark.createDataFrame(rows, "t int, k int, j int, r bigint, rest bigint")       # columns x sets x ranks rows
+        hit = (cum.join(F.broadcast(asked), "t").where((F.col("rest") < F.col("upto")) & (F.col("rest") >= F.col("upto") - F.col("n")))
+               .select("k", "j", "r", "digit", "n", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")).collect())
+        if step == 0:
+            cum.unpersist()
+        inside: dict = {}
+        for h in hit:
+            p = (rank[(h["k"], h["j"], h["r"])][0] << np.uint64(DIGIT)) | np.uint64(h["digit"])
+            rank[(h["k"], h["j"], h["r"])] = (p, h["rest"])
+            inside[(h["k"], h["j"], int(p))] = h["n"]
+        targets = {}
+        for k, j, p in inside:
+            targets.setdefault((k, j), []).append(np.uint64(p))
+        if step + 1 < 64 // DIGIT and sum(inside.values()) <= FEW:
+            flat, left = pass_over(step + 1, targets, True)
+            found: dict = {}
+            for r in left.select("t", "digit").collect():
+                found.setdefault(r["t"], []).append(r["digit"])
+            at = {(k, j, int(p)): np.sort(np.array(found[t], dtype=np.int64).view(np.uint64)) for t, (k, j, p) in enumerate(flat) if t in found}
+            rank = {key: (at[(key[0], key[1], int(p))][rest], 0) for key, (p, rest) in rank.items()}
+            break
+    value = {key: float(_values(np.array([p], dtype=np.uint64))[0]) for key, (p, _) in rank.items()}
     out = {}
-    for q in probs:
-        pos = q * (n - 1)
-        lo = int(math.floor(pos))
-        out[q] = (lo, min(lo + 1, n - 1), pos - lo)
+    for k, s in enumerate(sets):
+        for j, c in enumerate(cols):
+            n, spots = need.get((k, j), (0, []))
+            out[(s, c)] = [value[(k, j, lo)] + (value[(k, j, hi)] - value[(k, j, lo)]) * f for lo, hi, f in spots] if n else [None] * len(probs)
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, partitions: int | None = None) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs) -> list[float | None]:
     """Quantiles of a numeric column, equal to ``numpy.quantile`` (NULL/NaN ignored)."""
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    ranked = (x.select("_x", F.monotonically_increasing_id().alias("_t"))
-              .repartitionByRange(parts, "_x", "_t").sortWithinPartitions("_x", "_t")
-              .select("_x", F.monotonically_increasing_id().alias("_m")))
-    ranked = ranked.select("_x", F.shiftright("_m", _POS_BITS).alias("_p"),
-                           (F.col("_m") - F.shiftleft(F.shiftright("_m", _POS_BITS), _POS_BITS)).alias("_i"))
-    ranked = ranked.persist()
-    try:
-        sizes = sorted(ranked.groupBy("_p").count().collect())        # one row per partition
-        n = sum(r["count"] for r in sizes)
-        if n == 0:
-            return [None for _ in probs]
-        offsets, acc = {}, 0
-        for r in sizes:
-            offsets[r["_p"]] = acc
-            acc += r["count"]
-        tg = _targets(n, probs)
-        need = sorted({k for lo, hi, _ in tg.values() for k in (lo, hi)})
-        off_col = F.create_map(*[v for p, o in offsets.items() for v in (F.lit(p), F.lit(o))])
-        picked = (ranked.select("_x", (off_col[F.col("_p")] + F.col("_i")).alias("_r"))
-                  .where(F.col("_r").isin(need)).collect())
-    finally:
-        ranked.unpersist()
-    at = {r["_r"]: r["_x"] for r in picked}
-    return [at[lo] + (at[hi] - at[lo]) * frac for lo, hi, frac in (tg[q] for q in probs)]
+    return column_quantiles(df, [col], list(probs))[(RowSet(), col)]
 
 
 def grouped_percentiles(df: DataFrame, group_cols, col: str, probs) -> DataFrame:

@@ -115,11 +115,11 @@ def bootstrap_weights_by(df: DataFrame, by: str, n_boot: int = 300, id_col: str
     ``by`` has few values (horizons, models): their id counts are collected and give each group
     its range of the draw table.
     """
-    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("h", hash_bigint(seed, F.col(id_col)))
-    ids = ids.withColumn("_bk", F.shiftright("h", HASH_HEX_DIGITS * 4 - BUCKET_BITS))
+    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("_h", hash_bigint(seed, F.col(id_col)))
+    ids = ids.withColumn("_bk", F.shiftright("_h", HASH_HEX_DIGITS * 4 - BUCKET_BITS))
     before = Window.partitionBy(by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)       # at most 65,536 rows a group
     sizes = ids.groupBy(by, "_bk").agg(F.count(F.lit(1)).alias("_sz")).withColumn("_off", F.coalesce(F.sum("_sz").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(by, "_bk").orderBy("h", id_col)) - 1
+    within = F.row_number().over(Window.partitionBy(by, "_bk").orderBy("_h", id_col)) - 1
     ranked = ids.withColumn("_rk", within).join(sizes.drop("_sz"), [by, "_bk"]).select(by, id_col, (F.col("_off") + F.col("_rk")).cast("bigint").alias("rank"))
     counts = sorted((r[0], r[1]) for r in ids.groupBy(by).agg(F.count(F.lit(1))).collect())
     draws = None

@@ -101,9 +101,9 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     fits = {}
     for arm in (1, 0):
         part = train.where(F.col("A_star") == arm)
-        cv, st = lin.cv_linear(part, feats, "Y_star", "fold", cfg.model, grid, med)
+        cv, st = lin.cv_linear(part, feats, "Y_star", "fold", cfg.model, grid)
         best = lin.best_setting(mt.cv_summary(cv, ("param_id",)), grid, "r2")
-        fits[arm] = (best, lin.fit_linear(st["total"], feats, med, cfg.model, **best))
+        fits[arm] = (best, lin.fit_linear(st["total"], feats, st["medians"], cfg.model, **best))
     mu1, mu0 = fits[1][1].predict_col(), fits[0][1].predict_col()
     # cross-fitted outcomes: statistics per (fold, arm) in one pass
     keyed = train.select(F.concat_ws(":", F.col("fold").cast("string"), F.col("A_star").cast("string")).alias("_g"),

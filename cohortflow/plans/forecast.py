@@ -63,7 +63,7 @@ def horizon_sweep(features: DataFrame, cfg: SweepConfig = SweepConfig()):
                          F.col("y").cast("double").alias("y"), *imp_cols)
     stats = lin.gram_stats(tv, feats, "y", "_g")
     grid = lin.linear_grid(cfg.model)
-    cv, _ = lin.cv_linear(trainval.where(F.col("h") == 1), feats, "y", "fold", cfg.model, grid, med)
+    cv, _ = lin.cv_linear(trainval.where(F.col("h") == 1), feats, "y", "fold", cfg.model, grid)
     cvs = mt.cv_summary(cv, ("param_id",))
     best = lin.best_setting(cvs, grid, "r2") if hs else {}
     rows = []

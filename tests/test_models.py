@@ -180,3 +180,68 @@ def test_flat_trees_equal_the_model(spark):
     assert (iv.y_pred_lo <= iv.y_pred_median).all() and (iv.y_pred_median <= iv.y_pred_hi).all()
     with pytest.raises(ValueError):
         tr.fit_forest(a, "y", 2, 31)
+
+
+def test_column_quantiles_equal_numpy_in_every_set(spark):
+    from cohortflow.operators import quantiles as q
+    rng = np.random.default_rng(12)
+    n = 3000
+    cols = {"a": rng.normal(size=n), "b": rng.integers(-3, 4, n).astype(float), "c": np.where(rng.random(n) < 0.4, np.nan, rng.lognormal(sigma=8, size=n)),
+            "d": np.full(n, np.nan), "e": np.where(rng.random(n) < 0.5, -0.0, 0.0)}
+    g = rng.integers(0, 3, n)
+    rows = [(int(s), *[None if np.isnan(v[i]) else float(v[i]) for v in cols.values()]) for i, s in enumerate(g)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, d double, e double").repartition(5)
+    sets = (q.RowSet(), q.RowSet(0), q.RowSet(1, True), q.RowSet(9))
+    probs = [0.0, 0.1, 0.5, 0.975, 1.0]
+    for few in (q.FEW, 0):                                    # with the short cut, and by counting to the end
+        old, q.FEW = q.FEW, few
+        try:
+            got = q.column_quantiles(df, list(cols), probs, "g", sets)
+        finally:
+            q.FEW = old
+        for s, use in zip(sets, (np.ones(n, bool), g == 0, g != 1, g == 9)):
+            for c, v in cols.items():
+                x = v[use & ~np.isnan(v)]
+                if len(x):
+                    np.testing.assert_allclose(got[(s, c)], np.quantile(x, probs), rtol=1e-13, atol=0)
+                else:
+                    assert got[(s, c)] == [None] * len(probs)
+
+
+def test_medians_move_no_rows(spark):
+    from cohortflow.operators import quantiles as q
+    seen = []
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) % 97 AS a", "CAST(id AS DOUBLE) AS b")
+    old = type(df).collect
+
+    def spy(self):
+        seen.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return old(self)
+
+    type(df).collect = spy
+    try:
+        got = q.column_quantiles(df, ["a", "b"], [0.5])
+    finally:
+        type(df).collect = old
+    assert got[(q.RowSet(), "b")] == [2499.5] and seen
+    assert not any("Repartition" in p or "Sort [a" in p for p in seen)
+
+
+def test_cv_uses_training_fold_medians(spark):
+    rng = np.random.default_rng(5)
+    n = 300
+    x = np.where(rng.random(n) < 0.4, np.nan, rng.lognormal(size=n))
+    z, fold = rng.normal(size=n), rng.integers(0, 3, n)
+    y = np.nan_to_num(x) + z + rng.normal(size=n)
+    df = spark.createDataFrame([(int(f), None if np.isnan(a) else float(a), float(b), float(c)) for f, a, b, c in zip(fold, x, z, y)], "fold int, x double, z double, y double")
+    cv, _ = lin.cv_linear(df, ["x", "z"], "y", "fold", "ridge", [{"alpha": 0.5}])
+    for r in cv.collect():
+        tr, te = fold != r["fold"], fold == r["fold"]
+        m = np.nanmedian(x[tr])
+        X = np.c_[np.where(np.isnan(x), m, x), z]
+        mu, sd = X[tr].mean(0), X[tr].std(0)
+        S = (X - mu) / sd
+        w = np.linalg.solve(S[tr].T @ S[tr] + 0.5 * np.eye(2), S[tr].T @ (y[tr] - y[tr].mean()))
+        e = y[te] - S[te] @ w - y[tr].mean()
+        assert r["mae"] == pytest.approx(np.abs(e).mean())
+        assert r["r2"] == pytest.approx(1 - (e @ e) / ((y[te] - y[te].mean()) ** 2).sum())
