@@ -997,6 +997,7 @@ def q_s6(spark, sf):
 # ----------------------------------------------------------------------------- models
 
 from cohortflow.operators import linear as lin  # noqa: E402
+from cohortflow.operators import trees as tr  # noqa: E402
 from cohortflow.plans.features import feature_columns  # noqa: E402
 
 MODEL_COLS = ["W_t", "S_t", "U_t", "overall_wellbeing", *Q.ITEMS, "symptom_variability"]
@@ -1070,6 +1071,176 @@ def q_m10(spark, sf):
     return cv.select("param_id", "fold", "mae", "r2")
 
 
+# closed forms on one or two features: the same code as above, with SQL beside it
+
+TWO = ["overall_wellbeing", "symptom_variability"]
+
+
+def _two_spark(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    return f.join(rs.grouped_folds(f, 5), "id").where(F.col("dU_next_h1").isNotNull())
+
+
+_TWO_SQL = f"""two AS (
+  SELECT * FROM (SELECT id, day, U_t, lead(U_t, 1) {_W}) AS y_abs, lead(U_t, 1) {_W}) - U_t AS y,
+                        CAST(overall_wellbeing AS DOUBLE) AS x1, CAST(symptom_variability AS DOUBLE) AS x2 FROM panel) WHERE y IS NOT NULL),
+fold AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})),
+d AS (SELECT two.*, fold FROM two JOIN fold USING (id)),
+ks AS (SELECT range AS k FROM range(5)),
+med AS (SELECT k, coalesce(quantile_cont(x1, 0.5), 0) AS m1, coalesce(quantile_cont(x2, 0.5), 0) AS m2 FROM d, ks WHERE fold <> k GROUP BY k),
+tr AS (SELECT k, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM d JOIN med ON fold <> k),
+z AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, avg(x1) AS mu1, avg(x2) AS mu2, avg(y) AS yb, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+             covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2
+      FROM tr GROUP BY k),
+te AS (SELECT k, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM d JOIN med ON fold = k)"""
+
+
+def _cv_closed_sql(grid_sql, w1, w2):
+    return Q.with_panel(_TWO_SQL + f""",
+al AS ({grid_sql}),
+w AS (SELECT param_id, z.*, {w1} AS w1, {w2} AS w2 FROM z, al),
+p AS (SELECT param_id, te.k, te.y, yb + w1 * (x1 - mu1) / s1 + w2 * (x2 - mu2) / s2 AS p FROM te JOIN w USING (k))
+SELECT param_id, k AS fold, avg(abs(y - p)) AS mae,
+       CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) END AS r2 FROM p GROUP BY param_id, k""")
+
+
+def _grid_sql(kind):
+    rows = [f"({i}, CAST({g['alpha']!r} AS DOUBLE), CAST({g.get('l1_ratio', 1.0)!r} AS DOUBLE))" for i, g in enumerate(lin.linear_grid(kind))]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(param_id, a, l)"
+
+
+_CV_ROW = [("param_id", "i"), ("fold", "i")] + _d("mae", "r2")
+_SOFT = "sign(c1) * greatest(abs(c1) - a * l, 0) / (1 + a * (1 - l))"
+
+
+def _cv_closed(kind, feats):
+    def fn(spark, sf):
+        cv, _ = lin.cv_linear(_two_spark(spark, sf), feats, "dU_next_h1", "fold", kind)
+        return cv.select("param_id", "fold", "mae", "r2")
+    return fn
+
+
+register("m02_ridge_two_features_cv", _CV_ROW, _cv_closed_sql(
+    _grid_sql("ridge"), "((n + a) * n * c1 - n * r * n * c2) / ((n + a) * (n + a) - n * r * n * r)",
+    "((n + a) * n * c2 - n * r * n * c1) / ((n + a) * (n + a) - n * r * n * r)"))(_cv_closed("ridge", TWO))
+register("m03_lasso_one_feature_cv", _CV_ROW, _cv_closed_sql(_grid_sql("lasso"), _SOFT, "0.0"))(_cv_closed("lasso", TWO[:1]))
+register("m04_elasticnet_one_feature_cv", _CV_ROW, _cv_closed_sql(_grid_sql("elasticnet"), _SOFT, "0.0"))(_cv_closed("elasticnet", TWO[:1]))
+
+
+def _two_fit(spark, sf, alpha=1.0):
+    d = _two_spark(spark, sf)
+    med = lin.medians(d, TWO)
+    st = lin.gram_stats(d.select(F.col("dU_next_h1").alias("y"), *lin.imputed(TWO, med)), TWO, "y")["all"]
+    return d, lin.fit_linear(st, TWO, med, "ridge", alpha=alpha)
+
+
+_TWO_FIT_SQL = """m AS (SELECT coalesce(quantile_cont(x1, 0.5), 0) AS m1, coalesce(quantile_cont(x2, 0.5), 0) AS m2 FROM two),
+f AS (SELECT id, day, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM two, m),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x1) AS mu1, avg(x2) AS mu2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+             covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM f),
+w AS (SELECT *, ((n + 1) * n * c1 - n * r * n * c2) / ((n + 1) * (n + 1) - n * r * n * r) AS w1,
+             ((n + 1) * n * c2 - n * r * n * c1) / ((n + 1) * (n + 1) - n * r * n * r) AS w2 FROM g)"""
+
+
+@register("m23_signed_coefficients_two", [("feature", "s")] + _d("coef"), Q.with_panel(
+    _TWO_SQL + ",\n" + _TWO_FIT_SQL + f"\nSELECT '{TWO[0]}' AS feature, w1 AS coef FROM w UNION ALL SELECT '{TWO[1]}', w2 FROM w"))
+def q_m23_two(spark, sf):
+    return lin.coefficient_table(spark, _two_fit(spark, sf)[1])
+
+
+_ATTR_TWO = Q.with_panel(_TWO_SQL + ",\n" + _TWO_FIT_SQL + f"""
+SELECT '{TWO[0]}' AS feature, avg(abs(w1 * (x1 - mu1) / s1)) AS v FROM f, w UNION ALL SELECT '{TWO[1]}', avg(abs(w2 * (x2 - mu2) / s2)) FROM f, w""")
+
+
+@register("m20_linear_attribution_two", [("feature", "s")] + _d("mean_abs_attr"), f"SELECT feature, v AS mean_abs_attr FROM ({_ATTR_TWO})")
+def q_m20_two(spark, sf):
+    return lin.linear_attribution(*_two_fit(spark, sf), 20)
+
+
+@register("m22_permutation_shapley_two", [("feature", "s")] + _d("mean_abs_shap"), f"SELECT feature, v AS mean_abs_shap FROM ({_ATTR_TWO})")
+def q_m22_two(spark, sf):
+    from cohortflow.operators.explain import permutation_shapley
+    d, fit = _two_fit(spark, sf)
+    coef, base = fit.raw_coef, fit.raw_intercept
+    rows = d.select(F.concat_ws(":", "id", "day").alias("_rid"), *lin.imputed(TWO, fit.medians))
+    return permutation_shapley(lambda x: x @ coef + base, rows, TWO, list(fit.mean), n_perm=3)
+
+
+_SPLIT_SQL = f"""r0 AS ({_ids_sql('panel')}),
+k0 AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r0),
+sp AS (SELECT id, CASE WHEN rk < nt THEN 'test' ELSE 'train' END AS split FROM k0)"""
+
+
+@register("m12_bootstrap_intervals_two", KEYS + _d("y_pred_abs_ci_low", "y_pred_abs_ci_high"), Q.with_panel(_TWO_SQL + f""",
+{_SPLIT_SQL},
+t0 AS (SELECT two.* FROM two JOIN sp USING (id) WHERE split = 'train'),
+m AS (SELECT coalesce(quantile_cont(x1, 0.5), 0) AS m1, coalesce(quantile_cont(x2, 0.5), 0) AS m2 FROM t0),
+t1 AS (SELECT id, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM t0, m),
+{_draws_sql('t1', 200)},
+s AS (SELECT b, CAST(sum(weight) AS DOUBLE) AS n, sum(weight * x1) AS a1, sum(weight * x2) AS a2, sum(weight * y) AS ay, sum(weight * x1 * x1) AS a11,
+             sum(weight * x2 * x2) AS a22, sum(weight * x1 * x2) AS a12, sum(weight * x1 * y) AS a1y, sum(weight * x2 * y) AS a2y FROM t1 JOIN wts USING (id) GROUP BY b),
+c AS (SELECT b, n, a1 / n AS mu1, a2 / n AS mu2, ay / n AS yb, sqrt(a11 / n - (a1 / n) * (a1 / n)) AS s1, sqrt(a22 / n - (a2 / n) * (a2 / n)) AS s2,
+             a12 / n - (a1 / n) * (a2 / n) AS k12, a1y / n - (a1 / n) * (ay / n) AS k1, a2y / n - (a2 / n) * (ay / n) AS k2 FROM s),
+w AS (SELECT *, ((n + 1) * n * k1 / s1 - n * (k12 / (s1 * s2)) * n * k2 / s2) / ((n + 1) * (n + 1) - n * (k12 / (s1 * s2)) * n * (k12 / (s1 * s2))) AS w1,
+             ((n + 1) * n * k2 / s2 - n * (k12 / (s1 * s2)) * n * k1 / s1) / ((n + 1) * (n + 1) - n * (k12 / (s1 * s2)) * n * (k12 / (s1 * s2))) AS w2 FROM c),
+te2 AS (SELECT two.id, two.day, U_t, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM two JOIN sp USING (id), m WHERE split = 'test'),
+p AS (SELECT id, day, greatest(0, least(10, U_t + yb + w1 * (x1 - mu1) / s1 + w2 * (x2 - mu2) / s2)) AS v FROM te2, w)
+SELECT id, day, quantile_cont(v, 0.025) AS y_pred_abs_ci_low, quantile_cont(v, 0.975) AS y_pred_abs_ci_high FROM p GROUP BY id, day"""))
+def q_m12_two(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    d = f.join(rs.split_ids(f, "id", 0.15, None), "id").where(F.col("dU_next_h1").isNotNull())
+    train = d.where(F.col("split") == "train")
+    med = lin.medians(train, TWO)
+    grams = lin.bootstrap_gram(train, TWO, "dU_next_h1", med, "id", n_boot=200, seed=42)
+    fits = [lin.fit_linear(g, TWO, med, "ridge", alpha=1.0) for g in grams]
+    iv = lin.bootstrap_intervals(d.where(F.col("split") == "test").select("id", "day", "U_t", *TWO), fits, base_col="U_t")
+    return iv.select("id", "day", "y_pred_abs_ci_low", "y_pred_abs_ci_high")
+
+
+_STUMP_SQL = Q.with_panel(f"""s AS (
+  SELECT id, day, y, dow FROM (SELECT id, day, lead(U_t, 1) {_W}) - U_t AS y, CAST(isodow(start_date) - 1 AS INTEGER) AS dow FROM panel) WHERE y IS NOT NULL),
+t AS (SELECT c.range AS cut, avg(y) FILTER (WHERE dow <= c.range) AS lo, avg(y) FILTER (WHERE dow > c.range) AS hi,
+             var_pop(y) FILTER (WHERE dow <= c.range) * count(*) FILTER (WHERE dow <= c.range) + var_pop(y) FILTER (WHERE dow > c.range) * count(*) FILTER (WHERE dow > c.range) AS sse
+      FROM s, range(6) c GROUP BY c.range),
+best AS (SELECT * FROM t ORDER BY sse, cut LIMIT 1)
+""")
+
+
+def _stump_data(spark, sf):
+    f = events_features(spark, sf, horizons=1).where(F.col("dU_next_h1").isNotNull())
+    return tr.assemble(f, ["dow"], {}, ["id", "day", F.col("dU_next_h1").alias("y")])
+
+
+@register("m05_stump_predictions", KEYS + _d("prediction", "importance"), _STUMP_SQL + "SELECT id, day, CASE WHEN dow <= cut THEN lo ELSE hi END AS prediction, 1.0 AS importance FROM s, best")
+def q_m05_stump(spark, sf):
+    from pyspark.ml.regression import RandomForestRegressor
+    a = _stump_data(spark, sf)
+    model = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=1, maxDepth=1, minInstancesPerNode=1, featureSubsetStrategy="all", bootstrap=False, seed=1).fit(a)
+    imp = tr.importance_table(spark, model, ["dow"]).first()["importance"]
+    return model.transform(a).select("id", "day", "prediction", F.lit(float(imp)).alias("importance"))
+
+
+@register("m07_boosted_stump_predictions", KEYS + _d("prediction"), _STUMP_SQL + "SELECT id, day, CASE WHEN dow <= cut THEN lo ELSE hi END AS prediction FROM s, best")
+def q_m07_stump(spark, sf):
+    a = _stump_data(spark, sf)
+    return tr.fit_boosting(a, "y", 1, 1, 0.1, 1.0).transform(a).select("id", "day", "prediction")
+
+
+@register("a27_best_epoch", [("best_epoch", "i")] + _d("best_loss"), Q.with_panel(
+    "l AS (SELECT day AS epoch, avg(U_t) AS loss FROM panel GROUP BY day)\nSELECT arg_min(epoch, loss) AS best_epoch, min(loss) AS best_loss FROM l"))
+def q_a27(spark, sf):
+    log = events_panel(spark, sf).groupBy(F.col("day").alias("epoch")).agg(F.avg("U_t").alias("train_loss"))
+    return ds.best_epoch(log)
+
+
+@register("p14_feature_list", [("feature", "s")], "SELECT unnest([" + ", ".join(
+    f"'{c}'" for c in sorted(["W_t", "S_t", "U_t", "overall_wellbeing", "treatment", "treatment_type", *Q.ITEMS])) + "]) AS feature")
+def q_p14(spark, sf):
+    p = events_panel(spark, sf).select("id", "day", "start_date", "W_t", "S_t", "U_t", "overall_wellbeing", "treatment", "treatment_type", *Q.ITEMS,
+                                       *[F.lit(0.0).alias(c) for c in ("dU_next_h1", "U_next_h3", "Ystar_next_day", "dW_next", "_helper")])
+    return spark.createDataFrame([(c,) for c in feature_columns(p, "dU_next_h1")], "feature string")
+
+
 def _best_ridge(spark, sf):
     d, feats = _model_data(spark, sf)
     cv, st = lin.cv_linear(d, feats, "dU_next_h1", "fold", "ridge")
