@@ -1424,14 +1424,14 @@ def _tree_data(spark, sf):
 @register("m05_m21_forest_importance", [("feature", "s")] + _d("importance"), None)
 def q_m05(spark, sf):
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt", memory_mb=16)
     return tr.importance_table(spark, model, feats, 20)
 
 
 @register("m06_forest_interval", KEYS + _d("y_true_abs", "y_pred_abs", "y_pred_abs_ci_low", "y_pred_abs_ci_high"), None)
 def q_m06(spark, sf):
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt", memory_mb=16)
     iv = tr.forest_interval(model, a.where(F.col("split") == "test"), bounds=(-10.0, 10.0))
     return iv.select("id", "day", F.col("y_abs").alias("y_true_abs"),
                      clamp(F.col("base_t") + F.col("y_pred_median")).alias("y_pred_abs"),
@@ -1443,7 +1443,7 @@ def q_m06(spark, sf):
 def q_m07(spark, sf):
     a, feats = _tree_data(spark, sf)
     train = a.where(F.col("split") != "test").select("*", (F.col("split") == "val").alias("is_val"))
-    model = tr.fit_boosting(train, "y", 300, 3, 0.03, validation_col="is_val")
+    model = tr.fit_boosting(train, "y", 300, 3, 0.03, validation_col="is_val", memory_mb=16)
     pred = model.transform(a.where(F.col("split") == "test"))
     y_abs = clamp(F.col("base_t") + F.col("prediction"))
     out = pred.select(F.col("y_abs"), y_abs.alias("p")).agg(*mt.metric_aggs("y_abs", "p"))
@@ -1524,7 +1524,7 @@ def q_m22(spark, sf):
     from cohortflow.operators.explain import permutation_shapley
     a, feats = _tree_data(spark, sf)
     train = a.where(F.col("split") != "test")
-    trees = tr.flat_trees(tr.fit_forest(train, "y", 300, 10, 4, "sqrt"), spark)
+    trees = tr.flat_trees(tr.fit_forest(train, "y", 300, 10, 4, "sqrt", memory_mb=16), spark)
     rows = train.select(F.concat_ws(":", "id", "day").alias("_rid"), vector_to_array("features").alias("_x"))
     rows = rows.select("_rid", *[F.col("_x")[i].alias(c) for i, c in enumerate(feats)])
     means = rows.agg(*[F.avg(f"`{c}`").alias(c) for c in feats]).first()
@@ -1585,7 +1585,7 @@ def q_s9(spark, sf):
     from pyspark.ml.regression import RandomForestRegressionModel
     from cohortflow.sources.sinks import save_model
     a, feats = _tree_data(spark, sf)
-    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt")
+    model = tr.fit_forest(a.where(F.col("split") != "test"), "y", 300, 10, 4, "sqrt", memory_mb=16)
     path = _scratch(spark, "forest-model")
     save_model(model, path)
     loaded = RandomForestRegressionModel.load(path)

@@ -4,7 +4,7 @@ No joins and no per-entity loops.  Every condition of a window ``[c-L, c+H]`` is
 a calendar-range frame (``rangeBetween`` on the integer day) evaluated at the
 row where it is needed, and the course of an episode of any length is checked
 with running counts (count of rows up to day e minus count before day s).  All
-steps share the partitioning on id, so the study costs one shuffle.
+steps share the partitioning on id: the event table is one scan and one exchange.
 """
 
 from __future__ import annotations
@@ -63,17 +63,24 @@ def _stats(df: DataFrame, ev: EventConfig, id_col: str, day_col: str, treat_col:
     tnum = _treated_num(treat_col)
     bad = (~coded) | y.isNull()
     one = F.lit(1)
+    # a day counts where it is first seen, so distinct days of a calendar frame are a sum
+    fresh = F.lag(day_col, 1).over(w)
+    df = df.select("*", F.when(fresh.isNull() | (F.col(day_col) != fresh), 1).otherwise(0).alias("_fresh"))
+
+    def _distinct(frame):
+        return F.coalesce(F.sum("_fresh").over(frame), F.lit(0))
+
     return df.select(
         "*",
         coded.alias("_coded"),
         F.min(day_col).over(whole).alias("_dmin"), F.max(day_col).over(whole).alias("_dmax"),
-        F.count(one).over(pre).alias("_pre_n"), F.size(F.collect_set(day_col).over(pre)).alias("_pre_days"),
+        F.count(one).over(pre).alias("_pre_n"), _distinct(pre).alias("_pre_days"),
         F.sum(tnum).over(pre).alias("_pre_t"), F.count(y).over(pre).alias("_pre_ok"),
         F.max_by(y, F.col(day_col)).over(pre).alias("_pre_last"),
-        F.count(one).over(post).alias("_post_n"), F.size(F.collect_set(day_col).over(post)).alias("_post_days"),
+        F.count(one).over(post).alias("_post_n"), _distinct(post).alias("_post_days"),
         F.sum(coded.cast("int")).over(post).alias("_post_coded"), F.count(y).over(post).alias("_post_ok"),
         F.avg(y).over(post).alias("_post_mean"),
-        F.count(one).over(around).alias("_win_n"), F.size(F.collect_set(day_col).over(around)).alias("_win_days"),
+        F.count(one).over(around).alias("_win_n"), _distinct(around).alias("_win_days"),
         F.sum(tnum).over(around).alias("_win_t"), F.count(y).over(around).alias("_win_ok"),
         F.count(one).over(upto).alias("_c_le"), F.coalesce(F.count(one).over(before), F.lit(0)).alias("_c_lt"),
         F.sum(bad.cast("int")).over(upto).alias("_b_le"),
@@ -87,6 +94,63 @@ _STAT_COLS = ("_coded", "_dmin", "_dmax", "_pre_n", "_pre_days", "_pre_t", "_pre
               "_c_le", "_c_lt", "_b_le", "_b_lt", "_y_le", "_y_lt")
 
 
+def _episode_ends(st: DataFrame, cols: list[str], id_col: str, day_col: str) -> DataFrame:
+    """Adds ``_a``, the fields of the first row of the episode a coded row belongs to, and ``_last``,
+    whether the row ends its episode.  Same partitioning and order as the statistics, no grouping."""
+    w = Window.partitionBy(id_col).orderBy(day_col)
+    day = F.col(day_col)
+    coded = F.col("_coded") & day.isNotNull()
+    prev = F.last(F.when(coded, day), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    st = st.select("*", (coded & (prev.isNull() | (day != prev + 1))).alias("_new"))
+    first = F.struct(*[F.col(f"`{c}`") for c in cols], F.col(day_col).alias("_s"), "_dmin", "_dmax", "_pre_n", "_pre_days", "_pre_t", "_pre_ok", "_pre_last", "_c_lt", "_b_lt", "_y_lt")
+    after = F.first(F.when(coded, F.col("_new")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return st.select("*", F.last(F.when(F.col("_new"), first), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
+                     (coded & F.coalesce(after, F.lit(True))).alias("_last"))
+
+
+def _treated_condition(ev: EventConfig, day_col: str) -> Column:
+    L, H = ev.L, ev.H
+    a, e = F.col("_a"), F.col(day_col)
+    s = a["_s"]
+    cond = (F.col("_last") & (s - L >= a["_dmin"]) & (e + H <= a["_dmax"])
+            & (a["_pre_n"] == L) & (a["_pre_days"] == L)
+            & (F.col("_c_le") - a["_c_lt"] == e - s + 1)
+            & (F.col("_post_n") == H) & (F.col("_post_days") == H)
+            & (a["_pre_t"] == 0)
+            & (F.col("_b_le") - a["_b_lt"] == 0)
+            & (a["_pre_ok"] == L) & (F.col("_post_ok") == H))
+    return cond & (F.col("_post_coded") == 0) if ev.block_retreatment else cond
+
+
+def _control_condition(ev: EventConfig, day_col: str, treat_col: str) -> Column:
+    c, n = F.col(day_col), ev.L + ev.H + 1
+    return ((_treated_num(treat_col) == 0) & c.isNotNull()
+            & (c - ev.L >= F.col("_dmin")) & (c + ev.H <= F.col("_dmax"))
+            & (F.col("_win_n") == n) & (F.col("_win_days") == n)
+            & (F.col("_win_t") == 0) & (F.col("_win_ok") == n))
+
+
+def _event_fields(ev: EventConfig, cols: list[str], day_col: str, treated: Column, control_ev: EventConfig | None = None) -> list[Column]:
+    """Output columns of event rows: of the episode where ``treated``, of the day itself elsewhere."""
+    cev = control_ev or ev
+    a, day = F.col("_a"), F.col(day_col)
+    length = day - a["_s"] + 1
+    before = (F.col("_y_le") - a["_y_lt"]) / length.cast("double") if ev.baseline == "course_mean" else a["_pre_last"]
+    own = F.col(cev.outcome_col) if cev.baseline in ("centre", "course_mean") else F.col("_pre_last")
+    pick = lambda t, c: F.when(treated, t).otherwise(c)
+    return [*[pick(a[c], F.col(f"`{c}`")).alias(c) for c in cols], treated.cast("int").alias("A_star"),
+            (F.col("_post_mean") - pick(before, own)).cast("double").alias("Y_star"),
+            pick(a["_s"], day).cast("int").alias("centre_day"), pick(a["_s"], day).cast("int").alias("episode_start"),
+            day.cast("int").alias("episode_end"), pick(length, F.lit(1)).cast("int").alias("episode_len")]
+
+
+def _first_controls(events: DataFrame, most: int | None, id_col: str) -> DataFrame:
+    if most is None:
+        return events
+    w = Window.partitionBy(id_col, "A_star").orderBy("centre_day")
+    return events.select("*", F.row_number().over(w).alias("_k")).filter((F.col("A_star") == 1) | (F.col("_k") <= most)).drop("_k")
+
+
 def treated_events(df: DataFrame, ev: EventConfig = EventConfig(), id_col: str = "id", day_col: str = "day",
                    treat_col: str = "is_treated", type_col: str | None = "treatment_type") -> DataFrame:
     """Treated event windows around each episode (W17, W19 options).
@@ -97,44 +161,8 @@ def treated_events(df: DataFrame, ev: EventConfig = EventConfig(), id_col: str =
     the outcome is present everywhere.  ``Y* = mean(post) - baseline``.
     """
     cols = df.columns
-    L, H = ev.L, ev.H
-    st = _stats(df, ev, id_col, day_col, treat_col, type_col)
-    w = Window.partitionBy(id_col).orderBy(day_col)
-    tx = st.filter(F.col("_coded") & F.col(day_col).isNotNull())
-    prev = F.lag(day_col, 1).over(w)
-    tx = tx.select("*", F.when(prev.isNull() | (F.col(day_col) != prev + 1), 1).otherwise(0).alias("_new"))
-    tx = tx.select("*", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_ep"))
-    start_fields = [c for c in cols] + ["_dmin", "_dmax", "_pre_n", "_pre_days", "_pre_t", "_pre_ok", "_pre_last",
-                                        "_c_lt", "_b_lt", "_y_lt"]
-    end_fields = ["_post_n", "_post_days", "_post_coded", "_post_ok", "_post_mean", "_c_le", "_b_le", "_y_le"]
-    ep = tx.groupBy(id_col, "_ep").agg(
-        F.min(day_col).alias("_s"), F.max(day_col).alias("_e"),
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in start_fields]), F.col(day_col)).alias("_a"),
-        F.max_by(F.struct(*end_fields), F.col(day_col)).alias("_b"),
-    )
-    a, b = F.col("_a"), F.col("_b")
-    s, e = F.col("_s"), F.col("_e")
-    length = e - s + 1
-    cond = ((s - L >= a["_dmin"]) & (e + H <= a["_dmax"])
-            & (a["_pre_n"] == L) & (a["_pre_days"] == L)
-            & (b["_c_le"] - a["_c_lt"] == length)
-            & (b["_post_n"] == H) & (b["_post_days"] == H)
-            & (a["_pre_t"] == 0)
-            & (b["_b_le"] - a["_b_lt"] == 0)
-            & (a["_pre_ok"] == L) & (b["_post_ok"] == H))
-    if ev.block_retreatment:
-        cond = cond & (b["_post_coded"] == 0)
-    if ev.baseline == "course_mean":
-        base = (b["_y_le"] - a["_y_lt"]) / length.cast("double")
-    else:
-        base = a["_pre_last"]
-    return ep.filter(cond).select(
-        *[a[c].alias(c) for c in cols],
-        F.lit(1).alias("A_star"),
-        (b["_post_mean"] - base).cast("double").alias("Y_star"),
-        s.cast("int").alias("centre_day"), s.cast("int").alias("episode_start"),
-        e.cast("int").alias("episode_end"), length.cast("int").alias("episode_len"),
-    )
+    st = _episode_ends(_stats(df, ev, id_col, day_col, treat_col, type_col), cols, id_col, day_col)
+    return st.filter(_treated_condition(ev, day_col)).select(*_event_fields(ev, cols, day_col, F.lit(True)))
 
 
 def control_events(df: DataFrame, ev: EventConfig = EventConfig(), id_col: str = "id", day_col: str = "day",
@@ -143,36 +171,34 @@ def control_events(df: DataFrame, ev: EventConfig = EventConfig(), id_col: str =
     untreated and outcome-complete (W18).  Overlapping windows are allowed;
     ``max_controls_per_id`` keeps the earliest days (W20)."""
     cols = df.columns
-    L, H = ev.L, ev.H
     st = _stats(df, ev, id_col, day_col, treat_col, type_col)
-    c = F.col(day_col)
-    n = L + H + 1
-    cond = ((_treated_num(treat_col) == 0) & c.isNotNull()
-            & (c - L >= F.col("_dmin")) & (c + H <= F.col("_dmax"))
-            & (F.col("_win_n") == n) & (F.col("_win_days") == n)
-            & (F.col("_win_t") == 0) & (F.col("_win_ok") == n))
-    base = F.col(ev.outcome_col) if ev.baseline in ("centre", "course_mean") else F.col("_pre_last")
-    out = st.filter(cond).select(
-        *cols,
-        F.lit(0).alias("A_star"),
-        (F.col("_post_mean") - base).cast("double").alias("Y_star"),
-        c.cast("int").alias("centre_day"), c.cast("int").alias("episode_start"),
-        c.cast("int").alias("episode_end"), F.lit(1).alias("episode_len"),
-    )
-    if ev.max_controls_per_id is not None:
-        w = Window.partitionBy(id_col).orderBy(day_col)
-        out = out.select("*", F.row_number().over(w).alias("_k")).filter(F.col("_k") <= ev.max_controls_per_id).drop("_k")
-    return out
+    own = F.col(ev.outcome_col) if ev.baseline in ("centre", "course_mean") else F.col("_pre_last")
+    c = F.col(day_col).cast("int")
+    out = st.filter(_control_condition(ev, day_col, treat_col)).select(
+        *cols, F.lit(0).alias("A_star"), (F.col("_post_mean") - own).cast("double").alias("Y_star"),
+        c.alias("centre_day"), c.alias("episode_start"), c.alias("episode_end"), F.lit(1).alias("episode_len"))
+    return _first_controls(out, ev.max_controls_per_id, id_col)
 
 
 def event_table(df: DataFrame, ev: EventConfig = EventConfig(), id_col: str = "id", day_col: str = "day",
                 treat_col: str = "is_treated", type_col: str | None = "treatment_type",
                 control_ev: EventConfig | None = None) -> DataFrame:
-    """Union of treated and control events, rows without Y* dropped."""
-    t = treated_events(df, ev, id_col, day_col, treat_col, type_col)
+    """Union of treated and control events, rows without Y* dropped.
+
+    With one window size for both kinds a row is at most one event, so both come from one pass:
+    one scan, one exchange on the id, and a filter.
+    """
     cev = control_ev or ev
-    c = control_events(df, cev, id_col, day_col, treat_col, type_col)
-    return t.unionByName(c, allowMissingColumns=True).filter(F.col("Y_star").isNotNull())
+    cols = df.columns
+    if (cev.L, cev.H, cev.outcome_col) != (ev.L, ev.H, ev.outcome_col):
+        t = treated_events(df, ev, id_col, day_col, treat_col, type_col)
+        both = t.unionByName(control_events(df, cev, id_col, day_col, treat_col, type_col))
+        return both.filter(F.col("Y_star").isNotNull())
+    st = _episode_ends(_stats(df, ev, id_col, day_col, treat_col, type_col), cols, id_col, day_col)
+    st = st.select("*", F.coalesce(_treated_condition(ev, day_col), F.lit(False)).alias("_is_treated_event"))
+    out = st.filter(F.col("_is_treated_event") | _control_condition(cev, day_col, treat_col)).select(
+        *_event_fields(ev, cols, day_col, F.col("_is_treated_event"), cev))
+    return _first_controls(out.filter(F.col("Y_star").isNotNull()), cev.max_controls_per_id, id_col)
 
 
 def with_event_weight(events: DataFrame, id_col: str = "id") -> DataFrame:

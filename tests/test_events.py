@@ -107,3 +107,17 @@ def test_support_and_weights(spark):
     assert sup.G == len(counts)
     assert np.isclose(sup.G_eff, 1.0 / np.sum((counts / counts.sum()) ** 2))
     assert sup.G_eff <= sup.G + 1e-9
+
+
+def test_event_table_is_one_scan_and_one_exchange(spark):
+    from cohortflow.config import EventConfig
+    from cohortflow.operators import events as evo
+    rows = [(i, d, int(d in (6, 7)), 1, float(d % 5)) for i in range(6) for d in range(1, 16)]
+    df = spark.createDataFrame(rows, "id long, day int, is_treated int, treatment_type int, U_t double").repartition(3)
+    plan = evo.event_table(df, EventConfig(L=2, H=2))._jdf.queryExecution().sparkPlan().toString()
+    out = evo.event_table(df, EventConfig(L=2, H=2))
+    whole = out._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange hashpartitioning(id") == 1 and "Aggregate" not in whole and plan.count("Scan") == 1
+    t, c = evo.treated_events(df, EventConfig(L=2, H=2)), evo.control_events(df, EventConfig(L=2, H=2))
+    key = lambda d: sorted(tuple(r) for r in d.select("id", "centre_day", "A_star", "Y_star", "episode_len").collect())
+    assert key(out) == key(t.unionByName(c))
