@@ -1355,14 +1355,33 @@ SELECT id, count(*) AS n, avg(abs(Y_star - yhat)) AS MAE, sqrt(avg((Y_star - yha
        CASE WHEN count(*) >= 2 AND var_pop(Y_star) > 0 THEN 1 - sum((Y_star - yhat) ^ 2) / (var_pop(Y_star) * count(*)) END AS R2,
        avg(tau) AS tau_mean, avg(psi) AS tau_dr_mean FROM x GROUP BY id""")
 def q_a04(spark, sf):
-    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1)).cache()
+    return mt.effect_summary_by_id(_arm_predictions(spark, sf), "id", "Y_star", "yhat", "tau", "psi")
+
+
+def _arm_predictions(spark, sf):
+    """Stored-prediction table of the simplest effect model: arm means and a stand-in propensity."""
+    ev = evo.event_table(_ev_panel(spark, sf), EventConfig(L=1, H=1))
     arms = ev.agg(F.avg(F.when(F.col("A_star") == 1, F.col("Y_star"))).alias("mu1"),
                   F.avg(F.when(F.col("A_star") == 0, F.col("Y_star"))).alias("mu0")).first()
     mu1, mu0 = F.lit(arms["mu1"]).cast("double"), F.lit(arms["mu0"]).cast("double")
     a, y = F.col("A_star"), F.col("Y_star")
-    x = ev.select("id", "Y_star", mt.observed_arm(a, mu1, mu0).alias("yhat"), (mu1 - mu0).alias("tau"),
-                  mt.dr_pseudo_outcome(a, y, _proxy_cols(), mu1, mu0).alias("psi"))
-    return mt.effect_summary_by_id(x, "id", "Y_star", "yhat", "tau", "psi")
+    return ev.select("id", "Y_star", mt.observed_arm(a, mu1, mu0).alias("yhat"), (mu1 - mu0).alias("tau"),
+                     mt.dr_pseudo_outcome(a, y, _proxy_cols(), mu1, mu0).alias("psi"))
+
+
+@register("m25_effect_report", [("effect", "s")] + _d("ATE", "ATE_weighted", "ATE_ci_low", "ATE_ci_high") + [("n_events", "i"), ("n_ids", "i")], f"""WITH ev AS ({_union_sql(1, 1)}),
+m AS (SELECT avg(Y_star) FILTER (WHERE A_star = 1) AS mu1, avg(Y_star) FILTER (WHERE A_star = 0) AS mu0 FROM ev),
+x AS (SELECT id, mu1 - mu0 AS tau, A_star / e * (Y_star - mu1) - (1 - A_star) / (1 - e) * (Y_star - mu0) + mu1 - mu0 AS psi
+      FROM (SELECT *, {_PROXY_SQL} AS e FROM ev), m),
+{_draws_sql('x', 300)},
+st AS (SELECT id, count(*) AS k, sum(tau) AS s1, sum(psi) AS s2 FROM x GROUP BY id),
+w AS (SELECT sum(k) AS n_events, count(*) AS n_ids, sum(s1) / sum(k) AS m1, sum(s2) / sum(k) AS m2, avg(s1 / k) AS v1, avg(s2 / k) AS v2 FROM st),
+b AS (SELECT b, sum(weight * s1) / sum(weight * k) AS e1, sum(weight * s2) / sum(weight * k) AS e2 FROM wts JOIN st USING (id) GROUP BY b),
+q AS (SELECT quantile_cont(e1, 0.025) AS l1, quantile_cont(e1, 0.975) AS h1, quantile_cont(e2, 0.025) AS l2, quantile_cont(e2, 0.975) AS h2 FROM b)
+SELECT 'T' AS effect, m1 AS ATE, v1 AS ATE_weighted, l1 AS ATE_ci_low, h1 AS ATE_ci_high, n_events, n_ids FROM w, q
+UNION ALL SELECT 'DR', m2, v2, l2, h2, n_events, n_ids FROM w, q""")
+def q_m25(spark, sf):
+    return mt.effect_report(_arm_predictions(spark, sf), {"T": "tau", "DR": "psi"})
 
 
 CONF_H = tuple(range(1, 15))
@@ -1504,6 +1523,28 @@ def q_m24(spark, sf):
     return mt.bootstrap_metric_ci_grouped(_report_long_spark(spark, sf), ["model", "h"], "id", "y", "yh", REPORT_BOOT)
 
 
+_LEGS_SQL = Q.with_panel(f"""
+f AS (SELECT id, U_t, {_gated('avg', 'U_t', -7, -1, 1)} AS mean7, {", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in REPORT_H)} FROM panel)
+SELECT * FROM ({" UNION ALL ".join(f"SELECT id, '{m}' AS model, {h} AS h, y{h} AS y, {yh} AS yh FROM f" for m, yh in (("naive", "U_t"), ("mean7", "mean7")) for h in REPORT_H)})
+WHERE y IS NOT NULL AND yh IS NOT NULL""")
+
+
+@register("s7_run_summary_sink", [("target", "s"), ("model", "s"), ("h", "i")] + _d("MAE", "RMSE", "R2") + [("n", "i")] + _d("MAE_ci_low", "MAE_ci_high", "R2_ci_low", "R2_ci_high")
+          + [("n_boot", "i"), ("base_col", "s")], f"""SELECT 'U' AS target, l.model, l.h, avg(abs(y - yh)) AS MAE, sqrt(avg((y - yh) * (y - yh))) AS RMSE,
+       CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - sum((y - yh) * (y - yh)) / (var_pop(y) * count(*)) END AS R2, count(*) AS n,
+       any_value(r.MAE_ci_low) AS MAE_ci_low, any_value(r.MAE_ci_high) AS MAE_ci_high, any_value(r.R2_ci_low) AS R2_ci_low, any_value(r.R2_ci_high) AS R2_ci_high,
+       any_value(r.n_boot) AS n_boot, 'U_t' AS base_col
+FROM ({_LEGS_SQL}) l JOIN ({_report_sql()}) r ON r.model = l.model AND r.h = l.h GROUP BY l.model, l.h""")
+def q_s7(spark, sf):
+    from cohortflow.sources.sinks import write_table
+    long = _report_long_spark(spark, sf)
+    ci = mt.bootstrap_metric_ci_grouped(long, ["model", "h"], "id", "y", "yh", REPORT_BOOT)
+    path = _scratch(spark, "run-summary")
+    summary = mt.regression_metrics(long, "y", "yh", ["model", "h"]).join(ci, ["model", "h"])
+    write_table(summary.select("*", F.lit("U").alias("target"), F.lit("U_t").alias("base_col")), path, partition_by=["target", "model"])
+    return spark.read.parquet(path).where(F.col("target") == "U")
+
+
 @register("m08_kernel_rff_test_metrics", [("model", "s")] + _d("MAE", "RMSE", "R2") + [("n", "i")], None)
 def q_m08(spark, sf):
     from cohortflow.operators.kernel import fit_rff_ridge
