@@ -22,6 +22,7 @@ from cohortflow.operators import events as evo  # noqa: E402
 from cohortflow.operators import linear as lin  # noqa: E402
 from cohortflow.operators import metrics as mt  # noqa: E402
 from cohortflow.operators import resample as rs  # noqa: E402
+from cohortflow.operators import trees as tr  # noqa: E402
 from cohortflow.plans.features import feature_columns  # noqa: E402
 from cohortflow.plans.forecast import SweepConfig, horizon_sweep  # noqa: E402
 from cohortflow.plans.prepare import events_features, events_panel  # noqa: E402
@@ -75,12 +76,24 @@ def main():
 
     timed("cv_grid_ridge_9x5", lambda: cv("ridge"))
     timed("cv_grid_lasso_9x5", lambda: cv("lasso"))
+    timed("cv_grid_elasticnet_63x5", lambda: cv("elasticnet"))
 
     def sweep():
         s, p, _ = horizon_sweep(events_features(spark, sf_dir, horizons=7), SweepConfig(model="ridge", horizons=7))
         s.collect()
 
     timed("horizon_sweep_ridge_h7", sweep)
+
+    def trees(fit):
+        f = events_features(spark, sf_dir, horizons=1)
+        feats = feature_columns(f, "dU_next_h1")
+        d = f.join(rs.split_ids(f, "id", 0.15, None), "id").where((F.col("split") == "train") & F.col("dU_next_h1").isNotNull())
+        a = tr.assemble(d, feats, lin.medians(d, feats), [F.col("dU_next_h1").alias("y")]).persist()
+        fit(a)
+        a.unpersist()
+
+    timed("forest_fit_300x10", lambda: trees(lambda a: tr.fit_forest(a, "y", 300, 10, 4)))
+    timed("boosting_fit_300x3", lambda: trees(lambda a: tr.fit_boosting(a, "y", 300, 3, 0.03)))
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": sf,
