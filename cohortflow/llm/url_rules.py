@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import staged
 
-MOST_TOKENS = 24
+#: tokens of one url that mining looks at: a bound of the fit, as itemsets grow with two to their number
+MOST_TOKENS = 40
 
 
 @dataclass(frozen=True)
@@ -79,11 +80,11 @@ def _none():
 
 
 def tokens():
-    """The token set of a parsed url, sorted: at most ``MOST_TOKENS`` tokens of each kind, digits as ``#``."""
+    """The token set of a parsed url, sorted, digits as ``#``."""
     url, host, path = F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")
 
     def named(kind, arr):
-        return F.transform(F.slice(F.filter(arr, lambda x: x != ""), 1, MOST_TOKENS), lambda x: F.concat(F.lit(kind + "="), x))
+        return F.transform(F.filter(arr, lambda x: x != ""), lambda x: F.concat(F.lit(kind + "="), x))
 
     labels = F.split(host, "\\.")
     segments = F.transform(F.split(path, "/"), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
@@ -107,7 +108,7 @@ def mine(spark: SparkSession, judged: DataFrame, min_support: float = 0.002, min
     if judged.where(F.col("listed").isNotNull()).limit(1).count() == 0:
         return spark.createDataFrame([], RULE_SCHEMA)
     label = F.when(F.col("listed").isNotNull(), F.array(F.concat(F.lit("verdict="), F.col("listed")))).otherwise(_none())
-    baskets = judged.select(F.concat("tokens", label).alias("items"))
+    baskets = judged.select(F.concat(F.slice("tokens", 1, MOST_TOKENS), label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules.where(F.element_at("consequent", 1).startswith("verdict="))
              .where(~F.exists("antecedent", lambda x: x.startswith("verdict=")))
