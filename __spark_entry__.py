@@ -1268,6 +1268,34 @@ def q_m11(spark, sf):
     return summary
 
 
+def _sweep_two_sql(H=14, min_rows=200):
+    legs = []
+    for h in range(1, H + 1):
+        legs.append(f"""SELECT * FROM (WITH s AS (SELECT * FROM sw WHERE y{h} IS NOT NULL AND U_t IS NOT NULL),
+r AS ({_ids_sql('s')}), k AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r),
+sp AS (SELECT id, rk < nt AS test FROM k),
+t0 AS (SELECT s.id, x1, x2, y{h} - U_t AS y FROM s JOIN sp USING (id) WHERE NOT test),
+m AS (SELECT coalesce(quantile_cont(x1, 0.5), 0) AS m1, coalesce(quantile_cont(x2, 0.5), 0) AS m2 FROM t0),
+f AS (SELECT coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM t0, m),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x1) AS mu1, avg(x2) AS mu2, avg(y) AS yb, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+             covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM f),
+w AS (SELECT *, ((n + 1) * n * c1 - n * r * n * c2) / ((n + 1) * (n + 1) - n * r * n * r) AS w1, ((n + 1) * n * c2 - n * r * n * c1) / ((n + 1) * (n + 1) - n * r * n * r) AS w2 FROM g),
+p AS (SELECT y{h} AS y, greatest(0, least(10, U_t + yb + w1 * (coalesce(x1, m1) - mu1) / s1 + w2 * (coalesce(x2, m2) - mu2) / s2)) AS p, greatest(0, least(10, U_t)) AS q
+      FROM s JOIN sp USING (id), m, w WHERE test)
+SELECT {h} AS h, avg(abs(y - p)) AS MAE, sqrt(avg((y - p) * (y - p))) AS RMSE, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS R2, count(*) AS n,
+       avg(abs(y - q)) AS Naive_MAE, sqrt(avg((y - q) * (y - q))) AS Naive_RMSE, 1 - sum((y - q) * (y - q)) / (var_pop(y) * count(*)) AS Naive_R2
+FROM p WHERE (SELECT count(*) FROM s) >= {min_rows} HAVING count(*) > 0)""")
+    cols = ", ".join(f"lead(U_t, {h}) {_W}) AS y{h}" for h in range(1, H + 1))
+    return Q.with_panel(f"sw AS (SELECT id, day, U_t, CAST(overall_wellbeing AS DOUBLE) AS x1, CAST(symptom_variability AS DOUBLE) AS x2, {cols} FROM panel)\n" + "\nUNION ALL ".join(legs))
+
+
+@register("m11_horizon_sweep_two_features", [("h", "i")] + _d("MAE", "RMSE", "R2") + [("n", "i")] + _d("Naive_MAE", "Naive_RMSE", "Naive_R2"), _sweep_two_sql())
+def q_m11_two(spark, sf):
+    from cohortflow.plans.forecast import SweepConfig, horizon_sweep
+    cfg = SweepConfig(model="ridge", horizons=14, features=tuple(TWO), params=(("alpha", 1.0),))
+    return horizon_sweep(events_features(spark, sf, horizons=14), cfg)[0]
+
+
 @register("m14_m17_t_learner_dr_summary", [("model", "s")] + _d("ATE", "ATE_weighted", "ATE_ci_low", "ATE_ci_high", "ATE_DR",
                                                                "ATE_DR_weighted", "ATE_DR_ci_low", "ATE_DR_ci_high",
                                                                "fit_overall_R2"), None)

@@ -29,9 +29,10 @@ _SIGN = np.uint64(1 << 63)
 
 @dataclass(frozen=True)
 class RowSet:
-    """All rows (``value`` None), the rows whose ``set_col`` is ``value``, or all others."""
+    """All rows, the rows whose ``set_col`` is ``value``, all others, or those with bit ``bit`` of ``set_col`` set."""
     value: object = None
     without: bool = False
+    bit: int | None = None
 
 
 def _order_bits(x: np.ndarray) -> np.ndarray:
@@ -54,6 +55,8 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], set_col
 
     def picked(batch, k):
         s = sets[k]
+        if s.bit is not None:
+            return (batch.column("s").to_numpy() >> s.bit) & 1 == 1
         if s.value is None:
             return np.ones(batch.num_rows, dtype=bool)
         same = np.array([v == s.value for v in batch.column("s").to_pylist()])

@@ -48,13 +48,7 @@ def split_ids(df: DataFrame, id_col: str = "id", test_size: float = 0.15, val_si
     with half-even rounding, as in Python's ``round``.
     """
     r = ranked_ids(df, id_col, seed)
-    n = F.col("n").cast("double")
-    n_test = F.greatest(F.lit(1.0), F.bround(F.lit(float(test_size)) * n, 0))
-    split = F.when(F.col("rank") < n_test, F.lit("test"))
-    if val_size is not None:
-        n_val = F.greatest(F.lit(1.0), F.bround(F.lit(float(val_size)) * (n - n_test), 0))
-        split = split.when(F.col("rank") < n_test + n_val, F.lit("val"))
-    return r.select(id_col, split.otherwise(F.lit("train")).alias("split"))
+    return r.select(id_col, _split(F.col("rank"), F.col("n"), test_size, val_size).alias("split"))
 
 
 def with_split(df: DataFrame, splits: DataFrame, id_col: str = "id") -> DataFrame:
@@ -109,18 +103,42 @@ def bootstrap_weights(df: DataFrame, n_boot: int = 200, id_col: str = "id", seed
     return out
 
 
+def ranked_ids_by(df: DataFrame, by: str, id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """(by, id, rank, n): the ranks of ``ranked_ids`` within every group of ``by`` (few groups, many ids)."""
+    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("_h", hash_bigint(seed, F.col(id_col)))
+    ids = ids.withColumn("_bk", F.shiftright("_h", HASH_HEX_DIGITS * 4 - BUCKET_BITS))
+    order = Window.partitionBy(by).orderBy("_bk")                                      # at most 65,536 rows a group
+    sizes = ids.groupBy(by, "_bk").agg(F.count(F.lit(1)).alias("_sz")).select(
+        by, "_bk", F.coalesce(F.sum("_sz").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_sz").over(Window.partitionBy(by)).alias("n"))
+    within = F.row_number().over(Window.partitionBy(by, "_bk").orderBy("_h", id_col)) - 1
+    return ids.withColumn("_rk", within).join(sizes, [by, "_bk"]).select(by, id_col, (F.col("_off") + F.col("_rk")).cast("bigint").alias("rank"), F.col("n").cast("bigint").alias("n"))
+
+
+def _split(rank, n, test_size: float, val_size: float | None):
+    n = n.cast("double")
+    n_test = F.greatest(F.lit(1.0), F.bround(F.lit(float(test_size)) * n, 0))
+    split = F.when(rank < n_test, F.lit("test"))
+    if val_size is not None:
+        n_val = F.greatest(F.lit(1.0), F.bround(F.lit(float(val_size)) * (n - n_test), 0))
+        split = split.when(rank < n_test + n_val, F.lit("val"))
+    return split.otherwise(F.lit("train"))
+
+
+def split_ids_by(df: DataFrame, by: str, id_col: str = "id", test_size: float = 0.15, val_size: float | None = 0.15, seed: int | str = 42) -> DataFrame:
+    """(by, id, split): the split of ``split_ids`` over the ids of every group of ``by``."""
+    r = ranked_ids_by(df, by, id_col, seed)
+    return r.select(by, id_col, _split(F.col("rank"), F.col("n"), test_size, val_size).alias("split"))
+
+
 def bootstrap_weights_by(df: DataFrame, by: str, n_boot: int = 300, id_col: str = "id", seed: int | str = 42) -> DataFrame:
     """(by, b, id, weight): the draws of ``bootstrap_weights`` within every group of ``by`` in one plan.
 
     ``by`` has few values (horizons, models): their id counts are collected and give each group
     its range of the draw table.
     """
-    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("_h", hash_bigint(seed, F.col(id_col)))
-    ids = ids.withColumn("_bk", F.shiftright("_h", HASH_HEX_DIGITS * 4 - BUCKET_BITS))
-    before = Window.partitionBy(by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)       # at most 65,536 rows a group
-    sizes = ids.groupBy(by, "_bk").agg(F.count(F.lit(1)).alias("_sz")).withColumn("_off", F.coalesce(F.sum("_sz").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(by, "_bk").orderBy("_h", id_col)) - 1
-    ranked = ids.withColumn("_rk", within).join(sizes.drop("_sz"), [by, "_bk"]).select(by, id_col, (F.col("_off") + F.col("_rk")).cast("bigint").alias("rank"))
+    ranked = ranked_ids_by(df, by, id_col, seed)
+    ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct()
     counts = sorted((r[0], r[1]) for r in ids.groupBy(by).agg(F.count(F.lit(1))).collect())
     draws = None
     for value, n in counts:
@@ -132,7 +150,7 @@ def bootstrap_weights_by(df: DataFrame, by: str, n_boot: int = 300, id_col: str
     if draws is None:
         kind = df.schema[by].dataType.simpleString()
         return df.sparkSession.createDataFrame([], f"`{by}` {kind}, b int, {id_col} long, weight long")
-    return draws.groupBy(by, "b", "rank").agg(F.count(F.lit(1)).alias("weight")).join(ranked, [by, "rank"]).select(by, "b", id_col, "weight")
+    return draws.groupBy(by, "b", "rank").agg(F.count(F.lit(1)).alias("weight")).join(ranked.drop("n"), [by, "rank"]).select(by, "b", id_col, "weight")
 
 
 def parameter_grid(spark, grid: dict[str, list]) -> DataFrame:
