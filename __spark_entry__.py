@@ -1226,6 +1226,23 @@ def q_m07_stump(spark, sf):
     return tr.fit_boosting(a, "y", 1, 1, 0.1, 1.0).transform(a).select("id", "day", "prediction")
 
 
+@register("m10_boosted_stump_grid_cv", _CV_ROW, Q.with_panel(f"""s AS (
+  SELECT id, y, dow FROM (SELECT id, day, lead(U_t, 1) {_W}) - U_t AS y, CAST(isodow(start_date) - 1 AS INTEGER) AS dow FROM panel) WHERE y IS NOT NULL),
+fold AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})),
+d AS (SELECT s.*, fold FROM s JOIN fold USING (id)),
+t AS (SELECT k.range AS k, c.range AS cut, avg(y) FILTER (WHERE dow <= c.range) AS lo, avg(y) FILTER (WHERE dow > c.range) AS hi,
+             var_pop(y) FILTER (WHERE dow <= c.range) * count(*) FILTER (WHERE dow <= c.range) + var_pop(y) FILTER (WHERE dow > c.range) * count(*) FILTER (WHERE dow > c.range) AS sse
+      FROM d, range(5) k, range(6) c WHERE fold <> k.range GROUP BY k.range, c.range),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sse, cut) AS place FROM t) WHERE place = 1),
+p AS (SELECT k, y, CASE WHEN dow <= cut THEN lo ELSE hi END AS p FROM d JOIN best ON fold = k)
+SELECT g.range AS param_id, k AS fold, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM p, range(2) g GROUP BY g.range, k"""))
+def q_m10_stump(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    d = f.join(rs.grouped_folds(f, 5), "id").where(F.col("dU_next_h1").isNotNull())
+    # the first tree has weight one whatever the rate is
+    return tr.cv_trees(d, ["dow"], "dU_next_h1", "fold", tr.fit_boosting, {"max_iter": [1], "max_depth": [1], "step": [0.1, 0.5], "memory_mb": [16]}).select("param_id", "fold", "mae", "r2")
+
+
 @register("a27_best_epoch", [("best_epoch", "i")] + _d("best_loss"), Q.with_panel(
     "l AS (SELECT day AS epoch, avg(U_t) AS loss FROM panel GROUP BY day)\nSELECT arg_min(epoch, loss) AS best_epoch, min(loss) AS best_loss FROM l"))
 def q_a27(spark, sf):
@@ -1629,13 +1646,18 @@ def q_s4(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("s5_model_ready_sink", KEYS + _d("U_t_lag1", "U_t_roll7_mean", "dU_next_h1"), Q.with_panel(
-    f"SELECT id, day, lag(U_t, 1) {_W}) AS U_t_lag1, {_gated('avg', 'U_t', -7, -1, 1)} AS U_t_roll7_mean, "
-    f"lead(U_t, 1) {_W}) - U_t AS dU_next_h1 FROM panel"))
+_S5_PARTS = ("w01_row_lags", "w02_first_difference", "w03_trailing_mean", "w04_trailing_sd", "w06_ewm_past", "w07_running_mean_sd", "w08_w09_within_person_z",
+             "w11_days_since_start", "w12_w14_treatment_history")
+_S5_FEATURES = [c for part in _S5_PARTS for c in _REG[part][2] if c not in KEYS]
+_S5_LABELS = [f"{p}{t}_next_h{h}" for h in (1, 2, 3) for t in ("U", "W", "S") for p in ("", "d")]
+
+
+@register("s5_model_ready_sink", KEYS + _S5_FEATURES + _d(*_S5_LABELS),
+          "SELECT * FROM (" + _REG["w15_horizon_labels"][1] + ") " + " ".join(f"JOIN ({_REG[part][1]}) USING (id, day)" for part in _S5_PARTS))
 def q_s5(spark, sf):
     from cohortflow.sources.sinks import write_model_ready
     path = _scratch(spark, "model-ready")
-    write_model_ready(events_features(spark, sf, horizons=1), path, ["U_t_lag1", "U_t_roll7_mean"], ["dU_next_h1"])
+    write_model_ready(events_features(spark, sf, horizons=3), path, [c for c, _ in _S5_FEATURES], _S5_LABELS)
     return spark.read.parquet(path)
 
 
