@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,11 @@ from cohortflow.session import checkpoint_dir
 
 #: Characters of text handled by one numpy pass inside a task.  Bounds the arrays a task
 #: builds whatever the Arrow batch holds; one longer text makes a pass of its own.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
 
 
 #: bytes of one Arrow batch sent to a task's Python worker; rows alone would not bound long texts
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -61,6 +62,16 @@ def slices(texts, limit: int = SLICE_CHARS):
         yield start, len(texts)
 
 
+def released(run):
+    """``run`` for ``mapInArrow``, after which the reused worker gives its free Arrow memory back."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return tidy
+
+
 def texts_of(column) -> list[str]:
     """An Arrow column of texts as str, null as the empty text."""
     return [t if t is not None else "" for t in column.to_pylist()]

@@ -26,10 +26,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded, mix64, slices, texts_of
+from cohortflow.llm.common import bounded, mix64, released, slices, texts_of
 
 BINS = 64
-SLICE = 500_000
+SLICE = 250_000
 #: phrases wanted at the first level of the signature set, and the first level of long texts
 LEAST_PHRASES, FIRST_LEVEL = 8, 3
 EMPTY = np.uint16(0xFFFF)
@@ -169,7 +169,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ["doc_id", "n_chars", "fingerprint"])
 
     return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_chars bigint, fingerprint string")
+        released(run), f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
 def in_cells(docs: DataFrame, rows_a_cell: int = 500, most_cells: int = 20_000) -> DataFrame:
@@ -244,4 +244,4 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     pa.array(likeness(mine, changed)), pa.array(likeness(mine, after))], names)
 
     return with_follower(d).select("doc_id", "text", "cell", "extra").mapInArrow(
-        run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        released(run), f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

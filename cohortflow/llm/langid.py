@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded, slices, texts_of
+from cohortflow.llm.common import bounded, released, slices, texts_of
 
 WINDOW, WINDOWS_PER_DOC = 64, 4
-BLOCK = 4096                       # windows in one pass of the recurrent layers
+BLOCK = 1024                       # windows in one pass of the recurrent layers
 UNDETERMINED = "und"
 MIN_SCORE = 0.3                    # least mean probability of a text whose language counts as known
 
@@ -202,4 +202,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     types = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *keep))
-    return d.mapInArrow(run, f"{schema}, lang_pred string, score double, letters boolean")
+    return d.mapInArrow(released(run), f"{schema}, lang_pred string, score double, letters boolean")

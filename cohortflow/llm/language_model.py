@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import Words, mix64, slices, staged, texts_of
+from cohortflow.llm.common import Words, mix64, released, slices, staged, texts_of
 
 CLASSES, OWN_CLASS = 64, 16            # classes, and how many of them are single tokens (the end among them)
 BUCKET_BITS = 15
@@ -40,6 +40,7 @@ BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
 SHARDS, ROUNDS, MINIBATCH = 8, 2, 4096
+MERGE_TOKENS = 2_000_000                # tokens a task counts before it sends what it has
 PARTS = 64                             # row blocks in which weights are merged
 _U64, _I64 = np.uint64, np.int64
 _SALT = mix64(np.arange(500, 510, dtype=_U64)) | _U64(1)
@@ -108,18 +109,25 @@ def log_softmax_at(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]
 
 def token_counts(train: DataFrame) -> DataFrame:
     """(token, prefix, c) of all training texts, ends included; merged per task before the shuffle."""
+    def merged(tokens, prefixes):
+        token, at, c = np.unique(np.concatenate(tokens), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(_I64)), pa.array(np.concatenate(prefixes)[at]), pa.array(c.astype(_I64))], ["token", "prefix", "c"])
+
     def run(batches):
+        tokens, prefixes, held = [], [], 0
         for batch in batches:
-            tokens, prefixes = [], []
             for a, b in slices(t := texts_of(batch.column("text"))):
                 s = Stream(t[a:b])
                 tokens.append(s.token)
-                prefixes.append(s.prefix)
-            if tokens:
-                token, at, c = np.unique(np.concatenate(tokens), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(_I64)), pa.array(np.concatenate(prefixes)[at].astype(np.int32)), pa.array(c.astype(_I64))], ["token", "prefix", "c"])
+                prefixes.append(s.prefix.astype(np.int32))
+                held += len(s.token)
+                if held >= MERGE_TOKENS:
+                    yield merged(tokens, prefixes)
+                    tokens, prefixes, held = [], [], 0
+        if tokens:
+            yield merged(tokens, prefixes)
 
-    return train.select("text").mapInArrow(run, "token bigint, prefix int, c bigint").groupBy("token").agg(F.max("prefix").alias("prefix"), F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(released(run), "token bigint, prefix int, c bigint").groupBy("token").agg(F.max("prefix").alias("prefix"), F.sum("c").alias("c"))
 
 
 def make_classes(counts: DataFrame) -> Classes:
@@ -144,7 +152,7 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
             c = batch.column("c").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(np.bincount(cls, weights=c + 1.0, minlength=CLASSES))], ["cls", "total"])
 
-    rows = counts.select("token", "prefix", "c").mapInArrow(run, "cls int, total double").groupBy("cls").agg(F.sum("total").alias("total")).collect()
+    rows = counts.select("token", "prefix", "c").mapInArrow(released(run), "cls int, total double").groupBy("cls").agg(F.sum("total").alias("total")).collect()
     out = np.ones(CLASSES)
     for r in rows:
         out[r["cls"]] += r["total"]
@@ -191,7 +199,7 @@ def fit(sample: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = RO
             mean = (total / np.maximum(seen, 1)[:, None]).astype(np.float32)
             return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "mean": [mean.tobytes()]})
 
-        merged = parts.mapInArrow(run, "part int, weighted binary, seen binary").groupBy("part").applyInPandas(merge, "part int, mean binary").collect()
+        merged = parts.mapInArrow(released(run), "part int, weighted binary, seen binary").groupBy("part").applyInPandas(merge, "part int, mean binary").collect()
         size = BUCKETS // PARTS
         weights = weights.copy()
         for r in merged:
@@ -247,7 +255,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(many), pa.array(known), pa.array(logs), pa.array(context), tail],
                 ["doc_id", "held_out", "n_tokens", "known", "logs", "context", "tail"])
 
-    part = d.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, context double, tail array<bigint>")
+    part = d.mapInArrow(released(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, context double, tail array<bigint>")
     part = staged(part.withColumn("rid", F.monotonically_increasing_id()), "lm-parts")      # the ids are written, so they stay
     rare = (part.select("rid", F.explode("tail").alias("token")).join(counts.where(F.col("c") < max(2, HEAD_SHARE * total)).select("token", "c"), "token")
             .groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more_logs"), F.count("*").alias("more_known")))

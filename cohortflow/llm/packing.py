@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded, staged, texts_of
+from cohortflow.llm.common import bounded, released, staged, texts_of
 
 SIZE = 2048
 END_ID = 0
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []), names)
 
     return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+        released(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, int]:
@@ -164,7 +164,7 @@ def place(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     kind = cut_pieces.schema["doc_id"].dataType.simpleString()
     return ranked(cut_pieces.select(*names[:5]), histogram).select(*names[:5], "rank").mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+        released(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, paths: tuple[str, str] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import Words, combine, slices, staged, texts_of
+from cohortflow.llm.common import Words, combine, released, slices, staged, texts_of
 
 MIN_WORDS = 20
 _STOP = np.zeros(256, dtype=bool)
@@ -90,7 +90,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                  pa.array(place[pick].astype(np.int32)), pa.array(again[~copy])],
                 ["key", "more", "doc_id", "tie", "place", "again"])
 
-    return docs.select("doc_id", "text", "tie").mapInArrow(run, f"key bigint, more int, doc_id {kind}, tie bigint, place int, again boolean")
+    return docs.select("doc_id", "text", "tie").mapInArrow(released(run), f"key bigint, more int, doc_id {kind}, tie bigint, place int, again boolean")
 
 
 def _ranks(ids, ties: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def later_occurrences(units: DataFrame) -> DataFrame:
             pick = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(pick), pa.array(tie[keep]), pa.array(place[keep])], ["doc_id", "tie", "place"])
 
-    found = heads.select("key", "more", "doc_id", "tie", "place").mapInArrow(run, f"doc_id {kind}, tie bigint, place int")
+    found = heads.select("key", "more", "doc_id", "tie", "place").mapInArrow(released(run), f"doc_id {kind}, tie bigint, place int")
     return units.where("again").select("doc_id", "tie", "place").unionByName(found)
 
 
@@ -185,4 +185,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     types = {f.name: f.dataType.simpleString() for f in met.schema}
     schema = ", ".join([f"doc_id {types['doc_id']}", *[f"`{c}` {types[f'k_{c}']}" for c in keep]])
-    return met.mapInArrow(run, f"{schema}, text string, n_units bigint, n_removed bigint, removed_words bigint, starts array<bigint>, lengths array<bigint>")
+    return met.mapInArrow(released(run), f"{schema}, text string, n_units bigint, n_removed bigint, removed_words bigint, starts array<bigint>, lengths array<bigint>")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded, staged, texts_of
+from cohortflow.llm.common import bounded, released, staged, texts_of
 
 # Letters of other scripts that look like a Latin letter, and signs written for letters.
 HOMOGLYPHS = {
@@ -169,7 +169,7 @@ def _counted(rows: DataFrame, fn, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(list(counts.values()), pa.int64())], names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return rows.select("text", "toxic").mapInArrow(run, schema)
+    return rows.select("text", "toxic").mapInArrow(released(run), schema)
 
 
 def _chance(k: int, n: int, share: float) -> float:
@@ -301,4 +301,4 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     types = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *keep))
-    return d.mapInArrow(run, f"{schema}, score double, predicted int, n_matches int, starts array<int>, ends array<int>")
+    return d.mapInArrow(released(run), f"{schema}, score double, predicted int, n_matches int, starts array<int>, ends array<int>")
