@@ -4,8 +4,10 @@ A text is cut into units: lines, and the sentences of a line (a word that ends i
 ``?`` ends a unit).  A unit is normalised (A-Z lower-cased, white space collapsed) and hashed.
 Digests are grouped over all documents; the occurrence of least rank (document id, then place)
 stays.  Later occurrences go if they stand in a run of such units of at least ``min_words``
-words, so a passage goes as a whole and short common sentences stay.  What goes is given as
-spans of the original text (code points).
+words, so a passage goes as a whole and short common sentences stay.  With ``whole_lines`` lines
+are hashed as lines, too, and every later occurrence of one goes, however short; the floor then
+holds only for sentences inside a line.  What goes is given as spans of the original text (code
+points).
 
 Scale: a task first groups the digests of its own batch, and only the first occurrence in a batch
 is sent on; a line that stands in a third of all documents is one row per batch.  The digests
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 from cohortflow.llm.common import Words, combine, released, slices, staged, texts_of
 
 MIN_WORDS = 20
+LINE = 1 << 30                          # added to the place of a line's first unit where the line itself is meant
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
 class Units:
-    """Units of several texts: ``text`` index, ``place`` in it, digests, ``words`` and the byte places of each."""
+    """Units of several texts: ``text`` index, ``place`` in it, digests, ``words`` and the byte places of each.
+
+    ``line`` holds for every unit the number of its line, ``line_first`` the first unit of every line.
+    """
 
     def __init__(self, texts: list[str]):
         w = Words(texts)
@@ -40,14 +46,15 @@ class Units:
         owner = np.repeat(np.arange(len(texts)), w.count)
         if not n:
             self.text = self.place = self.words = self.start = self.stop = np.zeros(0, dtype=np.int64)
+            self.line = self.line_first = self.line_key = np.zeros(0, dtype=np.int64)
             self.key, self.more = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+            self.line_more = self.more
             return
         lines = np.zeros(len(w.buf) + 1, dtype=np.int64)
         np.cumsum(w.buf == 10, out=lines[1:])
-        ends = _STOP[w.buf[w.end - 1]].copy()
-        ends[:-1] |= lines[w.start[1:]] != lines[w.end[:-1]]
-        ends[:-1] |= owner[1:] != owner[:-1]
-        ends[-1] = True
+        breaks = np.ones(n, dtype=bool)                # words that end a line
+        breaks[:-1] = (lines[w.start[1:]] != lines[w.end[:-1]]) | (owner[1:] != owner[:-1])
+        ends = _STOP[w.buf[w.end - 1]] | breaks
         first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
         self.text = owner[first]
         self.words = np.diff(first, append=n)
@@ -55,14 +62,23 @@ class Units:
         self.place = np.arange(len(first)) - at[self.text]
         self.key = combine(w.hash, first).view(np.int64)
         self.more = (combine(w.hash, first, salt=1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        opens = np.append(True, breaks[:-1])
+        self.line = np.cumsum(opens[first]) - 1
+        self.line_first = np.flatnonzero(opens[first])
+        at_line = np.flatnonzero(opens)
+        self.line_key = combine(w.hash, at_line, salt=2).view(np.int64)
+        self.line_more = (combine(w.hash, at_line, salt=3) & np.uint64(0x7FFFFFFF)).astype(np.int32)
         # a unit reaches to the first word of the next one, the last to the end of its text
         begin = w.chars(np.concatenate([w.start[first], w.base[self.text], (w.base + w.size)[self.text]])).reshape(3, -1)
         self.start = begin[0] - begin[1]
         self.stop = np.where(np.append(self.text[1:] == self.text[:-1], False), np.append(self.start[1:], 0), begin[2] - begin[1])
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
-    """(key, more, doc_id, tie, place, again) of all units of (doc_id, text, tie); ``again``: not the first of its batch."""
+def unit_rows(docs: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """(key, more, doc_id, tie, place, again) of all units of (doc_id, text, tie); ``again``: not the first of its batch.
+
+    With ``whole_lines`` the lines follow as units of their own, at ``LINE`` + their first unit.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -73,6 +89,8 @@ def unit_rows(docs: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 u = Units(texts[a:b])
                 parts.append((u.key, u.more, u.text + a, u.place))
+                if whole_lines:
+                    parts.append((u.line_key, u.line_more, u.text[u.line_first] + a, u.place[u.line_first] + LINE))
             if not parts:
                 continue
             key, more, text, place = (np.concatenate(c) for c in zip(*parts))
@@ -139,20 +157,34 @@ def later_occurrences(units: DataFrame) -> DataFrame:
 
 
 def spans(u: Units, mine: np.ndarray, repeated: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) units of one text's runs that go; ``mine`` are its units."""
+    """(first, last) units of one text's runs that go; ``mine`` are its units.
+
+    Runs of fewer than ``min_words`` words stay, but for the repeated lines in them.
+    """
+    at = np.array(repeated, dtype=np.int64)
+    lines = np.isin(u.line[mine], u.line[mine[at[at >= LINE] - LINE]])
     flag = np.zeros(len(mine) + 2, dtype=np.int8)
-    flag[1 + np.array(repeated, dtype=np.int64)] = 1
-    edge = np.flatnonzero(np.diff(flag))
-    first, last = edge[0::2], edge[1::2] - 1
+    flag[1 + at[at < LINE]] = 1
+    first, last = _runs(flag)
     words = np.concatenate([[0], np.cumsum(u.words[mine])])
-    enough = words[last + 1] - words[first] >= min_words
-    return first[enough], last[enough]
+    short = words[last + 1] - words[first] < min_words
+    for f, x in zip(first[short], last[short]):
+        flag[f + 1:x + 2] = lines[f:x + 1]
+    return _runs(flag)
+
+
+def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(flag))
+    return edge[0::2], edge[1::2] - 1
+
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: tuple[str, ...] = (), whole_lines: bool = False) -> DataFrame:
+    """One row per input row: doc_id, *keep, text without the repeated passages, n_units, n_removed, removed_words, starts, lengths.
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, *keep, text without the repeated passages, n_units, n_removed, removed_words, starts, lengths."""
+    ``whole_lines``: every later occurrence of a line goes, whatever ``min_words`` is.
+    """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep]).withColumn("tie", F.xxhash64("text"))
-    units = staged(unit_rows(d), "substring-units")
+    units = staged(unit_rows(d, whole_lines), "substring-units")
     lists = later_occurrences(units).groupBy("doc_id", "tie").agg(F.collect_set("place").alias("repeated")).select(
         F.col("doc_id").alias("r_id"), F.col("tie").alias("r_tie"), "repeated")        # at most the units of one text
     met = d.join(lists, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")), "left").drop("r_id", "r_tie", "tie")

@@ -110,3 +110,26 @@ def test_one_line_in_every_document(spark):
 
 def test_empty_table(spark):
     assert substring.dedup(docs_frame(spark, [])).count() == 0
+
+
+def test_whole_lines_go_however_short(spark):
+    licence = "Licensed under the usual terms."
+    rows = [(i, f"start {i} of its own.\n{licence}\nfirst {i}. Shared words. last {i}.\nLICENSED under  the usual terms.") for i in range(50)]
+    rows += [(60, "Read on."), (61, "He said so. Read on. And left."), (62, "read ON."), (None, licence), (None, licence)]
+    df = docs_frame(spark, rows).repartition(7)
+    out = {r["doc_id"]: r["text"] for r in substring.dedup(df, whole_lines=True).collect()}
+    assert out[0] == f"start 0 of its own.\n{licence}\nfirst 0. Shared words. last 0.\n"
+    assert all(out[i] == f"start {i} of its own.\nfirst {i}. Shared words. last {i}.\n" for i in range(1, 50))   # sentences inside a line keep the floor
+    assert (out[60], out[61], out[62], out[None]) == ("Read on.", "He said so. Read on. And left.", "", "")
+
+
+def test_whole_lines_equal_brute_force(spark):
+    rows, _, common = planted()
+    rows += [(500 + i, f"{common}\nown {i} text") for i in range(30)]
+    out = {r["doc_id"]: r["text"] for r in substring.dedup(docs_frame(spark, rows).repartition(7), whole_lines=True).collect()}
+    seen = set()
+    for d, t in rows:                                                 # ids ascend
+        left = [tuple(words(x)) for x in out[d].split("\n")]
+        for line in filter(None, (tuple(words(x)) for x in t.split("\n"))):
+            assert line not in seen or line not in left
+            seen.add(line)
