@@ -7,11 +7,11 @@ Classes are the most frequent tokens one by one and the others by their first tw
 heaviest beginnings in classes of their own.  Within a class the maximum-entropy distribution over unigram features has a
 closed form: counts plus one, over the class total, with one part for unknown tokens.
 
-Training is a few rounds of distributed gradient updates: in each round ``SHARDS`` tasks run
-minibatch gradient steps from the same weights over their share of the fit documents and the
-weights are merged in Spark, row by row, by how often each saw a feature.  The fit uses at most
-about ``fit_docs`` training documents, chosen by a hash (a parameter).  Counts cover every
-training document: token counts, class totals and the vocabulary grow with the corpus.
+Training is a few rounds of distributed gradient updates over all training documents: in each
+round every task runs minibatch gradient steps from the same weights over its shard and the
+weights are merged in Spark, row by row, by how often each saw a feature.  There is a shard for
+every ``SHARD_TOKENS`` tokens, ``SHARDS`` at least, so a task's share is the same at any size.
+Token counts, class totals and the vocabulary cover every training document, too.
 
 Scoring is one pass over all whole texts in sparse numpy batches.  Counts of tokens that make up
 at least ``HEAD_SHARE`` of the corpus (at most ``1 / HEAD_SHARE`` tokens) travel with the tasks;
@@ -27,7 +27,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,7 @@ BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
 SHARDS, ROUNDS, MINIBATCH = 8, 2, 4096
+SHARD_TOKENS = 4_000_000                # tokens of one shard of the fit
 MERGE_TOKENS = 2_000_000                # tokens a task counts before it sends what it has
 PARTS = 64                             # row blocks in which weights are merged
 _U64, _I64 = np.uint64, np.int64
@@ -159,14 +159,33 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
     return out
 
 
-def fit(sample: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, rate: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and bias of the class softmax, by rounds of distributed gradient updates over ``sample`` (text)."""
+def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``; most rows occur once or a few times."""
+    order = np.argsort(rows.astype(np.uint16) if BUCKET_BITS <= 16 else rows, kind="stable")
+    ordered = rows[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    many = np.diff(at, append=len(ordered))
+    total = delta[order[at]]
+    for x in np.flatnonzero(many > 16):
+        total[x] = delta[order[at[x]:at[x] + many[x]]].sum(axis=0)
+    few = np.flatnonzero((many > 1) & (many <= 16))
+    for k in range(1, 16):
+        few = few[many[few] > k]
+        if not len(few):
+            break
+        total[few] += delta[order[at[few] + k]]
+    return ordered[at], many, total
+
+
+def fit(train: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, rate: float = 0.25, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and bias of the class softmax, by rounds of distributed gradient updates over all of ``train`` (text)."""
     weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
     bias = np.log(prior / prior.sum()).astype(np.float32)
-    parts = sample.select("text", F.pmod(F.xxhash64("text"), F.lit(SHARDS)).alias("shard")).repartition(SHARDS, "shard").select("text")
+    parts = train.select("text").repartition(shards)               # dealt in turn: equal rows do not meet in one shard
+    size = BUCKETS // PARTS
 
     for turn in range(rounds):
-        def run(batches, start=weights, step=rate / (1 + turn)):
+        def run(batches, start=weights, step=np.float32(rate / (1 + turn))):
             w = start.copy()
             seen = np.zeros(BUCKETS, dtype=np.float64)
             power = np.full(BUCKETS, 1e-3, dtype=np.float32)
@@ -179,40 +198,50 @@ def fit(sample: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = RO
                         part = [r[i:i + MINIBATCH] for r in rows]
                         _, delta = log_softmax_at(w, bias, part, label[i:i + MINIBATCH], True)
                         for r in part:
-                            order = np.argsort(r, kind="stable")
-                            row, at, many = np.unique(r[order], return_index=True, return_counts=True)
-                            g = np.add.reduceat(delta[order], at, axis=0)
-                            power[row] += (g * g).mean(axis=1)
-                            w[row] -= step * g / np.sqrt(power[row])[:, None]
+                            row, many, g = row_sums(r, delta)
+                            power[row] += np.einsum("ij,ij->i", g, g) / np.float32(CLASSES)
+                            g *= (step / np.sqrt(power[row]))[:, None]
+                            w[row] -= g
                             seen[row] += many
             if seen.any():
-                size = BUCKETS // PARTS
                 for p in range(PARTS):
                     at = slice(p * size, (p + 1) * size)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([p], pa.int32()), pa.array([(w[at] * seen[at][:, None]).astype(np.float32).tobytes()], pa.binary()), pa.array([seen[at].tobytes()], pa.binary())],
                         ["part", "weighted", "seen"])
 
-        def merge(pdf):                                            # at most SHARDS rows of one part
-            seen = sum(np.frombuffer(x, dtype=np.float64) for x in pdf["seen"])
-            total = sum(np.frombuffer(x, dtype=np.float32).reshape(-1, CLASSES).astype(np.float64) for x in pdf["weighted"])
-            mean = (total / np.maximum(seen, 1)[:, None]).astype(np.float32)
-            return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "mean": [mean.tobytes()]})
+        def merge(batches):                                        # the parts of all shards, one part after the other
+            last, total, seen = None, None, None
 
-        merged = parts.mapInArrow(released(run), "part int, weighted binary, seen binary").groupBy("part").applyInPandas(merge, "part int, mean binary").collect()
-        size = BUCKETS // PARTS
+            def mean():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([last], pa.int32()), pa.array([(total / np.maximum(seen, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], ["part", "mean"])
+
+            for batch in batches:
+                for p, x, n in zip(*(batch.column(c) for c in ("part", "weighted", "seen"))):
+                    if p.as_py() != last:
+                        if last is not None:
+                            yield mean()
+                        last, total, seen = p.as_py(), np.zeros((size, CLASSES)), np.zeros(size)
+                    total += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(-1, CLASSES)
+                    seen += np.frombuffer(n.as_buffer(), dtype=np.float64)
+            if last is not None:
+                yield mean()
+
+        found = parts.mapInArrow(released(run), "part int, weighted binary, seen binary").repartition(PARTS, "part").sortWithinPartitions("part")
+        merged = found.mapInArrow(released(merge), "part int, mean binary").collect()
         weights = weights.copy()
         for r in merged:
             weights[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["mean"], dtype=np.float32).reshape(-1, CLASSES)
     return weights, bias
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 12_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``held_out`` is a boolean column."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     train = d.where(~F.col("held_out"))
     counts = staged(token_counts(train), "lm-counts")
-    total, distinct, n_docs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == int(np.array([END], dtype=_U64).view(_I64)[0]), F.col("c"))), F.lit(0))).first()
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     classes = make_classes(counts)
     norm = class_totals(counts, classes)
     head = counts.where(F.col("c") >= max(2, HEAD_SHARE * total)).select("token", "c").toPandas()      # at most 1 / HEAD_SHARE rows
@@ -220,9 +249,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(head_token)
     head_token, head_log = head_token[order], np.log10(head["c"].to_numpy(dtype=np.float64)[order] + 1)
 
-    share = min(1.0, fit_docs / max(1, n_docs))
-    place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    weights, bias = fit(staged(train.where(place < share).select(F.coalesce("text", F.lit("")).alias("text")), "lm-fit"), classes, norm)
+    weights, bias = fit(train.select(F.coalesce("text", F.lit("")).alias("text")), classes, norm, shards=max(SHARDS, -(-int(total) // SHARD_TOKENS)))
     log_norm = np.log10(norm)
     kind = d.schema["doc_id"].dataType.simpleString()
 

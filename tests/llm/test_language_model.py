@@ -98,3 +98,27 @@ def test_no_training_rows_and_no_rows(spark):
     (r,) = run(docs_frame(spark, [(5, "a b")]), F.lit(True)).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] <= 0
     assert run(docs_frame(spark, [])).count() == 0
+
+
+def test_every_training_document_is_fitted_in_shards_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_TOKENS", 5_000)
+    fit, seen = M.fit, {}
+
+    def spy(train, *args, **kw):
+        seen.update(rows=train.count(), shards=kw["shards"] if "shards" in kw else M.SHARDS)
+        return fit(train, *args, **kw)
+
+    monkeypatch.setattr(M, "fit", spy)
+    rows = [(i, f"w{i % 7} w{i % 11} x") for i in range(20_000)]
+    out = run(docs_frame(spark, rows)).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert seen == {"rows": 16_000, "shards": 13} and out["s"] > out["b"]      # 64,000 tokens
+
+
+def test_row_sums_equal_a_loop():
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.integers(0, 40, 300), rng.integers(40, M.BUCKETS, 300), np.full(50, M.BUCKETS - 1)])
+    delta = rng.normal(size=(len(rows), M.CLASSES)).astype(np.float32)
+    row, many, total = M.row_sums(rows, delta)
+    assert row.tolist() == sorted(set(rows.tolist())) and many.sum() == len(rows)
+    for r, n, t in zip(row, many, total):
+        assert n == (rows == r).sum() and np.allclose(t, delta[rows == r].sum(axis=0), atol=1e-4)
