@@ -28,9 +28,6 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import staged
 
-#: tokens of one url that mining looks at: a bound of the fit, as itemsets grow with two to their number
-MOST_TOKENS = 40
-
 
 @dataclass(frozen=True)
 class ListedRule:
@@ -104,11 +101,12 @@ def mine(spark: SparkSession, judged: DataFrame, min_support: float = 0.002, min
     """Association rules ``tokens -> verdict`` from urls with a ``tokens`` and a ``listed`` column.
 
     Urls without a listed verdict are transactions too: they count against a rule's confidence.
+    Baskets are whole: FP-growth itself drops the tokens that miss ``min_support`` before it builds trees.
     """
     if judged.where(F.col("listed").isNotNull()).limit(1).count() == 0:
         return spark.createDataFrame([], RULE_SCHEMA)
     label = F.when(F.col("listed").isNotNull(), F.array(F.concat(F.lit("verdict="), F.col("listed")))).otherwise(_none())
-    baskets = judged.select(F.concat(F.slice("tokens", 1, MOST_TOKENS), label).alias("items"))
+    baskets = judged.select(F.concat("tokens", label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules.where(F.element_at("consequent", 1).startswith("verdict="))
              .where(~F.exists("antecedent", lambda x: x.startswith("verdict=")))

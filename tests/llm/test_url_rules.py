@@ -84,3 +84,9 @@ def test_repeats_clashing_columns_and_no_rows(spark):
     assert len(out) == 4 and [r["verdict"] for r in out if r["page_id"] == 1] == ["block", "block"]
     assert U.judge(frame(spark, []).select("page_id", "url")).count() == 0
     assert {r["verdict"] for r in U.judge(frame(spark, ["http://x.de/", None])).collect()} == {"allow"}
+
+
+def test_mining_sees_every_token_of_a_long_url(spark):
+    rows = [([f"query=k{i}x{j}" for j in range(45)] + ["site=bad.example"], "block") for i in range(30)] + [(["site=good.example"], None)] * 30
+    rules = U.mine(spark, spark.createDataFrame(rows, "tokens array<string>, listed string"), min_support=0.4)
+    assert [(r["tokens"], r["verdict"], r["support"]) for r in rules.collect()] == [(["site=bad.example"], "block", 0.5)]
