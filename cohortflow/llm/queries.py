@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
+from cohortflow.llm import clustering, fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,44 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clustering_sql(rounds: int = 5, k: int = 40, dims: int = 64) -> str:
+    """Each round: every squared distance, the nearest centroid (ties: smaller number), exact floors of the means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (
+  SELECT r, vec_id, v, arg_min(c, s) AS c, min(s)[1] AS d FROM (
+    SELECT k.r, k.vec_id, k.v, m.c,
+           [CAST(list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), m.c] AS s
+    FROM k CROSS JOIN c{i} m) GROUP BY r, vec_id, v),""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS (
+  SELECT m.c, coalesce(n.v, m.v) AS v FROM c{i} m LEFT JOIN (
+    SELECT c, list(x ORDER BY g) AS v FROM (
+      SELECT c, g, CAST((sum(v[g]) - ((sum(v[g]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+      FROM a{i}, (SELECT unnest(range(1, {dims + 1})) AS g) GROUP BY c, g) GROUP BY c) n ON n.c = m.c),""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS BIGINT) AS c, v
+  FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM k ORDER BY h, v LIMIT {k})),{"".join(steps)}
+z AS (SELECT c, sha256(array_to_string(v, ',')) AS digest FROM c{rounds})
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, z.digest AS centroid_sha256
+FROM a{rounds} a JOIN z ON z.c = a.c
+"""
+
+
+ORACLE["op13_clustering"] = _clustering_sql()
