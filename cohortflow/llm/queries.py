@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import clustering, fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
+from cohortflow.llm import clustering, conversations, fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,84 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_with_digests(rows).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def _repair_sql() -> str:
+    """Dynamic programming over a conversation's rows: per state the least of cost (nine digits) and audit as one string."""
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    after = (2, 2, 3, 2)
+
+    def plus(q, cost, edits):
+        return f"lpad(CAST(CAST(left(p.q{q}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr(p.q{q}, 10) || '{edits}'"
+
+    to: dict[int, list[str]] = {q: [] for q in range(4)}
+    for q in range(4):
+        at = q
+        for inserts in range(3):
+            paid, edits = 2 * inserts, "I" * inserts
+            to[at].append(plus(q, paid + 3, edits + "D"))
+            for c in "sua":
+                if (at, c) in kept:
+                    to[kept[at, c]].append(f"CASE WHEN NOT r.gone AND r.c = '{c}' THEN {plus(q, f'{paid} + r.cut', edits + 'K')} END")
+            to[after[at]].append(f"CASE WHEN NOT r.gone THEN {plus(q, f'{paid + 2} + r.cut', edits + 'R')} END")
+            at = after[at]
+    states = ", ".join(f"least({', '.join(x)}) AS q{q}" for q, x in to.items())
+    last = f"least(p.q0, {plus(1, 4, 'II')}, {plus(2, 2, 'I')}, p.q3)"
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+z AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ord(substr(key, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS z FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role,
+         CASE z WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE z WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM z),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open FROM n),
+r AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS c, blank, again AND NOT blank AS dup, open AND NOT again AND NOT blank AS trunc,
+         blank OR again AS gone, CAST(open AND NOT again AND NOT blank AS INTEGER) AS cut,
+         i > 1 AND (lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1)) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM o),
+p AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS q0, CAST(NULL AS VARCHAR) AS q1, CAST(NULL AS VARCHAR) AS q2, CAST(NULL AS VARCHAR) AS q3
+  FROM conversations
+  UNION ALL
+  SELECT p.conv_id, r.i, {states} FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1),
+w AS (SELECT conv_id, arg_max({last}, p.i) AS way FROM p GROUP BY conv_id),
+a AS (SELECT conv_id, CAST(left(way, 9) AS BIGINT) AS cost, substr(way, 10) AS audit FROM w),
+e AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS pos, audit FROM a),
+l AS (
+  SELECT conv_id, pos, substr(audit, pos, 1) AS edit, length(replace(left(audit, pos), 'I', '')) AS i, length(replace(left(audit, pos), 'D', '')) AS n FROM e),
+m AS (
+  SELECT l.conv_id, l.pos, l.edit, l.n, r.role, CASE WHEN l.edit = 'I' THEN '' ELSE r.text END AS text,
+         max(CASE WHEN l.n = 1 AND l.edit = 'K' AND r.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS head
+  FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND l.edit <> 'I' WHERE l.edit <> 'D'),
+t AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS whole
+  FROM m GROUP BY conv_id),
+f AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (trunc) AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(f.blank, 0) AS BIGINT) AS blank, CAST(coalesce(f.duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(f.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(f.illegal, 0) AS BIGINT) AS illegal, a.cost, a.audit,
+       sha256(coalesce(t.whole, '')) AS repaired_sha256
+FROM a LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLE["op12_conversations"] = _repair_sql()
+
+
 @query
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings")).select(
