@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import clustering, conversations, fingerprints, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
+from cohortflow.llm import clustering, conversations, fingerprints, html_text, jaccard, langid, language_model, mixing, neardup, packing, substring, toxicity, url_rules
 from cohortflow.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+@query
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.train()).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
