@@ -41,7 +41,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = bounded(df).sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, so that the shared folder holds only what later steps need."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.staged_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def id_crc(col: str):

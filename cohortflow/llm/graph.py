@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import staged
+from cohortflow.llm.common import discard, staged
 
 JUMPS = 3
 
@@ -23,20 +23,25 @@ def components(edges: DataFrame) -> DataFrame:
     label = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).select(F.col("a").alias("node"), "up")
-        up = staged(up, "parents")
-        if up.isEmpty():
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).select(F.col("a").alias("node"), "up")
+        least = staged(least, "parents")
+        if least.isEmpty():
             break
+        up = least
         for _ in range(JUMPS):
             far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
             up = up.join(far, "up").select("node", F.col("far").alias("up"))
         up = staged(up, "parents")
-        e = (e.join(up.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
-             .where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-        e = staged(e, "edges")
+        rest = (e.join(up.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
+                .where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        rest = staged(rest, "edges")
         if label is None:
-            label = up.select("node", F.col("up").alias("component"))
+            later = staged(up.select("node", F.col("up").alias("component")), "labels")
         else:
             nxt = up.select(F.col("node").alias("component"), F.col("up").alias("later"))
-            label = staged(label.join(nxt, "component", "left").select("node", F.coalesce("later", "component").alias("component")), "labels")
-    return label if label is not None else up.select("node", F.col("up").alias("component"))
+            later = staged(label.join(nxt, "component", "left").select("node", F.coalesce("later", "component").alias("component")), "labels")
+            discard(label)
+        discard(e, least, up)
+        e, label = rest, later
+    discard(e)
+    return label if label is not None else least.select("node", F.col("up").alias("component"))
