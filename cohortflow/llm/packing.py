@@ -16,14 +16,15 @@ Ranks come without one task per size: a size with many pieces is dealt into buck
 each bucket is ranked, and the buckets' counts give the offsets.
 
 Cases: a null text is the empty text, one piece with the end id only; a text that holds the name
-of a special token is encoded by the reference tokenizer, as all others are by an equal and
-faster one; repeated rows are pieces of their own; no rows give no pieces; other columns are
+of a special token, or more than ``LONGEST_RUN`` characters of white space in a row, is encoded by
+the reference tokenizer, as all others are by an equal and faster one; repeated rows are pieces of their own; no rows give no pieces; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -37,6 +38,8 @@ from cohortflow.llm.common import bounded, released, staged, texts_of
 SIZE = 2048
 END_ID = 0
 BUCKET_ROWS = 20_000
+LONGEST_RUN = 100_000             # white space in a row that the fast form of the vocabulary gets; it fails near a million
+_RUN = re.compile(r"\s+")
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -60,9 +63,15 @@ def _encoder(paths: tuple[str, str]):
     return fast, full, special
 
 
+def has_long_run(text: str) -> bool:
+    return len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _RUN.finditer(text))
+
+
 def token_ids(text: str, paths: tuple[str, str]) -> list[int]:
+    """Ids of a whole text.  Texts with a special token's name, or with a run that the fast form's pattern could not stand
+    (it recurs once per character of white space), go through the file of the vocabulary itself."""
     fast, full, special = _encoder(paths)
-    if any(s in text for s in special):
+    if any(s in text for s in special) or has_long_run(text):
         return full.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 

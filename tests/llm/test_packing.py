@@ -120,3 +120,21 @@ def test_odd_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert P.pack(docs_frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u00a0"])
+def test_long_runs_of_white_space(space):
+    paths = P.tokenizer_paths()
+    _, full, _ = P._encoder(paths)
+    text = "before" + space * 2_000_000 + "after."
+    assert P.token_ids(text, paths) == full.encode(text, add_special_tokens=False).ids
+    under = "x" + space * 90_000 + "y"                           # the fast form, which must agree
+    assert not P.has_long_run(under) and P.token_ids(under, paths) == full.encode(under, add_special_tokens=False).ids
+
+
+def test_packing_a_long_run_and_an_endless_word(spark):
+    df = docs_frame(spark, [(1, " " * 2_000_000), (2, "w" * 1_000_000), (3, "short text")])
+    rows = P.pack(df).collect()
+    per = {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in (1, 2, 3)}
+    paths = P.tokenizer_paths()
+    assert per == {1: len(P.token_ids(" " * 2_000_000, paths)) + 1, 2: len(P.token_ids("w" * 1_000_000, paths)) + 1, 3: len(P.token_ids("short text", paths)) + 1}
