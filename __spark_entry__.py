@@ -9,7 +9,6 @@ places) so the driver's hash compare sees identical values.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -997,7 +996,9 @@ def q_s6(spark, sf):
 # ----------------------------------------------------------------------------- models
 
 from cohortflow.operators import linear as lin  # noqa: E402
+from cohortflow.operators import neighbours as nb  # noqa: E402
 from cohortflow.operators import trees as tr  # noqa: E402
+from cohortflow.operators.scaling import fit_scaler, spread  # noqa: E402
 from cohortflow.plans.features import feature_columns  # noqa: E402
 
 MODEL_COLS = ["W_t", "S_t", "U_t", "overall_wellbeing", *Q.ITEMS, "symptom_variability"]
@@ -1033,12 +1034,45 @@ def q_a14(spark, sf):
                        f"CAST(count({c}) > 0 AND coalesce(stddev_samp({c}), 0) > 0 AS INTEGER) AS keep FROM panel"
                        for c in MODEL_COLS + ["treatment"])))
 def q_a15(spark, sf):
-    p = events_panel(spark, sf)
-    cols = MODEL_COLS + ["treatment"]
-    agg = p.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', n{i}, s{i}" for i, c in enumerate(cols))
-    long = agg.selectExpr(f"stack({len(cols)}, {stack}) as (feature, n_nonnull, sd)")
-    return long.select("*", ((F.col("n_nonnull") > 0) & (F.coalesce(F.col("sd"), F.lit(0.0)) > 0)).cast("int").alias("keep"))
+    return spread(events_panel(spark, sf), MODEL_COLS + ["treatment"])
+
+
+# nearest neighbours: exact joins on scaled features, all pairs in SQL
+
+_KNN_COLS = MODEL_COLS
+_KNN_SQL = f"""t AS (
+  SELECT * FROM (SELECT id, day, U_t, lead(U_t, 1) {_W}) - U_t AS y, {", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_KNN_COLS))} FROM panel) WHERE y IS NOT NULL)"""
+
+
+def _knn_space(rows, train):
+    """Scaled features ``z0, z1, ...`` of ``rows`` by the rows of ``train``, both grouped by k."""
+    n = range(len(_KNN_COLS))
+    return f"""m AS (SELECT k, {", ".join(f"coalesce(quantile_cont(x{i}, 0.5), 0) AS m{i}" for i in n)} FROM {train} GROUP BY k),
+f AS (SELECT k, {", ".join(f"avg(coalesce(x{i}, m{i})) AS a{i}, stddev_pop(coalesce(x{i}, m{i})) AS s{i}" for i in n)} FROM {train} JOIN m USING (k) GROUP BY k),
+z AS (SELECT k, id, day, y, side, {", ".join(f"greatest(-10, least(10, (coalesce(x{i}, m{i}) - a{i}) / s{i})) AS z{i}" for i in n)} FROM {rows} JOIN m USING (k) JOIN f USING (k))"""
+
+
+def _knn_pairs(p):
+    parts = [f"abs(q.z{i} - r.z{i})" for i in range(len(_KNN_COLS))]
+    d = " + ".join(parts) if p == 1 else "sqrt(" + " + ".join(f"{x} * {x}" for x in parts) + ")"
+    return f"SELECT q.k, {p} AS p, q.id, q.day, q.y, r.id AS r_id, r.day AS r_day, r.y AS r_y, {d} AS d FROM z q JOIN z r ON q.k = r.k WHERE q.side = 0 AND r.side = 1"
+
+
+_KNN_RANK = "row_number() OVER (PARTITION BY k, p, id, day ORDER BY round(d * 1073741824.0), {key}) AS place"
+_KNN_ONE = f"""{_KNN_SQL},
+{{split}},
+w AS (SELECT 0 AS k, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS side, t.* FROM t JOIN sp USING (id)),
+wt AS (SELECT * FROM w WHERE side = 1),
+{_knn_space("w", "wt")},
+"""
+_KNN_MEAN = """CASE WHEN count(*) FILTER (WHERE round(d * 1073741824.0) = 0) > 0 THEN avg(r_y) FILTER (WHERE round(d * 1073741824.0) = 0)
+       ELSE sum(r_y / d) FILTER (WHERE d > 0) / sum(1.0 / d) FILTER (WHERE d > 0) END"""
+
+
+def _knn_rows(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    d = f.join(rs.split_ids(f, "id", 0.15, None), "id").where(F.col("dU_next_h1").isNotNull()).select("id", "day", "split", "dU_next_h1", *_KNN_COLS)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
 def _model_data(spark, sf):
@@ -1171,6 +1205,45 @@ k0 AS (SELECT *, greatest(1, round_even(0.15 * n, 0)) AS nt FROM r0),
 sp AS (SELECT id, CASE WHEN rk < nt THEN 'test' ELSE 'train' END AS split FROM k0)"""
 
 
+@register("j05_nearest_neighbours", KEYS + [("place", "i"), ("r_id", "i"), ("r_day", "i")] + _d("distance"), Q.with_panel(
+    _KNN_ONE.format(split=_SPLIT_SQL) + f"""d AS ({_knn_pairs(2)}),
+n AS (SELECT *, {_KNN_RANK.format(key="r_id * 100000 + r_day")} FROM d)
+SELECT id, day, place, r_id, r_day, d AS distance FROM n WHERE place <= 5"""))
+def q_j05(spark, sf):
+    train, test = _knn_rows(spark, sf)
+    scaler = fit_scaler(train, _KNN_COLS)
+    side = lambda d: d.select((F.col("id") * 100_000 + F.col("day")).alias("key"), scaler.vector().alias("vector"))
+    n = nb.nearest_neighbours(side(test), side(train), 5, 2)
+    part = lambda c, i: (F.floor(F.col(c) / 100_000) if i else F.col(c) % 100_000)
+    return n.select(part("q", 1).alias("id"), part("q", 0).alias("day"), "place", part("r", 1).alias("r_id"), part("r", 0).alias("r_day"), "distance")
+
+
+@register("m09_knn_predictions", KEYS + _d("prediction"), Q.with_panel(
+    _KNN_ONE.format(split=_SPLIT_SQL) + f"""d AS ({_knn_pairs(1)}),
+n AS (SELECT *, {_KNN_RANK.format(key="""'{"id":' || r_id || ',"day":' || r_day || '}'""")} FROM d)
+SELECT id, day, {_KNN_MEAN} AS prediction FROM n WHERE place <= 9 GROUP BY id, day"""))
+def q_m09(spark, sf):
+    train, test = _knn_rows(spark, sf)
+    return nb.predict_knn(train, test, _KNN_COLS, "dU_next_h1", ["id", "day"], 9, "distance", 1)
+
+
+@register("m10_knn_grid_cv", [("param_id", "i"), ("fold", "i")] + _d("mae", "r2"), Q.with_panel(f"""{_KNN_SQL},
+fold AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})),
+w AS (SELECT ks.range AS k, CASE WHEN fold = ks.range THEN 0 ELSE 1 END AS side, t.* FROM t JOIN fold USING (id), range(5) ks),
+wt AS (SELECT * FROM w WHERE side = 1),
+{_knn_space("w", "wt")},
+d AS ({_knn_pairs(1)} UNION ALL {_knn_pairs(2)}),
+n AS (SELECT * FROM (SELECT *, {_KNN_RANK.format(key="""'{"id":' || r_id || ',"day":' || r_day || '}'""")} FROM d) WHERE place <= 31),
+g AS (SELECT * FROM (VALUES {", ".join(f"({i}, {x[0]}, '{x[1]}', {x[2]})" for i, x in enumerate((k, w, p) for k in nb.KNN_GRID["n_neighbors"] for w in nb.KNN_GRID["weights"] for p in nb.KNN_GRID["p"]))}) v(param_id, nn, weights, p)),
+e AS (SELECT param_id, k, id, day, any_value(y) AS y, CASE WHEN any_value(weights) = 'uniform' THEN avg(r_y) ELSE {_KNN_MEAN} END AS pr
+      FROM n JOIN g ON g.p = n.p AND place <= nn GROUP BY param_id, k, id, day)
+SELECT param_id, k AS fold, avg(abs(y - pr)) AS mae, 1 - sum((y - pr) * (y - pr)) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY param_id, k"""))
+def q_m10_knn(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    d = f.join(rs.grouped_folds(f, 5), "id").select("id", "day", "fold", "dU_next_h1", *_KNN_COLS)
+    return nb.cv_knn(d, _KNN_COLS, "dU_next_h1", "fold", ["id", "day"]).select("param_id", "fold", "mae", "r2")
+
+
 @register("m12_bootstrap_intervals_two", KEYS + _d("y_pred_abs_ci_low", "y_pred_abs_ci_high"), Q.with_panel(_TWO_SQL + f""",
 {_SPLIT_SQL},
 t0 AS (SELECT two.* FROM two JOIN sp USING (id) WHERE split = 'train'),
@@ -1695,24 +1768,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return events_features(spark, "/root/testdata/sf0.001", horizons=LABEL_H)
 
 
-def _has(module: str) -> bool:
-    """Whether an optional module is there; an error inside a module that is there is not hidden."""
-    try:
-        return importlib.util.find_spec(module) is not None
-    except ModuleNotFoundError:
-        return False
-
-
 _MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _MORE_SQL: dict[str, str] = {}
-if _has("cohortflow.llm.queries"):
+try:                                                # the training-data operators and the pipeline are optional
     from cohortflow.llm import queries as _llm
-
+except ImportError:
+    _llm = None
+if _llm is not None:
     _MORE.update(_llm.QUERIES)
     _MORE_SQL.update(_llm.ORACLE)
-    if _has("corpus_pipeline"):
+    try:
         import corpus_pipeline as _pipeline
-
+    except ImportError:
+        _pipeline = None
+    if _pipeline is not None:
         _MORE["pipeline"] = _pipeline.run
         if _pipeline.ORACLE_SQL is not None:
             _MORE_SQL["pipeline"] = _pipeline.ORACLE_SQL

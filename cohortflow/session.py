@@ -9,6 +9,7 @@ the warehouse is chosen only when that setting is absent, which happens in local
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -85,3 +86,10 @@ def cut_lineage(df, spark: SparkSession | None = None):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def written(df, name: str):
+    """``df`` written once into the shared folder and read back: cuts the lineage in one job (a checkpoint takes two)."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
