@@ -996,6 +996,7 @@ def q_s6(spark, sf):
 # ----------------------------------------------------------------------------- models
 
 from cohortflow.operators import linear as lin  # noqa: E402
+from cohortflow.operators import hist_trees as ht  # noqa: E402
 from cohortflow.operators import neighbours as nb  # noqa: E402
 from cohortflow.operators import trees as tr  # noqa: E402
 from cohortflow.operators.scaling import fit_scaler, spread  # noqa: E402
@@ -1316,6 +1317,88 @@ def q_m10_stump(spark, sf):
     return tr.cv_trees(d, ["dow"], "dU_next_h1", "fold", tr.fit_boosting, {"max_iter": [1], "max_depth": [1], "step": [0.1, 0.5], "memory_mb": [16]}).select("param_id", "fold", "mae", "r2")
 
 
+# trees of many models in shared passes, beside a search of every cut in SQL
+
+_TREE_COLS = ["dow", "overall_wellbeing"]
+_CUTS_SQL = f"""t AS (
+  SELECT id, day, y, x0, x1 FROM (SELECT id, day, lead(U_t, 1) {_W}) - U_t AS y, CAST(isodow(start_date) - 1 AS DOUBLE) AS x0, CAST(overall_wellbeing AS DOUBLE) AS x1 FROM panel)
+  WHERE y IS NOT NULL),
+cand AS (
+  SELECT DISTINCT 0 AS j, unnest(quantile_cont(x0, [{", ".join(f"{i}/32.0" for i in range(1, 32))}])) AS c FROM t
+  UNION ALL SELECT DISTINCT 1, unnest(quantile_cont(x1, [{", ".join(f"{i}/32.0" for i in range(1, 32))}])) FROM t)"""
+
+
+def _best_cut_sql(name, rows, by, target):
+    """CTEs: ``name`` has the best cut per group with the means of both sides; equal gains go to the first feature, then the lowest cut."""
+    return f"""{name}_s AS (
+  SELECT {by}, j, c, count(*) FILTER (x <= c) AS wl, sum(t) FILTER (x <= c) AS tl, count(*) AS w, sum(t) AS t
+  FROM (SELECT {by}, j, c, CASE j WHEN 0 THEN x0 ELSE x1 END AS x, {target} AS t FROM {rows}, cand) GROUP BY {by}, j, c),
+{name}_g AS (
+  SELECT *, tl * tl / wl + (t - tl) * (t - tl) / (w - wl) - t * t / w AS gain FROM {name}_s WHERE wl > 0 AND wl < w),
+{name} AS (
+  SELECT {by}, j, c, tl / wl AS lo, (t - tl) / (w - wl) AS hi FROM (
+    SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY j, c) AS place
+    FROM (SELECT *, max(gain) OVER (PARTITION BY {by}) AS most FROM {name}_g) WHERE gain >= most - 1e-10 * abs(most)) WHERE place = 1)"""
+
+
+_SIDE = "CASE WHEN CASE {b}.j WHEN 0 THEN x0 ELSE x1 END <= {b}.c THEN {lo} ELSE {hi} END"
+
+
+def _tree_rows(spark, sf):
+    f = events_features(spark, sf, horizons=1)
+    return f.join(rs.grouped_folds(f, 5), "id").where(F.col("dU_next_h1").isNotNull()).select("id", "day", "fold", "dU_next_h1", *dict.fromkeys([*_TREE_COLS, *MODEL_COLS]))
+
+
+@register("m05_depth_two_tree", KEYS + _d("prediction"), Q.with_panel(f"""{_CUTS_SQL},
+m AS (SELECT quantile_cont(x1, 0.5) AS m1 FROM t),
+r AS (SELECT id, day, y, x0, coalesce(x1, m1) AS x1, 0 AS k FROM t, m),
+{_best_cut_sql("b1", "r", "k", "y")},
+r2 AS (SELECT r.*, {_SIDE.format(b="b1", lo=0, hi=1)} AS side FROM r JOIN b1 USING (k)),
+{_best_cut_sql("b2", "r2", "side", "y")}
+SELECT id, day, {_SIDE.format(b="b2", lo="lo", hi="hi")} AS prediction FROM r2 JOIN b2 USING (side)"""))
+def q_m05_tree(spark, sf):
+    d = _tree_rows(spark, sf)
+    spec = ht.binned(d, _TREE_COLS, "dU_next_h1", None, ["id", "day"])
+    tree = ht.fit_all(spec, [ht.Setting(1, 2, bootstrap=False)], [None])[0]
+    return ht.predict(d, spec, tree, ["id", "day"])
+
+
+@register("m07_two_round_boosting_cv", _CV_ROW, Q.with_panel(f"""{_CUTS_SQL},
+fold AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})),
+kk AS (SELECT range AS k FROM range(5)),
+m AS (SELECT k, quantile_cont(x1, 0.5) AS m1, avg(y) AS base FROM t JOIN fold USING (id), kk WHERE fold <> k GROUP BY k),
+r AS (SELECT k, fold = k AS held, y, x0, coalesce(x1, m1) AS x1, base FROM t JOIN fold USING (id) JOIN m ON true),
+tr AS (SELECT * FROM r WHERE NOT held),
+{_best_cut_sql("b1", "tr", "k", "y - base")},
+rates AS (SELECT * FROM (VALUES (0.5), (0.1)) v(rate)),
+r2 AS (SELECT r.*, rate, base + CAST(rate AS DOUBLE) * {_SIDE.format(b="b1", lo="lo", hi="hi")} AS f1 FROM r JOIN b1 USING (k), rates),
+tr2 AS (SELECT * FROM r2 WHERE NOT held),
+{_best_cut_sql("b2", "tr2", "k, rate", "y - f1")},
+e AS (SELECT CASE WHEN rate = 0.5 THEN 0 ELSE 2 END AS param_id, k, y, f1 AS p FROM r2 WHERE held
+      UNION ALL SELECT CASE WHEN r2.rate = 0.5 THEN 1 ELSE 3 END, r2.k, y, f1 + CAST(r2.rate AS DOUBLE) * {_SIDE.format(b="b2", lo="lo", hi="hi")}
+      FROM r2 JOIN b2 ON b2.k = r2.k AND b2.rate = r2.rate WHERE held)
+SELECT param_id, k AS fold, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY param_id, k"""))
+def q_m07_rounds(spark, sf):
+    settings = [ht.Setting(n, 1, boosted=True, rate=rate) for rate in (0.5, 0.1) for n in (1, 2)]
+    return ht.cv_hist(_tree_rows(spark, sf), _TREE_COLS, "dU_next_h1", "fold", ["id", "day"], settings).select("param_id", "fold", "mae", "r2")
+
+
+@register("m10_forest_grid_cv", [("param_id", "i"), ("fold", "i")] + _d("mae", "r2"), None)
+def q_m10_forest(spark, sf):
+    """All 243 settings of the forests' grid, with a hundredth of the published numbers of trees and depths up to 6."""
+    settings = ht.expand({"trees": [2, 5, 10], "max_depth": [2, 4, 6], "min_leaf": [1, 2, 4], "min_split": [2, 8, 16], "subset": ["sqrt", "log2", 0.7]})
+    return ht.cv_hist(_tree_rows(spark, sf), MODEL_COLS, "dU_next_h1", "fold", ["id", "day"], settings).select("param_id", "fold", "mae", "r2")
+
+
+@register("f06_boosting_draw_cv", [("param_id", "i"), ("fold", "i")] + _d("mae", "r2"), None)
+def q_f06_boosting(spark, sf):
+    """80 settings drawn from the 6,561 of the boosting grid, with a fiftieth of the published rounds and depths up to 5."""
+    grid = {"trees": [5, 10, 20], "max_depth": [1, 3, 5], "rate": [0.03, 0.05, 0.1], "subsample": [0.6, 0.8, 1.0], "per_tree": [0.6, 0.8, 1.0],
+            "min_leaf": [1, 3, 5], "l1": [0.0, 0.5, 1.0], "l2": [0.5, 1.0, 2.0]}
+    settings = ht.expand(grid, draw=80, boosted=True)
+    return ht.cv_hist(_tree_rows(spark, sf), MODEL_COLS, "dU_next_h1", "fold", ["id", "day"], settings).select("param_id", "fold", "mae", "r2")
+
+
 @register("a27_best_epoch", [("best_epoch", "i")] + _d("best_loss"), Q.with_panel(
     "l AS (SELECT day AS epoch, avg(U_t) AS loss FROM panel GROUP BY day)\nSELECT arg_min(epoch, loss) AS best_epoch, min(loss) AS best_loss FROM l"))
 def q_a27(spark, sf):
