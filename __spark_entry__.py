@@ -1162,6 +1162,36 @@ register("m03_lasso_one_feature_cv", _CV_ROW, _cv_closed_sql(_grid_sql("lasso"),
 register("m04_elasticnet_one_feature_cv", _CV_ROW, _cv_closed_sql(_grid_sql("elasticnet"), _SOFT, "0.0"))(_cv_closed("elasticnet", TWO[:1]))
 
 
+def _two_feature_lasso():
+    """(w1, w2) of the penalised fit by its optimality conditions: both weights with matching signs, or one alone, or none."""
+    l1, l2 = "(a * l)", "(1 + a * (1 - l))"
+    both = lambda own, other, s, t: f"(({l2} * ({own} - {l1} * ({s})) - r * ({other} - {l1} * ({t}))) / ({l2} * {l2} - r * r))"
+    soft = [f"(sign({c}) * greatest(abs({c}) - {l1}, 0) / {l2})" for c in ("c1", "c2")]
+    signs = [(s, t) for s in (1, -1) for t in (1, -1)]
+    cases = [[], []]
+    for s, t in signs:
+        w1, w2 = both("c1", "c2", s, t), both("c2", "c1", t, s)
+        for i, w in enumerate((w1, w2)):
+            cases[i].append(f"WHEN ({s}) * {w1} > 0 AND ({t}) * {w2} > 0 THEN {w}")
+    alone = f"WHEN abs(c2 - r * {soft[0]}) <= {l1} THEN"
+    return f"CASE {' '.join(cases[0])} {alone} {soft[0]} ELSE 0 END", f"CASE {' '.join(cases[1])} {alone} 0 ELSE {soft[1]} END"
+
+
+register("m03_lasso_two_features_cv", _CV_ROW, _cv_closed_sql(_grid_sql("lasso"), *_two_feature_lasso()))(_cv_closed("lasso", TWO))
+register("m04_elasticnet_two_features_cv", _CV_ROW, _cv_closed_sql(_grid_sql("elasticnet"), *_two_feature_lasso()))(_cv_closed("elasticnet", TWO))
+
+
+@register("s8_cv_results_with_settings", [("param_id", "i"), ("fold", "i")] + _d("alpha", "mae", "r2"),
+          "SELECT q.*, al.a AS alpha FROM (" + _cv_closed_sql(_grid_sql("lasso"), *_two_feature_lasso()) + f") q JOIN ({_grid_sql('lasso')}) al USING (param_id)")
+def q_s8_settings(spark, sf):
+    """Results of a grid search with their settings, written by model and read again."""
+    from cohortflow.sources.sinks import write_table
+    cv, _ = lin.cv_linear(_two_spark(spark, sf), TWO, "dU_next_h1", "fold", "lasso")
+    path = _scratch(spark, "cv-settings")
+    write_table(cv.select("*", F.lit("lasso").alias("model")), path, partition_by=["model"])
+    return spark.read.parquet(path).where(F.col("model") == "lasso").select("param_id", "fold", F.col("params")["alpha"].cast("double").alias("alpha"), "mae", "r2")
+
+
 def _two_fit(spark, sf, alpha=1.0):
     d = _two_spark(spark, sf)
     med = lin.medians(d, TWO)
@@ -1363,6 +1393,16 @@ def q_m05_tree(spark, sf):
     return ht.predict(d, spec, tree, ["id", "day"])
 
 
+@register("s9_tree_persistence", KEYS + _d("prediction"), _REG["m05_depth_two_tree"][1])
+def q_s9_trees(spark, sf):
+    """The tree of ``m05_depth_two_tree``, saved, loaded and applied."""
+    d = _tree_rows(spark, sf)
+    spec = ht.binned(d, _TREE_COLS, "dU_next_h1", None, ["id", "day"])
+    path = _scratch(spark, "trees")
+    ht.save_trees(spark, spec, ht.fit_all(spec, [ht.Setting(1, 2, bootstrap=False)], [None])[0], path)
+    return ht.predict(d, *ht.load_trees(spark, path), ["id", "day"])
+
+
 @register("m07_two_round_boosting_cv", _CV_ROW, Q.with_panel(f"""{_CUTS_SQL},
 fold AS (SELECT id, rk % 5 AS fold FROM ({_ids_sql('panel', salt='fold')})),
 kk AS (SELECT range AS k FROM range(5)),
@@ -1827,6 +1867,29 @@ def q_s8(spark, sf):
     return spark.read.parquet(path).where(F.col("model") == "lasso").select("param_id", "fold", "mae", "r2")
 
 
+@register("s9_linear_persistence", [("feature", "s")] + _d("coef"), _REG["m23_signed_coefficients_two"][1])
+def q_s9_linear(spark, sf):
+    """The two-feature ridge fit, saved, loaded and read."""
+    from cohortflow.sources.sinks import load_linear, save_linear
+    path = _scratch(spark, "linear")
+    save_linear(spark, {"ridge": _two_fit(spark, sf)[1]}, path)
+    return lin.coefficient_table(spark, load_linear(spark, path)["ridge"])
+
+
+@register("s3_column_sets", [("item", "s"), ("spelling", "s"), ("n", "i")], Q.with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS item, '{x}' AS spelling, count({c}) {w} AS n FROM panel" for c in Q.ITEMS
+    for x, w in ((c, "FILTER (day % 2 = 0)"), (c.replace("_", " ").capitalize(), "FILTER (day % 2 = 1)")))))
+def q_s3(spark, sf):
+    """A diary that spells its items in two ways on different days: all spellings present, with their values."""
+    from cohortflow.sources.resolve import any_present
+    p = events_panel(spark, sf)
+    names = {c: c.replace("_", " ").capitalize() for c in Q.ITEMS}
+    raw = p.select("day", *[F.when(F.col("day") % 2 == 0, F.col(c)).alias(c) for c in Q.ITEMS], *[F.when(F.col("day") % 2 == 1, F.col(c)).alias(x) for c, x in names.items()])
+    found = [(c, x) for c in Q.ITEMS for x in any_present(raw, [c, names[c], "not there"])]
+    agg = raw.agg(*[F.count(f"`{x}`").alias(f"n{i}") for i, (_, x) in enumerate(found)])
+    return agg.selectExpr(f"stack({len(found)}, " + ", ".join(f"'{c}', '{x}', n{i}" for i, (c, x) in enumerate(found)) + ") as (item, spelling, n)")
+
+
 @register("s9_model_persistence", KEYS + _d("p_saved", "p_loaded"), None)
 def q_s9(spark, sf):
     from pyspark.ml.regression import RandomForestRegressionModel
