@@ -1,16 +1,20 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the tokens before, times that of the token in its
-class.  The class softmax sums hashed feature weights: the last three tokens each, the last two
-together, and a skip pair; weights are rows of one table of ``BUCKETS`` x ``CLASSES`` numbers.
-Classes are the most frequent tokens one by one and the others by their first two bytes, the
-heaviest beginnings in classes of their own.  Within a class the maximum-entropy distribution over unigram features has a
-closed form: counts plus one, over the class total, with one part for unknown tokens.
+A token's probability is that of its class given the tokens before, times that of its leaf in the
+class given the same tokens, times that of the token in its leaf.  The softmax over the ``GROUPS``
+classes and that over the ``LEAVES`` leaves of a class both sum hashed feature weights: the last
+three tokens each, the last two together, and a skip pair.  A bucket has one row of ``GROUPS``
+weights and, for each class, a row of ``LEAVES``, so a token costs ``GROUPS + LEAVES`` outputs.
+Leaves are the most frequent tokens one by one and the others by their first two bytes, the
+heaviest beginnings in leaves of their own.  Within a leaf of several tokens the maximum-entropy
+distribution over unigram features has a closed form: counts plus one, over the leaf's total, with
+one part for unknown tokens.
 
 Training is a few rounds of distributed gradient updates over all training documents: in each
 round every task runs minibatch gradient steps from the same weights over its shard and the
 weights are merged in Spark, row by row, by how often each saw a feature.  There is a shard for
-every ``SHARD_TOKENS`` tokens, ``SHARDS`` at least, so a task's share is the same at any size.
+every ``SHARD_TOKENS`` tokens, ``SHARDS`` at least, and weights meet in a tree of ``FAN_IN``
+shards a step, so what a task reads is the same at any size.
 Token counts, class totals and the vocabulary cover every training document, too.
 
 Scoring is one pass over all whole texts in sparse numpy batches.  Counts of tokens that make up
@@ -28,18 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import Words, mix64, released, slices, staged, texts_of
 
-CLASSES, OWN_CLASS = 64, 16            # classes, and how many of them are single tokens (the end among them)
+GROUPS, LEAVES = 8, 16                 # classes, and leaves of each
+CLASSES, OWN_CLASS = GROUPS * LEAVES, 64        # all leaves, and how many of them are single tokens (the end among them)
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
-SHARDS, ROUNDS, MINIBATCH = 8, 2, 4096
-SHARD_TOKENS = 4_000_000                # tokens of one shard of the fit
+SHARDS, ROUNDS, MINIBATCH, RATE = 8, 2, 4096, 0.08
+SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit
+FAN_IN = 32                            # shards whose weights one task adds up
 MERGE_TOKENS = 2_000_000                # tokens a task counts before it sends what it has
 PARTS = 64                             # row blocks in which weights are merged
 _U64, _I64 = np.uint64, np.int64
@@ -90,9 +97,9 @@ class Stream:
 
 def log_softmax_at(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], label: np.ndarray, with_delta: bool = False):
     """Natural log probability of the labels, and the gradient of the logits if asked for."""
-    logits = weights[rows[0]]
+    logits = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        logits += weights[r]
+        logits += weights.take(r, axis=0)
     logits += bias
     logits -= logits.max(axis=1, keepdims=True)
     at = np.arange(len(label))
@@ -160,80 +167,145 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 
 
 def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``; most rows occur once or a few times."""
-    order = np.argsort(rows.astype(np.uint16) if BUCKET_BITS <= 16 else rows, kind="stable")
-    ordered = rows[order]
+    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
+    than ``rows``; most rows occur once or a few times."""
+    order = np.argsort(rows.astype(np.uint16 if len(rows) and rows.max() < 1 << 16 else np.int32), kind="stable")
+    ordered, place = rows.take(order), order % len(delta)
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(at, append=len(ordered))
-    total = delta[order[at]]
+    total = delta.take(place[at], axis=0)
     for x in np.flatnonzero(many > 16):
-        total[x] = delta[order[at[x]:at[x] + many[x]]].sum(axis=0)
+        total[x] = delta.take(place[at[x]:at[x] + many[x]], axis=0).sum(axis=0)
     few = np.flatnonzero((many > 1) & (many <= 16))
     for k in range(1, 16):
         few = few[many[few] > k]
         if not len(few):
             break
-        total[few] += delta[order[at[few] + k]]
+        total[few] += delta[place[at[few] + k]]
     return ordered[at], many, total
 
 
-def fit(train: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, rate: float = 0.25, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and bias of the class softmax, by rounds of distributed gradient updates over all of ``train`` (text)."""
-    weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
-    bias = np.log(prior / prior.sum()).astype(np.float32)
+@dataclass
+class Softmax:
+    """Two softmax levels: ``upper`` (BUCKETS x GROUPS) over classes, ``lower`` (BUCKETS * GROUPS x LEAVES) over
+    the leaves of a class, and the bias of each."""
+    upper: np.ndarray
+    lower: np.ndarray
+    upper_bias: np.ndarray
+    lower_bias: np.ndarray
+
+    @classmethod
+    def of_prior(cls, prior: np.ndarray) -> "Softmax":
+        mass = prior.reshape(GROUPS, LEAVES)
+        whole = mass.sum(axis=1)
+        return cls(np.zeros((BUCKETS, GROUPS), dtype=np.float32), np.zeros((BUCKETS * GROUPS, LEAVES), dtype=np.float32),
+                   np.log(whole / whole.sum()).astype(np.float32), np.log(mass / whole[:, None]).astype(np.float32))
+
+    def copy(self) -> "Softmax":
+        return Softmax(self.upper.copy(), self.lower.copy(), self.upper_bias, self.lower_bias)
+
+    def levels(self, rows: list[np.ndarray], label: np.ndarray):
+        """(weights, bias, weight rows, labels) of each level for tokens in the leaves ``label``."""
+        group = label // LEAVES
+        return ((self.upper, self.upper_bias, rows, group),
+                (self.lower, self.lower_bias[group], [r * GROUPS + group for r in rows], label % LEAVES))
+
+    def log_probability(self, rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+        return sum(log_softmax_at(*level) for level in self.levels(rows, label))
+
+
+class Trainer:
+    """Adaptive gradient steps on a copy of a softmax, and how often each weight row was seen."""
+
+    def __init__(self, start: Softmax, step: float):
+        self.model, self.step = start.copy(), np.float32(step)
+        self.seen = [np.zeros(len(w), dtype=np.float32) for w in (start.upper, start.lower)]
+        self.power = [np.full(len(w), 1e-3, dtype=np.float32) for w in (start.upper, start.lower)]
+
+    def update(self, rows: list[np.ndarray], label: np.ndarray) -> None:
+        for (w, bias, at, target), seen, power in zip(self.model.levels(rows, label), self.seen, self.power):
+            _, delta = log_softmax_at(w, bias, at, target, True)
+            row, many, g = row_sums(np.concatenate(at), delta)
+            so_far = power.take(row) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            power[row] = so_far
+            g *= (self.step / np.sqrt(so_far))[:, None]
+            w[row] = w.take(row, axis=0) - g
+            seen[row] += many
+
+    def train(self, texts: list[str], classes: Classes) -> None:
+        s = Stream(texts)
+        rows, label = s.features(), classes(s.token, s.prefix)
+        for i in range(0, len(label), MINIBATCH):
+            self.update([r[i:i + MINIBATCH] for r in rows], label[i:i + MINIBATCH])
+
+    def parts(self):
+        """Batches (shard, part, weighted, seen): every weight row times how often it was seen, by blocks of buckets."""
+        upper, lower = (w * n[:, None] for w, n in zip((self.model.upper, self.model.lower), self.seen))
+        table = np.hstack([upper, lower.reshape(BUCKETS, CLASSES)])
+        seen = np.hstack([self.seen[0][:, None], self.seen[1].reshape(BUCKETS, GROUPS)])
+        shard, size = TaskContext.get().partitionId(), BUCKETS // PARTS
+        for p in range(PARTS):
+            at = slice(p * size, (p + 1) * size)
+            yield _sums(shard, p, table[at], seen[at])
+
+
+def _sums(shard: int, part: int, weighted: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([weighted.astype(np.float32).tobytes()], pa.binary()),
+         pa.array([seen.astype(np.float64).tobytes()], pa.binary())], ["shard", "part", "weighted", "seen"])
+
+
+def merged_parts(found: DataFrame, shards: int) -> DataFrame:
+    """Sums of (weighted, seen) by part, ``FAN_IN`` shards at a time, until one row a part is left."""
+    size = BUCKETS // PARTS
+
+    def merge(batches):
+        key, total, seen = None, None, None
+        for batch in batches:
+            for shard, part, x, n in zip(*(batch.column(c) for c in ("shard", "part", "weighted", "seen"))):
+                if (shard.as_py(), part.as_py()) != key:
+                    if key is not None:
+                        yield _sums(*key, total, seen)
+                    key, total, seen = (shard.as_py(), part.as_py()), np.zeros((size, GROUPS + CLASSES)), np.zeros((size, 1 + GROUPS))
+                total += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(total.shape)
+                seen += np.frombuffer(n.as_buffer(), dtype=np.float64).reshape(seen.shape)
+        if key is not None:
+            yield _sums(*key, total, seen)
+
+    while True:
+        shards = -(-shards // FAN_IN)
+        found = (found.withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int")).repartition(PARTS * shards, "shard", "part")
+                 .sortWithinPartitions("shard", "part").mapInArrow(released(merge), "shard int, part int, weighted binary, seen binary"))
+        if shards == 1:
+            return found
+
+
+def fit(train: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, shards: int = SHARDS) -> Softmax:
+    """The two-level softmax, by rounds of distributed gradient updates over all of ``train`` (text); ``prior``
+    is the mass of every leaf."""
+    model = Softmax.of_prior(prior)
     parts = train.select("text").repartition(shards)               # dealt in turn: equal rows do not meet in one shard
     size = BUCKETS // PARTS
 
     for turn in range(rounds):
-        def run(batches, start=weights, step=np.float32(rate / (1 + turn))):
-            w = start.copy()
-            seen = np.zeros(BUCKETS, dtype=np.float64)
-            power = np.full(BUCKETS, 1e-3, dtype=np.float32)
+        def run(batches, start=model, step=rate / (1 + turn)):
+            trainer = Trainer(start, step)
             for batch in batches:
                 texts = texts_of(batch.column("text"))
                 for a, b in slices(texts):
-                    s = Stream(texts[a:b])
-                    rows, label = s.features(), classes(s.token, s.prefix)
-                    for i in range(0, len(label), MINIBATCH):
-                        part = [r[i:i + MINIBATCH] for r in rows]
-                        _, delta = log_softmax_at(w, bias, part, label[i:i + MINIBATCH], True)
-                        for r in part:
-                            row, many, g = row_sums(r, delta)
-                            power[row] += np.einsum("ij,ij->i", g, g) / np.float32(CLASSES)
-                            g *= (step / np.sqrt(power[row]))[:, None]
-                            w[row] -= g
-                            seen[row] += many
-            if seen.any():
-                for p in range(PARTS):
-                    at = slice(p * size, (p + 1) * size)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), pa.array([(w[at] * seen[at][:, None]).astype(np.float32).tobytes()], pa.binary()), pa.array([seen[at].tobytes()], pa.binary())],
-                        ["part", "weighted", "seen"])
-
-        def merge(batches):                                        # the parts of all shards, one part after the other
-            last, total, seen = None, None, None
-
-            def mean():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([last], pa.int32()), pa.array([(total / np.maximum(seen, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], ["part", "mean"])
+                    trainer.train(texts[a:b], classes)
+            if trainer.seen[0].any():
+                yield from trainer.parts()
 
-            for batch in batches:
-                for p, x, n in zip(*(batch.column(c) for c in ("part", "weighted", "seen"))):
-                    if p.as_py() != last:
-                        if last is not None:
-                            yield mean()
-                        last, total, seen = p.as_py(), np.zeros((size, CLASSES)), np.zeros(size)
-                    total += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(-1, CLASSES)
-                    seen += np.frombuffer(n.as_buffer(), dtype=np.float64)
-            if last is not None:
-                yield mean()
-
-        found = parts.mapInArrow(released(run), "part int, weighted binary, seen binary").repartition(PARTS, "part").sortWithinPartitions("part")
-        merged = found.mapInArrow(released(merge), "part int, mean binary").collect()
-        weights = weights.copy()
-        for r in merged:
-            weights[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["mean"], dtype=np.float32).reshape(-1, CLASSES)
-    return weights, bias
+        found = parts.mapInArrow(released(run), "shard int, part int, weighted binary, seen binary")
+        model = model.copy()
+        for r in merged_parts(found, shards).collect():            # PARTS rows, the table once
+            seen = np.maximum(np.frombuffer(r["seen"]).reshape(size, 1 + GROUPS), 1)
+            table = np.frombuffer(r["weighted"], dtype=np.float32).reshape(size, GROUPS + CLASSES)
+            at = r["part"] * size
+            model.upper[at:at + size] = table[:, :GROUPS] / seen[:, :1]
+            model.lower[at * GROUPS:(at + size) * GROUPS] = table[:, GROUPS:].reshape(-1, LEAVES) / seen[:, 1:].reshape(-1, 1)
+    return model
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +321,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(head_token)
     head_token, head_log = head_token[order], np.log10(head["c"].to_numpy(dtype=np.float64)[order] + 1)
 
-    weights, bias = fit(train.select(F.coalesce("text", F.lit("")).alias("text")), classes, norm, shards=max(SHARDS, -(-int(total) // SHARD_TOKENS)))
+    model = fit(train.select(F.coalesce("text", F.lit("")).alias("text")), classes, norm, shards=max(SHARDS, -(-int(total) // SHARD_TOKENS)))
     log_norm = np.log10(norm)
     kind = d.schema["doc_id"].dataType.simpleString()
 
@@ -263,7 +335,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 rows, label = s.features(), classes(s.token, s.prefix)
                 value = -log_norm[label]
                 for i in range(0, len(label), MINIBATCH):
-                    value[i:i + MINIBATCH] += log_softmax_at(weights, bias, [r[i:i + MINIBATCH] for r in rows], label[i:i + MINIBATCH]) / np.log(10)
+                    value[i:i + MINIBATCH] += model.log_probability([r[i:i + MINIBATCH] for r in rows], label[i:i + MINIBATCH]) / np.log(10)
                 if len(head_token):
                     at = np.minimum(np.searchsorted(head_token, s.token), len(head_token) - 1)
                     hit = head_token[at] == s.token

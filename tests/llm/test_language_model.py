@@ -67,6 +67,47 @@ def test_gradient_of_the_softmax():
         assert -slope == pytest.approx(d[place, k], abs=5e-3)
 
 
+def random_softmax(rng):
+    return M.Softmax(*(rng.normal(size=n).astype(np.float32) for n in ((M.BUCKETS, M.GROUPS), (M.BUCKETS * M.GROUPS, M.LEAVES), M.GROUPS, (M.GROUPS, M.LEAVES))))
+
+
+def test_two_levels_equal_a_dense_loop_and_sum_to_one():
+    m = random_softmax(np.random.default_rng(4))
+    rows = M.Stream(["some words in a row", "", "x"]).features()
+    for i in range(len(rows[0])):
+        upper = m.upper_bias + sum(m.upper[r[i]] for r in rows).astype(float)
+        total = 0.0
+        for g in range(M.GROUPS):
+            lower = m.lower_bias[g] + sum(m.lower[r[i] * M.GROUPS + g] for r in rows).astype(float)
+            for k in range(M.LEAVES):
+                want = math.exp(upper[g]) / np.exp(upper).sum() * math.exp(lower[k]) / np.exp(lower).sum()
+                got = math.exp(m.log_probability([r[i:i + 1] for r in rows], np.array([g * M.LEAVES + k]))[0])
+                assert got == pytest.approx(want, rel=1e-3)
+                total += got
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_an_untrained_softmax_is_its_prior():
+    prior = np.random.default_rng(5).uniform(1, 9, M.CLASSES)
+    m = M.Softmax.of_prior(prior)
+    p = [math.exp(m.log_probability([np.array([3])], np.array([k]))[0]) for k in range(M.CLASSES)]
+    assert np.allclose(p, prior / prior.sum(), rtol=1e-4)
+
+
+def test_weights_of_many_shards_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 2)
+    monkeypatch.setattr(M, "PARTS", 4)
+    monkeypatch.setattr(M, "BUCKETS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(s, p, rng.normal(size=(2, M.GROUPS + M.CLASSES)).astype(np.float32), rng.integers(0, 9, (2, 1 + M.GROUPS)).astype(float)) for s in range(5) for p in range(4)]
+    found = spark.createDataFrame([(s, p, bytearray(x.tobytes()), bytearray(n.tobytes())) for s, p, x, n in rows], "shard int, part int, weighted binary, seen binary")
+    out = {r["part"]: r for r in M.merged_parts(found.repartition(3), 5).collect()}
+    assert sorted(out) == [0, 1, 2, 3]
+    for p, r in out.items():
+        assert np.allclose(np.frombuffer(r["weighted"], dtype=np.float32), sum(x for _, q, x, _ in rows if q == p).ravel(), atol=1e-4)
+        assert np.array_equal(np.frombuffer(r["seen"]), sum(n for _, q, _, n in rows if q == p).ravel())
+
+
 def test_stream_ends_and_history():
     s = M.Stream(["A b", "", "b A b"])
     assert [int((s.doc == k).sum()) for k in range(3)] == [3, 1, 4]
