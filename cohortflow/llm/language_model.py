@@ -13,7 +13,7 @@ one part for unknown tokens.
 Training is a few rounds of distributed gradient updates over all training documents: in each
 round every task runs minibatch gradient steps from the same weights over its shard and the
 weights are merged in Spark, row by row, by how often each saw a feature.  There is a shard for
-every ``SHARD_TOKENS`` tokens, ``SHARDS`` at least, and weights meet in a tree of ``FAN_IN``
+every ``SHARD_TOKENS`` tokens, up to ``SHARDS`` of ``LEAST_SHARD`` in smaller corpora, and weights meet in a tree of ``FAN_IN``
 shards a step, so what a task reads is the same at any size.
 Token counts, class totals and the vocabulary cover every training document, too.
 
@@ -45,7 +45,8 @@ BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
 SHARDS, ROUNDS, MINIBATCH, RATE = 8, 2, 4096, 0.08
-SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit
+SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit, at most
+LEAST_SHARD = 8_000_000                 # tokens below which the corpus is not split further; every shard sends its table
 FAN_IN = 32                            # shards whose weights one task adds up
 MERGE_TOKENS = 2_000_000                # tokens a task counts before it sends what it has
 PARTS = 64                             # row blocks in which weights are merged
@@ -169,8 +170,10 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
     than ``rows``; most rows occur once or a few times."""
-    order = np.argsort(rows.astype(np.uint16 if len(rows) and rows.max() < 1 << 16 else np.int32), kind="stable")
-    ordered, place = rows.take(order), order % len(delta)
+    bits = len(rows).bit_length()
+    key = np.sort((rows << bits) | np.arange(len(rows)))           # (row, place) in one number: faster than an argsort
+    ordered, order = key >> bits, key & ((1 << bits) - 1)
+    place = order % len(delta)
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(at, append=len(ordered))
     total = delta.take(place[at], axis=0)
@@ -280,6 +283,10 @@ def merged_parts(found: DataFrame, shards: int) -> DataFrame:
             return found
 
 
+def shards_of(tokens: int) -> int:
+    return max(1, min(SHARDS, -(-tokens // LEAST_SHARD)), -(-tokens // SHARD_TOKENS))
+
+
 def fit(train: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, shards: int = SHARDS) -> Softmax:
     """The two-level softmax, by rounds of distributed gradient updates over all of ``train`` (text); ``prior``
     is the mass of every leaf."""
@@ -321,7 +328,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(head_token)
     head_token, head_log = head_token[order], np.log10(head["c"].to_numpy(dtype=np.float64)[order] + 1)
 
-    model = fit(train.select(F.coalesce("text", F.lit("")).alias("text")), classes, norm, shards=max(SHARDS, -(-int(total) // SHARD_TOKENS)))
+    model = fit(train.select(F.coalesce("text", F.lit("")).alias("text")), classes, norm, shards=shards_of(int(total)))
     log_norm = np.log10(norm)
     kind = d.schema["doc_id"].dataType.simpleString()
 
