@@ -884,6 +884,28 @@ def q_a22(spark, sf):
     return ds.abs_correlation(events_panel(spark, sf), CORR_COLS)
 
 
+#: the scores, their items, lags, differences, trailing means and deviations
+BLOCK_COLS = [*CORR_COLS, *LAG_COLS, "dW_t", "dS_t", "dU_t", *ROLL_MEAN_COLS, *ROLL_STD_COLS]
+
+
+def _corr_block_sql():
+    lags = [p for p in _lag_sql() if p.split(" AS ")[-1] in LAG_COLS]
+    diffs = [f"{c} - lag({c}, 1) {_W}) AS d{c}" for c in SCORE3]
+    pairs = [(a, b) for i, a in enumerate(BLOCK_COLS) for b in BLOCK_COLS[i + 1:]]
+    corrs = ", ".join(f"corr({a}, {b}) AS c{k}" for k, (a, b) in enumerate(pairs))
+    items = ", ".join(f"{{'col_a': '{a}', 'col_b': '{b}', 'r': c{k}}}" for k, (a, b) in enumerate(pairs))
+    return Q.with_panel(f"""f AS (SELECT {", ".join([*CORR_COLS, *lags, *diffs, *_roll_sql()])} FROM panel),
+g AS (SELECT {corrs} FROM f),
+u AS (SELECT unnest([{items}]) AS p FROM g),
+v AS (SELECT p.col_a AS col_a, p.col_b AS col_b, round(CASE WHEN p.r IS NULL OR isnan(p.r) THEN 0.0 ELSE abs(p.r) END, 12) AS abs_corr FROM u)
+SELECT col_a, col_b, abs_corr, CAST(abs_corr > 0.95 AND abs_corr < 1.0 AS INTEGER) AS near_duplicate FROM v""")
+
+
+@register("a22_correlation_block", [("col_a", "s"), ("col_b", "s")] + _d("abs_corr") + [("near_duplicate", "i")], _corr_block_sql())
+def q_a22_block(spark, sf):
+    return ds.correlation_block(events_features(spark, sf, horizons=1), BLOCK_COLS)
+
+
 @register("a23_kde_grid", [("g", "i")] + _d("x", "density"), Q.with_panel("""
 v AS (SELECT U_t AS v, count(*) AS m FROM panel WHERE U_t IS NOT NULL GROUP BY U_t),
 st AS (SELECT count(*) AS n, stddev_samp(U_t) AS sd, min(U_t) AS lo, max(U_t) AS hi FROM panel WHERE U_t IS NOT NULL),

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.scalar import scrub_nonfinite
 from cohortflow.operators.quantiles import RowSet, column_quantiles
 
 
@@ -74,6 +77,45 @@ def abs_correlation(df: DataFrame, cols: list[str], flag_lo: float = 0.95) -> Da
     return long.select("col_a", "col_b", ar.alias("abs_corr"), ((ar > flag_lo) & (ar < 1.0)).alias("near_duplicate"))
 
 
+def correlation_block(df: DataFrame, cols: list[str], flag_lo: float = 0.95) -> DataFrame:
+    """Pairwise-complete absolute correlations of many columns in one pass.
+
+    Every task sums, over the rows in which both columns of a pair have a value, the products
+    of the columns, their values and their squares as four matrix products a batch, and sends one
+    row a pair; Spark adds them up.  Values are taken from the column's mean first, so no sum cancels.
+    A row without any value adds to nothing; infinite values and NaN count as missing; a pair with
+    fewer than two common rows or a column without spread in them gets 0; flags as in ``abs_correlation``.
+    """
+    clean = df.select(*[scrub_nonfinite(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    k = len(cols)
+    upper, lower = np.triu_indices(k, 1)
+    means = clean.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def sums(frames):
+        n, total, square, product = (np.zeros((k, k)) for _ in range(4))
+        for pdf in frames:
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            there = ~np.isnan(x)
+            x, seen = np.where(there, x - centre, 0.0), there.astype(np.float64)
+            n += seen.T @ seen
+            total += x.T @ seen
+            square += (x * x).T @ seen
+            product += x.T @ x
+        if n.any():
+            yield pd.DataFrame({"a": upper, "b": lower, "n": n[upper, lower], "sx": total[upper, lower], "sy": total[lower, upper],
+                                "sxx": square[upper, lower], "syy": square[lower, upper], "sxy": product[upper, lower]})
+
+    parts = clean.mapInPandas(sums, "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    every = df.sparkSession.createDataFrame([(int(a), int(b), cols[a], cols[b]) for a, b in zip(upper, lower)], "a int, b int, col_a string, col_b string")
+    whole = every.join(parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]), ["a", "b"], "left")
+    vx, vy = (F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("sxx", "sx"), ("syy", "sy")))
+    spread = (F.col("n") >= 2) & (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    r = F.when(spread, F.abs(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).otherwise(0.0)
+    long = whole.select("col_a", "col_b", F.round(F.least(r, F.lit(1.0)), 12).alias("abs_corr"))
+    return long.select("*", ((F.col("abs_corr") > flag_lo) & (F.col("abs_corr") < 1.0)).alias("near_duplicate"))
+
+
 def kde_grid(df: DataFrame, col: str, n_grid: int = 200, min_count: int = 10) -> DataFrame:
     """Gaussian kernel density on ``linspace(min, max, n_grid)`` with Scott's bandwidth
     ``h = sd * n^(-1/5)`` (A23).  Every value emits its contribution to every grid point and
