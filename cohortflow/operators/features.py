@@ -46,28 +46,41 @@ def ewm_lookback(alpha: float, tol_bits: int = 56) -> int:
 
 #: smoothing factors of the feature block and their column tags
 EWM = (("a03", 0.30), ("a10", 0.10))
+#: longest decay (natural logarithm) of one step and of one block; e^-60 is far below double precision
+EWM_STEP, EWM_BLOCK = 60.0, 300.0
 
 
-def ewm_at(c: str, alpha: float, cfg: PanelConfig, row: str) -> Column:
-    """Recursive EWM (``adjust=False``) at the rows where ``c`` has a value, NULL elsewhere.
+def ewm_at(df: DataFrame, c: str, factors, cfg: PanelConfig, row: str) -> DataFrame:
+    """Adds ``_ewm_{c}_{tag}``: recursive EWM (``adjust=False``) at the rows where ``c`` has a value, NULL elsewhere.
 
-    Fold over the last K values, missing rows left out and counted by the row number: a value
-    g rows after the one before gives m = (w*m + a*x) / (w+a) with w = (1-a)^g.  Every value
-    shrinks the weight of older ones by at least 1-a, so K values are exact up to rounding
-    however many rows lie between them; state per row is O(K).
+    A value g rows after the one before gives m = p*m + (1-p)*x with p = w/(w+a), w = (1-a)^g.  So m is
+    a sum of x*(1-p) with decays that are differences of L, the running sum of -ln p.  The sum runs
+    forward inside blocks of L, where exp(L) keeps its size; of earlier blocks only the last one
+    weighs more than e^-EWM_BLOCK.  Every step is a running aggregate: work and state per row do not depend
+    on the gaps or on the length of a series.
     """
-    values = Window.partitionBy(cfg.id_col, F.col(c).isNull()).orderBy(row).rowsBetween(-ewm_lookback(alpha), 0)
-    a, keep = F.lit(float(alpha)), F.lit(1.0 - float(alpha))
-    items = F.collect_list(F.struct(F.col(c).cast("double").alias("v"), F.col(row).alias("r"))).over(values)
-    first = F.element_at(items, 1)
-
-    def step(acc, e):
-        w = F.pow(keep, (e["r"] - acc["r"]).cast("double"))
-        m = F.when(acc["m"] == e["v"], acc["m"]).otherwise((w * acc["m"] + a * e["v"]) / (w + a))
-        return F.struct(m.alias("m"), e["r"].alias("r"))
-
-    fold = F.aggregate(items, F.struct(first["v"].alias("m"), first["r"].alias("r")), step, lambda acc: acc["m"])
-    return F.when(F.col(c).isNotNull(), fold)
+    group = [F.col(cfg.id_col), F.col(c).isNull()]
+    values = Window.partitionBy(*group).orderBy(row)
+    upto = values.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(c).cast("double")
+    out = df.select("*", (F.col(row) - F.lag(row).over(values)).cast("double").alias("_gap"),
+                    (F.min(c).over(upto) == F.max(c).over(upto)).alias("_same"))
+    for tag, alpha in factors:
+        a, rate = F.lit(float(alpha)), -math.log1p(-float(alpha))
+        w = F.exp(F.col("_gap") * F.lit(-rate))
+        step = F.coalesce(F.least(F.lit(EWM_STEP), F.col("_gap") * F.lit(rate) + F.log(w + a)), F.lit(0.0))
+        share = F.coalesce(a / (w + a), F.lit(1.0))                       # 1 - p; the first value counts whole
+        out = out.select("*", F.sum(step).over(upto).alias("_decay"))
+        out = out.select("*", F.floor(F.col("_decay") / F.lit(EWM_BLOCK)).alias("_block"))
+        block = Window.partitionBy(*group, "_block").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+        inside = F.col("_decay") - F.col("_block") * F.lit(EWM_BLOCK)
+        out = out.select("*", (F.exp(-inside) * F.sum(share * x * F.exp(inside)).over(block)).alias("_part"))
+        before = Window.partitionBy(*group).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+        out = out.select("*", F.last(F.struct("_decay", "_part")).over(before).alias("_last"))
+        m = F.col("_part") + F.coalesce(F.exp(F.col("_last._decay") - F.col("_decay")) * F.col("_last._part"), F.lit(0.0))
+        out = out.select("*", F.when(F.col(c).isNotNull(), F.when(F.col("_same"), x).otherwise(m)).alias(f"_ewm_{c}_{tag}"))
+        out = out.drop("_decay", "_block", "_part", "_last")
+    return out.drop("_gap", "_same")
 
 
 def ewm_past(df: DataFrame, cfg: PanelConfig, cols, factors=EWM) -> DataFrame:
@@ -77,8 +90,9 @@ def ewm_past(df: DataFrame, cfg: PanelConfig, cols, factors=EWM) -> DataFrame:
     row with a value, however many rows ago.  All steps share the partitioning on the id.
     """
     pairs = [(c, tag, a) for c in cols for tag, a in factors]
-    rows = df.select("*", F.row_number().over(order_spec(cfg)).alias("_ewm_row"))
-    at = rows.select("*", *[ewm_at(c, a, cfg, "_ewm_row").alias(f"_ewm_{c}_{tag}") for c, tag, a in pairs])
+    at = df.select("*", F.row_number().over(order_spec(cfg)).alias("_ewm_row"))
+    for c in cols:
+        at = ewm_at(at, c, factors, cfg, "_ewm_row")
     past = Window.partitionBy(cfg.id_col).orderBy("_ewm_row").rowsBetween(Window.unboundedPreceding, -1)
     out = at.select("*", *[F.last(f"_ewm_{c}_{tag}", ignorenulls=True).over(past).alias(f"{c}_ewm_{tag}") for c, tag, _ in pairs])
     return out.drop("_ewm_row", *[f"_ewm_{c}_{tag}" for c, tag, _ in pairs])

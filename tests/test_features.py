@@ -85,6 +85,23 @@ def test_ewm_after_long_and_many_gaps_matches_pandas(spark):
             np.testing.assert_allclose(own[f"x_ewm_{tag}"].to_numpy(float), exp.to_numpy(float), equal_nan=True, rtol=1e-11)
 
 
+def test_ewm_runs_forward_and_collects_nothing(spark):
+    """Series of many decay blocks, and gaps that end a block, from running aggregates alone: no list per row."""
+    from cohortflow.operators.features import ewm_past
+    rng = np.random.default_rng(3)
+    series = {1: rng.normal(size=2500).tolist(), 2: [float(rng.uniform()) if d % 850 < 3 else None for d in range(3000)], 3: [4.7] * 1200}
+    cfg = CFG.__class__(id_col="id", day_col="day", date_col=None)
+    got = ewm_past(spark.createDataFrame([(i, d, v) for i, vs in series.items() for d, v in enumerate(vs)], "id long, day int, x double"), cfg, ["x"])
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    got = got.toPandas()
+    for i, vs in series.items():
+        own = got[got.id == i].sort_values("day")
+        for tag, a in (("a03", 0.3), ("a10", 0.1)):
+            exp = pd.Series(vs, dtype=float).ewm(alpha=a, adjust=False).mean().shift(1)
+            np.testing.assert_allclose(own[f"x_ewm_{tag}"].to_numpy(float), exp.to_numpy(float), equal_nan=True, rtol=1e-11, atol=1e-13)
+    assert set(got[(got.id == 3) & (got.day > 0)]["x_ewm_a03"]) == {4.7}
+
+
 def test_treatment_history_and_no_treatment_column(spark):
     rows = [(7, d, 5.0, 1.0, 1.0, t, 1) for d, t in zip(range(1, 9), [1, 0, 0, 1, 0, 0, 0, 0])]
     p = _panel(spark, rows)
