@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from cohortflow.functions.scalar import scrub_nonfinite
 from cohortflow.operators.quantiles import RowSet, column_quantiles
 
+#: numbers of per-id statistics that a task holds at once, and rows that it scores at once
+HELD, SLICE = 4_000_000, 2048
+
 
 # ----------------------------------------------------------------------------- statistics
 
@@ -75,14 +78,17 @@ class Gram:
 
 
 def gram_stats(df: DataFrame, features: list[str], label: str, group_col: str | None = None,
-               weight_col: str | None = None) -> dict:
-    """Per-group Gram statistics of imputed features (NULL-free input expected)."""
-    k = len(features)
+               weight_col: str | None = None, expand=None) -> dict:
+    """Per-group Gram statistics of imputed features (NULL-free input expected).
+
+    ``expand``: (width, function) of a map that tasks apply to the rows of the feature matrix first.
+    """
+    k, wide = len(features), expand[0] if expand else len(features)
     g = F.col(group_col).cast("string") if group_col else F.lit("all")
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     data = df.select(g.alias("_g"), w.alias("_w"), F.col(label).cast("double").alias("_y"),
                      *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    m = k + 1
+    m = wide + 1
 
     def fold(batches):
         acc = {}
@@ -91,8 +97,9 @@ def gram_stats(df: DataFrame, features: list[str], label: str, group_col: str |
                 continue
             for key, part in pdf.groupby("_g", sort=False):
                 Z = np.ones((len(part), m))
-                if k:
-                    Z[:, :k] = part[[f"x{i}" for i in range(k)]].to_numpy(dtype=float)
+                if wide:
+                    x = part[[f"x{i}" for i in range(k)]].to_numpy(dtype=float)
+                    Z[:, :wide] = expand[1](x) if expand else x
                 y = part["_y"].to_numpy(dtype=float)
                 wt = part["_w"].to_numpy(dtype=float)
                 Zw = Z * wt[:, None]
@@ -406,74 +413,74 @@ def bootstrap_gram(train: DataFrame, features: list[str], label: str, med: dict,
     """Gram statistics of B id-resampled training sets (draws with multiplicity).
 
     Rows meet their id's draw list (at most B entries, a fixed bound) by a join on
-    id; each task reduces its ids to per-id statistics S_i and adds W[:, i] * S_i
-    for all replicates at once (B x ids_in_task x (k+1)^2 work, never B x rows).
+    id; each task reduces the ids of a batch to per-id statistics S and adds W'S for
+    all replicates at once (B x ids_in_task x (k+1)^2 work, never B x rows).
     """
-    from cohortflow.operators.resample import bootstrap_weights
+    from cohortflow.operators.resample import bootstrap_weights, draw_lists, draw_matrix, replicate_rows, summed_replicates
     k = len(features)
     m = k + 1
     width = m * m + m + 1
     B = int(n_boot)
-    w = bootstrap_weights(train.select(id_col).distinct(), B, id_col, seed, "weighted")
-    draws = w.groupBy(id_col).agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"),
-                                                          F.col("weight").cast("double").alias("w"))).alias("_draws"))
+    draws = draw_lists(bootstrap_weights(train.select(id_col).distinct(), B, id_col, seed, "weighted"), id_col)
     imp = train.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y"),
                        *[c.alias(f"x{i}") for i, c in enumerate(imputed(features, med))]).where(F.col("_y").isNotNull())
     j = imp.join(draws.withColumnRenamed(id_col, "_id"), "_id")
     if partitions:
         j = j.coalesce(int(partitions))
+    block = max(1, min(512, HELD // width))
 
     def fold(batches):
         acc = np.zeros((B, width))
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for _, g in pdf.groupby("_id", sort=False):
-                Z = np.ones((len(g), m))
-                if k:
-                    Z[:, :k] = g[[f"x{i}" for i in range(k)]].to_numpy(dtype=float)
-                y = g["_y"].to_numpy(dtype=float)
-                s = np.concatenate([(Z.T @ Z).ravel(), Z.T @ y, [float(y @ y)]])
-                for d in g["_draws"].iloc[0]:
-                    acc[int(d["b"])] += float(d["w"]) * s
-        nz = np.flatnonzero(np.any(acc != 0, axis=1))
-        if len(nz):
-            yield pd.DataFrame({"b": np.repeat(nz.astype(np.int32), width),
-                                "pos": np.tile(np.arange(width, dtype=np.int32), len(nz)), "v": acc[nz].ravel()})
-
-    summed = j.mapInPandas(fold, "b int, pos int, v double").groupBy("b", "pos").agg(F.sum("v").alias("v")).toPandas()
-    out = []
-    for b in range(B):
-        part = summed[summed["b"] == b]
-        vec = np.zeros(width)
-        vec[part["pos"].to_numpy()] = part["v"].to_numpy()
-        out.append(Gram(vec[:m * m].reshape(m, m), vec[m * m:m * m + m], float(vec[-1])))
-    return out
+            own = batch.column("_id").dictionary_encode().indices.to_numpy()
+            order = np.argsort(own, kind="stable")
+            start = np.flatnonzero(np.diff(own[order], prepend=-1))
+            z = np.column_stack([*[batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(k)], np.ones(batch.num_rows)])[order]
+            y = batch.column("_y").to_numpy(zero_copy_only=False)[order]
+            end = np.append(start[1:], len(own))
+            for at in range(0, len(start), block):
+                s = np.empty((len(start[at:at + block]), width))
+                for i, (lo, hi) in enumerate(zip(start[at:at + block], end[at:at + block])):
+                    zi, yi = z[lo:hi], y[lo:hi]
+                    s[i, :m * m], s[i, m * m:-1], s[i, -1] = (zi.T @ zi).ravel(), zi.T @ yi, yi @ yi
+                acc += draw_matrix(batch.column("_draws"), order[start[at:at + block]], B).T @ s
+        yield replicate_rows(acc)
+
+    got = {r["b"]: np.frombuffer(r["v"]) for r in summed_replicates(j.mapInArrow(fold, "b int, v binary")).collect()}   # B rows of (k+1)^2 numbers
+    none = np.zeros(width)
+    return [Gram(vec[:m * m].reshape(m, m), vec[m * m:m * m + m], float(vec[-1])) for vec in (got.get(b, none) for b in range(B))]
 
 
 def bootstrap_intervals(test: DataFrame, fits: list[LinearFit], base_col: str | None = None, alpha: float = 0.05,
                         bounds=(0.0, 10.0)) -> DataFrame:
     """Per test row: quantiles a/2 and 1-a/2 of the B clamped absolute forecasts.
 
-    The B coefficient vectors travel as one literal array (B x (k+1) numbers);
-    every row evaluates them with higher-order functions inside the JVM.
+    The B coefficient vectors (B x (k+1) numbers) go to the tasks, which score a slice of rows
+    by one matrix product.
     """
     feats = fits[0].features
-    med = fits[0].medians
-    coef = F.array(*[F.array(*[F.lit(float(f.raw_intercept))] + [F.lit(float(c)) for c in f.raw_coef]) for f in fits])
-    x = F.array(*imputed(feats, med))
-    preds = F.transform(coef, lambda c: c[0] + F.aggregate(F.zip_with(F.slice(c, 2, len(feats)), x, lambda a, b: a * b),
-                                                          F.lit(0.0), lambda s, v: s + v))
-    if base_col:
-        preds = F.transform(preds, lambda p: p + F.col(base_col))
+    coef = np.array([f.raw_coef for f in fits]).reshape(len(fits), len(feats)).T
+    shift = np.array([f.raw_intercept for f in fits])
     lo_b, hi_b = bounds
-    preds = F.array_sort(F.transform(preds, lambda p: F.greatest(F.lit(lo_b), F.least(F.lit(hi_b), p))))
     n = len(fits)
 
-    def q(prob):
+    def q(p, prob):
         pos = prob * (n - 1)
         lo = int(pos)
-        hi = min(lo + 1, n - 1)
-        return F.element_at(preds, lo + 1) + (F.element_at(preds, hi + 1) - F.element_at(preds, lo + 1)) * F.lit(pos - lo)
-
-    return test.select("*", q(alpha / 2).alias("y_pred_abs_ci_low"), q(1 - alpha / 2).alias("y_pred_abs_ci_high"))
+        return p[:, lo] + (p[:, min(lo + 1, n - 1)] - p[:, lo]) * (pos - lo)
+
+    @F.pandas_udf("lo double, hi double")
+    def interval(base: pd.Series, *x: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(base), 2))
+        for i in range(0, len(base), SLICE):
+            z = np.column_stack([v.to_numpy(dtype=float)[i:i + SLICE] for v in x]) if x else np.zeros((len(base[i:i + SLICE]), 0))
+            p = z @ coef + shift + base.to_numpy(dtype=float)[i:i + SLICE, None]
+            p = np.sort(np.fmax(lo_b, np.fmin(hi_b, p)), axis=1)                  # a missing forecast takes the upper bound
+            out[i:i + SLICE, 0], out[i:i + SLICE, 1] = q(p, alpha / 2), q(p, 1 - alpha / 2)
+        return pd.DataFrame({"lo": out[:, 0], "hi": out[:, 1]})
+
+    base = F.col(base_col).cast("double") if base_col else F.lit(0.0)
+    both = test.select("*", interval(base, *imputed(feats, fits[0].medians)).alias("_interval"))
+    return both.select(*[F.col(f"`{c}`") for c in test.columns], F.col("_interval.lo").alias("y_pred_abs_ci_low"), F.col("_interval.hi").alias("y_pred_abs_ci_high"))

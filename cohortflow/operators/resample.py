@@ -12,6 +12,8 @@ buckets are balanced whatever the key distribution is.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,49 @@ def bootstrap_weights(df: DataFrame, n_boot: int = 200, id_col: str = "id", seed
     return out
 
 
+def draw_lists(weights: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, _draws): the replicates an id is drawn in, with its weights; one row per drawn id, at most ``n_boot`` entries."""
+    entry = F.struct(F.col("b").cast("int").alias("b"), F.col("weight").cast("double").alias("w"))
+    return weights.groupBy(id_col).agg(F.collect_list(entry).alias("_draws"))
+
+
+def draw_matrix(lists: pa.Array, rows: np.ndarray, n_boot: int) -> np.ndarray:
+    """(rows, n_boot) weights of the given rows of an Arrow column of draw lists."""
+    lists = lists.take(pa.array(rows))
+    many = lists.value_lengths().to_numpy(zero_copy_only=False)
+    got = lists.flatten()
+    out = np.zeros((len(rows), n_boot))
+    out[np.repeat(np.arange(len(rows)), many), got.field("b").to_numpy()] = got.field("w").to_numpy()
+    return out
+
+
+def replicate_rows(acc: np.ndarray):
+    """One Arrow row (b, v) for each replicate with anything in it."""
+    hit = np.flatnonzero(acc.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array([acc[b].tobytes() for b in hit], pa.binary())], ["b", "v"])
+
+
+def summed_replicates(parts: DataFrame) -> DataFrame:
+    """(b, v): the vectors of all tasks added up, a replicate in one place (tasks x replicates rows, whatever the input)."""
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            done = []
+            for b, v in zip(batch.column("b").to_pylist(), batch.column("v").to_pylist()):
+                if b == now:
+                    total = total + np.frombuffer(v)
+                    continue
+                if now is not None:
+                    done.append((now, total.tobytes()))
+                now, total = b, np.frombuffer(v)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in done], pa.int32()), pa.array([v for _, v in done], pa.binary())], ["b", "v"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["b", "v"])
+
+    return parts.repartition("b").sortWithinPartitions("b").mapInArrow(add, "b int, v binary")
+
+
 def ranked_ids_by(df: DataFrame, by: str, id_col: str = "id", seed: int | str = 42) -> DataFrame:
     """(by, id, rank, n): the ranks of ``ranked_ids`` within every group of ``by`` (few groups, many ids)."""
     ids = df.where(F.col(id_col).isNotNull()).select(by, id_col).distinct().withColumn("_h", hash_bigint(seed, F.col(id_col)))

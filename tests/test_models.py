@@ -245,3 +245,25 @@ def test_cv_uses_training_fold_medians(spark):
         e = y[te] - S[te] @ w - y[tr].mean()
         assert r["mae"] == pytest.approx(np.abs(e).mean())
         assert r["r2"] == pytest.approx(1 - (e @ e) / ((y[te] - y[te].mean()) ** 2).sum())
+
+
+def test_bootstrap_draws_are_a_matrix_per_slice_of_ids(spark):
+    import pyarrow as pa
+    from cohortflow.operators.resample import draw_lists, draw_matrix
+    w = spark.createDataFrame([(0, 7, 2), (2, 7, 1), (1, 9, 3)], "b int, id long, weight long")
+    lists = draw_lists(w).toArrow().sort_by("id").combine_chunks()["_draws"].combine_chunks()
+    assert draw_matrix(lists, np.array([1, 0]), 4).tolist() == [[0, 3, 0, 0], [2, 0, 1, 0]]
+
+
+def test_bootstrap_gram_with_ids_in_any_order_matches_expanded_rows(spark):
+    from cohortflow.operators.resample import bootstrap_weights
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": rng.integers(0, 9, 200), "a": rng.normal(size=200), "y": rng.normal(size=200)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    grams = lin.bootstrap_gram(df, ["a"], "y", {"a": 0.0}, "id", n_boot=6, seed=1)
+    w = bootstrap_weights(df.select("id").distinct(), 6, "id", 1).toPandas()
+    for b, g in enumerate(grams):
+        own = pdf.merge(w[w["b"] == b], on="id")
+        z = np.column_stack([own["a"], np.ones(len(own))])
+        np.testing.assert_allclose(g.zz, (z * own["weight"].to_numpy()[:, None]).T @ z, rtol=1e-10, atol=1e-10)
+        np.testing.assert_allclose(g.yy, float((own["weight"] * own["y"] ** 2).sum()), rtol=1e-10)
