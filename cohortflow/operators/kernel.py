@@ -3,7 +3,7 @@
 The reference tunes an exact RBF support-vector regressor, a single-machine dual
 solver.  Here the RBF kernel exp(-gamma |x - x'|^2) is approximated by D random
 Fourier features z_j(x) = sqrt(2/D) cos(w_j . x + b_j), w_j ~ N(0, 2 gamma I),
-b_j ~ U(0, 2 pi), computed JVM-side from one literal projection matrix (D x k
+b_j ~ U(0, 2 pi), computed in the tasks by a product with one projection matrix (D x k
 numbers).  A ridge fit on z (closed form from Gram statistics, one pass) plays
 the role of the kernel machine; the loss is squared, not epsilon-insensitive.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,9 @@ def rff_params(k: int, n_features: int = 200, gamma: float | None = None, seed:
     return W, b
 
 
-def rff_array(features: list[str], med: dict, mean, sd, W: np.ndarray, b: np.ndarray) -> Column:
-    """Array column of the D random features of the standardised, imputed inputs."""
-    z = F.array(*[(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(lin.imputed(features, med), mean, sd)])
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row] + [F.lit(float(ph))]) for row, ph in zip(W, b)])
-    k = len(features)
-    scale = F.lit(math.sqrt(2.0 / W.shape[0]))
-    return F.transform(rows, lambda r: scale * F.cos(
-        F.element_at(r, k + 1) + F.aggregate(F.zip_with(F.slice(r, 1, k), z, lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v)))
+def rff_matrix(x: np.ndarray, mean, sd, W: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows, D) random features of the imputed inputs, standardised."""
+    return math.sqrt(2.0 / W.shape[0]) * np.cos((x - mean) / sd @ W.T + b)
 
 
 def fit_rff_ridge(train: DataFrame, features: list[str], label: str, med: dict, n_features: int = 200,
@@ -44,19 +40,21 @@ def fit_rff_ridge(train: DataFrame, features: list[str], label: str, med: dict,
     imp = train.select(F.col(label).cast("double").alias("_y"), *lin.imputed(features, med)).where(F.col("_y").isNotNull())
     mom = imp.agg(*[F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)],
                   *[F.stddev_pop(f"`{f}`").alias(f"s{i}") for i, f in enumerate(features)]).first()
-    mean = [mom[f"m{i}"] or 0.0 for i in range(len(features))]
-    sd = [(mom[f"s{i}"] or 1.0) or 1.0 for i in range(len(features))]
+    mean = np.array([mom[f"m{i}"] or 0.0 for i in range(len(features))])
+    sd = np.array([(mom[f"s{i}"] or 1.0) or 1.0 for i in range(len(features))])
     W, b = rff_params(len(features), n_features, gamma, seed)
-    arr = rff_array(features, med, mean, sd, W, b)
     names = [f"rff{j}" for j in range(n_features)]
-    z = train.select(F.col(label).cast("double").alias("_y"), arr.alias("_z")).where(F.col("_y").isNotNull())
-    z = z.select("_y", *[F.col("_z")[j].alias(n) for j, n in enumerate(names)])
-    st = lin.gram_stats(z, names, "_y")["all"]
+    st = lin.gram_stats(imp, features, "_y", expand=(n_features, lambda x: rff_matrix(x, mean, sd, W, b)))["all"]
     fit = lin.fit_linear(st, names, {}, "ridge", alpha=alpha)
+    coef, shift = fit.raw_coef, float(fit.raw_intercept)
+
+    @F.pandas_udf("double")
+    def score(*x: pd.Series) -> pd.Series:
+        z = np.column_stack([v.to_numpy(dtype=float) for v in x])
+        return pd.Series(np.concatenate([rff_matrix(z[i:i + lin.SLICE], mean, sd, W, b) @ coef + shift for i in range(0, len(z), lin.SLICE)] or [np.zeros(0)]))
 
     def predict(df: DataFrame) -> Column:
         del df
-        coef = F.array(*[F.lit(float(c)) for c in fit.raw_coef])
-        return F.lit(float(fit.raw_intercept)) + F.aggregate(F.zip_with(coef, arr, lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v)
+        return score(*lin.imputed(features, med))
 
     return predict, fit
