@@ -6,7 +6,8 @@ vectors (first t features of the permutation from the row, the rest from the
 background) are built and scored with numpy inside the tasks, and consecutive
 differences along the permutation are the marginal contributions.  Work is
 rows x P x (k+1) model evaluations; what a task holds is bounded by
-``HYBRIDS`` hybrid vectors, whatever the Arrow batch, P or k.
+``HYBRIDS`` hybrid vectors, whatever the Arrow batch, P or k.  A model that knows its marginal
+contributions along a permutation (``FlatTrees.contributions``) gives the same values with less work.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def shapley_rows(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray, bac
 
 
 def permutation_shapley(predict: Callable[[np.ndarray], np.ndarray], rows: DataFrame, features: list[str], background: list[float], n_perm: int = 10,
-                        seed: int = 42, top_n: int = 30, per_row: bool = False) -> DataFrame:
-    """``predict``: matrix (rows, k) -> predictions, sent to the tasks.
+                        seed: int = 42, top_n: int = 30, per_row: bool = False, contributions: Callable | None = None) -> DataFrame:
+    """``predict``: matrix (rows, k) -> predictions, sent to the tasks.  ``contributions``, if given, takes the
+    place of ``shapley_rows``: (rows, background, permutations) -> mean marginal contributions of the same model.
 
     ``rows`` holds the explained rows with one column per (imputed) feature and a
     unique string or integer key ``_rid``.  Returns (feature, mean_abs_shap) for the
@@ -60,7 +62,8 @@ def permutation_shapley(predict: Callable[[np.ndarray], np.ndarray], rows: DataF
         for pdf in batches:
             if pdf.empty:
                 continue
-            phi = shapley_rows(predict, np.stack(pdf["_x"].to_numpy()), bg, perm)
+            x = np.stack(pdf["_x"].to_numpy())
+            phi = contributions(x, bg, perm) if contributions else shapley_rows(predict, x, bg, perm)
             if per_row:
                 n, k = phi.shape
                 yield pd.DataFrame({"_rid": np.repeat(pdf["_rid"].to_numpy(), k), "_j": np.tile(np.arange(k, dtype=np.int32), n), "v": phi.ravel(), "n": 1})
