@@ -1,8 +1,8 @@
 """Penalised logistic regression by IRLS on sufficient statistics.
 
 Every Newton pass is one Spark job that updates *all* models of a search at
-once (penalty x held-out fold, plus the refits): each task evaluates the
-current coefficients of every model on its rows and emits the weighted Gram
+once (penalty x held-out fold, plus the refits) that has not converged: each task evaluates
+the current coefficients of these models on its rows and emits the weighted Gram
 ``Z'WZ`` and score ``Z'(a-p)`` per model; Spark sums them.  The driver takes a
 Newton step (ridge) or a proximal Newton step solved by coordinate descent
 (lasso) on (k+1) x (k+1) matrices.  Penalties act on standardised
@@ -45,11 +45,14 @@ def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, mode
                      *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]).cache()
     held = np.array([-1 if h is None else int(h) for _, h, _ in models])
     loss = {}
+    delta = np.full(M, np.inf)
     try:
         for it in range(max_iter):
-            B = beta.copy()
+            live = np.flatnonzero(~(delta < tol))         # a converged model takes no part in later passes
+            B, out_of = beta[live], held[live]
 
-            def step(batches, B=B):
+            def step(batches, B=B, held=out_of):
+                M = len(B)
                 H = np.zeros((M, m, m))
                 g = np.zeros((M, m))
                 ll = np.zeros(M)
@@ -80,9 +83,9 @@ def fit_many(df: DataFrame, features: list[str], label: str, fold_col: str, mode
             rows = (data.mapInPandas(step, "mi int, pos int, v double")
                     .groupBy("mi", "pos").agg(F.sum("v").alias("v")).toPandas())
             acc = np.zeros((M, m * m + m + 2))
-            acc[rows["mi"].to_numpy(), rows["pos"].to_numpy()] = rows["v"].to_numpy()
-            delta = np.zeros(M)
-            for i, (name, _, pen) in enumerate(models):
+            acc[live[rows["mi"].to_numpy()], rows["pos"].to_numpy()] = rows["v"].to_numpy()
+            for i in live:
+                name, _, pen = models[i]
                 Hm = acc[i, :m * m].reshape(m, m)
                 gm = acc[i, m * m:m * m + m]
                 loss[name] = (acc[i, -2], acc[i, -1])

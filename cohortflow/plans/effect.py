@@ -83,10 +83,10 @@ def t_learner(events: DataFrame, cfg: EffectConfig = EffectConfig()):
     # deterministic event key: a treated centre is a treated day and a control centre an
     # untreated one, so (id, centre_day) is unique in the event table; a recomputed
     # partition (executor loss) produces the same keys
-    from cohortflow.session import cut_lineage
+    from cohortflow.session import written
     # many passes follow (tuning, cross-fit, IRLS, bootstrap): cut the lineage into the
     # shared checkpoint folder so a lost executor recomputes from here, not from raw events
-    ev = cut_lineage(events.select("*", F.struct("id", "centre_day").alias("_row")))
+    ev = written(events.select("*", F.struct("id", "centre_day").alias("_row")), "effect-events")
     feats = effect_feature_columns(ev, compat=cfg.compat)
     splits = rs.split_ids(ev, "id", cfg.test_size, None, cfg.seed)
     ev = ev.join(splits, "id")

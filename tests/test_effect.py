@@ -27,3 +27,20 @@ def test_planted_effect_recovered(spark):
     assert s["ATE_ci_low"] <= s["ATE"] <= s["ATE_ci_high"]
     assert samples.count() == 50 and losses.count() == 3
     assert out.where("e_hat < 0.001 or e_hat > 0.999").count() == 0
+
+
+def test_converged_models_leave_the_passes(spark, monkeypatch):
+    from cohortflow.operators import logistic as lg
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    a = (rng.random(300) < 1 / (1 + np.exp(-x))).astype(float)
+    rows = [(i % 3, float(a[i]), float(x[i]), float(a[i] * 2 - 1)) for i in range(300)]       # x1 separates the arms
+    df = spark.createDataFrame(rows, "fold int, a double, x0 double, x1 double").coalesce(2)
+    steps, real = [], lg._prox_step
+    monkeypatch.setattr(lg, "_prox_step", lambda *v: steps.append(1) or real(*v))
+    models, scales = [("one", None, "l1"), ("none", None, None)], {"one": np.array([1.0, 1e-3]), "none": np.ones(2)}
+    beta, loss, done = lg.fit_many(df, ["x0", "x1"], "a", "fold", models, scales, max_iter=25, tol=1e-6)
+    alone, _, _ = lg.fit_many(df, ["x0", "x1"], "a", "fold", [models[0]], scales, max_iter=25, tol=1e-6)
+    used = len(steps)
+    assert done["one"] and set(loss) == {"one", "none"} and beta["one"] == pytest.approx(alone["one"], abs=1e-9)
+    assert used < 2 * 25 and used % 2 == 0                    # as many steps beside the other model as alone
