@@ -44,6 +44,7 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
+SLOT_BITS = 16                         # bits of a token that tell own tokens apart by a table, at most
 SHARDS, ROUNDS, MINIBATCH, RATE = 8, 2, 4096, 0.08
 SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit, at most
 LEAST_SHARD = 8_000_000                 # tokens below which the corpus is not split further; every shard sends its table
@@ -62,11 +63,22 @@ class Classes:
     own_class: np.ndarray
     of_prefix: np.ndarray      # class of every beginning of two bytes
 
+    def __post_init__(self):
+        """``slot``: by the last bits of a token, the place in ``own`` of the only one it can be."""
+        self.bits = next(b for b in range(12, 65) if len(np.unique(self.own & _U64((1 << b) - 1))) == len(self.own))
+        self.slot = np.zeros(1 << self.bits, dtype=np.int16) if self.bits <= SLOT_BITS else None
+        if self.slot is not None:
+            self.slot[self.own & _U64((1 << self.bits) - 1)] = np.arange(len(self.own))
+
     def __call__(self, token: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        out = self.of_prefix[np.minimum(prefix, END_PREFIX - 1)]
+        out = self.of_prefix.take(np.minimum(prefix, END_PREFIX - 1))
         if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, token), len(self.own) - 1)
-            out = np.where(self.own[at] == token, self.own_class[at], out)
+            if self.slot is not None:
+                at = self.slot.take((token & _U64((1 << self.bits) - 1)).view(_I64))
+            else:
+                at = np.minimum(np.searchsorted(self.own, token), len(self.own) - 1)
+            hit = np.flatnonzero(self.own.take(at) == token)
+            out[hit] = self.own_class.take(at.take(hit))
         return out
 
 
@@ -102,11 +114,14 @@ def log_softmax_at(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]
     for r in rows[1:]:
         logits += weights.take(r, axis=0)
     logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
+    most = logits[:, 0].copy()                                     # column by column: rows are too short for a reduction of each
+    for k in range(1, logits.shape[1]):
+        np.maximum(most, logits[:, k], out=most)
+    logits -= most[:, None]
     at = np.arange(len(label))
     own = logits[at, label]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
     out = own - np.log(total)
     if not with_delta:
         return out
@@ -170,22 +185,27 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
     than ``rows``; most rows occur once or a few times."""
-    bits = len(rows).bit_length()
-    key = np.sort((rows << bits) | np.arange(len(rows)))           # (row, place) in one number: faster than an argsort
-    ordered, order = key >> bits, key & ((1 << bits) - 1)
-    place = order % len(delta)
+    bits = (len(delta) - 1).bit_length()
+    place = np.tile(np.arange(len(delta)), len(rows) // len(delta))
+    key = (rows << bits) | place                                   # (row, place) in one number: faster than an argsort
+    if len(rows) and int(rows.max()) >> (31 - bits) == 0:
+        key = key.astype(np.int32)
+    key.sort()
+    ordered, place = key >> bits, key & ((1 << bits) - 1)
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(at, append=len(ordered))
     total = delta.take(place[at], axis=0)
-    for x in np.flatnonzero(many > 16):
-        total[x] = delta.take(place[at[x]:at[x] + many[x]], axis=0).sum(axis=0)
+    hot = many > 16
+    if hot.any():
+        size = many[hot]
+        total[hot] = np.add.reduceat(delta.take(place[np.repeat(hot, many)], axis=0), np.cumsum(size) - size, axis=0)
     few = np.flatnonzero((many > 1) & (many <= 16))
     for k in range(1, 16):
         few = few[many[few] > k]
         if not len(few):
             break
-        total[few] += delta[place[at[few] + k]]
-    return ordered[at], many, total
+        total[few] += delta.take(place[at[few] + k], axis=0)
+    return ordered[at].astype(np.int64), many, total
 
 
 @dataclass

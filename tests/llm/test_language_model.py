@@ -163,3 +163,29 @@ def test_row_sums_equal_a_loop():
     assert row.tolist() == sorted(set(rows.tolist())) and many.sum() == len(rows)
     for r, n, t in zip(row, many, total):
         assert n == (rows == r).sum() and np.allclose(t, delta[rows == r].sum(axis=0), atol=1e-4)
+
+
+def test_classes_by_table_and_by_search_equal_a_loop():
+    rng = np.random.default_rng(9)
+    prefix_class = rng.integers(0, M.CLASSES, M.END_PREFIX)
+    for shift in (0, 40):                                           # shifted tokens share all their last bits
+        token = np.unique(rng.integers(1, 1 << 23, 40).astype(np.uint64)) << np.uint64(shift)
+        classes = M.Classes(token, np.arange(len(token)), prefix_class)
+        assert (classes.slot is None) == (shift == 40)
+        some = np.concatenate([token, token ^ np.uint64(1 << 63), rng.integers(0, 1 << 62, 200).astype(np.uint64)])
+        prefix = rng.integers(0, M.END_PREFIX + 1, len(some))
+        own = {int(t): k for k, t in enumerate(token)}
+        assert classes(some, prefix).tolist() == [own.get(int(t), int(prefix_class[min(p, M.END_PREFIX - 1)])) for t, p in zip(some, prefix)]
+    assert M.Classes(token[:0], np.arange(0), prefix_class)(some, prefix).tolist() == prefix_class[np.minimum(prefix, M.END_PREFIX - 1)].tolist()
+
+
+def test_row_sums_of_repeated_deltas_in_wide_rows_equal_a_loop():
+    rng = np.random.default_rng(10)
+    delta = rng.normal(size=(300, 4)).astype(np.float32)
+    for apart in (1, 1 << 40):                                      # packed in 32 bits, and in 64
+        rows = np.minimum(rng.zipf(1.5, 900), 50) * apart
+        row, many, total = M.row_sums(rows, delta)
+        place = np.arange(900) % 300
+        assert row.tolist() == sorted(set(rows.tolist()))
+        for r, n, t in zip(row, many, total):
+            assert n == (rows == r).sum() and np.allclose(t, delta[place[rows == r]].sum(axis=0), atol=1e-4)
