@@ -44,6 +44,7 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
+SAFE_LOGIT = 64                        # exponentials of numbers below it, either sign, neither overflow nor vanish in a sum
 SLOT_BITS = 16                         # bits of a token that tell own tokens apart by a table, at most
 SHARDS, ROUNDS, MINIBATCH, RATE = 8, 2, 4096, 0.08
 SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit, at most
@@ -114,19 +115,20 @@ def log_softmax_at(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]
     for r in rows[1:]:
         logits += weights.take(r, axis=0)
     logits += bias
-    most = logits[:, 0].copy()                                     # column by column: rows are too short for a reduction of each
-    for k in range(1, logits.shape[1]):
-        np.maximum(most, logits[:, k], out=most)
-    logits -= most[:, None]
-    at = np.arange(len(label))
-    own = logits[at, label]
+    if not (logits.size and logits.max() < SAFE_LOGIT and logits.min() > -SAFE_LOGIT):
+        most = logits[:, 0].copy()                                 # column by column: rows are too short for a reduction of each
+        for k in range(1, logits.shape[1]):
+            np.maximum(most, logits[:, k], out=most)
+        logits -= most[:, None]
+    at = np.arange(len(label)) * logits.shape[1] + label
+    own = logits.ravel().take(at)
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
     out = own - np.log(total)
     if not with_delta:
         return out
     logits /= total[:, None]
-    logits[at, label] -= 1
+    logits.reshape(-1)[at] -= 1
     return out, logits
 
 
@@ -182,30 +184,48 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
     return out
 
 
-def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
-    than ``rows``; most rows occur once or a few times."""
-    bits = (len(delta) - 1).bit_length()
-    place = np.tile(np.arange(len(delta)), len(rows) // len(delta))
-    key = (rows << bits) | place                                   # (row, place) in one number: faster than an argsort
+def put_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``into[at] = rows`` with every row moved as one value."""
+    whole = np.dtype((np.void, rows.shape[1] * rows.itemsize))
+    into.view(whole)[:, 0][at] = rows.view(whole)[:, 0]
+
+
+def sorted_places(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rows`` in order, and for each its place in the ``n`` rows of a table that repeats beside them."""
+    bits = (n - 1).bit_length()
+    key = (rows << bits) | np.tile(np.arange(n), len(rows) // n)   # (row, place) in one number: faster than an argsort
     if len(rows) and int(rows.max()) >> (31 - bits) == 0:
         key = key.astype(np.int32)
     key.sort()
-    ordered, place = key >> bits, key & ((1 << bits) - 1)
+    return key >> bits, (key & ((1 << bits) - 1)).astype(np.int64)
+
+
+def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
+    than ``rows``."""
+    return run_sums(*sorted_places(rows, len(delta)), delta)
+
+
+def run_sums(ordered: np.ndarray, place: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row_sums`` of rows in order, whose ``delta`` stand at ``place``; most rows occur once or a few times."""
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(at, append=len(ordered))
-    total = delta.take(place[at], axis=0)
-    hot = many > 16
-    if hot.any():
-        size = many[hot]
-        total[hot] = np.add.reduceat(delta.take(place[np.repeat(hot, many)], axis=0), np.cumsum(size) - size, axis=0)
-    few = np.flatnonzero((many > 1) & (many <= 16))
+    total = delta.take(place.take(at), axis=0)
+    again = np.flatnonzero(many > 1)
+    size = np.minimum(many.take(again), 17).astype(np.int16)
+    again = again.take(np.argsort(-size, kind="stable"))           # most frequent first: those with a k-th place stand in front
+    upto = len(again) - np.cumsum(np.bincount(size, minlength=18))  # how many occur more than k times
+    first, some, hot = at.take(again), total.take(again, axis=0), int(upto[16])
     for k in range(1, 16):
-        few = few[many[few] > k]
-        if not len(few):
+        if upto[k] == hot:
             break
-        total[few] += delta.take(place[at[few] + k], axis=0)
-    return ordered[at].astype(np.int64), many, total
+        some[hot:upto[k]] += delta.take(place.take(first[hot:upto[k]] + k), axis=0)
+    if hot:
+        size = many.take(again[:hot])
+        start = np.cumsum(size) - size
+        some[:hot] = np.add.reduceat(delta.take(place.take(np.repeat(first[:hot] - start, size) + np.arange(start[-1] + size[-1])), axis=0), start, axis=0)
+    put_rows(total, again, some)
+    return ordered.take(at).astype(np.int64), many, total
 
 
 @dataclass
@@ -242,18 +262,21 @@ class Trainer:
 
     def __init__(self, start: Softmax, step: float):
         self.model, self.step = start.copy(), np.float32(step)
-        self.seen = [np.zeros(len(w), dtype=np.float32) for w in (start.upper, start.lower)]
+        self.seen = np.zeros(len(start.lower), dtype=np.int32)      # by bucket and class
         self.power = [np.full(len(w), 1e-3, dtype=np.float32) for w in (start.upper, start.lower)]
 
     def update(self, rows: list[np.ndarray], label: np.ndarray) -> None:
-        for (w, bias, at, target), seen, power in zip(self.model.levels(rows, label), self.seen, self.power):
+        upper, lower = self.model.levels(rows, label)
+        at = np.concatenate(lower[2])
+        np.add.at(self.seen, at, np.int32(1))
+        ordered, place = sorted_places(at, len(label))              # rows of the lower level in order are in order by bucket, too
+        for (w, bias, at, target), power, run in zip((upper, lower), self.power, (ordered // GROUPS, ordered)):
             _, delta = log_softmax_at(w, bias, at, target, True)
-            row, many, g = row_sums(np.concatenate(at), delta)
+            row, _, g = run_sums(run, place, delta)
             so_far = power.take(row) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
             power[row] = so_far
             g *= (self.step / np.sqrt(so_far))[:, None]
-            w[row] = w.take(row, axis=0) - g
-            seen[row] += many
+            put_rows(w, row, np.subtract(w.take(row, axis=0), g, out=g))
 
     def train(self, texts: list[str], classes: Classes) -> None:
         s = Stream(texts)
@@ -263,9 +286,10 @@ class Trainer:
 
     def parts(self):
         """Batches (shard, part, weighted, seen): every weight row times how often it was seen, by blocks of buckets."""
-        upper, lower = (w * n[:, None] for w, n in zip((self.model.upper, self.model.lower), self.seen))
-        table = np.hstack([upper, lower.reshape(BUCKETS, CLASSES)])
-        seen = np.hstack([self.seen[0][:, None], self.seen[1].reshape(BUCKETS, GROUPS)])
+        by_class = self.seen.reshape(BUCKETS, GROUPS).astype(np.float64)
+        seen = np.hstack([by_class.sum(axis=1, keepdims=True), by_class])
+        lower = self.model.lower * self.seen.astype(np.float32)[:, None]
+        table = np.hstack([self.model.upper * seen[:, :1].astype(np.float32), lower.reshape(BUCKETS, CLASSES)])
         shard, size = TaskContext.get().partitionId(), BUCKETS // PARTS
         for p in range(PARTS):
             at = slice(p * size, (p + 1) * size)
@@ -321,7 +345,7 @@ def fit(train: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROU
                 texts = texts_of(batch.column("text"))
                 for a, b in slices(texts):
                     trainer.train(texts[a:b], classes)
-            if trainer.seen[0].any():
+            if trainer.seen.any():
                 yield from trainer.parts()
 
         found = parts.mapInArrow(released(run), "shard int, part int, weighted binary, seen binary")

@@ -189,3 +189,46 @@ def test_row_sums_of_repeated_deltas_in_wide_rows_equal_a_loop():
         assert row.tolist() == sorted(set(rows.tolist()))
         for r, n, t in zip(row, many, total):
             assert n == (rows == r).sum() and np.allclose(t, delta[place[rows == r]].sum(axis=0), atol=1e-4)
+
+
+def test_one_sort_serves_both_levels_and_rows_are_put_whole():
+    rng = np.random.default_rng(11)
+    delta = rng.normal(size=(200, 3)).astype(np.float32)
+    rows = np.minimum(rng.zipf(1.4, 1000), 300)
+    ordered, place = M.sorted_places(rows, 200)
+    for by in (1, M.GROUPS):
+        row, many, total = M.run_sums(ordered // by, place, delta)
+        assert row.tolist() == sorted(set((rows // by).tolist())) and many.max() > 16
+        for r, n, t in zip(row, many, total):
+            hit = (np.arange(1000) % 200)[rows // by == r]
+            assert n == len(hit) and np.allclose(t, delta[hit].sum(axis=0), atol=1e-4)
+    table = np.zeros((400, 3), dtype=np.float32)
+    M.put_rows(table, row, total)
+    assert np.array_equal(table[row], total) and not np.delete(table, row, axis=0).any()
+
+
+def test_softmax_of_large_logits_equals_double_precision():
+    rng = np.random.default_rng(12)
+    for size in (1, M.SAFE_LOGIT - 1, M.SAFE_LOGIT + 1, 500):
+        w = np.zeros((4, 16), dtype=np.float32)
+        b = (size * rng.choice([-1, 1], 16) * np.append(1, rng.random(15))).astype(np.float32)
+        label = np.arange(16)
+        got, delta = M.log_softmax_at(w, b, [label % 4], label, True)
+        want = b.astype(float) - (b.max() + np.log(np.exp(b.astype(float) - b.max()).sum()))
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3) and np.allclose(delta, np.exp(want) - np.eye(16), atol=1e-4)
+
+
+def test_seen_rows_of_a_trainer_equal_a_loop():
+    rng = np.random.default_rng(13)
+    m = random_softmax(rng)
+    trainer = M.Trainer(m, 0.05)
+    rows, label = [rng.integers(0, 30, 400) for _ in range(M.FEATURES)], rng.integers(0, M.CLASSES, 400)
+    for _ in range(2):
+        trainer.update(rows, label)
+    want = np.zeros((M.BUCKETS, M.GROUPS))
+    for r in rows:
+        for bucket, leaf in zip(r, label):
+            want[bucket, leaf // M.LEAVES] += 2
+    assert np.array_equal(trainer.seen.reshape(want.shape), want)
+    moved = np.flatnonzero((trainer.model.lower != m.lower).any(axis=1))
+    assert set(moved) <= set(np.flatnonzero(want.ravel())) and len(moved) > 100
