@@ -44,7 +44,6 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
 HEAD_SHARE = 1e-6
-SAFE_LOGIT = 64                        # exponentials of numbers below it, either sign, neither overflow nor vanish in a sum
 SLOT_BITS = 16                         # bits of a token that tell own tokens apart by a table, at most
 SHARDS, ROUNDS, MINIBATCH, RATE = 8, 2, 4096, 0.08
 SHARD_TOKENS = 16_000_000               # tokens of one shard of the fit, at most
@@ -115,11 +114,10 @@ def log_softmax_at(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]
     for r in rows[1:]:
         logits += weights.take(r, axis=0)
     logits += bias
-    if not (logits.size and logits.max() < SAFE_LOGIT and logits.min() > -SAFE_LOGIT):
-        most = logits[:, 0].copy()                                 # column by column: rows are too short for a reduction of each
-        for k in range(1, logits.shape[1]):
-            np.maximum(most, logits[:, k], out=most)
-        logits -= most[:, None]
+    most = logits[:, 0].copy()                                     # column by column: rows are too short for a reduction of each
+    for k in range(1, logits.shape[1]):
+        np.maximum(most, logits[:, k], out=most)
+    logits -= most[:, None]
     at = np.arange(len(label)) * logits.shape[1] + label
     own = logits.ravel().take(at)
     np.exp(logits, out=logits)
@@ -190,24 +188,16 @@ def put_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     into.view(whole)[:, 0][at] = rows.view(whole)[:, 0]
 
 
-def sorted_places(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``rows`` in order, and for each its place in the ``n`` rows of a table that repeats beside them."""
-    bits = (n - 1).bit_length()
-    key = (rows << bits) | np.tile(np.arange(n), len(rows) // n)   # (row, place) in one number: faster than an argsort
+def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
+    than ``rows``; most rows occur once or a few times."""
+    bits = (len(delta) - 1).bit_length()
+    place = np.tile(np.arange(len(delta)), len(rows) // len(delta))
+    key = (rows << bits) | place                                   # (row, place) in one number: faster than an argsort
     if len(rows) and int(rows.max()) >> (31 - bits) == 0:
         key = key.astype(np.int32)
     key.sort()
-    return key >> bits, (key & ((1 << bits) - 1)).astype(np.int64)
-
-
-def row_sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``rows``, how often each occurs, and the sums of their ``delta``, which repeats where it is shorter
-    than ``rows``."""
-    return run_sums(*sorted_places(rows, len(delta)), delta)
-
-
-def run_sums(ordered: np.ndarray, place: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``row_sums`` of rows in order, whose ``delta`` stand at ``place``; most rows occur once or a few times."""
+    ordered, place = key >> bits, (key & ((1 << bits) - 1)).astype(np.int64)
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(at, append=len(ordered))
     total = delta.take(place.take(at), axis=0)
@@ -266,13 +256,12 @@ class Trainer:
         self.power = [np.full(len(w), 1e-3, dtype=np.float32) for w in (start.upper, start.lower)]
 
     def update(self, rows: list[np.ndarray], label: np.ndarray) -> None:
-        upper, lower = self.model.levels(rows, label)
-        at = np.concatenate(lower[2])
-        np.add.at(self.seen, at, np.int32(1))
-        ordered, place = sorted_places(at, len(label))              # rows of the lower level in order are in order by bucket, too
-        for (w, bias, at, target), power, run in zip((upper, lower), self.power, (ordered // GROUPS, ordered)):
+        for (w, bias, at, target), power in zip(self.model.levels(rows, label), self.power):
             _, delta = log_softmax_at(w, bias, at, target, True)
-            row, _, g = run_sums(run, place, delta)
+            at = np.concatenate(at)
+            if w is self.model.lower:
+                np.add.at(self.seen, at, np.int32(1))               # a number of the same type: numpy's fast way
+            row, _, g = row_sums(at, delta)
             so_far = power.take(row) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
             power[row] = so_far
             g *= (self.step / np.sqrt(so_far))[:, None]

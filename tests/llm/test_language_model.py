@@ -191,17 +191,15 @@ def test_row_sums_of_repeated_deltas_in_wide_rows_equal_a_loop():
             assert n == (rows == r).sum() and np.allclose(t, delta[place[rows == r]].sum(axis=0), atol=1e-4)
 
 
-def test_one_sort_serves_both_levels_and_rows_are_put_whole():
+def test_frequent_rows_are_summed_and_put_whole():
     rng = np.random.default_rng(11)
     delta = rng.normal(size=(200, 3)).astype(np.float32)
     rows = np.minimum(rng.zipf(1.4, 1000), 300)
-    ordered, place = M.sorted_places(rows, 200)
-    for by in (1, M.GROUPS):
-        row, many, total = M.run_sums(ordered // by, place, delta)
-        assert row.tolist() == sorted(set((rows // by).tolist())) and many.max() > 16
-        for r, n, t in zip(row, many, total):
-            hit = (np.arange(1000) % 200)[rows // by == r]
-            assert n == len(hit) and np.allclose(t, delta[hit].sum(axis=0), atol=1e-4)
+    row, many, total = M.row_sums(rows, delta)
+    assert many.min() == 1 and many.max() > 16
+    for r, n, t in zip(row, many, total):
+        hit = (np.arange(1000) % 200)[rows == r]
+        assert n == len(hit) and np.allclose(t, delta[hit].sum(axis=0), atol=1e-4)
     table = np.zeros((400, 3), dtype=np.float32)
     M.put_rows(table, row, total)
     assert np.array_equal(table[row], total) and not np.delete(table, row, axis=0).any()
@@ -209,7 +207,7 @@ def test_one_sort_serves_both_levels_and_rows_are_put_whole():
 
 def test_softmax_of_large_logits_equals_double_precision():
     rng = np.random.default_rng(12)
-    for size in (1, M.SAFE_LOGIT - 1, M.SAFE_LOGIT + 1, 500):
+    for size in (1, 60, 500):
         w = np.zeros((4, 16), dtype=np.float32)
         b = (size * rng.choice([-1, 1], 16) * np.append(1, rng.random(15))).astype(np.float32)
         label = np.arange(16)
