@@ -26,6 +26,12 @@ def test_forest_grid_is_the_published_one(monkeypatch):
     assert {s.trees for s in got} == {250, 500, 1000} and {s.max_depth for s in got} == {None, 10, 18}
 
 
+def test_boosting_draw_is_from_the_published_grid(monkeypatch):
+    got = settings_of(monkeypatch, E.q_f06_boosting)
+    assert len(got) == len({str(s) for s in got}) == 80 and all(s.boosted for s in got)
+    assert {s.trees for s in got} == {250, 500, 1000} and {s.max_depth for s in got} == {3, 7, 11}
+
+
 def blocks(folder, x, y, w=None, size=1000):
     b = T.Blocks(str(folder))
     for i in range(0, len(y), size):
