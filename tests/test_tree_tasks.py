@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 
@@ -78,3 +80,61 @@ def test_cuts_of_many_nodes_equal_those_of_one():
             assert got[0][i] == want[0] and got[3][i] == pytest.approx(want[3])
             if want[0] >= 0:
                 assert (got[1][i], got[2][i], got[4][i], got[5][i]) == pytest.approx((want[1], want[2], want[4], want[5]))
+
+
+def forest_rows(spark, n=900):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(5)
+    a, b, c = rng.integers(0, 5, n).astype(float), rng.normal(size=n), rng.normal(size=n)
+    y = 2 * (a > 2) + 3 * (b > 0.3) + rng.normal(size=n) * 0.2
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y)], "a double, b double, c double, y double").repartition(3)
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).select("features", "y")
+
+
+def test_forest_is_a_spark_model_that_learns_and_persists_no_rows(spark, tmp_path):
+    from cohortflow.operators import trees as tr
+    df, before = forest_rows(spark), set(spark.sparkContext._jsc.getPersistentRDDs())
+    model = tr.fit_forest(df, "y", 40, 6, 3, "sqrt")
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    assert model.getNumTrees == 40 and model.numFeatures == 3 and model.getOrDefault("minInstancesPerNode") == 3
+    imp = model.featureImportances.toArray()
+    assert imp.sum() == pytest.approx(1) and imp[2] < 0.1 < imp[0] < imp[1]
+    got = model.transform(df).selectExpr("avg(pow(y - prediction, 2)) AS e", "var_pop(y) AS v").first()
+    assert got["e"] < 0.1 * got["v"]
+    model.write().overwrite().save(f"{tmp_path}/m")
+    again = type(model).load(f"{tmp_path}/m")
+    assert again.transform(df).exceptAll(model.transform(df)).count() == 0
+
+
+def test_one_whole_tree_equals_spark_ml(spark):
+    from cohortflow.operators import trees as tr
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(6)
+    rows = [tuple(map(float, (*rng.integers(0, 7, 3), rng.integers(-50, 50) / 8))) for _ in range(300)]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, c double, y double"))
+    want = DecisionTreeRegressor(labelCol="y", maxDepth=4, minInstancesPerNode=4).fit(df)
+    got = tr.fit_forest(df, "y", 1, 4, 4, "all")
+    p, q = (np.array([r[0] for r in m.transform(df).select("prediction").collect()]) for m in (want, got))
+    assert np.allclose(p, q) and np.allclose(want.featureImportances.toArray(), got.featureImportances.toArray())
+
+
+def test_features_of_a_node_follow_spark_ml():
+    from cohortflow.operators import trees as tr
+    assert [tr._looked_at(s, 74, 5) for s in ("auto", "all", "onethird", "sqrt", "log2", "0.7", "5", "1.0")] == [25, 74, 25, 9, 7, 52, 5, 74]
+    assert tr._looked_at("auto", 74, 1) == 74
+
+
+def small_events(spark, path):
+    start = dt.datetime(2024, 1, 1)
+    kinds = ["view", "click", "purchase", "error", "signup"]
+    rows = [(u * 100 + d, start + dt.timedelta(days=d, minutes=u), u, kinds[(u + d) % 5], float((u * 7 + d * 13) % 100), '{"k": 3}') for u in range(20) for d in range(8)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return str(path), lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+
+
+def test_importance_keeps_no_rows_in_executors(spark, tmp_path):
+    sf, kept = small_events(spark, tmp_path)
+    before = kept()
+    got = E.q_m05(spark, sf).collect()
+    assert 0 < len(got) <= 20 and all(r["importance"] >= 0 for r in got) and kept() == before
