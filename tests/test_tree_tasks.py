@@ -138,3 +138,11 @@ def test_importance_keeps_no_rows_in_executors(spark, tmp_path):
     before = kept()
     got = E.q_m05(spark, sf).collect()
     assert 0 < len(got) <= 20 and all(r["importance"] >= 0 for r in got) and kept() == before
+
+
+def test_interval_keeps_no_rows_in_executors(spark, tmp_path):
+    sf, kept = small_events(spark, tmp_path)
+    before = kept()
+    got = E.q_m06(spark, sf).collect()
+    assert got and kept() == before
+    assert all(r["y_pred_abs_ci_low"] <= r["y_pred_abs"] <= r["y_pred_abs_ci_high"] for r in got)
