@@ -146,3 +146,10 @@ def test_interval_keeps_no_rows_in_executors(spark, tmp_path):
     got = E.q_m06(spark, sf).collect()
     assert got and kept() == before
     assert all(r["y_pred_abs_ci_low"] <= r["y_pred_abs"] <= r["y_pred_abs_ci_high"] for r in got)
+
+
+def test_saved_forest_predicts_the_same_and_keeps_no_rows(spark, tmp_path):
+    sf, kept = small_events(spark, tmp_path)
+    before = kept()
+    got = E.q_s9(spark, sf).collect()
+    assert got and kept() == before and all(r["p_saved"] == r["p_loaded"] for r in got)
