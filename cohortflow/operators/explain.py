@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HYBRIDS = 4096               # hybrid vectors scored at once
+DEALT = 4                    # tasks for every core
 
 
 def permutations(k: int, n_perm: int, seed: int) -> np.ndarray:
@@ -57,6 +58,8 @@ def permutation_shapley(predict: Callable[[np.ndarray], np.ndarray], rows: DataF
     bg = np.asarray(background, dtype=float)
     rid_type = rows.schema["_rid"].dataType.simpleString()
     base = rows.select("_rid", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x"))
+    # a row costs milliseconds: few bytes, which may be stored in a file or two, are work for every core
+    base = base.repartition(max(DEALT * base.sparkSession.sparkContext.defaultParallelism, base.rdd.getNumPartitions()))
 
     def run(batches):
         for pdf in batches:

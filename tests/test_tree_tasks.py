@@ -153,3 +153,28 @@ def test_saved_forest_predicts_the_same_and_keeps_no_rows(spark, tmp_path):
     before = kept()
     got = E.q_s9(spark, sf).collect()
     assert got and kept() == before and all(r["p_saved"] == r["p_loaded"] for r in got)
+
+
+def test_explained_rows_of_one_file_are_dealt_to_all_cores(spark):
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+    from cohortflow.operators.explain import permutation_shapley
+    rows = spark.range(400).select(F.col("id").alias("_rid"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")).coalesce(1)
+
+    def own(x, background, perm):
+        return np.full(x.shape, float(TaskContext.get().partitionId()))
+
+    got = permutation_shapley(None, rows, ["a", "b"], [0.0, 0.0], n_perm=2, per_row=True, contributions=own).collect()
+    assert len(got) == 800 and len({r["phi"] for r in got}) >= spark.sparkContext.defaultParallelism
+
+
+def test_contributions_of_many_permutations_and_features(monkeypatch):
+    from cohortflow.operators import trees as tr
+    from cohortflow.operators.explain import permutations, shapley_rows
+    from tests.test_contributions import forest
+    monkeypatch.setattr(tr, "SLICE", 7)
+    for k, p, depth in ((6, 20, 6), (130, 9, 5), (3, 1, 8)):
+        rng = np.random.default_rng(k)
+        trees, perm = forest(rng, 5, k, depth), permutations(k, p, 1)
+        x, bg = rng.normal(size=(16, k)), rng.normal(size=k) * 0.2
+        assert trees.contributions(x, bg, perm) == pytest.approx(shapley_rows(trees.mean, x, bg, perm), abs=1e-12)
