@@ -178,3 +178,10 @@ def test_contributions_of_many_permutations_and_features(monkeypatch):
         trees, perm = forest(rng, 5, k, depth), permutations(k, p, 1)
         x, bg = rng.normal(size=(16, k)), rng.normal(size=k) * 0.2
         assert trees.contributions(x, bg, perm) == pytest.approx(shapley_rows(trees.mean, x, bg, perm), abs=1e-12)
+
+
+def test_boosting_leaves_no_rows_cached(spark, tmp_path):
+    sf, kept = small_events(spark, tmp_path)
+    before = kept()
+    got = E.q_m07(spark, sf).collect()
+    assert len(got) == 1 and got[0]["n"] > 0 and 1 <= got[0]["iterations"] <= 300 and kept() == before
